@@ -29,12 +29,15 @@ import codecs
 import hashlib
 import heapq
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import make_room
+
 #: Fixed value: the splitting pattern of this family of byte-level tokenisers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: Unicode White_Space, as the pattern's \s.
@@ -173,8 +176,7 @@ class Encoder:
                 ids += machine.finish()
             got = np.array(ids, "<u4").tobytes()
             if len(unit) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
+                make_room(self.memo, MEMO)
                 self.memo[unit] = got
         return got
 
@@ -189,6 +191,12 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per Python worker, kept from task to task."""
+    return Encoder(path)
+
+
 class Decoder:
     """ids -> text, a bounded run of tokens at a time."""
 
@@ -207,7 +215,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id_col, ids array<long>)."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(np.int64) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64()))], names=[id_col, "ids"])
@@ -220,7 +228,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """(id_col, text); null ids give empty text."""
 
     def run(batches):
-        decoder = Decoder(Merges(path))
+        decoder = Decoder(encoder_of(path).merges)
         for b in batches:
             texts = ["".join(decoder.runs(np.array(i.as_py() or [], "<u4").tobytes())) for i in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
@@ -233,7 +241,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id_col, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass over the texts, no shuffle."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         decoder = Decoder(encoder.merges)
         for b in batches:
             n, a, d = [], [], []

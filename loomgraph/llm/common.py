@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +58,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
     return cut(ranged.withColumn(RID, F.monotonically_increasing_id())), False
 
 
+def make_room(memo: dict, most: int) -> None:
+    """Forgets the older half of a memo that is full."""
+    if len(memo) >= most:
+        for k in list(islice(memo, most // 2)):
+            del memo[k]
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once per word and worker."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= WORD_MEMO:
-            self.clear()
+        make_room(self, WORD_MEMO)
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
@@ -72,6 +79,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memo per Python worker, kept from task to task."""
+    return WordHashes()
+
+
 def coefficients(k: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -122,8 +135,3 @@ def unpack_many(data: bytes, *dtypes) -> list[np.ndarray]:
         out.append(unpack(data[at : at + size], n, dtype))
         at += size
     return out
-
-
-def rows_of(batches: Iterable[pa.RecordBatch], *cols: str) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in cols), strict=True)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
-from .common import RID, WordHashes, coefficients, cut, keyed, scratch_path, windows
+from .common import RID, coefficients, cut, keyed, scratch_path, windows, word_hashes
 from .sketch import build
 
 CHUNK = 1_000_000
@@ -45,7 +45,7 @@ ROUNDS = 3
 
 def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row keys, offsets, shingle hashes): for each document its distinct shingles, ascending."""
-    memo, coef = WordHashes(), [coefficients(k, 1000 + k) for k in range(width + 1)]
+    memo, coef = word_hashes(), [coefficients(k, 1000 + k) for k in range(width + 1)]
     rids: list[int] = []
     words: list[np.ndarray] = []
     total = 0

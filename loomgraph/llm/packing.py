@@ -13,17 +13,27 @@ returned besides the result columns.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
+from itertools import filterfalse, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import RID, cut, keyed, shuffle_partitions
+from .bpe import byte_alphabet
+from .common import RID, cut, keyed, make_room, shuffle_partitions
 
+#: Pieces whose ids a Python worker remembers.
 MEMO = 400_000
+#: How this tokeniser splits normalised text (letters, numbers and white space are filled in).
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs up to this number are broadcast (40 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_RUNS = 100_000
 
@@ -62,32 +72,90 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
     return runs, sequences
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """(rid, id, piece, start, length, ids_crc32) from (rid, id, text), by the tokenizers library.
+class PieceEncoder:
+    """Ids of texts by the tokenizers library, at a fraction of its calls.
 
-    The tokeniser drops white space and joins nothing across it, so each word between ASCII white space is encoded
-    once per worker and kept, up to MEMO words.
+    The tokeniser normalises and splits a text, drops white space, and merges within each piece.  Below U+0250 (but for
+    three letters whose lower case lies outside) normalising is lower-casing character by character, so texts are split
+    here by the tokeniser's own pattern, and only pieces not met before go to the library: byte-mapped, joined by
+    blanks, GROUP at once, told apart by their end-of-word tokens.  Words with other characters or with an added token
+    go to the whole tokeniser.
     """
 
-    def run(batches):
-        from tokenizers import Tokenizer
+    GROUP = 20_000
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.merger):
+            t.no_truncation()
+            t.no_padding()
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        self.mapped = {b: c for c, b in byte_alphabet().items() if b != 0x20}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        beyond = re.compile("[\u0130\u023a\u023e\u0250-\U0010ffff]").search
+        self.odd = lambda text: any(map(text.__contains__, added)) or not text.isascii() and beyond(text) is not None
+        of = lambda kind: re.escape("".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind))
+        self.split = re.compile(PIECES.format(L=of("L"), N=of("N"), S=SPACE)).findall
+        self.runs = re.compile(f"[^{SPACE}]+").findall
+        self.memo: dict[str, bytes] = {}
+
+    def _learn(self, fresh: list[str]) -> None:
+        make_room(self.memo, MEMO)
+        for k in range(0, len(fresh), self.GROUP):
+            part = fresh[k : k + self.GROUP]
+            text = " ".join(part).encode().decode("latin-1").translate(self.mapped)
+            ids = np.array(self.merger.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data, last = ids.tobytes(), 0
+            for p, e in zip(part, ends, strict=True):
+                self.memo[p] = data[4 * last : 4 * e]
+                last = e
+
+    def _plain(self, text: str) -> bytes:
+        pieces = self.split(text.lower())
+        if fresh := list(filterfalse(self.memo.__contains__, set(pieces))):
+            self._learn(fresh)
+        try:
+            return b"".join(map(self.memo.__getitem__, pieces))
+        except KeyError:  # what this text needs was forgotten to make room
+            self.memo.clear()
+            return self._plain(text)
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if not self.odd(text):
+            return self._plain(text)
+        out: list[bytes] = []
+        for odd, words in groupby(self.runs(text), self.odd):
+            if odd:
+                out += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+            else:
+                out.append(self._plain(" ".join(words)))
+        return b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder per Python worker, kept from task to task."""
+    return PieceEncoder(path)
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        memo: dict[bytes, bytes] = {}
+
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
+    """(rid, id, piece, start, length, ids_crc32) from (rid, id, text)."""
+
+    def run(batches):
+        encoder = encoder_of(path)
         end = end_id.to_bytes(4, "little")
         for b in batches:
             rid, ids, piece, start, length, crc = [], [], [], [], [], []
             for r, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = (t.as_py() or "").encode("utf-8", "replace").split()
-                if fresh := [w for w in set(words) if w not in memo]:
-                    if len(memo) + len(fresh) > MEMO:
-                        memo.clear()
-                        fresh = list(set(words))
-                    for w, e in zip(fresh, tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                        memo[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-                data = b"".join(map(memo.__getitem__, words)) + end
+                data = encoder.encode(t.as_py()) + end
                 for k in range(0, len(data), 4 * capacity):
                     part = data[k : k + 4 * capacity]
                     rid.append(r)

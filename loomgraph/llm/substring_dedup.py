@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RID, WordHashes, coefficients, keyed, pack_many, shuffle_partitions, unpack_many, windows
+from .common import RID, coefficients, keyed, pack_many, shuffle_partitions, unpack_many, windows, word_hashes
 from .sketch import build
 
 #: Words a task hashes at once.
@@ -39,7 +39,7 @@ _BUCKET, _KIND, _BLOB = "__lg_bucket", "__lg_kind", "__lg_blob"
 
 def chunks(batches, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row keys, word offsets, word hashes) of some documents at a time, rows in key order."""
-    memo, rids, words, total = WordHashes(), [], [], 0
+    memo, rids, words, total = word_hashes(), [], [], 0
 
     def flush():
         order = np.argsort(np.array(rids, np.int64), kind="stable")

@@ -15,10 +15,14 @@ Defined results: null text counts as empty, which has no tokens.  Other columns
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import make_room
+
 MARK, MEMO = "▁", 400_000
 
 
@@ -84,8 +88,7 @@ class Unigram:
         def unit(u: str) -> int:
             got = viterbi(u)
             if len(u) <= 64:
-                if len(memo) >= MEMO:
-                    memo.clear()
+                make_room(memo, MEMO)
                 memo[u] = got
             return got
 
@@ -96,11 +99,17 @@ class Unigram:
         return whole
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str):
+    """One counter per Python worker, kept from task to task."""
+    return Unigram.from_sentencepiece(path).counter()
+
+
 def count_tokens(docs: DataFrame, model: Unigram | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens long).  model: a Unigram, or the path of a sentencepiece model whose pieces and scores are used."""
 
     def run(batches):
-        count = (Unigram.from_sentencepiece(model) if isinstance(model, str) else model).counter()
+        count = counter_of(model) if isinstance(model, str) else model.counter()
         for b in batches:
             n = [count(t.as_py() or "") for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
