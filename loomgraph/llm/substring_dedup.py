@@ -94,7 +94,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield windows(w, c1)[starts_in(offsets, width)]
 
     filt = spark.sparkContext.broadcast(build(slim, keys_of, size // 6))
-    parts = 4 * shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)  # of hash ranges, and of documents: tasks pass each other one blob per pair
 
     def bucket(rid: np.ndarray) -> np.ndarray:
         return (rid ^ rid >> 9 ^ rid >> 21) % parts
