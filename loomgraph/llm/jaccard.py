@@ -8,7 +8,8 @@ Plan
        only link if ``percent`` of its set occurs elsewhere, so most documents end here, in the map task that read
        them, with nothing shuffled.  Refusing is exact: the sketch never underestimates.
     2. Identical sets of the rest collapse to the smallest id (128-bit digest of the set).
-    3. Shingles are ordered: those of one document first, then rare, then frequent ones.  Of two sets that link,
+    3. Shingles are ordered: those of one document first, then by a frequency table over the remaining sets, rare
+       ones first (its errors cost time, not links).  Of two sets that link,
        the first n - ceil(percent n) + 1 shingles (the prefix) share one.  Sets with equal size and prefix form
        one group; groups, not documents, are posted under the shingles of their prefix.
     4. Pairs of groups that share a shingle pass the size filter and the positional filter (what can still overlap
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
 from .common import RID, coefficients, cut, keyed, scratch_path, windows, word_hashes
-from .sketch import build
+from .sketch import build, frequencies
 
 CHUNK = 1_000_000
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,14 +139,13 @@ def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFra
     spark = rows.sparkSession
     slim = rows.select(RID, F.col(text_col).alias("t"))
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    filt = spark.sparkContext.broadcast(build(slim, lambda bs: (h for _, _, h in shingle_sets(bs, width)), size // 6, heavy=True))
+    filt = spark.sparkContext.broadcast(build(slim, lambda bs: (h for _, _, h in shingle_sets(bs, width)), size // 6))
 
     def survivors(batches):
         import xxhash
 
         for rids, offsets, h in shingle_sets(batches, width):
             again = filt.value.repeated(h)
-            weight = filt.value.count_if_heavy(h)
             n = np.diff(offsets)
             shared = np.diff(np.r_[0, np.cumsum(again)][offsets])
             fps, tokens, seen = [None] * len(rids), [None] * len(rids), set()
@@ -155,8 +155,7 @@ def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFra
                     fps[i] = fp = xxhash.xxh3_128_digest(h[a:b].tobytes())
                     if fp not in seen:
                         seen.add(fp)
-                        t, w = h[a:b][again[a:b]], weight[a:b][again[a:b]]
-                        tokens[i] = t[np.lexsort((t, w))].tobytes()
+                        tokens[i] = h[a:b][again[a:b]].tobytes()
             yield pa.record_batch({"rid": pa.array(rids), "n": pa.array(n.astype(np.int64)), "fp": pa.array(fps, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
     at = scratch_path(spark, "shingles")
@@ -176,12 +175,23 @@ def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFra
 def _all_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different sets that connect all that are connected."""
 
+    def tokens_of(batches):
+        for b in batches:
+            yield np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")
+
+    total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    rarity = sets.sparkSession.sparkContext.broadcast(frequencies(sets.select("tokens"), tokens_of, total // 8))
+
+    def first_of(data: bytes, k: int) -> bytes:
+        t = np.frombuffer(data, "<u8")
+        return t[np.lexsort((t, rarity.value.of(t)))[:k]].tobytes() if k > 0 else b""
+
     def prefixes(batches):
         for b in batches:
             n, tokens = b.column(1).to_numpy(), b.column(2)
             cut_at = [int(n[i]) - least_overlap(int(n[i]), percent) + 1 for i in range(len(n))]
             unique = [int(n[i]) - len(tokens[i].as_py()) // 8 for i in range(len(n))]
-            yield pa.record_batch({"gid": b.column(0), "n": b.column(1), "skip": pa.array(unique, pa.int64()), "prefix": pa.array([tokens[i].as_py()[: 8 * max(0, c - s)] for i, (c, s) in enumerate(zip(cut_at, unique, strict=True))], pa.binary())})
+            yield pa.record_batch({"gid": b.column(0), "n": b.column(1), "skip": pa.array(unique, pa.int64()), "prefix": pa.array([first_of(tokens[i].as_py(), c - s) for i, (c, s) in enumerate(zip(cut_at, unique, strict=True))], pa.binary())})
 
     def post(batches):
         for b in batches:

@@ -5,8 +5,7 @@ and how often.  Chunks are split by cell range and merged range by range, so no
 sketches.  Merging adds counts, hence a merged counter is never less than the true count of any key it serves:
 ``repeated`` may accept a key that occurs once, but never refuses one that occurs twice.
 
-What is broadcast is one bit per counter (count >= 2) and, if asked for, the few counters of HEAVY or more.  Its
-size follows the input up to MAX_CELLS per row (128 MB of bits each) and stays there: on larger inputs the filter
+What is broadcast is one bit per counter (count >= 2).  Its size follows the input up to MAX_CELLS per row (128 MB of bits each) and stays there: on larger inputs the filter
 only lets more keys through, and the exact pass behind it does more work.
 """
 
@@ -25,7 +24,6 @@ from .common import mixed, pack_many, unpack_many
 ROWS = 2
 MAX_CELLS = 1 << 30
 RANGE = 1 << 22
-HEAVY = 32
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
@@ -36,8 +34,8 @@ def cell(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
 class Repeats:
     """The merged sketch as a filter."""
 
-    def __init__(self, cells: int, bits: list[np.ndarray], heavy: list[tuple[np.ndarray, np.ndarray]]):
-        self.cells, self.bits, self.heavy = cells, bits, heavy
+    def __init__(self, cells: int, bits: list[np.ndarray]):
+        self.cells, self.bits = cells, bits
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -46,16 +44,6 @@ class Repeats:
             out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
         return out
 
-    def count_if_heavy(self, keys: np.ndarray) -> np.ndarray:
-        """An overestimate of the count where it is HEAVY or more, else 0."""
-        out = np.full(len(keys), np.iinfo(np.int64).max)
-        for row, (cells, counts) in enumerate(self.heavy):
-            at = cell(keys, row, self.cells)
-            k = np.minimum(np.searchsorted(cells, at), max(len(cells) - 1, 0))
-            got = np.where(cells[k] == at, counts[k], 0) if len(cells) else np.zeros(len(keys), np.int64)
-            out = np.minimum(out, got)
-        return out
-
 
 def sparse_counts(keys: np.ndarray, cells: int) -> Iterator[tuple[int, bytes]]:
     """(row * 2^20 + range, packed cells and counts) of one chunk."""
@@ -67,7 +55,7 @@ def sparse_counts(keys: np.ndarray, cells: int) -> Iterator[tuple[int, bytes]]:
             yield row << 20 | int(ranges[a]), pack_many(np.diff(inner, prepend=np.uint32(0)), np.minimum(n[a:b], 65535).astype(np.uint16))
 
 
-def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int, heavy: bool = False) -> Repeats:
+def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Repeats:
     """Counts what keys_of yields (one array per chunk) for the Arrow batches of docs.  expected: about how many keys."""
     cells = int(min(max(2 * expected, RANGE), MAX_CELLS))
 
@@ -82,21 +70,53 @@ def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterato
         for data in blobs["data"]:
             gaps, n = unpack_many(data, np.uint32, np.uint16)
             count[np.cumsum(gaps, dtype=np.int64)] += n
-        many = np.flatnonzero(count >= HEAVY) if heavy else np.zeros(0, np.int64)
         bits = pa.compress(np.packbits(count >= 2, bitorder="little").tobytes(), codec="zstd", asbytes=True)
-        return pd.DataFrame({"part": [key[0]], "bits": [bits], "heavy": [pack_many(many, count[many])]})
+        return pd.DataFrame({"part": [key[0]], "bits": [bits]})
 
-    merged = docs.mapInArrow(partial, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, bits binary, heavy binary")
+    merged = docs.mapInArrow(partial, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
     width = -(-cells // RANGE)
     bits = [np.zeros(width * RANGE // 8, np.uint8) for _ in range(ROWS)]
-    many: list[list] = [[] for _ in range(ROWS)]
     for r in merged.toLocalIterator():  # bounded by MAX_CELLS, whatever the input
         row, part = r.part >> 20, r.part & 0xFFFFF
         bits[row][part * RANGE // 8 : (part + 1) * RANGE // 8] = np.frombuffer(pa.decompress(bytes(r.bits), RANGE // 8, codec="zstd", asbytes=True), np.uint8)
-        at, n = unpack_many(bytes(r.heavy), np.int64, np.int64)
-        many[row].append((part, at + part * RANGE, n))
-    tables = []
-    for got in many:
-        got.sort(key=lambda x: x[0])
-        tables.append((np.concatenate([x[1] for x in got] or [np.zeros(0, np.int64)]).astype(np.uint64), np.concatenate([x[2] for x in got] or [np.zeros(0, np.int64)])))
-    return Repeats(cells, bits, tables)
+    return Repeats(cells, bits)
+
+
+#: Counters of a frequency table: 2 bytes each, so 64 MB at most, whatever the input.
+FREQUENCY_CELLS = 1 << 25
+
+
+class Frequencies:
+    """Approximate counts of keys in one row of counters, to order keys by; never below the true count up to 65,535."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.counts[cell(keys, 0, len(self.counts))]
+
+
+def frequencies(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Frequencies:
+    """Counts what keys_of yields for the Arrow batches of rows.  expected: about how many keys."""
+    cells = int(min(max(2 * expected, 1 << 12), FREQUENCY_CELLS))
+
+    def partial(batches):
+        for keys in keys_of(batches):
+            at, n = np.unique(cell(keys, 0, cells), return_counts=True)
+            ranges = (at // RANGE).astype(np.int64)
+            for a, b in pairwise([*np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]), len(at)] if len(at) else []):
+                inner = (at[a:b] - np.uint64(ranges[a] * RANGE)).astype(np.uint32)
+                yield pa.record_batch({"part": pa.array([ranges[a]], pa.int32()), "data": pa.array([pack_many(np.diff(inner, prepend=np.uint32(0)), np.minimum(n[a:b], 65535).astype(np.uint16))], pa.binary())})
+
+    def merge(key, blobs):
+        count = np.zeros(RANGE, np.int64)
+        for data in blobs["data"]:
+            gaps, n = unpack_many(data, np.uint32, np.uint16)
+            count[np.cumsum(gaps, dtype=np.int64)] += n
+        return pd.DataFrame({"part": [key[0]], "counts": [pack_many(np.minimum(count, 65535).astype(np.uint16))]})
+
+    merged = rows.mapInArrow(partial, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, counts binary")
+    counts = np.zeros(-(-cells // RANGE) * RANGE, np.uint16)
+    for r in merged.toLocalIterator():  # bounded by FREQUENCY_CELLS
+        counts[r.part * RANGE : (r.part + 1) * RANGE] = unpack_many(bytes(r.counts), np.uint16)[0]
+    return Frequencies(counts[:cells])
