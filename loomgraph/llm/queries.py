@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, packing, quality, sharding, substring_dedup, token_counts, warc
+from . import bm25, bpe, exact_dedup, jaccard, packing, quality, sharding, substring_dedup, token_counts, warc
 from .common import scratch_path
 
 #: Folder of the public tokenisers' files; they are never copied here.
@@ -31,6 +31,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.filter("doc_id % 20 = 0")).withColumn("score", F.round("score", 6))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -72,5 +77,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_substring_dedup, op4_token_counts, op5_bpe_round_trip, op6_jaccard_join, op7_warc, op8_sharding, op9_quality, op10_packing)
+    for f in (op1_exact_dedup, op2_bm25_search, op3_substring_dedup, op4_token_counts, op5_bpe_round_trip, op6_jaccard_join, op7_warc, op8_sharding, op9_quality, op10_packing)
 }
