@@ -227,8 +227,9 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
     named = cut(labelled(members, "gid", "label"))
     mixed_groups = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     open_tokens = postings.join(mixed_groups, "grp").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
-    live = cut(postings.join(open_tokens, "token"))
-    across = live.alias("x").join(live.alias("y"), "token").filter(f"x.grp < y.grp AND {_may_link(percent)}").select(F.expr("x.grp").alias("ga"), F.expr("y.grp").alias("gb")).distinct()
+    live = cut(postings.join(open_tokens, "token").join(mixed_groups, "grp"))
+    known = "x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo"  # all members of both groups are in one component already
+    across = live.alias("x").join(live.alias("y"), "token").filter(f"x.grp < y.grp AND NOT ({known}) AND {_may_link(percent)}").select(F.expr("x.grp").alias("ga"), F.expr("y.grp").alias("gb")).distinct()
     inside = mixed_groups.filter("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     ma = named.select(F.col("grp").alias("ga"), F.col("gid").alias("a"), F.col("label").alias("la"))
     mb = named.select(F.col("grp").alias("gb"), F.col("gid").alias("b"), F.col("label").alias("lb"))
