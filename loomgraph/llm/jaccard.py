@@ -41,7 +41,7 @@ from .common import RID, coefficients, cut, keyed, scratch_path, windows, word_h
 from .sketch import build, frequencies
 
 CHUNK = 1_000_000
-ROUNDS = 2
+ROUNDS = 1
 
 
 def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -215,14 +215,14 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
         return df.join(got, gid, "left").withColumn(name, F.coalesce(name, gid))
 
     for r in range(ROUNDS):
-        labels = cut(component_labels(links, "a", "b"))
         order = "x.grp" if r == 0 else f"xxhash64(x.grp, {r})"
         pivots = cut(postings.alias("x").groupBy("token").agg(F.min(F.struct(F.expr(order).alias("o"), F.expr("x.grp"), F.expr("x.n"), F.expr("x.pos"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "p.grp", "p.n", "p.pos"))
         pairs = postings.alias("x").join(pivots.alias("y"), "token").filter(f"x.grp <> y.grp AND {_may_link(percent)}").select(F.expr("x.grp").alias("grp"), F.expr("y.grp").alias("b")).distinct()
         pairs = pairs.join(members, "grp").select(F.col("gid").alias("a"), "b")
-        pairs = labelled(labelled(pairs, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b").distinct()
+        if labels is not None:
+            pairs = labelled(labelled(pairs, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b").distinct()
         links = cut(links.union(_links(pairs, sets, percent)))
-    labels = cut(component_labels(links, "a", "b"))
+        labels = cut(component_labels(links, "a", "b"))
     # What no pivot has connected: every remaining pair of members of different components.
     named = cut(labelled(members, "gid", "label"))
     mixed_groups = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
