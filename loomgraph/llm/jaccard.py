@@ -14,10 +14,11 @@ Plan
        one group; groups, not documents, are posted under the shingles of their prefix.
     4. Pairs of groups that share a shingle pass the size filter and the positional filter (what can still overlap
        behind the shared shingle); their members are then compared on whole sets.
-       Comparing all members of a large cluster is never needed: they first meet one pivot group per shingle, in
-       ROUNDS rounds, and only pairs that are not yet known to be connected are compared after that.  All of those
-       are compared, without a limit.
-    5. Components of the verified links (large-star, small-star).
+       Comparing all members of a large cluster is never needed: they first meet one pivot group per shingle, and
+       only pairs that are not yet known to be connected are compared after that.  All of those are compared, without
+       a limit.
+    5. Components of the verified links (large-star, small-star), first of those with pivots; the later links join
+       whole components, so the second graph has components as its nodes.
 
 Shingles are compared by 64-bit hashes.
 
@@ -41,7 +42,6 @@ from .common import RID, coefficients, cut, keyed, scratch_path, windows, word_h
 from .sketch import build, frequencies
 
 CHUNK = 1_000_000
-ROUNDS = 1
 
 
 def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,8 +86,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) of set ids, those that link, by comparing whole sets."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Of distinct pairs (a, b) of set ids, those that link, by comparing whole sets; the columns ``keep`` as (a, b)."""
     left = sets.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
 
@@ -103,7 +103,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(cols[1][i].as_py())
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ta", "nb", "tb")
+    joined = pairs.join(left, "a").join(right, "b").select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), "na", "ta", "nb", "tb")
     return joined.mapInArrow(compare, "a long, b long")
 
 
@@ -164,16 +164,14 @@ def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFra
     sets_at = scratch_path(spark, "sets")
     found.filter("tokens IS NOT NULL").groupBy("fp").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).write.parquet(sets_at)
     sets = spark.read.parquet(sets_at)
-    links = _all_links(sets, percent)
-    labels = component_labels(links, "a", "b")
-    by_fp = cut(sets.select("fp", "gid").join(labels.withColumnRenamed("id", "gid"), "gid", "left").select("fp", F.coalesce("component_id", "gid").alias("root")))
+    by_fp = cut(sets.select("fp", "gid").join(_set_labels(sets, percent), "gid", "left").select("fp", F.coalesce("root", "gid").alias("root")))
     known = found.select("rid", "n", "fp").filter("fp IS NOT NULL").join(by_fp, "fp", "left").select("rid", "n", "root")
     alone = found.select("rid", "n", "fp").filter("fp IS NULL").select("rid", "n", F.col("rid").alias("root"))
     return known.union(alone)
 
 
-def _all_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different sets that connect all that are connected."""
+def _set_labels(sets: DataFrame, percent: int) -> DataFrame:
+    """(gid, root): the smallest set id of each set's component; a set that is not returned is alone."""
 
     def tokens_of(batches):
         for b in batches:
@@ -207,24 +205,13 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
     members = cut(pre.select("gid", "n", "prefix").join(groups.select("n", "prefix", "grp"), ["n", "prefix"]).select("gid", "grp"))
     postings = groups.select("grp", "n", "skip", "prefix").mapInArrow(post, "token long, grp long, n long, pos long")
     postings = cut(postings)
-    labels = None
-    links = cut(_links(members.filter("gid <> grp").select(F.col("gid").alias("a"), F.col("grp").alias("b")), sets, percent))
-
-    def labelled(df, gid, name):
-        got = labels.select(F.col("id").alias(gid), F.col("component_id").alias(name))
-        return df.join(got, gid, "left").withColumn(name, F.coalesce(name, gid))
-
-    for r in range(ROUNDS):
-        order = "x.grp" if r == 0 else f"xxhash64(x.grp, {r})"
-        pivots = cut(postings.alias("x").groupBy("token").agg(F.min(F.struct(F.expr(order).alias("o"), F.expr("x.grp"), F.expr("x.n"), F.expr("x.pos"))).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "p.grp", "p.n", "p.pos"))
-        pairs = postings.alias("x").join(pivots.alias("y"), "token").filter(f"x.grp <> y.grp AND {_may_link(percent)}").select(F.expr("x.grp").alias("grp"), F.expr("y.grp").alias("b")).distinct()
-        pairs = pairs.join(members, "grp").select(F.col("gid").alias("a"), "b")
-        if labels is not None:
-            pairs = labelled(labelled(pairs, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b").distinct()
-        links = cut(links.union(_links(pairs, sets, percent)))
-        labels = cut(component_labels(links, "a", "b"))
+
+    pivots = cut(postings.groupBy("token").agg(F.min(F.struct("grp", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "p.grp", "p.n", "p.pos"))
+    met = postings.alias("x").join(pivots.alias("y"), "token").filter(f"x.grp <> y.grp AND {_may_link(percent)}").select(F.expr("x.grp").alias("grp"), F.expr("y.grp").alias("b")).distinct()
+    pairs = met.join(members, "grp").select(F.col("gid").alias("a"), "b").union(members.filter("gid <> grp").select(F.col("gid").alias("a"), F.col("grp").alias("b")))
+    labels = component_labels(_links(pairs, sets, percent), "a", "b").select(F.col("id").alias("gid"), F.col("component_id").alias("label"))
     # What no pivot has connected: every remaining pair of members of different components.
-    named = cut(labelled(members, "gid", "label"))
+    named = cut(members.join(labels, "gid", "left").select("gid", "grp", F.coalesce("label", "gid").alias("label")))
     mixed_groups = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     open_tokens = postings.join(mixed_groups, "grp").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
     live = cut(postings.join(open_tokens, "token").join(mixed_groups, "grp"))
@@ -233,5 +220,6 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
     inside = mixed_groups.filter("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     ma = named.select(F.col("grp").alias("ga"), F.col("gid").alias("a"), F.col("label").alias("la"))
     mb = named.select(F.col("grp").alias("gb"), F.col("gid").alias("b"), F.col("label").alias("lb"))
-    rest = across.union(inside).join(ma, "ga").join(mb, "gb").filter("la <> lb AND (ga < gb OR a < b)").select("a", "b").distinct()
-    return links.union(cut(_links(rest, sets, percent)))
+    rest = across.union(inside).join(ma, "ga").join(mb, "gb").filter("la <> lb AND (ga < gb OR a < b)").select("a", "b", "la", "lb").distinct()
+    merged = component_labels(_links(rest, sets, percent, ("la", "lb")), "a", "b").select(F.col("id").alias("label"), F.col("component_id").alias("root"))
+    return named.join(merged, "label", "left").select("gid", F.coalesce("root", "label").alias("root"))
