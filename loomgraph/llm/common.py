@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 RID = "__lg_rid"
 #: Distinct words whose hash a Python worker remembers (about 100 MB); beyond it the memo starts afresh.
 WORD_MEMO = 400_000
+#: Bytes of rows that an executor and a Python worker pass each other at a time, where the session names no other bound.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def ensure_shared_folder(spark: SparkSession) -> str:
@@ -27,6 +29,12 @@ def ensure_shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches bounded by bytes as well as rows, so that long texts don't add up to large ones on either side."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     ensure_shared_folder(df.sparkSession)

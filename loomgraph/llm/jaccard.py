@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_labels
-from .common import RID, coefficients, cut, keyed, scratch_path, windows, word_hashes
+from .common import RID, bound_batches, coefficients, cut, keyed, scratch_path, windows, word_hashes
 from .sketch import build, frequencies
 
 CHUNK = 1_000_000
@@ -137,6 +137,7 @@ def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFra
     if width < 1 or not 0 < percent <= 100:
         raise ValueError("width must be positive and percent in 1..100")
     spark = rows.sparkSession
+    bound_batches(spark)
     slim = rows.select(RID, F.col(text_col).alias("t"))
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     filt = spark.sparkContext.broadcast(build(slim, lambda bs: (h for _, _, h in shingle_sets(bs, width)), size // 6))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RID, coefficients, keyed, pack_many, shuffle_partitions, unpack_many, windows, word_hashes
+from .common import RID, bound_batches, coefficients, keyed, pack_many, shuffle_partitions, unpack_many, windows, word_hashes
 from .sketch import build
 
 #: Words a task hashes at once.
@@ -84,6 +84,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if width < 1:
         raise ValueError("width must be positive")
     spark = docs.sparkSession
+    bound_batches(spark)
     rows, _ = keyed(docs.drop("n_words", "n_removed", "kept_text"), id_col, text_col)
     slim = rows.select(RID, F.col(text_col).alias("t"))
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
