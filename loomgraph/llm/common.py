@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Internal key column.  Operators never use a name a caller's table is likely to have.
 RID = "__lg_rid"
-#: Distinct words whose hash a Python worker remembers (about 100 MB); beyond it the memo starts afresh.
-WORD_MEMO = 400_000
+#: Distinct words whose hash a Python worker remembers (about 50 MB); beyond it the memo starts afresh.
+WORD_MEMO = 200_000
 #: Bytes of rows that an executor and a Python worker pass each other at a time, where the session names no other bound.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
