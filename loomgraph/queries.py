@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from .operators.graph import Graph, KeyIndex
 from .operators.log import effects, first_touches, lifetimes, prefix_metrics, replay
 from .operators.window import add_flags, episodes, expired_counts, live_edges
+from .plans.lineage import cut
 from .sources.edgs import load, save
 
 WIDTH = 86_400.0
@@ -296,8 +297,13 @@ def log_first_touch(spark, d):
 
 @query(f"WITH RECURSIVE {PSQ}, l AS (SELECT u, v, u * 100000 + v AS seq FROM p), c AS (SELECT 20000000 * unnest(range(1, 5)) AS upto), b AS (SELECT c.upto, l.u, l.v FROM c JOIN l ON l.seq <= c.upto UNION SELECT c.upto, l.v, l.u FROM c JOIN l ON l.seq <= c.upto), o AS (SELECT DISTINCT upto, u AS id FROM b), r AS (SELECT upto, id, id AS k FROM o UNION SELECT b.upto, b.v, r.k FROM r JOIN b ON b.u = r.id AND b.upto = r.upto), w AS (SELECT upto, id, min(k) AS k FROM r GROUP BY upto, id), un AS (SELECT DISTINCT upto, u, v FROM b WHERE u < v), t AS (SELECT x.upto, count(*) AS n FROM un x JOIN un y ON y.upto = x.upto AND y.u = x.v JOIN un z ON z.upto = x.upto AND z.u = x.u AND z.v = y.v GROUP BY x.upto) SELECT c.upto, (SELECT count(*) FROM o WHERE o.upto = c.upto) AS n_nodes, (SELECT count(*) FROM un WHERE un.upto = c.upto) AS n_edges, coalesce((SELECT n FROM t WHERE t.upto = c.upto), 0) AS n_triangles, (SELECT count(DISTINCT k) FROM w WHERE w.upto = c.upto) AS n_components FROM c")
 def prefix_edges_triangles_components(spark, d):
-    log = pseq(spark, d).select((F.col("u") * 100000 + F.col("v")).alias("seq"), F.lit("add").alias("op"), "u", "v", F.lit(1.0).alias("w"))
-    return prefix_metrics(log, spark.createDataFrame([(20_000_000 * k,) for k in range(1, 5)], "at long")).withColumnRenamed("at", "upto")
+    """After each quarter of the log, the last at its end.  seq orders arcs by (u, v); its base is above every key, so none collide."""
+    arcs = cut(pseq(spark, d))
+    top = arcs.agg(F.max(F.greatest("u", "v"))).first()[0]
+    base = max(100_000, (top or 0) + 1)
+    log = arcs.select((F.col("u") * base + F.col("v")).alias("seq"), F.lit("add").alias("op"), "u", "v", F.lit(1.0).alias("w"))
+    end = log.agg(F.max("seq")).first()[0] or 0
+    return prefix_metrics(log, spark.createDataFrame([(end * k // 4,) for k in range(1, 5)], "at long")).withColumnRenamed("at", "upto")
 
 
 @query("WITH f AS (SELECT c_mktsegment AS key, min(c_custkey) AS m FROM customer GROUP BY 1) SELECT key, row_number() OVER (ORDER BY m, key) - 1 AS id FROM f")
