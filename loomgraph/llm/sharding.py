@@ -49,7 +49,12 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
     if limit_bytes < 1:
         raise ValueError("limit_bytes must be positive")
     rows, _ = keyed(docs.select(id_col, text_col), id_col, text_col)
-    live = cut(rows.select(F.col(id_col).alias("id"), F.xxhash64(RID).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size")))
+    return _assigned(rows, limit_bytes, id_col, text_col).drop(RID)
+
+
+def _assigned(rows: DataFrame, limit_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """The assignment of keyed rows, with their RID."""
+    live = cut(rows.select(RID, F.col(id_col).alias("id"), F.xxhash64(RID).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size")))
     done = []
     level = 0
     while True:
@@ -63,20 +68,23 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", tex
         joined = tagged.join(F.broadcast(leaves) if level == 0 else leaves, ["prefix", "sub"])
         text = F.lpad(F.bin("sub"), take, "0")
         full = F.concat(F.lpad(F.bin("prefix"), level, "0"), text) if level else text
-        got = joined.select("id", "size", "hash", "leaf", full.alias("bits"))
-        done.append(got.filter("leaf >= 0").select("id", "size", F.expr(f"substring(bits, 1, {level} + leaf)").alias("shard"), (F.lit(level) + F.col("leaf")).cast("int").alias("depth")))
+        got = joined.select(RID, "id", "size", "hash", "leaf", full.alias("bits"))
+        done.append(got.filter("leaf >= 0").select(RID, "id", "size", F.expr(f"substring(bits, 1, {level} + leaf)").alias("shard"), (F.lit(level) + F.col("leaf")).cast("int").alias("depth")))
         level += take
         if level >= 64 or leaves.filter("leaf < 0").isEmpty():
             break
-        live = cut(got.filter("leaf < 0").select("id", "hash", "size"))
+        live = cut(got.filter("leaf < 0").select(RID, "id", "hash", "size"))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out.select(F.col("id").alias(id_col), "shard", "depth", F.col("size").alias("n_bytes"), (F.col("size") > limit_bytes).alias("oversized"))
+    return out.select(RID, F.col("id").alias(id_col), "shard", "depth", F.col("size").alias("n_bytes"), (F.col("size") > limit_bytes).alias("oversized"))
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes docs (unique ids) as Parquet, one folder and one task per shard; returns the assignment."""
-    given = cut(assign_shards(docs, limit_bytes, id_col, text_col))
-    docs.join(given.select(id_col, "shard"), id_col).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return given
+    """Writes all rows of docs as Parquet, one folder and one task per shard; returns the assignment."""
+    if limit_bytes < 1:
+        raise ValueError("limit_bytes must be positive")
+    rows, _ = keyed(docs, id_col, text_col)
+    given = cut(_assigned(rows, limit_bytes, id_col, text_col))
+    rows.join(given.select(RID, "shard"), RID).drop(RID).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    return given.drop(RID)
