@@ -55,9 +55,13 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, names = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    read = warc.read_warc(files).drop("payload")
-    key = F.regexp_extract("refers_to", "^<urn:page:(.*)>$", 1)
-    return read.select(F.regexp_extract("record_id", "^<urn:page:(.*)>$", 1).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", key.cast("long")).alias("refers_to"))
+    read = warc.read_warc(files).select("record_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
+    if names.filter("id IS NULL OR record_id <> concat('<urn:page:', id, '>')").isEmpty():  # records are named by the ids
+        id_of = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast("long")
+        return read.select(id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to"))
+    target = names.select(F.col("record_id").alias("refers_to"), F.col("id").alias("target"))
+    named = read.join(names, "record_id").join(target, "refers_to", "left")
+    return named.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("target").alias("refers_to"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
