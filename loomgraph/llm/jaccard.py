@@ -86,25 +86,29 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """Of distinct pairs (a, b) of set ids, those that link, by comparing whole sets; the columns ``keep`` as (a, b)."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, keep: tuple[str, str] = ("a", "b"), counts: bool = False) -> DataFrame:
+    """Of distinct pairs (a, b) of set ids, those that link, by comparing whole sets; the columns ``keep`` as (a, b), with ``counts`` also n_common and n_union."""
     left = sets.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
 
     def compare(batches):
         for batch in batches:
-            a, b = [], []
+            a, b, common, union = [], [], [], []
             cols = [batch.column(i) for i in range(6)]
             for i in range(batch.num_rows):
                 ta, tb = (np.frombuffer(cols[k][i].as_py(), "<u8") for k in (3, 5))
                 both = len(np.intersect1d(ta, tb, assume_unique=True))
-                if 100 * both >= percent * (cols[2][i].as_py() + cols[4][i].as_py() - both):
+                either = cols[2][i].as_py() + cols[4][i].as_py() - both
+                if 100 * both >= percent * either:
                     a.append(cols[0][i].as_py())
                     b.append(cols[1][i].as_py())
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    common.append(both)
+                    union.append(either)
+            out = {"a": a, "b": b} | ({"n_common": common, "n_union": union} if counts else {})
+            yield pa.record_batch({k: pa.array(x, pa.int64()) for k, x in out.items()})
 
     joined = pairs.join(left, "a").join(right, "b").select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), "na", "ta", "nb", "tb")
-    return joined.mapInArrow(compare, "a long, b long")
+    return joined.mapInArrow(compare, "a long, b long" + ", n_common long, n_union long" * counts)
 
 
 def _may_link(percent: int) -> str:
@@ -132,8 +136,38 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.join(gone, RID, "left_anti").select(*docs.columns)
 
 
+def near_duplicate_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b, n_common long, n_union long), a before b, of representatives, and (id_col, row long, representative long, n_shingles long).
+
+    Rows with the same set are a class, and its first row represents it: rows of one class, of at least one shingle,
+    link with each other, rows of two classes link where their representatives do.  ``row`` is the id where ids are
+    unique integers, else a number of the row; a, b and representative are such rows.  Every candidate pair is compared,
+    so unlike components the work grows with the square of a cluster's number of different sets.
+    """
+    rows, _ = keyed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col)
+    found, sets = _distinct_sets(rows, text_col, width, percent)
+    members, postings = _posted(sets, percent)
+    across = postings.alias("x").join(postings.alias("y"), "token").filter(f"x.grp < y.grp AND {_may_link(percent)}").select(F.expr("x.grp").alias("ga"), F.expr("y.grp").alias("gb")).distinct()
+    ma, mb = (members.select(F.col("grp").alias(g), F.col("gid").alias(m)) for g, m in (("ga", "x"), ("gb", "y")))
+    inside = ma.join(mb, F.col("ga") == F.col("gb")).filter("x < y").select("x", "y")
+    candidates = across.join(ma, "ga").join(mb, "gb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(inside.toDF("a", "b"))
+    pairs = cut(_links(candidates, sets, percent, counts=True))
+    names = rows.select(F.col(id_col), F.col(RID).alias("rid"))
+    known = found.select("rid", "n", "fp").join(sets.select("fp", "gid"), "fp", "left").select("rid", "n", F.coalesce("gid", "rid").alias("representative"))
+    return pairs, names.join(known, "rid").select(id_col, F.col("rid").alias("row"), "representative", F.col("n").alias("n_shingles"))
+
+
 def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """(rid, n, root) of keyed rows."""
+    found, sets = _distinct_sets(rows, text_col, width, percent)
+    by_fp = cut(sets.select("fp", "gid").join(_set_labels(sets, percent), "gid", "left").select("fp", F.coalesce("root", "gid").alias("root")))
+    known = found.select("rid", "n", "fp").filter("fp IS NOT NULL").join(by_fp, "fp", "left").select("rid", "n", "root")
+    alone = found.select("rid", "n", "fp").filter("fp IS NULL").select("rid", "n", F.col("rid").alias("root"))
+    return known.union(alone)
+
+
+def _distinct_sets(rows: DataFrame, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, n, fp or null where nothing can link, tokens) of keyed rows, and (fp, gid, n, tokens) of each set that may link."""
     if width < 1 or not 0 < percent <= 100:
         raise ValueError("width must be positive and percent in 1..100")
     spark = rows.sparkSession
@@ -164,15 +198,11 @@ def _rooted(rows: DataFrame, text_col: str, width: int, percent: int) -> DataFra
     found = spark.read.parquet(at)
     sets_at = scratch_path(spark, "sets")
     found.filter("tokens IS NOT NULL").groupBy("fp").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).write.parquet(sets_at)
-    sets = spark.read.parquet(sets_at)
-    by_fp = cut(sets.select("fp", "gid").join(_set_labels(sets, percent), "gid", "left").select("fp", F.coalesce("root", "gid").alias("root")))
-    known = found.select("rid", "n", "fp").filter("fp IS NOT NULL").join(by_fp, "fp", "left").select("rid", "n", "root")
-    alone = found.select("rid", "n", "fp").filter("fp IS NULL").select("rid", "n", F.col("rid").alias("root"))
-    return known.union(alone)
+    return found, spark.read.parquet(sets_at)
 
 
-def _set_labels(sets: DataFrame, percent: int) -> DataFrame:
-    """(gid, root): the smallest set id of each set's component; a set that is not returned is alone."""
+def _posted(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(gid, grp) of the sets in groups, and (token, grp, n, pos) of the groups' prefixes."""
 
     def tokens_of(batches):
         for b in batches:
@@ -205,8 +235,12 @@ def _set_labels(sets: DataFrame, percent: int) -> DataFrame:
     groups = cut(groups)
     members = cut(pre.select("gid", "n", "prefix").join(groups.select("n", "prefix", "grp"), ["n", "prefix"]).select("gid", "grp"))
     postings = groups.select("grp", "n", "skip", "prefix").mapInArrow(post, "token long, grp long, n long, pos long")
-    postings = cut(postings)
+    return members, cut(postings)
+
 
+def _set_labels(sets: DataFrame, percent: int) -> DataFrame:
+    """(gid, root): the smallest set id of each set's component; a set that is not returned is alone."""
+    members, postings = _posted(sets, percent)
     pivots = cut(postings.groupBy("token").agg(F.min(F.struct("grp", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "p.grp", "p.n", "p.pos"))
     met = postings.alias("x").join(pivots.alias("y"), "token").filter(f"x.grp <> y.grp AND {_may_link(percent)}").select(F.expr("x.grp").alias("grp"), F.expr("y.grp").alias("b")).distinct()
     pairs = met.join(members, "grp").select(F.col("gid").alias("a"), "b").union(members.filter("gid <> grp").select(F.col("gid").alias("a"), F.col("grp").alias("b")))
