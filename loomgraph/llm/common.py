@@ -8,6 +8,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a place in the shared folder."""
+    for a, b in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        url = b + url[len(a) :] if url.startswith(a) else url
+    return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else "file://" + url)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -143,3 +151,20 @@ def unpack_many(data: bytes, *dtypes) -> list[np.ndarray]:
         out.append(unpack(data[at : at + size], n, dtype))
         at += size
     return out
+
+
+def seal(*arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths in one value, which names their types."""
+    parts = [pack(a) for a in arrays]
+    heads = [np.dtype(a.dtype).str.encode() + np.array([len(a), len(p)], "<u8").tobytes() for a, p in zip(arrays, parts, strict=True)]
+    return len(arrays).to_bytes(1, "little") + b"".join(heads) + b"".join(parts)
+
+
+def unseal(data: bytes) -> list[np.ndarray]:
+    at, out = 1 + 19 * data[0], []
+    for k in range(data[0]):
+        head = data[1 + 19 * k : 20 + 19 * k]
+        n, size = np.frombuffer(head, "<u8", 2, 3).tolist()
+        out.append(unpack(data[at : at + size], n, np.dtype(head[:3].decode())))
+        at += size
+    return out

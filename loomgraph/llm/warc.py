@@ -23,12 +23,11 @@ import zlib
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, cut, keyed
+from .common import RID, cut, filesystem, keyed
 
 CRLF = b"\r\n"
 READ = "record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, error string"
@@ -40,12 +39,6 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
-    for a, b in (("s3a://", "s3://"), ("s3n://", "s3://")):
-        url = b + url[len(a) :] if url.startswith(a) else url
-    return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else "file://" + url)
-
-
 def chunked(data: bytes, size: int = 8192) -> bytes:
     out = [b"%x\r\n%b\r\n" % (len(data[k : k + size]), data[k : k + size]) for k in range(0, len(data), size)]
     return b"".join(out) + b"0\r\n\r\n"
