@@ -2,13 +2,15 @@
 
 edges(u, v, w) holds each edge once: u < v when undirected, every arc when directed; w is 1.0 in unweighted graphs.
 nodes(id) holds the ids ever touched: an edge or add_node touches them, removing edges does not untouch them.
-Changing methods return a new Graph; plans stay lazy except for validation, which is one aggregate over a batch.
+Changing methods return a new Graph; plans stay lazy except for validation, which is one aggregate over a batch, or part
+of the plan where the caller asks for that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +45,17 @@ class Graph:
     directed: bool = False
     weighted: bool = False
     base_ids: int = 0
+    reserved: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession, n_nodes: int = 0, directed: bool = False, weighted: bool = False) -> Graph:
-        return cls(spark.createDataFrame([], EDGES), spark.createDataFrame([], "id long"), directed, weighted, n_nodes)
+        none = spark.range(1).filter("false")  # the optimiser sees that it is empty and drops joins and unions with it
+        return cls(none.selectExpr("id AS u", "id AS v", "double(id) AS w"), none, directed, weighted, n_nodes)
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, directed: bool = False, weighted: bool = False, order: str | None = None) -> Graph:
-        """Of edges(u, v[, w]); order: the column that says which of several equal edges is first."""
-        return cls.empty(edges.sparkSession, 0, directed, weighted).add_edges(edges, order)
+    def from_edges(cls, edges: DataFrame, directed: bool = False, weighted: bool = False, order: str | None = None, lazy: bool = False) -> Graph:
+        """Of edges(u, v[, w]); order: the column that says which of several equal edges is first; lazy: see add_edges."""
+        return cls.empty(edges.sparkSession, 0, directed, weighted).add_edges(edges, order, lazy)
 
     def __repr__(self) -> str:
         return f"Graph(directed={self.directed}, weighted={self.weighted})"
@@ -64,6 +68,8 @@ class Graph:
         if isinstance(edges, DataFrame):
             return edges
         rows = [(i, _id(e[0]), _id(e[1]), float(e[2]) if len(e) > 2 else 1.0) for i, e in enumerate(edges)]
+        if self.weighted and any(not 0 < r[3] < float("inf") for r in rows):
+            raise ValueError("edge weights must be finite and positive")
         return self.spark.createDataFrame(rows, "pos long, u long, v long, w double")
 
     def _canonical(self, df: DataFrame) -> DataFrame:
@@ -73,19 +79,32 @@ class Graph:
 
     # changes
 
-    def add_edges(self, edges: DataFrame | Iterable[tuple], order: str | None = None) -> Graph:
-        """All or nothing; self-loops are validated and dropped, of equal edges the first counts, known edges keep their weight."""
+    def add_edges(self, edges: DataFrame | Iterable[tuple], order: str | None = None, lazy: bool = False) -> Graph:
+        """All or nothing; self-loops are validated and dropped, of equal edges the first counts, known edges keep their weight.
+
+        A DataFrame is validated by one aggregate; with ``lazy`` instead in the plan, which then fails when it runs.
+        """
+        given = isinstance(edges, DataFrame)
         df = self._frame(edges)
-        order = order or ("pos" if "pos" in df.columns and not isinstance(edges, DataFrame) else None)
+        order = order or ("pos" if not given else None)
         w = F.col("w").cast("double") if self.weighted and "w" in df.columns else F.lit(1.0)
         df = df.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), w.alias("w"), (F.col(order) if order else F.lit(0)).alias("o"))
-        bad = f"u IS NULL OR v IS NULL OR u < 0 OR v < 0 OR u >= {ID_END} OR v >= {ID_END}"
-        check = df.agg(F.count_if(F.expr(bad)).alias("ids"), F.count_if(~F.coalesce(F.expr(good_weight()), F.lit(False))).alias("weights")).first()
-        if check.ids:
-            raise IndexError(f"{check.ids} edges with a node id out of range")
-        if check.weights:
-            raise ValueError(f"{check.weights} edges with a weight that is not finite and positive")
-        first = self._canonical(df.filter("u <> v")).groupBy("u", "v").agg(F.min_by("w", F.struct("o", "w")).alias("w"))
+        bad = F.expr(f"u IS NULL OR v IS NULL OR u < 0 OR v < 0 OR u >= {ID_END} OR v >= {ID_END}")
+        wrong = ~F.coalesce(F.expr(good_weight()), F.lit(False))
+        if given and not lazy:
+            check = df.agg(F.count_if(bad).alias("ids"), F.count_if(wrong).alias("weights")).first()
+            if check.ids:
+                raise IndexError(f"{check.ids} edges with a node id out of range")
+            if check.weights:
+                raise ValueError(f"{check.weights} edges with a weight that is not finite and positive")
+        best = F.min_by("w", F.struct("o", "w")).alias("w")
+        if given and lazy:  # judged above the aggregate, so that no filter of the caller's can be put behind it
+            df = self._canonical(df.withColumns({"bad": bad, "wrong": wrong}).filter("u <> v OR bad OR wrong"))
+            first = df.groupBy("u", "v").agg(best, F.bool_or("bad").alias("bad"), F.bool_or("wrong").alias("wrong"))
+            say = lambda text: F.raise_error(F.lit(text))
+            first = first.filter(F.when(F.col("bad"), say("node id out of range")).when(F.col("wrong"), say("edge weight must be finite and positive")).isNull()).select("u", "v", "w")
+        else:
+            first = self._canonical(df.filter("u <> v")).groupBy("u", "v").agg(best)
         fresh = first.join(self.edges, ["u", "v"], "left_anti")
         ends = fresh.select(F.explode(F.array("u", "v")).alias("id"))
         return replace(self, edges=self.edges.unionByName(fresh), touched=self.touched.union(ends).distinct())
@@ -138,6 +157,18 @@ class Graph:
             raise IndexError("node ids out of range")
         return replace(self, touched=self.touched.union(self.spark.range(start, start + count).toDF("id")).distinct())
 
+    def count_new_nodes(self, start: int, count: int) -> tuple[Graph, int]:
+        """add_nodes and the number of nodes that were new."""
+        after = self.add_nodes(start, count)
+        known = self.touched.filter((F.col("id") >= start) & (F.col("id") < start + count)).count()
+        return after, count - known
+
+    def add_node_flags(self, ids: DataFrame) -> DataFrame:
+        """(id, added boolean) of distinct ids: what add_node returns for each."""
+        asked = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
+        known = self.touched.select("id", F.lit(False).alias("added"))
+        return asked.join(known, "id", "left").select("id", F.coalesce("added", F.lit(True)).alias("added"))
+
     def add_node(self, u: int) -> tuple[Graph, bool]:
         fresh = self.touched.filter(F.col("id") == _id(u)).isEmpty()
         return (self.add_nodes(u, 1), True) if fresh else (self, False)
@@ -146,7 +177,10 @@ class Graph:
         return replace(self, touched=self.touched.union(ids.select(F.col(ids.columns[0]).cast("long"))).distinct())
 
     def reserve_nodes(self, n: int) -> Graph:
-        return replace(self, base_ids=max(self.base_ids, n))
+        """Room for ids below n, until the graph is cleared."""
+        if n < 0 or n > ID_END:
+            raise IndexError("node ids out of range")
+        return replace(self, reserved=max(self.reserved, n))
 
     def reserve_edges(self, m: int) -> Graph:
         """A hint that changes no result."""
@@ -159,7 +193,7 @@ class Graph:
 
     def copy(self) -> Graph:
         """The same values with lineage cut; later clears keep today's id range."""
-        return replace(self, edges=cut(self.edges), touched=cut(self.touched), base_ids=self.n_ids())
+        return replace(self, edges=cut(self.edges), touched=cut(self.touched), base_ids=self.n_ids(), reserved=0)
 
     # lookups
 
@@ -188,6 +222,11 @@ class Graph:
             raise IndexError("edge not found")
         return row.w
 
+    def edge_weights(self, pairs: DataFrame) -> DataFrame:
+        """pairs(u, v) with w, null where there is no edge."""
+        key = self._canonical(pairs.select("u", "v").withColumns({"a": F.col("u"), "b": F.col("v")}))
+        return key.join(self.edges, ["u", "v"], "left").select(F.col("a").alias("u"), F.col("b").alias("v"), "w")
+
     def _symmetric(self) -> DataFrame:
         return metrics.symmetric(self.edges)
 
@@ -207,6 +246,10 @@ class Graph:
         """(id, neighbours array<long>) per node that has any."""
         return self._out().groupBy(F.col("u").alias("id")).agg(F.array_sort(F.collect_list("v")).alias("neighbours"))
 
+    def in_neighbour_arrays(self) -> DataFrame:
+        """(id, neighbours array<long>) per node that an arc points to."""
+        return self._in().groupBy(F.col("u").alias("id")).agg(F.array_sort(F.collect_list("v")).alias("neighbours"))
+
     def n_nodes(self) -> int:
         return self.touched.count()
 
@@ -215,7 +258,7 @@ class Graph:
 
     def n_ids(self) -> int:
         top = self.touched.agg(F.max("id")).first()[0]
-        return max(self.base_ids, 0 if top is None else top + 1)
+        return max(self.base_ids, self.reserved, 0 if top is None else top + 1)
 
     # degrees and totals
 
@@ -231,8 +274,13 @@ class Graph:
     def in_degree(self, u: int) -> int:
         return self._in().filter(F.col("u") == u).count()
 
-    def degree_histogram(self) -> DataFrame:
-        return metrics.histogram(self.degrees())
+    def degree_histogram(self, dense: bool = False) -> DataFrame:
+        """(degree, nodes) of the degrees that occur; dense: of all from 0 to the largest, also in an empty graph."""
+        found = metrics.histogram(self.degrees())
+        if not dense:
+            return found
+        top = found.agg(F.coalesce(F.max("degree"), F.lit(0)).alias("top")).select(F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("degree"))
+        return top.join(found, "degree", "left").select("degree", F.coalesce("nodes", F.lit(0)).alias("nodes"))
 
     def stats(self) -> DataFrame:
         return metrics.stats(self.edges, self.touched, self.degrees(), self.directed)
@@ -257,9 +305,14 @@ class Graph:
 
     # components
 
+    @cached_property
+    def _labels(self) -> DataFrame:
+        """Components of this version of the graph, found at the first question about them and kept in the shared folder."""
+        return component_labels(self.edges)
+
     def component_ids(self) -> DataFrame:
         """(id, component_id) per touched node; component_id is the smallest id of the component."""
-        found = component_labels(self.edges)
+        found = self._labels
         return self.touched.join(found, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
 
     def component_sizes(self) -> DataFrame:
@@ -275,7 +328,7 @@ class Graph:
         return row.component_id
 
     def component_nodes(self, u: int) -> DataFrame:
-        labels = cut(self.component_ids())
+        labels = self.component_ids()
         return labels.join(labels.filter(F.col("id") == u).select("component_id"), "component_id", "left_semi").select("id").orderBy("id")
 
     def component_size(self, u: int) -> int:
@@ -349,7 +402,7 @@ class Graph:
 
 
 class KeyIndex:
-    """key <-> dense id in first-seen order, as a table (key, id)."""
+    """key <-> dense id in first-seen order, as a table (key, id); keys have the type of the column they came from."""
 
     def __init__(self, table: DataFrame):
         self.table = table
@@ -357,11 +410,12 @@ class KeyIndex:
     @classmethod
     def of(cls, keys: DataFrame, key: str, seq: str) -> KeyIndex:
         """Ids 0, 1, … by the first seq of each key."""
-        return cls(keys.sparkSession.createDataFrame([], "key string, id long")).extended(keys, key, seq)
+        none = keys.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("id")).filter("false")
+        return cls(none).extended(keys, key, seq)
 
     def extended(self, keys: DataFrame, key: str, seq: str) -> KeyIndex:
         """Known keys keep their ids; new ones follow.  Ranks are counted per range partition, with offsets."""
-        first = keys.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.min(seq).alias("at"))
+        first = keys.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast(self.table.schema["key"].dataType).alias("key")).agg(F.min(seq).alias("at"))
         fresh = cut(first.join(self.table, "key", "left_anti").repartitionByRange("at", "key").sortWithinPartitions("at", "key").withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
         per = fresh.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"))
         offsets = per.select("part", "lo", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -375,13 +429,18 @@ class KeyIndex:
     def decode(self, df: DataFrame, ident: str, to: str) -> DataFrame:
         return df.join(self.table.select(F.col("id").alias(ident), F.col("key").alias(to)), ident, "left")
 
-    def id(self, key: str) -> int:
+    def contains(self, df: DataFrame, key: str, to: str) -> DataFrame:
+        """df with ``to`` boolean: whether the key has an id; none is given out."""
+        known = self.table.select(F.col("key").alias(key), F.lit(True).alias(to))
+        return df.join(known, key, "left").withColumn(to, F.coalesce(to, F.lit(False)))
+
+    def id(self, key) -> int:
         row = self.table.filter(F.col("key") == key).first()
         if row is None:
             raise KeyError(key)
         return row.id
 
-    def key(self, ident: int) -> str:
+    def key(self, ident: int):
         if isinstance(ident, bool) or not hasattr(ident, "__index__") or ident < 0:
             raise IndexError("id out of range")
         row = self.table.filter(F.col("id") == int(ident)).first()
@@ -389,7 +448,7 @@ class KeyIndex:
             raise IndexError("id out of range")
         return row.key
 
-    def __contains__(self, key: str) -> bool:
+    def __contains__(self, key) -> bool:
         return not self.table.filter(F.col("key") == key).isEmpty()
 
     def __len__(self) -> int:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import metrics
 from ..plans.lineage import cut
+from ..plans.order import next_point
 from .components import component_labels
-from .graph import Graph
-from .triangles import listing
+from .graph import ID_END, Graph
+from .triangles import listing, local
 
 
 def since_clear(log: DataFrame) -> DataFrame:
@@ -39,7 +41,13 @@ def effects(log: DataFrame, directed: bool = False) -> DataFrame:
 
 def lifetimes(log: DataFrame, directed: bool = False) -> DataFrame:
     """(u, v, born, died or null, weight): the spans of seq in which an edge is present, and its last weight in them."""
-    return effects(log, directed).filter("effective").groupBy("u", "v", "episode").agg(F.min("seq").alias("born"), F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("died"), F.max_by("weight", "seq").alias("weight")).drop("episode")
+    return _spans(log, directed).drop("weights")
+
+
+def _spans(log: DataFrame, directed: bool) -> DataFrame:
+    """lifetimes with weights: array of (seq, w), the weights that held from seq on, in order."""
+    weights = F.array_sort(F.collect_list(F.when(F.col("op") != "remove", F.struct("seq", F.col("weight").alias("w")))))
+    return effects(log, directed).filter("effective").groupBy("u", "v", "episode").agg(F.min("seq").alias("born"), F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("died"), F.max_by("weight", "seq").alias("weight"), weights.alias("weights")).drop("episode")
 
 
 def first_touches(log: DataFrame, directed: bool = False) -> DataFrame:
@@ -84,10 +92,60 @@ def prefix_metrics(log: DataFrame, checkpoints: DataFrame, directed: bool = Fals
         part = df.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).select("seq", F.lit(k).alias("kind"), "n")
         born = part if born is None else born.union(part)
     # Each birth goes to the first checkpoint at or behind it; totals are running sums over checkpoints, not over the log.
-    nxt = points.select(F.col("at"), F.coalesce(F.lag("at").over(Window.orderBy("at")), F.lit(-(2**62)).cast("long")).alias("after"))
-    placed = born.join(F.broadcast(nxt), F.expr("seq > after AND seq <= at")).groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = next_point(born, "seq", points, True, parts).filter("point IS NOT NULL").groupBy("kind", F.col("point").alias("at")).agg(F.sum("n").alias("n"))
     total = placed.groupBy("at").pivot("kind", [0, 1, 2, 3]).agg(F.sum("n"))
     got = points.join(total, "at", "left").na.fill(0)
     upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # over checkpoints, which the caller chose
     nodes, links, closed, joined = (F.sum(str(k)).over(upto) for k in range(4))
     return got.select("at", nodes.alias("n_nodes"), links.alias("n_edges"), closed.alias("n_triangles"), (nodes - joined).alias("n_components"))
+
+
+def prefix_node_metrics(log: DataFrame, checkpoints: DataFrame, directed: bool = False, weighted: bool = False) -> DataFrame:
+    """(at, id, degree, in_degree, strength, triangles, clustering, component_id) of each touched node after each checkpoint.
+
+    Any log, removals included.  The graphs of all checkpoints are taken as one graph without edges between them (ids get the
+    checkpoint's number above 32 bits), so each measure is one plan, and components one fixpoint, for all of them.
+    """
+    points = checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).distinct()
+    number = Window.orderBy("at")  # over checkpoints, which the caller chose
+    points = cut(points.withColumn("k", F.row_number().over(number).cast("long") * (ID_END + 1)))
+    spans = _spans(log, directed).select("u", "v", "born", F.coalesce("died", F.lit(2**63 - 1)).alias("died"), "weights")
+    listed = points.agg(F.array_sort(F.collect_list(F.struct("at", "k"))).alias("p"))  # one row
+    held = lambda df, cond: df.join(F.broadcast(listed)).withColumn("p", F.explode(F.filter("p", cond)))
+    live = held(spans, lambda p: (p["at"] >= F.col("born")) & (p["at"] < F.col("died")))
+    current = F.element_at(F.filter("weights", lambda x: x["seq"] <= F.col("p.at")), -1)["w"] if weighted else F.lit(1.0)
+    edges = cut(live.select((F.col("u") + F.col("p.k")).alias("u"), (F.col("v") + F.col("p.k")).alias("v"), current.alias("w")))
+    seen = held(first_touches(log, directed), lambda p: p["at"] >= F.col("seq"))
+    nodes = cut(seen.select((F.col("id") + F.col("p.k")).alias("id")))
+    out, back = (edges, metrics.flipped(edges)) if directed else (metrics.symmetric(edges), metrics.symmetric(edges))
+    under = metrics.underlying(edges) if directed else edges.select("u", "v")
+    both = under.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    label = component_labels(edges)
+    got = metrics.degrees(out, nodes).join(metrics.degrees(back, nodes).withColumnRenamed("degree", "in_degree"), "id").join(metrics.strengths(out, nodes), "id")
+    got = got.join(local(under, nodes), "id").join(both, "id", "left").join(label, "id", "left")
+    base, d = F.col("id").bitwiseAND(ID_END), F.col("d")
+    rate = F.when(d >= 2, 2.0 * F.col("triangles") / (d * (d - 1))).otherwise(F.lit(0.0))
+    root = F.coalesce("component_id", "id").bitwiseAND(ID_END)
+    named = got.withColumn("k", F.col("id") - base).join(F.broadcast(points), "k")
+    return named.select("at", base.alias("id"), "degree", "in_degree", "strength", "triangles", rate.alias("clustering"), root.alias("component_id"))
+
+
+def prefix_totals(log: DataFrame, checkpoints: DataFrame, directed: bool = False, weighted: bool = False) -> DataFrame:
+    """Per checkpoint: n_nodes, n_edges, total_weight, max_degree, avg_degree, density, n_triangles, avg_clustering, n_components; any log."""
+    points = checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).distinct()
+    each = 1 if directed else 2
+    n, m = F.col("n_nodes"), F.col("n_edges")
+    sums = prefix_node_metrics(log, points, directed, weighted).groupBy("at").agg(
+        F.count(F.lit(1)).alias("n_nodes"),
+        F.sum("degree").alias("ends"),
+        F.sum("strength").alias("weight"),
+        F.max("degree").alias("max_degree"),
+        F.sum("triangles").alias("corners"),
+        F.avg("clustering").alias("avg_clustering"),
+        F.count_if(F.col("id") == F.col("component_id")).alias("n_components"),
+    )
+    sums = points.join(sums, "at", "left").na.fill(0).withColumn("n_edges", F.expr(f"ends div {each}"))
+    avg = F.when(n > 0, float(each) * m / n).otherwise(F.lit(0.0))
+    dense = F.when(n > 1, float(each) * m / (n * (n - 1))).otherwise(F.lit(0.0))
+    return sums.select("at", "n_nodes", "n_edges", (F.col("weight") / each).alias("total_weight"), "max_degree", avg.alias("avg_degree"), dense.alias("density"), F.expr("corners div 3").alias("n_triangles"), "avg_clustering", "n_components")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.order import next_point
 from .graph import Graph
 
 
@@ -56,27 +57,56 @@ def episodes(events: DataFrame, width: float, directed: bool = False) -> DataFra
     return flagged.withColumn("episode", n).groupBy("u", "v", "episode").agg(F.min("ts").alias("first"), (F.max("ts") + width).alias("until"), F.count(F.lit(1)).alias("seen")).drop("episode")
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def expired_counts(events: DataFrame, width: float, clocks: DataFrame, directed: bool = False) -> DataFrame:
     """(at, expired): edges each advance of the clock removes, for the given clock values."""
-    ends = episodes(events, width, directed).select("until", "first")
+    ends = episodes(events, width, directed).select("until")
     ticks = clocks.select(F.col(clocks.columns[0]).cast("double").alias("at")).distinct()
-    before = ticks.withColumn("before", F.lag("at").over(Window.orderBy("at")))
-    got = ends.join(F.broadcast(before), F.expr("until < at AND (before IS NULL OR until >= before)"))
-    return before.join(got.groupBy("at").agg(F.count(F.lit(1)).alias("expired")), "at", "left").select("at", F.coalesce("expired", F.lit(0)).alias("expired"))
+    got = next_point(ends, "until", ticks, False, _parts(events)).groupBy(F.col("point").alias("at")).agg(F.count(F.lit(1)).alias("expired"))
+    return ticks.join(got, "at", "left").select("at", F.coalesce("expired", F.lit(0)).alias("expired"))
+
+
+def window_calls(calls: DataFrame, width: float, directed: bool = False) -> DataFrame:
+    """What each call returns: (seq, op, added boolean, expired long) of calls (seq, op add or advance, u, v, ts, w).
+
+    Every call first moves the clock to its ts, which expires edges; then add adds or refreshes its edge (added false),
+    and a self-loop does nothing more (added false).  Raises ValueError if a ts is null, not finite or before the last.
+    """
+    _checked(width)
+    if not calls.filter("ts IS NULL OR isnan(ts) OR abs(ts) = double('Infinity')").isEmpty():
+        raise ValueError("timestamps must be finite")
+    assert_monotone(calls)
+    adds = calls.filter("op = 'add'")
+    flags = add_flags(adds, width, directed).select("seq", "added")
+    ends = episodes(adds, width, directed).select("until")
+    # Equal clocks belong to one advance: the first call with that ts makes it.
+    gone = next_point(ends, "until", calls.select("ts"), False, _parts(calls)).groupBy(F.col("point").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    first = calls.groupBy("ts").agg(F.min("seq").alias("seq")).join(gone, "ts").select("seq", "n")
+    told = calls.select("seq", "op").join(flags, "seq", "left").join(first, "seq", "left")
+    added = F.when(F.col("op") == "add", F.coalesce("added", F.lit(False)))
+    return told.select("seq", "op", added.alias("added"), F.coalesce("n", F.lit(0)).alias("expired"))
 
 
 class SlidingWindow:
-    """Read access to the graph of a window at any clock value: ``SlidingWindow(events, 60).at(161.0).n_edges()``."""
+    """Read access to the graph of a window at any clock value: ``SlidingWindow(events, 60).at(161.0).n_edges()``.
+
+    Events whose ts falls along seq are refused, by one pass over them (``check_clock``).
+    """
 
-    def __init__(self, events: DataFrame, width: float, directed: bool = False, weighted: bool = False, n_nodes: int = 0):
+    def __init__(self, events: DataFrame, width: float, directed: bool = False, weighted: bool = False, n_nodes: int = 0, check_clock: bool = True):
         self.width = _checked(width)
+        if check_clock:
+            assert_monotone(events)
         w = F.col("w").cast("double") if weighted and "w" in events.columns else F.lit(1.0)
         self.events = events.withColumn("w", w)
         self.directed, self.weighted, self.n_nodes = directed, weighted, n_nodes
 
     def at(self, clock: float) -> Graph:
         """The graph at a clock value; nodes ever seen stay touched."""
-        if clock != clock or clock in (float("inf"), float("-inf")):
+        if not abs(clock) < float("inf"):
             raise ValueError("clock must be finite")
         live = live_edges(self.events, self.width, clock, self.directed).select("u", "v", "w")
         seen = self.events.filter((F.col("ts") <= clock) & (F.col("u") != F.col("v"))).select(F.explode(F.array("u", "v")).alias("id")).distinct()
@@ -88,8 +118,8 @@ class SlidingWindow:
 
     def advance(self, before: float, to: float) -> int:
         """Edges that moving the clock from before to ``to`` removes."""
-        if to < before:
-            raise ValueError("clock must not go back")
+        if not (abs(before) < float("inf") and abs(to) < float("inf") and to >= before):  # also false for what is no number
+            raise ValueError("clock must be finite and not go back")
         seen = self.events.filter(F.col("ts") <= before)
         return episodes(seen, self.width, self.directed).filter((F.col("until") >= before) & (F.col("until") < to)).count()
 

@@ -5,15 +5,20 @@ EVT: transitions between users in event order (directed).  PSEQ: parts that foll
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .operators.graph import Graph, KeyIndex
-from .operators.log import effects, first_touches, lifetimes, prefix_metrics, replay
-from .operators.window import add_flags, episodes, expired_counts, live_edges
-from .plans.lineage import cut
-from .sources.edgs import load, save
+from .operators.log import effects, first_touches, lifetimes, prefix_metrics, prefix_node_metrics, prefix_totals, replay
+from .operators.window import SlidingWindow, add_flags, episodes, expired_counts, live_edges, window_calls
+from .plans.lineage import cut, shared_folder
+from .plans.order import carried
+from .sources.edgs import filesystem, load, save
+from .sources.interop import from_arrays, from_frames, to_coordinates, to_frames
 
 WIDTH = 86_400.0
 
@@ -23,10 +28,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def evt(spark: SparkSession, d: str) -> DataFrame:
-    """(seq, u, v, ts seconds, w).  The test stream is one chain, so its lag has no partition key."""
+    """(seq, u, v, ts seconds, w).  The stream is one chain: each event looks back within its hour, and hours carry over."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    ordered = e.withColumn("u", F.lag("user_id").over(Window.orderBy("ts", "event_id"))).filter("u IS NOT NULL")
-    return ordered.select(F.col("event_id").cast("long").alias("seq"), F.col("u").cast("long").alias("u"), F.col("user_id").cast("long").alias("v"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").cast("double").alias("w"))
+    ordered = carried(e, F.date_trunc("hour", "ts"), ["ts", "event_id"], F.struct("user_id"), "before").filter("before.user_id IS NOT NULL")
+    return ordered.select(F.col("event_id").cast("long").alias("seq"), F.col("before.user_id").cast("long").alias("u"), F.col("user_id").cast("long").alias("v"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").cast("double").alias("w"))
 
 
 def pseq(spark: SparkSession, d: str) -> DataFrame:
@@ -36,24 +41,28 @@ def pseq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def undirected(spark, d) -> Graph:
-    return Graph.from_edges(evt(spark, d).select("u", "v"))
+    return Graph.from_edges(evt(spark, d).select("u", "v"), lazy=True)
+
+
+def directed(spark, d) -> Graph:
+    return Graph.from_edges(evt(spark, d).select("u", "v"), True, lazy=True)
 
 
 def weighted(spark, d, directed=False) -> Graph:
-    return Graph.from_edges(evt(spark, d).filter("w > 0"), directed, True, "seq")
+    return Graph.from_edges(evt(spark, d).filter("w > 0"), directed, True, "seq", lazy=True)
 
 
 def parts(spark, d, directed=True) -> Graph:
-    """All parts are nodes, so most are isolated."""
-    return Graph.from_edges(pseq(spark, d), directed).add_node_frame(table(spark, d, "part").select("p_partkey"))
+    """All parts are nodes."""
+    return Graph.from_edges(pseq(spark, d), directed, lazy=True).add_node_frame(table(spark, d, "part").select("p_partkey"))
 
 
 EVT = "evt AS (SELECT * FROM (SELECT event_id AS seq, lag(user_id) OVER (ORDER BY ts, event_id) AS u, user_id AS v, epoch_us(ts) / 1e6 AS ts, value AS w FROM events) WHERE u IS NOT NULL)"
 UND = f"{EVT}, e AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM evt WHERE u <> v), s AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)"
 WGT = f"{EVT}, e AS (SELECT least(u, v) AS u, greatest(u, v) AS v, arg_min(w, seq) AS w FROM evt WHERE u <> v AND w > 0 GROUP BY ALL), s AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e)"
 DIR = f"{EVT}, e AS (SELECT DISTINCT u, v FROM evt WHERE u <> v), n AS (SELECT u AS id FROM e UNION SELECT v FROM e)"
-PSQ = "p AS (SELECT DISTINCT u, v FROM (SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS u, l_partkey AS v FROM lineitem WHERE l_orderkey % 40 = 0) WHERE u <> v), n AS (SELECT p_partkey AS id FROM part UNION SELECT u FROM p UNION SELECT v FROM p)"
-WCC = f"{PSQ}, b AS (SELECT u, v FROM p UNION SELECT v, u FROM p), r AS (SELECT id, id AS c FROM n UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.id), l AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)"
+PSQ = "p AS (SELECT DISTINCT u, v FROM (SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS u, l_partkey AS v FROM lineitem) WHERE u <> v), n AS (SELECT p_partkey AS id FROM part UNION SELECT u FROM p UNION SELECT v FROM p)"
+WCC = f"{PSQ}, b AS (SELECT u, v FROM p UNION SELECT v, u FROM p), r(id, c) USING KEY (id) AS (SELECT id, id AS c FROM n UNION SELECT b.v, min(r.c) FROM r JOIN b ON b.u = r.id JOIN recurring.r AS o ON o.id = b.v WHERE r.c < o.c GROUP BY b.v), l AS (SELECT id, c AS component_id FROM r)"
 TRI = f"{UND}, t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON y.u = x.v JOIN e z ON z.u = x.u AND z.v = y.v), k AS (SELECT id, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS id FROM t) GROUP BY id), g AS (SELECT u AS id, count(*) AS d FROM s GROUP BY u)"
 
 QUERIES: dict = {}
@@ -82,12 +91,12 @@ def degree(spark, d):
 
 @query(f"WITH {DIR} SELECT id, (SELECT count(*) FROM e WHERE u = id) AS degree FROM n")
 def out_degree(spark, d):
-    return Graph.from_edges(evt(spark, d).select("u", "v"), True).degrees()
+    return directed(spark, d).degrees()
 
 
 @query(f"WITH {DIR} SELECT id, (SELECT count(*) FROM e WHERE v = id) AS degree FROM n")
 def in_degree(spark, d):
-    return Graph.from_edges(evt(spark, d).select("u", "v"), True).in_degrees()
+    return directed(spark, d).in_degrees()
 
 
 @query(f"WITH {UND}, g AS (SELECT count(*) AS degree FROM s GROUP BY u) SELECT degree, count(*) AS nodes FROM g GROUP BY degree")
@@ -178,7 +187,7 @@ def avg_clustering(spark, d):
 
 @query(f"WITH {TRI} SELECT count(*) AS triangles FROM t")
 def directed_triangles(spark, d):
-    return Graph.from_edges(evt(spark, d).select("u", "v"), True).triangles().agg(F.count(F.lit(1)).alias("triangles"))
+    return directed(spark, d).triangles().agg(F.count(F.lit(1)).alias("triangles"))
 
 
 @query(f"WITH RECURSIVE {WCC} SELECT id, component_id FROM l")
@@ -216,7 +225,7 @@ _RANK = "WITH RECURSIVE {base}, o AS (SELECT u, sum(w) AS t FROM a GROUP BY u),
 
 @query(_RANK.format(base=f"{DIR}, a AS (SELECT u, v, 1.0 AS w FROM e), nn AS (SELECT id FROM n)"))
 def pagerank(spark, d):
-    g = Graph.from_edges(evt(spark, d).select("u", "v"), True)
+    g = directed(spark, d)
     return g.pagerank(tol=1e-300, max_iter=10).withColumn("rank", F.round("rank", 8))
 
 
@@ -227,7 +236,7 @@ def pagerank_weighted(spark, d):
 
 @query()
 def betweenness_exact(spark, d):
-    return Graph.from_edges(pseq(spark, d), False).betweenness_approx(k=2**62, normalise=False).withColumn("betweenness", F.round("betweenness", 6))
+    return Graph.from_edges(pseq(spark, d), False, lazy=True).betweenness_approx(k=2**62, normalise=False).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()
@@ -295,7 +304,12 @@ def log_first_touch(spark, d):
     return first_touches(mutations(spark, d))
 
 
-@query(f"WITH RECURSIVE {PSQ}, l AS (SELECT u, v, u * 100000 + v AS seq FROM p), c AS (SELECT 20000000 * unnest(range(1, 5)) AS upto), b AS (SELECT c.upto, l.u, l.v FROM c JOIN l ON l.seq <= c.upto UNION SELECT c.upto, l.v, l.u FROM c JOIN l ON l.seq <= c.upto), o AS (SELECT DISTINCT upto, u AS id FROM b), r AS (SELECT upto, id, id AS k FROM o UNION SELECT b.upto, b.v, r.k FROM r JOIN b ON b.u = r.id AND b.upto = r.upto), w AS (SELECT upto, id, min(k) AS k FROM r GROUP BY upto, id), un AS (SELECT DISTINCT upto, u, v FROM b WHERE u < v), t AS (SELECT x.upto, count(*) AS n FROM un x JOIN un y ON y.upto = x.upto AND y.u = x.v JOIN un z ON z.upto = x.upto AND z.u = x.u AND z.v = y.v GROUP BY x.upto) SELECT c.upto, (SELECT count(*) FROM o WHERE o.upto = c.upto) AS n_nodes, (SELECT count(*) FROM un WHERE un.upto = c.upto) AS n_edges, coalesce((SELECT n FROM t WHERE t.upto = c.upto), 0) AS n_triangles, (SELECT count(DISTINCT k) FROM w WHERE w.upto = c.upto) AS n_components FROM c")
+@query(
+    f"WITH RECURSIVE {PSQ}, g AS (SELECT greatest(100000, coalesce(max(greatest(u, v)), 0) + 1) AS base FROM p), l AS (SELECT u, v, u * base + v AS seq FROM p, g), c AS (SELECT (SELECT coalesce(max(seq), 0) FROM l) * unnest(range(1, 5)) // 4 AS upto), b AS (SELECT c.upto, l.u, l.v FROM c JOIN l ON l.seq <= c.upto UNION SELECT c.upto, l.v, l.u FROM c JOIN l ON l.seq <= c.upto), o AS (SELECT DISTINCT upto, u AS id FROM b),"
+    " w(upto, id, k) USING KEY (upto, id) AS (SELECT upto, id, id AS k FROM o UNION SELECT b.upto, b.v, min(w.k) FROM w JOIN b ON b.u = w.id AND b.upto = w.upto JOIN recurring.w AS z ON z.upto = b.upto AND z.id = b.v WHERE w.k < z.k GROUP BY b.upto, b.v),"
+    " un AS (SELECT DISTINCT upto, u, v FROM b WHERE u < v), t AS (SELECT x.upto, count(*) AS n FROM un x JOIN un y ON y.upto = x.upto AND y.u = x.v JOIN un z ON z.upto = x.upto AND z.u = x.u AND z.v = y.v GROUP BY x.upto)"
+    " SELECT c.upto, (SELECT count(*) FROM o WHERE o.upto = c.upto) AS n_nodes, (SELECT count(*) FROM un WHERE un.upto = c.upto) AS n_edges, coalesce((SELECT n FROM t WHERE t.upto = c.upto), 0) AS n_triangles, (SELECT count(DISTINCT k) FROM w WHERE w.upto = c.upto) AS n_components FROM c"
+)
 def prefix_edges_triangles_components(spark, d):
     """After each quarter of the log, the last at its end.  seq orders arcs by (u, v); its base is above every key, so none collide."""
     arcs = cut(pseq(spark, d))
@@ -317,7 +331,7 @@ def node_index_encode(spark, d):
     return KeyIndex.of(c, "c_name", "c_custkey").encode(c, "c_name", "node").select("c_custkey", "node")
 
 
-@query("WITH f AS (SELECT s_name AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM supplier) SELECT id AS node, key AS name FROM f WHERE id % 2 = 0")
+@query("WITH f AS (SELECT s_name AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM supplier) SELECT id AS node, key AS name FROM f")
 def node_index_decode(spark, d):
     index = KeyIndex.of(table(spark, d, "supplier"), "s_name", "s_suppkey")
     return index.decode(index.table.select(F.col("id").alias("node")), "node", "name")
@@ -325,13 +339,215 @@ def node_index_decode(spark, d):
 
 @query(f"WITH {WGT} SELECT u, v, w FROM e")
 def edgs_round_trip(spark, d):
-    import uuid
+    path = scratch_file(spark)
+    save(weighted(spark, d), path)
+    return load(spark, path).edge_list()
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/loomgraph-shared"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}.esg"
-    from .sources.edgs import filesystem
 
+def scratch_file(spark: SparkSession) -> str:
+    base = shared_folder(spark)
     fs, at = filesystem(base)
     fs.create_dir(at, recursive=True)
-    save(weighted(spark, d), path)
-    return load(spark, path).edge_list()
+    return f"{base}/graph-{uuid.uuid4().hex}.esg"
+
+
+# one query for each remaining method
+
+
+@query(f"WITH {UND} SELECT DISTINCT u AS id FROM s")
+def nodes(spark, d):
+    return undirected(spark, d).nodes()
+
+
+@query(f"WITH {UND} SELECT count(*) FILTER (WHERE id NOT IN (SELECT u FROM s)) AS added FROM (SELECT unnest(range(10, 310)) AS id)")
+def add_nodes_count(spark, d):
+    _, added = undirected(spark, d).count_new_nodes(10, 300)
+    return spark.range(1).select(F.lit(added).cast("long").alias("added"))
+
+
+@query(f"WITH {UND} SELECT DISTINCT c_custkey AS id, c_custkey NOT IN (SELECT u FROM s) AS added FROM customer")
+def add_node_flags(spark, d):
+    return undirected(spark, d).add_node_flags(table(spark, d, "customer").select("c_custkey"))
+
+
+@query(f"WITH {UND}, t AS (SELECT max(u) + 1 AS ids FROM s) SELECT greatest(ids, 100) AS n_ids, greatest(ids, 1000000) AS reserved, 100::BIGINT AS cleared, 0::BIGINT AS nodes_cleared, false AS directed, true AS weighted FROM t")
+def id_ranges(spark, d):
+    """n_ids of a graph with 100 initial ids, with room reserved, and cleared: reserving does not outlive clear."""
+    g = Graph.empty(spark, 100, False, True).add_edges(evt(spark, d).select("u", "v"), lazy=True)
+    more = g.reserve_nodes(1_000_000).reserve_edges(50_000)
+    rows = [(g.n_ids(), more.n_ids(), more.clear().n_ids(), more.clear().n_nodes(), more.directed, more.weighted)]
+    return spark.createDataFrame(rows, "n_ids long, reserved long, cleared long, nodes_cleared long, directed boolean, weighted boolean")
+
+
+@query(f"WITH {UND}, o AS (SELECT least(u, v) AS u, greatest(u, v) AS v FROM evt WHERE seq % 2 = 0) SELECT (SELECT count(*) FROM e) AS n_before, (SELECT count(*) FROM e ANTI JOIN o USING (u, v)) AS n_copy")
+def copy_is_independent(spark, d):
+    g = undirected(spark, d)
+    changed = g.copy().remove_edges(evt(spark, d).filter("seq % 2 = 0").select("u", "v"))
+    return g.edges.agg(F.count(F.lit(1)).alias("n_before")).crossJoin(changed.edges.agg(F.count(F.lit(1)).alias("n_copy")))  # one row each
+
+
+@query(f"WITH {WGT} SELECT c_custkey AS u, c_nationkey AS v, w FROM customer LEFT JOIN e ON e.u = least(c_custkey, c_nationkey) AND e.v = greatest(c_custkey, c_nationkey)")
+def edge_weights(spark, d):
+    pairs = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v"))
+    return weighted(spark, d).edge_weights(pairs)
+
+
+@query(f"WITH {DIR} SELECT v AS id, array_to_string(list(u ORDER BY u), ',') AS neighbours FROM e GROUP BY v")
+def in_neighbours_array(spark, d):
+    return directed(spark, d).in_neighbour_arrays().withColumn("neighbours", F.concat_ws(",", F.col("neighbours").cast("array<string>")))
+
+
+@query(f"WITH {UND}, g AS (SELECT count(*) AS degree FROM s GROUP BY u), r AS (SELECT unnest(range((SELECT max(degree) + 1 FROM g))) AS degree) SELECT r.degree, count(g.degree) AS nodes FROM r LEFT JOIN g USING (degree) GROUP BY r.degree")
+def degree_histogram_dense(spark, d):
+    return undirected(spark, d).degree_histogram(dense=True)
+
+
+@query(f"WITH {DIR}, r AS (SELECT n_nationkey + 100 AS u, n_regionkey AS v FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey + 100 FROM customer UNION ALL SELECT s_suppkey + 100000000, s_nationkey + 100 FROM supplier), t AS (SELECT n_nationkey + 100 AS id, n_regionkey AS c FROM nation), l AS (SELECT v AS id, v AS c FROM r WHERE v < 100 UNION SELECT id, c FROM t UNION SELECT r.u, t.c FROM r JOIN t ON t.id = r.v) SELECT id, c AS component_id FROM l")
+def region_components(spark, d):
+    """Customers and suppliers hang on nations, nations on regions: a component for each region."""
+    pairs = table(spark, d, "nation").select(F.expr("n_nationkey + 100").alias("u"), F.col("n_regionkey").alias("v"))
+    for name, a, shift in (("customer", "c", 1000), ("supplier", "s", 100_000_000)):
+        key = "c_custkey" if a == "c" else "s_suppkey"
+        pairs = pairs.union(table(spark, d, name).select(F.col(key) + shift, F.col(f"{a}_nationkey") + 100))
+    return Graph.from_edges(pairs, lazy=True).component_ids()
+
+
+@query(f"WITH RECURSIVE {DIR}, r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b) SELECT count(DISTINCT c) AS components FROM (SELECT x.a, min(x.b) AS c FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a)")
+def strong_component_count(spark, d):
+    return directed(spark, d).strong_component_ids().agg(F.count_distinct("component_id").alias("components"))
+
+
+#: All shortest paths by breadth: distance and number of paths of each pair, one level a round.
+_PATHS = f"WITH RECURSIVE {UND}, r(a, b, d, c) USING KEY (a, b) AS (SELECT DISTINCT u, u, 0, 1.0::DOUBLE FROM s UNION SELECT r.a, s.v, any_value(r.d) + 1, sum(r.c) FROM r JOIN s ON s.u = r.b LEFT JOIN recurring.r AS o ON o.a = r.a AND o.b = s.v WHERE o.a IS NULL GROUP BY r.a, s.v)"
+
+
+@query(f"{_PATHS}, x AS (SELECT m.a AS id, sum(f.c * m.c / w.c) / 2 AS b FROM r m JOIN r f ON f.b = m.a AND f.a <> m.a JOIN r w ON w.a = f.a AND w.b = m.b AND w.d = f.d + m.d WHERE m.a <> m.b AND f.a <> m.b GROUP BY m.a) SELECT u AS id, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT DISTINCT u FROM s) LEFT JOIN x ON id = u")
+def betweenness_users(spark, d):
+    """Exact, over the graph of users, which is small enough for SQL to list all paths through each node."""
+    return undirected(spark, d).betweenness_approx(k=2**62, normalise=False).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query("SELECT DISTINCT least(n_nationkey + 10, n_regionkey) AS u, greatest(n_nationkey + 10, n_regionkey) AS v, 1.0::DOUBLE AS w FROM nation")
+def arrays_in(spark, d):
+    """From arrays in the driver's memory, of a table of 25 rows."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey").toPandas()
+    return from_arrays(spark, rows["n_nationkey"].to_numpy(np.uint32) + np.uint32(10), rows["n_regionkey"].to_numpy(np.uint32)).edge_list()
+
+
+@query(f'WITH {WGT} SELECT u AS "row", v AS col, w AS value FROM s')
+def matrix_coordinates(spark, d):
+    return to_coordinates(weighted(spark, d))
+
+
+@query(f"WITH {WGT} SELECT u AS src, v AS dst, w AS weight, (SELECT count(DISTINCT u) FROM s) AS vertices FROM e")
+def frames_out(spark, d):
+    vertices, edges = to_frames(weighted(spark, d))
+    return edges.join(vertices.agg(F.count(F.lit(1)).alias("vertices")))
+
+
+@query("SELECT degree, count(*) AS nodes FROM (SELECT n_nationkey, count(DISTINCT c_custkey) AS degree FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT -c_custkey, 1 FROM customer) GROUP BY degree")
+def frames_in(spark, d):
+    """Nations and customers as vertices with ids of their own, customers linked to their nation."""
+    vertices = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id")).union(table(spark, d, "customer").select((F.col("c_custkey") + 1000).cast("long")))
+    edges = table(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("src"), F.col("c_nationkey").alias("dst"))
+    return from_frames(vertices, edges).degree_histogram()
+
+
+@query("SELECT n_regionkey + 1 AS region, count(*) AS degree FROM nation WHERE n_nationkey <> n_regionkey GROUP BY 1")
+def frames_in_without_ids(spark, d):
+    """Vertices without an id column are numbered; edges name them by number from 1."""
+    nation = table(spark, d, "nation")
+    edges = nation.select((F.col("n_nationkey") + 1).alias("src"), (F.col("n_regionkey") + 1).alias("dst"))
+    g = from_frames(nation.select("n_name"), edges, directed=True)
+    return g.in_degrees().filter("degree > 0").select((F.col("id") + 1).cast("long").alias("region"), "degree")
+
+
+@query("SELECT DISTINCT l_partkey AS key, l_partkey IN (SELECT s_suppkey FROM supplier) AS known FROM lineitem")
+def node_index_contains(spark, d):
+    """Keys that are numbers, looked up without giving out ids."""
+    index = KeyIndex.of(table(spark, d, "supplier"), "s_suppkey", "s_suppkey")
+    return index.contains(table(spark, d, "lineitem").select(F.col("l_partkey").alias("key")).distinct(), "key", "known")
+
+
+@query("SELECT count(DISTINCT c_mktsegment) AS n FROM customer")
+def node_index_size(spark, d):
+    index = KeyIndex.of(table(spark, d, "customer"), "c_mktsegment", "c_custkey")
+    return spark.range(1).select(F.lit(len(index)).cast("long").alias("n"))
+
+
+@query("WITH f AS (SELECT c_mktsegment AS key, min(c_custkey) AS m FROM customer GROUP BY 1) SELECT key FROM f")
+def node_index_keys(spark, d):
+    return KeyIndex.of(table(spark, d, "customer"), "c_mktsegment", "c_custkey").keys()
+
+
+@query(f"WITH {_LIVE} SELECT u, v, arg_max(w, seq) AS w FROM k WHERE w > 0 GROUP BY u, v HAVING max(ts) >= (SELECT max(ts) FROM evt WHERE w > 0) - {WIDTH}")
+def window_snapshot(spark, d):
+    return SlidingWindow(evt(spark, d).filter("w > 0"), WIDTH, weighted=True).snapshot().edge_list()
+
+
+@query(f"WITH {_LIVE}, a AS (SELECT u, v FROM k GROUP BY u, v HAVING max(ts) >= (SELECT max(ts) FROM evt) - {WIDTH}), b AS (SELECT u, v FROM a UNION ALL SELECT v, u FROM a), i AS (SELECT DISTINCT unnest([u, v]) AS id FROM k) SELECT id, (SELECT count(*) FROM b WHERE b.u = id) AS degree FROM i")
+def window_degrees(spark, d):
+    """A metric of the window itself: users without a live edge stay nodes."""
+    return SlidingWindow(evt(spark, d), WIDTH).degrees()
+
+
+@query(f"WITH {_LIVE}, f AS (SELECT *, lag(ts) OVER (PARTITION BY u, v ORDER BY ts, seq) AS l FROM k WHERE seq % 11 <> 0), g AS (SELECT *, coalesce(l < ts - {WIDTH}, true) AS added FROM f), i AS (SELECT *, sum(CASE WHEN added THEN 1 ELSE 0 END) OVER (PARTITION BY u, v ORDER BY ts, seq) AS ep FROM g), ends AS (SELECT max(ts) + {WIDTH} AS until FROM i GROUP BY u, v, ep), c AS (SELECT seq, ts, lag(ts) OVER (ORDER BY ts, seq) AS b, CASE WHEN seq % 11 = 0 THEN 'advance' ELSE 'add' END AS op FROM evt), x AS (SELECT c.seq, count(*) AS n FROM c JOIN ends ON until < c.ts AND until >= coalesce(c.b, until) GROUP BY c.seq) SELECT c.seq, c.op, CASE WHEN op = 'add' THEN coalesce(g.added, false) END AS added, coalesce(x.n, 0) AS expired FROM c LEFT JOIN g ON g.seq = c.seq LEFT JOIN x ON x.seq = c.seq")
+def window_returns(spark, d):
+    """What each call of a window returns: every eleventh event only moves the clock, the others add their edge."""
+    op = F.expr("CASE WHEN seq % 11 = 0 THEN 'advance' ELSE 'add' END")
+    return window_calls(cut(evt(spark, d).withColumn("op", op)), WIDTH)
+
+
+# metrics after prefixes of a log with removals and updates
+
+
+def quarters(log: DataFrame) -> DataFrame:
+    end = log.agg(F.max("seq")).first()[0] or 0
+    return log.sparkSession.createDataFrame([(end * k // 4,) for k in range(1, 5)], "at long")
+
+
+_AT = f"{_LOG}, c AS (SELECT (SELECT max(seq) FROM evt WHERE w > 0) * unnest(range(1, 5)) // 4 AS upto), ww AS (SELECT u, v, ep, seq, w FROM q WHERE effective AND op <> 'remove'), e AS (SELECT c.upto, g.u, g.v, (SELECT arg_max(w, seq) FROM ww WHERE ww.u = g.u AND ww.v = g.v AND ww.ep = g.ep AND ww.seq <= c.upto) AS w FROM c JOIN g ON g.born <= c.upto AND (g.died IS NULL OR g.died > c.upto)), s AS (SELECT upto, u, v, w FROM e UNION ALL SELECT upto, v, u, w FROM e), n AS (SELECT c.upto, id FROM c JOIN (SELECT id, min(seq) AS seq FROM (SELECT unnest([u, v]) AS id, seq FROM q WHERE op = 'add' AND effective) GROUP BY id) f ON f.seq <= c.upto), dg AS (SELECT n.upto, n.id, count(s.v) AS degree, coalesce(sum(s.w), 0) AS strength FROM n LEFT JOIN s ON s.upto = n.upto AND s.u = n.id GROUP BY ALL)"
+_AT_TRI = f"{_AT}, t AS (SELECT x.upto, x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON y.upto = x.upto AND y.u = x.v JOIN e z ON z.upto = x.upto AND z.u = x.u AND z.v = y.v), k AS (SELECT upto, id, count(*) AS n FROM (SELECT upto, unnest([a, b, c]) AS id FROM t) GROUP BY ALL), lo AS (SELECT dg.upto, dg.id, degree, coalesce(k.n, 0) AS triangles, CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(k.n, 0) / (degree * (degree - 1)) END AS clustering FROM dg LEFT JOIN k ON k.upto = dg.upto AND k.id = dg.id)"
+_AT_WCC = f"{_AT}, r(upto, id, k) USING KEY (upto, id) AS (SELECT upto, id, id AS k FROM n UNION SELECT s.upto, s.v, min(r.k) FROM r JOIN s ON s.upto = r.upto AND s.u = r.id JOIN recurring.r AS z ON z.upto = s.upto AND z.id = s.v WHERE r.k < z.k GROUP BY s.upto, s.v)"
+
+
+def at_quarters(spark, d) -> DataFrame:
+    log = cut(mutations(spark, d))
+    return prefix_node_metrics(log, quarters(log), weighted=True).withColumnRenamed("at", "upto")
+
+
+@query(f"WITH {_AT} SELECT upto, id, degree FROM dg")
+def prefix_degrees(spark, d):
+    return at_quarters(spark, d).select("upto", "id", "degree")
+
+
+@query(f"WITH {_AT} SELECT upto, id, round(strength, 4) AS strength FROM dg")
+def prefix_strengths(spark, d):
+    return at_quarters(spark, d).select("upto", "id", F.round("strength", 4).alias("strength"))
+
+
+@query(f"WITH {_AT} SELECT upto, degree, count(*) AS nodes FROM dg GROUP BY ALL")
+def prefix_histograms(spark, d):
+    return at_quarters(spark, d).groupBy("upto", "degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"WITH {_AT_TRI} SELECT upto, id, triangles FROM lo")
+def prefix_triangles(spark, d):
+    return at_quarters(spark, d).select("upto", "id", "triangles")
+
+
+@query(f"WITH {_AT_TRI} SELECT upto, id, round(clustering, 6) AS clustering FROM lo")
+def prefix_clustering(spark, d):
+    return at_quarters(spark, d).select("upto", "id", F.round("clustering", 6).alias("clustering"))
+
+
+@query(f"WITH RECURSIVE {_AT_WCC} SELECT upto, id, k AS component_id FROM r")
+def prefix_components(spark, d):
+    return at_quarters(spark, d).select("upto", "id", "component_id")
+
+
+@query(f"WITH RECURSIVE {_AT_WCC.replace(_AT, _AT_TRI)}, a AS (SELECT upto, count(*) AS n, max(degree) AS top, avg(clustering) AS cl, sum(triangles) // 3 AS tr FROM lo GROUP BY upto), b AS (SELECT upto, count(*) AS m, sum(w) AS tw FROM e GROUP BY upto), rr AS (SELECT upto, count(DISTINCT k) AS nc FROM r GROUP BY upto) SELECT upto, n AS n_nodes, m AS n_edges, round(tw, 2) AS total_weight, top AS max_degree, round(2.0 * m / n, 6) AS avg_degree, round(2.0 * m / (n * (n - 1)), 6) AS density, tr::BIGINT AS n_triangles, round(cl, 6) AS avg_clustering, nc AS n_components FROM a JOIN b USING (upto) JOIN rr USING (upto)")
+def prefix_stats(spark, d):
+    log = cut(mutations(spark, d))
+    got = prefix_totals(log, quarters(log), weighted=True).withColumnRenamed("at", "upto")
+    return got.withColumns({"total_weight": F.round("total_weight", 2)} | {c: F.round(c, 6) for c in ("avg_degree", "density", "avg_clustering")})

@@ -76,7 +76,15 @@ class EdgsReader(DataSourceReader):
             f.seek(base + size * partition.lo)
             data = f.read(size * (partition.hi - partition.lo))
         if partition.kind == "nodes":
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, "<u4").astype(np.int64))], ["id"])
+            ids = np.frombuffer(data, "<u4")
+            if partition.lo:  # the border with the part before
+                with fs.open_input_file(at) as f:
+                    f.seek(base + size * (partition.lo - 1))
+                    ids = np.r_[np.frombuffer(f.read(size), "<u4"), ids]
+            if (ids[1:] <= ids[:-1]).any():
+                raise RuntimeError("bad touched list")
+            ids = ids[1:] if partition.lo else ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64))], ["id"])
             return
         rows = np.frombuffer(data, np.dtype([("u", "<u4"), ("v", "<u4")] + ([("w", "<f8")] if h["weighted"] else [])))
         w = rows["w"] if h["weighted"] else np.ones(len(rows))
@@ -110,9 +118,16 @@ def load(spark: SparkSession, path: str) -> Graph:
     if h["version"] == 2:
         return Graph(edges, ends, h["directed"], h["weighted"], 0)
     nodes = spark.read.format("edgs").option("part", "nodes").load(path)
-    got = nodes.agg(F.count_distinct("id").alias("n"), F.max("id").alias("top")).first()
+    try:
+        got = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).first()
+    except Exception as e:
+        if "bad touched list" in str(e):
+            raise RuntimeError("bad touched list") from None
+        raise
     if got.n != h["nodes"] or (got.top is not None and got.top >= h["n_ids"]):
         raise RuntimeError("bad touched list")
+    if h["n_ids"] and not edges.filter((F.col("u") >= h["n_ids"]) | (F.col("v") >= h["n_ids"])).isEmpty():
+        raise RuntimeError("invalid edge")
     if not ends.join(nodes, "id", "left_anti").isEmpty():
         raise RuntimeError("edge on an untouched node")
     return Graph(edges, nodes, h["directed"], h["weighted"], h["n_ids"])

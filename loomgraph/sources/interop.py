@@ -36,14 +36,24 @@ def to_networkx(graph: Graph, index: KeyIndex | None = None):
     return out
 
 
+def index_keys(names: list) -> list:
+    """Keys of one Spark type that differ where the names differ: names that are all text or all integers as they are, else type and value as text."""
+    for kind in (str, int):
+        if all(type(x) is kind for x in names):
+            return names
+    return [f"{type(x).__name__}:{x!r}" for x in names]
+
+
 def from_networkx(spark: SparkSession, source) -> tuple[Graph, KeyIndex]:
-    """Any object with nodes(), edges(data=True) and is_directed(); ids follow the order of nodes."""
-    names = [str(x) for x in source.nodes()]
-    place = {x: i for i, x in enumerate(source.nodes())}
+    """Any object with nodes(), edges(data=True) and is_directed(); ids follow the order of nodes, keys are index_keys of them."""
+    names = list(source.nodes())
+    place = {x: i for i, x in enumerate(names)}
     edges = list(source.edges(data=True))
     weighted = any("weight" in d for _, _, d in edges)
     graph = Graph.empty(spark, 0, source.is_directed(), weighted).add_nodes(0, len(names)).add_edges([(place[a], place[b], float(d.get("weight", 1.0))) for a, b, d in edges])
-    return graph, KeyIndex(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "key string, id long"))
+    keys = index_keys(names)
+    kind = "long" if keys and isinstance(keys[0], int) else "string"
+    return graph, KeyIndex(spark.createDataFrame(list(zip(keys, range(len(keys)), strict=True)), f"key {kind}, id long"))
 
 
 def to_coordinates(graph: Graph) -> DataFrame:
@@ -66,10 +76,18 @@ def to_frames(graph: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def from_frames(vertices: DataFrame, edges: DataFrame, directed: bool = False, id_col: str = "id") -> Graph:
-    """Vertices with unique, not-null, non-negative ids, and edges (src, dst[, weight])."""
-    check = vertices.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d"), F.min(id_col).alias("lo")).first()
-    if check.n != check.d or (check.lo is not None and check.lo < 0):
-        raise ValueError("vertex ids must be unique, not null and not negative")
-    weighted = "weight" in edges.columns
-    e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("weight").cast("double") if weighted else F.lit(1.0)).alias("w"))
-    return Graph.empty(vertices.sparkSession, 0, directed, weighted).add_node_frame(vertices.select(id_col)).add_edges(e)
+    """Vertices and edges (src, dst[, weight]).
+
+    With ``id_col`` vertices have unique, not-null, non-negative ids, and edges name them.  Without it vertices are
+    numbered from 0, and edges name them by number from 1.
+    """
+    weighted, shift = "weight" in edges.columns, 0
+    if id_col in vertices.columns:
+        check = vertices.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d"), F.min(id_col).alias("lo")).first()
+        if check.n != check.d or (check.lo is not None and check.lo < 0):
+            raise ValueError("vertex ids must be unique, not null and not negative")
+        graph = Graph.empty(vertices.sparkSession, 0, directed, weighted).add_node_frame(vertices.select(id_col))
+    else:  # only how many there are matters
+        graph, shift = Graph.empty(vertices.sparkSession, 0, directed, weighted).add_nodes(0, vertices.count()), 1
+    e = edges.select((F.col("src") - shift).alias("u"), (F.col("dst") - shift).alias("v"), (F.col("weight").cast("double") if weighted else F.lit(1.0)).alias("w"))
+    return graph.add_edges(e)

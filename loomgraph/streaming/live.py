@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.graph import Graph
-from ..operators.log import effects, first_touches, lifetimes
+from ..operators.log import first_touches, lifetimes
 from ..sources.edgs import load_parquet, save_parquet
 
 EVENTS = "u long, v long, event string, at timestamp, w double"
@@ -39,9 +40,9 @@ def maintain(log: DataFrame, path: str, checkpoint: str, directed: bool = False,
 
 
 def expiring(events: DataFrame, width_s: float, delay: str = "0 seconds") -> DataFrame:
-    """Events (u, v, event, at, w) from a stream of (u, v, ts timestamp, w): added, refreshed, or expired by the watermark.
+    """Events (u, v, event, at, w) from a stream of (u, v, ts timestamp, w[, seq]): added, refreshed, or expired by the watermark.
 
-    Rows behind the watermark are dropped, where a single clock would refuse them.
+    Rows of one edge and time go by seq, or by w where there is none.  Rows behind the watermark are dropped, where a single clock would refuse them.
     """
     width = pd.Timedelta(seconds=width_s)
 
@@ -54,25 +55,24 @@ def expiring(events: DataFrame, width_s: float, delay: str = "0 seconds") -> Dat
             state.remove()
         else:
             last, w = state.get if state.exists else (None, None)
-            for _, r in pd.concat(list(frames)).sort_values("ts").iterrows():
-                fresh = last is None or pd.Timestamp(last, unit="us") < r.ts - width
-                last, w = int(r.ts.value // 1000), float(r.w)
-                out.append((u, v, "added" if fresh else "refreshed", r.ts, w))
+            rows = pd.concat(list(frames))
+            rows = rows.sort_values(["ts", "seq"] if "seq" in rows else ["ts", "w"], kind="stable")
+            before = rows["ts"].shift(fill_value=pd.NaT if last is None else pd.Timestamp(last, unit="us"))
+            event = np.where(before.isna() | (before < rows["ts"] - width), "added", "refreshed")
+            yield pd.DataFrame({"u": u, "v": v, "event": event, "at": rows["ts"], "w": rows["w"].astype(float)})
+            last, w = int(rows["ts"].iloc[-1].value // 1000), float(rows["w"].iloc[-1])
             state.update((last, w))
             state.setTimeoutTimestamp(max(int((pd.Timestamp(last, unit="us") + width).value // 1_000_000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["u", "v", "event", "at", "w"])
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v", "event", "at", "w"])
 
     timed = events.filter("u <> v").withWatermark("ts", delay)
     return timed.groupBy("u", "v").applyInPandasWithState(run, EVENTS, "last long, w double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_degrees(events: DataFrame, width: str, slide: str | None = None, delay: str = "0 seconds") -> DataFrame:
-    """(start, id, degree): distinct-edge-free counts of edge rows per node and tumbling or sliding window."""
-    rows = events.filter("u <> v").withWatermark("ts", delay).select(F.explode(F.array("u", "v")).alias("id"), "ts")
+    """(start, id, degree): distinct neighbours of each node in a tumbling or sliding window of an undirected edge stream."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other"))))
+    rows = events.filter("u <> v").withWatermark("ts", delay).select(ends.alias("e"), "ts").select("e.id", "e.other", "ts")
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return rows.groupBy(w.alias("w"), "id").agg(F.count(F.lit(1)).alias("degree")).select(F.col("w.start").alias("start"), "id", "degree")
-
-
-def effective_edges(log: DataFrame, directed: bool = False) -> DataFrame:
-    """Batch view of what each call of a log returned."""
-    return effects(log, directed).select("seq", "op", "u", "v", "effective")
+    return rows.groupBy(w.alias("w"), "id").agg(F.size(F.collect_set("other")).cast("long").alias("degree")).select(F.col("w.start").alias("start"), "id", "degree")
