@@ -1,9 +1,11 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and decoding as a byte-to-text state machine.
 
 Encoding
-    Text is cut at added tokens, then into units (a run of white space with the run of other characters behind it),
-    then by the pre-tokeniser's pattern; no merge crosses these cuts.  Within a piece, a transducer holds a buffer of
-    bytes and emits a token once no continuation can change it.
+    Text goes through a stream encoder in blocks.  It is cut at added tokens, then into units (a run of white space with
+    the run of other characters behind it), then by the pre-tokeniser's pattern; no merge crosses these cuts.  A cut is
+    made once what has been seen decides it: the encoder holds back the start of a possible added token and the last
+    unit; of a unit longer than WAIT characters it emits pieces, and of a piece that does not end it emits tokens.  There
+    a transducer holds a buffer of bytes and emits a token once no continuation can change it.
 
     How far a continuation reaches back is computed from the merge list.  Apply the rules in order to a text and to
     a continuation of it, and call the front the place up to which both have the same tokens.  Rule (u, v) moves the
@@ -16,8 +18,8 @@ Encoding
     Short units are memoised per worker; their number is bounded.
 
 Decoding
-    Tokens are mapped to bytes, and an incremental UTF-8 machine turns bytes to text, a bounded run of tokens at a
-    time; bytes that are not text become U+FFFD, as in the tokenizers library.
+    Tokens are mapped to bytes, and an incremental UTF-8 machine turns bytes to text, as the encoder emits them, a
+    bounded run of tokens at a time; bytes that are not text become U+FFFD, as in the tokenizers library.
 
 Defined results: null text counts as empty (no tokens); the file's added tokens inside a text become their ids.
 Other columns than those named are not returned.
@@ -44,6 +46,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
 MEMO, MEMO_CHARS, RUN = 300_000, 64, 65_536
+#: Characters of text that the stream encoder takes at a time, and of a unit or piece that it waits for the end of.
+BLOCK, WAIT = 4_096, 1_024
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -129,7 +133,7 @@ class Merges:
 class Transducer:
     """Bytes in, stable tokens out; never holds more than about two lookaheads and a block."""
 
-    def __init__(self, merges: Merges, block: int = 1024):
+    def __init__(self, merges: Merges, block: int = 512):
         self.merges, self.block, self.buffer = merges, block, b""
 
     def feed(self, data: bytes) -> list[int]:
@@ -161,9 +165,13 @@ class Encoder:
         import regex
 
         self.merges = Merges(path)
-        self.pieces = regex.compile(PATTERN).findall
+        self.piece = regex.compile(PATTERN)
+        self.pieces = self.piece.findall
         self.units = re.compile(UNIT).findall
+        self.unit_end = re.compile(f"(?s).*[^{_WHITE}](?=[{_WHITE}])")
+        self.classes = [(True, regex.compile(r"\s+")), *((False, regex.compile(p)) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+"))]
         self.added = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.merges.added, key=len, reverse=True)) + ")") if self.merges.added else None
+        self.longest_added = max(map(len, self.merges.added), default=0)
         self.memo: dict[str, bytes] = {}
 
     def _unit(self, unit: str) -> bytes:
@@ -180,16 +188,114 @@ class Encoder:
                 self.memo[unit] = got
         return got
 
+    def closed(self, text: str) -> bytes:
+        """Tokens of a text that nothing continues, without added tokens."""
+        memo, unit = self.memo.get, self._unit
+        return b"".join([memo(u) or unit(u) for u in self.units(text)])
+
+    def stream(self, text: str | None, block: int = BLOCK):
+        """Tokens of a text, as they are emitted."""
+        machine, text = StreamEncoder(self), text or ""
+        for k in range(0, len(text) - block, block):
+            yield machine.feed(text[k : k + block])
+        yield machine.finish(text[(max(len(text) - 1, 0)) // block * block :])
+
     def encode(self, text: str | None) -> bytes:
+        return b"".join(self.stream(text))
+
+
+class StreamEncoder:
+    """Text in, stable tokens out (ids as in Encoder); holds about WAIT characters besides the block it was given."""
+
+    def __init__(self, encoder: Encoder, wait: int = WAIT):
+        self.encoder, self.wait, self.held = encoder, max(wait, 3), ""  # three characters tell a contraction
+        self.machine: Transducer | None = None  # of a piece whose end has not come
+        self.run = None  # (whether it is white space, pattern of its characters)
+
+    def feed(self, text: str) -> bytes:
+        self.held += text
         out: list[bytes] = []
-        memo, unit = self.memo.get, self._unit
-        for part in self.added.split(text or "") if self.added else [text or ""]:
-            if part in self.merges.added:
-                out.append(np.array([self.merges.added[part]], "<u4").tobytes())
-            else:
-                out += [memo(u) or unit(u) for u in self.units(part)]
+        longest = self.encoder.longest_added
+        while self.encoder.added and (m := self.encoder.added.search(self.held)) and m.start() + longest <= len(self.held):
+            out.append(self._close(m.start()))
+            out.append(self._ids([self.encoder.merges.added[m[0]]]))
+            self.held = self.held[m.end() :]
+        size = len(self.held) - max(longest - 1, 0)
+        if size > 0:
+            out.append(self._advance(size))
         return b"".join(out)
 
+    def finish(self, text: str = "") -> bytes:
+        self.held += text
+        out: list[bytes] = []
+        while self.encoder.added and (m := self.encoder.added.search(self.held)):
+            out.append(self._close(m.start()))
+            out.append(self._ids([self.encoder.merges.added[m[0]]]))
+            self.held = self.held[m.end() :]
+        out.append(self._close(len(self.held)))
+        self.held = ""
+        return b"".join(out)
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _leave(self, part: str) -> tuple[bytes, int]:
+        """The rest of the open piece, and where in part it ends; part goes on behind it or nothing follows."""
+        white, pattern = self.run
+        m = pattern.match(part)
+        end = m.end() if m else 0
+        if white and end < len(part):  # the last of the white space goes to what follows
+            end -= 1
+        out = self.machine.feed(part[:end].encode("utf-8", "replace")) + self.machine.finish()
+        self.machine = self.run = None
+        return self._ids(out), end
+
+    def _close(self, size: int) -> bytes:
+        """Tokens of the first ``size`` characters held, which nothing continues; they stay held."""
+        part, out = self.held[:size], b""
+        if self.machine:
+            out, end = self._leave(part)
+            part = part[end:]
+        return out + self.encoder.closed(part)
+
+    def _advance(self, size: int) -> bytes:
+        """Tokens of the first ``size`` characters held, as far as they do not depend on what follows; lets go of what they cover."""
+        out: list[bytes] = []
+        at = 0
+        if self.machine:
+            white, pattern = self.run
+            m = pattern.match(self.held, 0, size)
+            if m and m.end() == size:
+                keep = size - white
+                out.append(self._ids(self.machine.feed(self.held[:keep].encode("utf-8", "replace"))))
+                self.held = self.held[keep:]
+                return out[0]
+            found, at = self._leave(self.held[:size])
+            out.append(found)
+        if m := self.encoder.unit_end.match(self.held, at, size):
+            out.append(self.encoder.closed(self.held[at : m.end()]))
+            at = m.end()
+        if size - at > self.wait:
+            for m in self.encoder.piece.finditer(self.held, at, size):
+                # A piece depends on the character behind it, on one more where white space ends, and on three from its start.
+                if m.end() + 2 > size or m.start() + 3 > size:
+                    if m.end() == size and size - m.start() > self.wait:
+                        self.run = next((w, p) for w, p in self.encoder.classes if p.match(self.held, size - 1, size))
+                        self.machine = Transducer(self.encoder.merges)
+                        keep = size - self.run[0]
+                        out.append(self._ids(self.machine.feed(self.held[m.start() : keep].encode("utf-8", "replace"))))
+                        at = keep
+                    break
+                out.append(self.encoder._unit(m[0]) if m.end() - m.start() <= MEMO_CHARS else self._whole(m[0]))
+                at = m.end()
+        self.held = self.held[at:]
+        return b"".join(out)
+
+    def _whole(self, piece: str) -> bytes:
+        machine = Transducer(self.encoder.merges)
+        return self._ids(machine.feed(piece.encode("utf-8", "replace")) + machine.finish())
+
 
 @lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
@@ -198,17 +304,26 @@ def encoder_of(path: str) -> Encoder:
 
 
 class Decoder:
-    """ids -> text, a bounded run of tokens at a time."""
+    """ids -> text, as they come and a bounded run of tokens at a time."""
 
     def __init__(self, merges: Merges):
         self.bytes_of = merges.bytes_of
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def runs(self, ids: bytes):
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+    def feed(self, ids: bytes):
         numbers = np.frombuffer(ids, "<u4")
         for k in range(0, len(numbers), RUN):
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers[k : k + RUN].tolist())))
-        yield machine.decode(b"", final=True)
+            yield self.machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers[k : k + RUN].tolist())))
+
+    def finish(self) -> str:
+        """What an unfinished character at the end gives; ready for the next text."""
+        out = self.machine.decode(b"", final=True)
+        self.machine.reset()
+        return out
+
+    def runs(self, ids: bytes):
+        yield from self.feed(ids)
+        yield self.finish()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,12 +361,15 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             n, a, d = [], [], []
             for t in b.column(1):
-                ids = encoder.encode(t.as_py())
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                text = hashlib.sha256()
-                for part in decoder.runs(ids):
-                    text.update(part.encode())
+                count, hashed, text = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in encoder.stream(t.as_py()):
+                    count += len(ids) // 4
+                    hashed.update(ids)
+                    for part in decoder.feed(ids):
+                        text.update(part.encode())
+                text.update(decoder.finish().encode())
+                n.append(count)
+                a.append(hashed.hexdigest())
                 d.append(text.hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
