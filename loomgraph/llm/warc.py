@@ -6,13 +6,14 @@ is cut into a first record and continuation records.  Tasks stream records into
 one gzip member per record, under a name of the attempt, and rename them once complete, so a repeated task leaves
 whole files.
 
-Reading.  Tasks stream archives record by record.  A record that is not segmented is decoded where it is read; only
+Reading.  Tasks stream archives record by record, once.  A record that is not segmented is decoded where it is read; only
 segments are shuffled: they are grouped by the record they continue, ordered by number, checked to be complete and
 of the stated total length, joined, and then decoded.  Chunked framing is removed and the payload digest checked.
 
 Defined results: null payload counts as empty; repeated or null ids are records of their own; a record with missing
-or contradicting segments, bad framing or a wrong digest is returned with null payload and its ``error``; an empty
-table gives no archives and no records.
+or contradicting segments, bad framing or a wrong digest is returned with null payload and its ``error``; an archive that
+is cut off, not compressed as it says or holds what is no record gives the records before that and a row with an ``error``
+alone; an empty table gives no archives and no records.
 """
 
 from __future__ import annotations
@@ -157,19 +158,23 @@ def parse(stream):
         return True
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0 or not buffer.lstrip(CRLF):
+        skip = 0
+        while skip < len(buffer) or fill(skip + 1):  # line ends between records
+            if buffer[skip] not in CRLF:
+                break
+            skip += 1
+        else:
+            return
+        del buffer[:skip]
+        while (end := buffer.find(b"\r\n\r\n")) < 0:
             if not fill(len(buffer) + 1):
-                if buffer.strip(CRLF):
-                    raise ValueError("archive ends within a record")
-                return
-        skip = len(buffer) - len(buffer.lstrip(CRLF))
-        if skip:
-            del buffer[:skip]
-            continue
+                raise ValueError("archive ends within a record")
         lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if "content-length" not in headers:
+            raise ValueError("record without a length")
         n = int(headers["content-length"])
         del buffer[: end + 4]
         if not fill(n):
@@ -221,42 +226,50 @@ def reassembled(segments: list[tuple[int, int | None, str | None, bytes]], origi
     return decoded(head, whole)
 
 
-def read_warc(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """Responses and revisits of the archives (paths as filesystem() takes them); see READ."""
-    names = files.select(F.col(path_col).alias("path")).repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = True) -> DataFrame:
+    """Responses and revisits of the archives (paths as filesystem() takes them); see READ.
 
-    def streams(batches):
+    What a task has read is kept in the shared folder, so archives are read once; without payloads only segments take room.
+    """
+    names = files.select(F.col(path_col).alias("path")).repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
+    kinds = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    columns = [*_READ_NAMES, *(x.split()[0] for x in _SEGMENT.split(", "))]
+    none = (None,) * 5
+
+    def shown(row: tuple) -> tuple:
+        return row if with_payload else (*row[:4], None, *row[5:])
+
+    def rows_of(path: str):
+        fs, at = filesystem(path)
+        with fs.open_input_stream(at, compression=None) as stream:
+            try:
+                for headers, block in parse(stream):
+                    if "warc-segment-number" in headers:
+                        number, total = int(headers["warc-segment-number"]), headers.get("warc-segment-total-length")
+                        origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
+                        head = "\n".join(f"{k}: {v}" for k, v in headers.items()) if number == 1 else None
+                        yield (None,) * 8 + (origin, number, total and int(total), head, block), len(block)
+                    elif headers.get("warc-type") in ("response", "revisit", "resource"):
+                        yield shown(decoded(headers, block)) + none, len(block)
+            except (ValueError, zlib.error) as e:
+                yield (None,) * 7 + (f"{path}: {e}",) + none, 0
+
+    def read(batches):
+        rows, size = [], 0
         for b in batches:
             for path in b.column(0).to_pylist():
-                fs, at = filesystem(path)
-                with fs.open_input_stream(at, compression=None) as stream:
-                    yield from parse(stream)
-
-    def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string(), pa.string()])], names=_READ_NAMES)
-
-    def whole(batches):
-        rows, size = [], 0
-        for headers, block in streams(batches):
-            if headers.get("warc-type") in ("response", "revisit", "resource") and "warc-segment-number" not in headers:
-                rows.append(decoded(headers, block))
-                size += len(block)
-                if size > 16 << 20:
-                    yield table(rows)
-                    rows, size = [], 0
-        yield table(rows)
-
-    def segments(batches):
-        for headers, block in streams(batches):
-            if "warc-segment-number" in headers:
-                number = int(headers["warc-segment-number"])
-                origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
-                total = headers.get("warc-segment-total-length")
-                head = "\n".join(f"{k}: {v}" for k, v in headers.items()) if number == 1 else None
-                yield pa.record_batch({"origin": [origin], "number": pa.array([number], pa.int32()), "total": pa.array([total and int(total)], pa.int64()), "head": pa.array([head], pa.string()), "block": pa.array([block], pa.binary())})
+                for row, more in rows_of(path):
+                    rows.append(row)
+                    size += more
+                    if size > 8 << 20 or len(rows) >= 5_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=columns)
+                        rows, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=columns)
 
     def join(key, part):
         got = reassembled([(int(n), None if pd.isna(t) else int(t), h if isinstance(h, str) else None, bytes(x)) for n, t, h, x in zip(part["number"], part["total"], part["head"], part["block"], strict=True)], key[0])
-        return pd.DataFrame([got], columns=_READ_NAMES).astype({"payload_bytes": "Int64"})
+        return pd.DataFrame([shown(got)], columns=_READ_NAMES).astype({"payload_bytes": "Int64"})
 
-    return names.mapInArrow(whole, READ).union(names.mapInArrow(segments, _SEGMENT).groupBy("origin").applyInPandas(join, READ))
+    found = cut(names.mapInArrow(read, f"{READ}, {_SEGMENT}"))
+    segments = found.filter("origin IS NOT NULL").select(*columns[8:])
+    return found.filter("origin IS NULL").select(*_READ_NAMES).union(segments.groupBy("origin").applyInPandas(join, READ))
