@@ -43,4 +43,11 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
   CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN m = page_id THEN NULL ELSE m END AS refers_to
 FROM x""",
+    "op8_sharding": r"""
+WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + octet_length(encode(coalesce(lang, ''))) + octet_length(encode(coalesce(source, ''))) + 16 AS BIGINT) AS n_bytes,
+             lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+k AS (SELECT doc_id, n_bytes, k AS depth, substr(bits, 1, k) AS shard FROM d, (SELECT unnest(range(61)) AS k)),
+b AS (SELECT shard, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM k GROUP BY shard HAVING sum(n_bytes) <= 1048576 OR count(*) = 1),
+f AS (SELECT k.*, b.shard_bytes, b.shard_rows, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r FROM k JOIN b USING (shard))
+SELECT doc_id, shard, depth::INTEGER AS depth, n_bytes, n_bytes > 1048576 AS oversized, shard_bytes::BIGINT AS shard_bytes, shard_rows FROM f WHERE r = 1""",
 }

@@ -11,7 +11,9 @@ from .common import scratch_path
 #: Folder of the public tokenisers' files; they are never copied here.
 TOKENIZERS = "/opt/tokenizers"
 TRAIN_ROWS = "crc32(cast(doc_id as string)) % 5 <> 0"
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
+#: Longest block of a WARC record; longer ones continue in segments.
+SEGMENT_BYTES = 4_096
 
 
 def tokenizer(name: str) -> str:
@@ -54,8 +56,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, names = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    read = warc.read_warc(files).select("record_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
+    files, names = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), segment=SEGMENT_BYTES)
+    read = warc.read_warc(files, with_payload=False).select("record_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
     if names.filter("id IS NULL OR record_id <> concat('<urn:page:', id, '>')").isEmpty():  # records are named by the ids
         id_of = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast("long")
         return read.select(id_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to").alias("refers_to"))
@@ -65,7 +67,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "shards")
+    given = sharding.write_shards(docs, path, SHARD_BYTES)
+    written = sharding.read_shards(docs, path)
+    sizes = written.groupBy("shard").agg(F.sum(sharding.row_bytes(docs)).alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
+    return given.join(sizes, "shard").select("doc_id", "shard", "depth", "n_bytes", "oversized", "shard_bytes", "shard_rows")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,31 @@
 """Sharding by extendible hashing: a directory over hash-prefix bits, in which only oversized buckets split.
 
-A row's key is hashed by a bijection of 64 bits, so different keys always differ in some bit and every bucket of
-more than one row can split.  A shard is a bit prefix; it stays a shard once its bytes are within the limit.
+A row's hash is the first 60 bits of the MD5 of its key as text, so SQL engines agree on it.  A shard is a bit prefix: the
+shortest one whose rows are within the byte limit together, or are one row.
 
 BITS levels of the directory are found at a time: bytes per next BITS bits are summed (partially aggregated), and
 each open bucket's at most 2**BITS sums decide where its sub-buckets stop splitting.  Rows of buckets that are still
-too large go on to the next BITS bits.  Only (key, hash, size) moves, never a text; the directory is a table joined
-by prefix, whose first level (2**BITS rows) is broadcast, and nothing is collected.
+too large go on to the next BITS bits.  Only (key, hash, size) moves for that, never a text.  The directory is a table
+for each level, whose first (2**BITS rows) is broadcast; later ones are joined by prefix, and Spark broadcasts them only
+below its own threshold.  Nothing is collected.  Writing moves each row once, to its shard.
 
-Defined results: null text has size 0; a row larger than the limit is a shard by itself, marked oversized; repeated
-or null ids are rows of their own, and their hash is that of the row's number; an empty table gives an empty table.
+Defined results: the size of a row counts the bytes of all its text and binary columns (null: 0) and 8 for each other one;
+a row larger than the limit is a shard by itself, marked oversized; repeated or null ids are rows of their own, and their
+hash is that of the row's number; rows that agree in all 60 bits stay together; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import RID, cut, keyed
 
-BITS = 12
+BITS, DIGITS = 12, 15
+_SHARD, _SIZE = "__lg_shard", "__lg_size"
 
 
 def leaf_depths(size: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray:
@@ -34,57 +38,89 @@ def leaf_depths(size: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
-def _splitter(take: int, limit: int):
+def row_bytes(df: DataFrame) -> Column:
+    """The size of a row, as the limit counts it."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        text = isinstance(f.dataType, T.StringType | T.BinaryType)
+        total = total + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if text else F.lit(8))
+    return total
+
+
+def bits_of(key: str = RID) -> Column:
+    """The hash of a row as text of 60 bits."""
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, DIGITS), 16, 2)
+    return F.lpad(number, 4 * DIGITS, "0")
+
+
+def _splitter(limit: int):
     def directory(key, part):
         size, rows = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        at = part["sub"].to_numpy() << (BITS - take)
+        at = np.array([int(x, 2) for x in part["sub"]], np.int64)
         size[at], rows[at] = part["bytes"], part["rows"]
-        return pd.DataFrame({"prefix": key[0], "sub": part["sub"], "leaf": np.minimum(leaf_depths(size, rows, limit)[at], take)})
+        return pd.DataFrame({"prefix": key[0], "sub": part["sub"], "leaf": leaf_depths(size, rows, limit)[at]})
 
     return directory
 
 
+def _directory(rows: DataFrame, limit: int) -> list[DataFrame]:
+    """Per level of BITS bits, (prefix, sub, leaf): the depth below prefix at which sub stops splitting, or -1."""
+    live = cut(rows.select(bits_of().alias("bits"), F.col(_SIZE).alias("size")))
+    levels: list[DataFrame] = []
+    while len(levels) < 4 * DIGITS // BITS:
+        done = BITS * len(levels)
+        tagged = live.withColumns({"prefix": F.substring("bits", 1, done) if done else F.lit(""), "sub": F.substring("bits", done + 1, BITS)})
+        sums = tagged.groupBy("prefix", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        levels.append(cut(sums.groupBy("prefix").applyInPandas(_splitter(limit), "prefix string, sub string, leaf long")))
+        still = levels[-1].filter("leaf < 0")
+        if still.isEmpty():
+            break
+        live = cut(tagged.join(still, ["prefix", "sub"], "left_semi").select("bits", "size"))
+    return levels
+
+
+def _sharded(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Rows with their shard; texts stay where they are while the directory is small."""
+    out = rows.withColumn("_bits", bits_of()).withColumn(_SHARD, F.lit(None).cast("string"))
+    for k, leaves in enumerate(levels):
+        done, last = BITS * k, k == len(levels) - 1
+        told = leaves.select(F.concat("prefix", "sub").alias("_at"), "leaf")
+        out = out.withColumn("_at", F.substring("_bits", 1, done + BITS)).join(F.broadcast(told) if k == 0 else told, "_at", "left")
+        depth = F.when(F.col("leaf") >= 0, F.col("leaf") + done)
+        if last:  # all bits are used
+            depth = F.coalesce(depth, F.when(F.col("leaf").isNotNull(), F.lit(done + BITS)))
+        out = out.withColumn(_SHARD, F.coalesce(_SHARD, F.substring("_bits", F.lit(1), depth.cast("int")))).drop("_at", "leaf")
+    return out.drop("_bits")
+
+
+def _told(sharded: DataFrame, id_col: str, limit: int) -> DataFrame:
+    depth = F.length(_SHARD).alias("depth")
+    return sharded.select(F.col(id_col), F.col(_SHARD).alias("shard"), depth, F.col(_SIZE).alias("n_bytes"), (F.col(_SIZE) > limit).alias("oversized"))
+
+
 def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, shard string of bits, depth int, n_bytes long, oversized boolean)."""
     if limit_bytes < 1:
         raise ValueError("limit_bytes must be positive")
-    rows, _ = keyed(docs.select(id_col, text_col), id_col, text_col)
-    return _assigned(rows, limit_bytes, id_col, text_col).drop(RID)
-
-
-def _assigned(rows: DataFrame, limit_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """The assignment of keyed rows, with their RID."""
-    live = cut(rows.select(RID, F.col(id_col).alias("id"), F.xxhash64(RID).alias("hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size")))
-    done = []
-    level = 0
-    while True:
-        take = min(BITS, 64 - level)
-        prefix = F.lit(0).cast("long") if level == 0 else F.shiftrightunsigned("hash", 64 - level)
-        sub = F.shiftrightunsigned("hash", 64 - level - take).bitwiseAND((1 << take) - 1) if level + take < 64 else F.col("hash").bitwiseAND((1 << take) - 1)
-        tagged = live.withColumn("prefix", prefix).withColumn("sub", sub)
-
-        sums = tagged.groupBy("prefix", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        leaves = cut(sums.groupBy("prefix").applyInPandas(_splitter(take, limit_bytes), "prefix long, sub long, leaf long"))
-        joined = tagged.join(F.broadcast(leaves) if level == 0 else leaves, ["prefix", "sub"])
-        text = F.lpad(F.bin("sub"), take, "0")
-        full = F.concat(F.lpad(F.bin("prefix"), level, "0"), text) if level else text
-        got = joined.select(RID, "id", "size", "hash", "leaf", full.alias("bits"))
-        done.append(got.filter("leaf >= 0").select(RID, "id", "size", F.expr(f"substring(bits, 1, {level} + leaf)").alias("shard"), (F.lit(level) + F.col("leaf")).cast("int").alias("depth")))
-        level += take
-        if level >= 64 or leaves.filter("leaf < 0").isEmpty():
-            break
-        live = cut(got.filter("leaf < 0").select(RID, "id", "hash", "size"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out.select(RID, F.col("id").alias(id_col), "shard", "depth", F.col("size").alias("n_bytes"), (F.col("size") > limit_bytes).alias("oversized"))
+    rows, _ = keyed(docs.withColumn(_SIZE, row_bytes(docs)), id_col, text_col)
+    slim = rows.select(RID, id_col, _SIZE)
+    return _told(_sharded(slim, _directory(slim, limit_bytes)), id_col, limit_bytes)
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes all rows of docs as Parquet, one folder and one task per shard; returns the assignment."""
+    """Writes all rows of docs as Parquet, one folder (``shard=`` and the bits) for each shard; returns the assignment."""
     if limit_bytes < 1:
         raise ValueError("limit_bytes must be positive")
-    rows, _ = keyed(docs, id_col, text_col)
-    given = cut(_assigned(rows, limit_bytes, id_col, text_col))
-    rows.join(given.select(RID, "shard"), RID).drop(RID).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return given.drop(RID)
+    rows, _ = keyed(docs.withColumn(_SIZE, row_bytes(docs)), id_col, text_col)
+    slim = rows.select(RID, id_col, _SIZE)
+    levels = _directory(slim, limit_bytes)
+    placed = _sharded(rows, levels).select(*docs.columns, F.col(_SHARD).alias("shard"))
+    placed.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    return _told(_sharded(slim, levels), id_col, limit_bytes)
+
+
+def read_shards(docs: DataFrame, path: str) -> DataFrame:
+    """The rows written of docs, with their shard."""
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "shard"), T.StructField("shard", T.StringType())])
+    back = docs.sparkSession.read.schema(schema).parquet(path)
+    return back.withColumn("shard", F.coalesce("shard", F.lit("")))
