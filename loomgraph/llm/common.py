@@ -9,9 +9,12 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder
+
 #: Internal key column.  Operators never use a name a caller's table is likely to have.
 RID = "__lg_rid"
 #: Distinct words whose hash a Python worker remembers (about 50 MB); beyond it the memo starts afresh.
@@ -20,30 +23,14 @@ WORD_MEMO = 200_000
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
-def ensure_shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); one under /tmp only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/loomgraph-shared"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Batches bounded by bytes as well as rows, so that long texts don't add up to large ones on either side."""
     if BATCH[0] not in spark.conf.getAll:
         spark.conf.set(*BATCH)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    ensure_shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{ensure_shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
@@ -53,6 +40,14 @@ def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else "file://" + url)
 
 
+def shared_table(folder: str) -> pa.Table | None:
+    """Rows of the Parquet files in a shared folder; None if there is none."""
+    fs, at = filesystem(folder)
+    if fs.get_file_info(at).type != pafs.FileType.Directory:
+        return None
+    return pq.read_table(at, filesystem=fs, partitioning=None)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -174,13 +174,14 @@ def _distinct_sets(rows: DataFrame, text_col: str, width: int, percent: int) ->
     bound_batches(spark)
     slim = rows.select(RID, F.col(text_col).alias("t"))
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    filt = spark.sparkContext.broadcast(build(slim, lambda bs: (h for _, _, h in shingle_sets(bs, width)), size // 6))
+    filt = build(slim, lambda bs: ((rids, h) for rids, _, h in shingle_sets(bs, width)), size // 6)
 
     def survivors(batches):
         import xxhash
 
+        look = filt.reader()
         for rids, offsets, h in shingle_sets(batches, width):
-            again = filt.value.repeated(h)
+            again = look(rids, h)
             n = np.diff(offsets)
             shared = np.diff(np.r_[0, np.cumsum(again)][offsets])
             fps, tokens, seen = [None] * len(rids), [None] * len(rids), set()

@@ -80,10 +80,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def measure(batches):
         for b in batches:
             x = [features(t.as_py()) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.record_batch([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["y", "x", "h"])
 
-    sample = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(chosen), id_col).select("y", "t")
-    got = sample.mapInArrow(measure, "y int, x array<double>").collect()  # at most max_train rows where ids are unique
+    sample = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(chosen), id_col).select("y", "t", F.xxhash64(id_col).alias("h"))
+    got = sample.mapInArrow(measure, "y int, x array<double>, h long").orderBy("h", "x").limit(max_train).collect()  # also where ids repeat
     got.sort(key=lambda r: (r.y, r.x))
     x = np.array([r.x for r in got]).reshape(-1, N_FEATURES)
     w, mean, threshold = train(x, np.array([r.y for r in got], int))

@@ -1,12 +1,14 @@
-"""Count-min sketch over 64-bit keys: built per partition, merged by cell range, used as a filter.
+"""Count-min sketch over 64-bit keys, kept sparse: built per chunk, merged by cell range, and told back to each chunk.
 
-A sketch has ROWS rows of ``cells`` counters.  Every map chunk counts its keys in sparse form: the cells it hits
-and how often.  Chunks are split by cell range and merged range by range, so no task ever holds all partition
-sketches.  Merging adds counts, hence a merged counter is never less than the true count of any key it serves:
-``repeated`` may accept a key that occurs once, but never refuses one that occurs twice.
+The sketch is one row of counters, SPARSE or more for each expected key, so it grows with the input without a bound.  It is
+never laid out: a chunk of rows counts its keys as (cells it hits, whether once or more), split by range; one task merges a
+range, of about RANGE_KEYS entries whatever the input, by adding counts; and what goes back to a chunk is which of its own
+cells have a merged count of two or more.  A merged counter is never less than the true count of any key it serves, so a
+key that occurs twice is always found repeated; of keys that occur once about one in SPARSE is too.
 
-What is broadcast is one bit per counter (count >= 2).  Its size follows the input up to MAX_CELLS per row (128 MB of bits each) and stays there: on larger inputs the filter
-only lets more keys through, and the exact pass behind it does more work.
+Answers are files of the shared folder by partition, and within them by chunk, named by the row keys it consists of.  The
+second pass reads those of its own partition.  A chunk for which there is no answer, because the rows were dealt
+differently the second time, counts all its keys as repeated: that costs time, not results.
 """
 
 from __future__ import annotations
@@ -17,73 +19,86 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import mixed, pack_many, unpack_many
+from .common import mixed, pack_many, scratch_path, shared_table, shuffle_partitions, unpack_many
 
-ROWS = 2
-MAX_CELLS = 1 << 30
-RANGE = 1 << 22
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+SPARSE, RANGE_KEYS = 16, 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cell(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return ((mixed(keys * _ODD[row]) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+def chunk_name(rids: np.ndarray) -> int:
+    import xxhash
 
-
-class Repeats:
-    """The merged sketch as a filter."""
-
-    def __init__(self, cells: int, bits: list[np.ndarray]):
-        self.cells, self.bits = cells, bits
-
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for row, bits in enumerate(self.bits):
-            at = cell(keys, row, self.cells)
-            out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
-        return out
+    return xxhash.xxh3_64_intdigest(np.ascontiguousarray(rids).tobytes()) - (1 << 63)
 
 
-def sparse_counts(keys: np.ndarray, cells: int) -> Iterator[tuple[int, bytes]]:
-    """(row * 2^20 + range, packed cells and counts) of one chunk."""
-    for row in range(ROWS):
-        at, n = np.unique(cell(keys, row, cells), return_counts=True)
-        ranges = (at // RANGE).astype(np.int64)
-        for a, b in pairwise([*np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]), len(at)] if len(at) else []):
-            inner = (at[a:b] - np.uint64(ranges[a] * RANGE)).astype(np.uint32)
-            yield row << 20 | int(ranges[a]), pack_many(np.diff(inner, prepend=np.uint32(0)), np.minimum(n[a:b], 65535).astype(np.uint16))
-
-
-def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Repeats:
-    """Counts what keys_of yields (one array per chunk) for the Arrow batches of docs.  expected: about how many keys."""
-    cells = int(min(max(2 * expected, RANGE), MAX_CELLS))
+class Repeats:
+    """The merged sketch, as chunks see it."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits = folder, bits
+
+    def cells(self, keys: np.ndarray) -> np.ndarray:
+        return mixed(keys * _ODD) >> np.uint64(64 - self.bits)
+
+    def reader(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """For the task that calls it: (row keys of a chunk, keys) -> which keys may occur twice."""
+        table = shared_table(f"{self.folder}/pid={TaskContext.get().partitionId()}")
+        told: dict[int, list[tuple[int, bytes]]] = {}
+        if table is not None:
+            for chunk, part, data in zip(*(table.column(c).to_pylist() for c in ("chunk", "part", "data")), strict=True):
+                told.setdefault(chunk, []).append((part, data))
+
+        def repeated(rids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            mine = told.get(chunk_name(rids))
+            if mine is None:
+                return np.ones(len(keys), bool)
+            again = np.concatenate([np.cumsum(unpack_many(d, np.uint64)[0], dtype=np.uint64) for _, d in sorted(mine)])
+            if not len(again):
+                return np.zeros(len(keys), bool)
+            at = self.cells(keys)
+            return again[np.minimum(np.searchsorted(again, at), len(again) - 1)] == at
+
+        return repeated
+
+
+def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], expected: int) -> Repeats:
+    """Counts what keys_of yields (row keys and keys of one chunk) for the Arrow batches of docs.  expected: about how many keys."""
+    spark = docs.sparkSession
+    ranges = max(1, -(-expected // RANGE_KEYS))
+    sketch = Repeats(scratch_path(spark, "sketch"), max(22, (SPARSE * max(expected, 1) - 1).bit_length()))
+    width = -(-(1 << sketch.bits) // ranges)
 
     def partial(batches):
-        for keys in keys_of(batches):
-            got = list(sparse_counts(keys, cells))
-            if got:
-                yield pa.record_batch({"part": pa.array([g[0] for g in got], pa.int32()), "data": pa.array([g[1] for g in got], pa.binary())})
-
-    def merge(key, blobs):
-        count = np.zeros(RANGE, np.int64)
-        for data in blobs["data"]:
-            gaps, n = unpack_many(data, np.uint32, np.uint16)
-            count[np.cumsum(gaps, dtype=np.int64)] += n
-        bits = pa.compress(np.packbits(count >= 2, bitorder="little").tobytes(), codec="zstd", asbytes=True)
-        return pd.DataFrame({"part": [key[0]], "bits": [bits]})
-
-    merged = docs.mapInArrow(partial, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, bits binary")
-    width = -(-cells // RANGE)
-    bits = [np.zeros(width * RANGE // 8, np.uint8) for _ in range(ROWS)]
-    for r in merged.toLocalIterator():  # bounded by MAX_CELLS, whatever the input
-        row, part = r.part >> 20, r.part & 0xFFFFF
-        bits[row][part * RANGE // 8 : (part + 1) * RANGE // 8] = np.frombuffer(pa.decompress(bytes(r.bits), RANGE // 8, codec="zstd", asbytes=True), np.uint8)
-    return Repeats(cells, bits)
+        pid = TaskContext.get().partitionId()
+        for rids, keys in keys_of(batches):
+            at, n = np.unique(sketch.cells(keys), return_counts=True)
+            part = (at // np.uint64(width)).astype(np.int64)
+            edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(at)] if len(at) else []
+            rows = [(int(part[a]), pack_many(np.diff(at[a:b], prepend=np.uint64(0)), np.minimum(n[a:b], 2).astype(np.uint8))) for a, b in pairwise(edges)]
+            if rows:
+                chunk = chunk_name(rids)
+                yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int64()), "pid": pa.array([pid] * len(rows), pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+    def merge(key, rows):
+        found = [unpack_many(d, np.uint64, np.uint8) for d in rows["data"]]
+        cells = [np.cumsum(gaps, dtype=np.uint64) for gaps, _ in found]
+        _, which = np.unique(np.concatenate(cells), return_inverse=True)
+        again = np.bincount(which, np.concatenate([n for _, n in found])) >= 2
+        ends = np.cumsum([len(c) for c in cells])
+        data = [pack_many(np.diff(c[again[which[e - len(c) : e]]], prepend=np.uint64(0))) for c, e in zip(cells, ends, strict=True)]
+        return pd.DataFrame({"pid": rows["pid"], "chunk": rows["chunk"], "part": key[0], "data": data})
+
+    merged = docs.mapInArrow(partial, "part long, pid int, chunk long, data binary").groupBy("part").applyInPandas(merge, "pid int, chunk long, part long, data binary")
+    merged.repartition("pid").write.partitionBy("pid").parquet(sketch.folder)
+    return sketch
 
 
 #: Counters of a frequency table: 2 bytes each, so 64 MB at most, whatever the input.
 FREQUENCY_CELLS = 1 << 25
+RANGE = 1 << 20
 
 
 class Frequencies:
@@ -93,30 +108,36 @@ class Frequencies:
         self.counts = counts
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[cell(keys, 0, len(self.counts))]
+        return self.counts[((mixed(keys * _ODD) >> np.uint64(32)) * np.uint64(len(self.counts))) >> np.uint64(32)]
 
 
 def frequencies(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Frequencies:
     """Counts what keys_of yields for the Arrow batches of rows.  expected: about how many keys."""
     cells = int(min(max(2 * expected, 1 << 12), FREQUENCY_CELLS))
+    salts = shuffle_partitions(rows.sparkSession)
 
     def partial(batches):
+        pid = TaskContext.get().partitionId()
         for keys in keys_of(batches):
-            at, n = np.unique(cell(keys, 0, cells), return_counts=True)
-            ranges = (at // RANGE).astype(np.int64)
+            at, n = np.unique(((mixed(keys * _ODD) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32), return_counts=True)
+            ranges = (at // np.uint64(RANGE)).astype(np.int64)
             for a, b in pairwise([*np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]), len(at)] if len(at) else []):
                 inner = (at[a:b] - np.uint64(ranges[a] * RANGE)).astype(np.uint32)
-                yield pa.record_batch({"part": pa.array([ranges[a]], pa.int32()), "data": pa.array([pack_many(np.diff(inner, prepend=np.uint32(0)), np.minimum(n[a:b], 65535).astype(np.uint16))], pa.binary())})
+                yield pa.record_batch({"part": pa.array([ranges[a]], pa.int32()), "salt": pa.array([pid % salts], pa.int32()), "data": pa.array([pack_many(np.diff(inner, prepend=np.uint32(0)), np.minimum(n[a:b], 65535).astype(np.uint16))], pa.binary())})
 
     def merge(key, blobs):
         count = np.zeros(RANGE, np.int64)
         for data in blobs["data"]:
             gaps, n = unpack_many(data, np.uint32, np.uint16)
             count[np.cumsum(gaps, dtype=np.int64)] += n
-        return pd.DataFrame({"part": [key[0]], "counts": [pack_many(np.minimum(count, 65535).astype(np.uint16))]})
+        at = np.flatnonzero(count)
+        packed = pack_many(np.diff(at, prepend=0).astype(np.uint32), np.minimum(count[at], 65535).astype(np.uint16))
+        return pd.DataFrame({"part": [key[0]], "data": [packed]})
 
-    merged = rows.mapInArrow(partial, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, counts binary")
+    # A range's chunks are summed in as many groups as there are partitions, then the groups.
+    merged = rows.mapInArrow(partial, "part int, salt int, data binary").groupBy("part", "salt").applyInPandas(merge, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, data binary")
     counts = np.zeros(-(-cells // RANGE) * RANGE, np.uint16)
     for r in merged.toLocalIterator():  # bounded by FREQUENCY_CELLS
-        counts[r.part * RANGE : (r.part + 1) * RANGE] = unpack_many(bytes(r.counts), np.uint16)[0]
+        gaps, n = unpack_many(bytes(r.data), np.uint32, np.uint16)
+        counts[r.part * RANGE + np.cumsum(gaps, dtype=np.int64)] = n
     return Frequencies(counts[:cells])

@@ -5,7 +5,7 @@ window whose word sequence also starts earlier (in an earlier document, or earli
 all windows are judged on the input.
 
 Plan
-    1. A count-min sketch of all windows is built per partition and merged (sketch.py).
+    1. A count-min sketch of all windows is built per chunk, merged by range, and told back to the chunks (sketch.py).
     2. A second pass hashes windows again, keeps those estimated repeated, and groups them exactly.  Of each
        sequence a chunk ships only its earliest window: the others are already known to be later ones.  So a
        passage that a third of all documents carry costs one entry per chunk.  Windows are compared by 96 hash
@@ -25,6 +25,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ from .sketch import build
 
 #: Words a task hashes at once.
 CHUNK = 1_500_000
+#: Bytes of text for each range of window hashes and each bucket of documents, so that neither grows with the input.
+PART_BYTES = 64 << 20
 _BUCKET, _KIND, _BLOB = "__lg_bucket", "__lg_kind", "__lg_blob"
 
 
@@ -91,11 +94,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     c1, c2 = coefficients(width, 11), coefficients(width, 29)
 
     def keys_of(batches):
-        for _, offsets, w in chunks(batches):
-            yield windows(w, c1)[starts_in(offsets, width)]
+        for rids, offsets, w in chunks(batches):
+            yield rids, windows(w, c1)[starts_in(offsets, width)]
 
-    filt = spark.sparkContext.broadcast(build(slim, keys_of, size // 6))
-    parts = shuffle_partitions(spark)  # of hash ranges, and of documents: tasks pass each other one blob per pair
+    filt = build(slim, keys_of, size // 6)
+    parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))  # of hash ranges, and of documents: tasks pass each other one blob per pair
 
     def bucket(rid: np.ndarray) -> np.ndarray:
         return (rid ^ rid >> 9 ^ rid >> 21) % parts
@@ -110,13 +113,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield kind, int(p[a]), pack_many(*(c[order[a:b]] for c in cols))
 
     def batch_of(rows):
-        return pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+        salt = TaskContext.get().partitionId()  # spans found here only pass through, so they need not meet
+        return pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.int32()), "salt": pa.array([salt * r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def candidates(batches):
+        look = filt.reader()
         for rids, offsets, w in chunks(batches):
             at = starts_in(offsets, width)
             h1 = windows(w, c1)[at]
-            keep = filt.value.repeated(h1)
+            keep = look(rids, h1)
             if not keep.any():
                 continue
             at, h1 = at[keep], h1[keep]
@@ -136,7 +141,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield batch_of(out)
 
     def judge(key, blobs):
-        kind, part = key
+        kind, _, part = key
         if kind == 1:
             return pd.DataFrame({_BUCKET: part, _BLOB: blobs["data"]})
         cols = [np.concatenate(x) for x in zip(*(unpack_many(d, np.uint64, np.uint32, np.int64, np.uint32) for d in blobs["data"]), strict=True)]
@@ -149,7 +154,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         got = list(split(1, bucket(d), d, a, b))
         return pd.DataFrame({_BUCKET: pd.Series([g[1] for g in got], dtype="int32"), _BLOB: [g[2] for g in got]})
 
-    found = slim.mapInArrow(candidates, "kind int, part int, data binary").groupBy("kind", "part").applyInPandas(judge, f"{_BUCKET} int, {_BLOB} binary")
+    found = slim.mapInArrow(candidates, "kind int, salt int, part int, data binary").groupBy("kind", "salt", "part").applyInPandas(judge, f"{_BUCKET} int, {_BLOB} binary")
     dealt = rows.withColumn(_BUCKET, bucket_sql).withColumn(_KIND, F.lit(1)).unionByName(found.withColumn(_KIND, F.lit(0)), allowMissingColumns=True)
     dealt = dealt.repartition(parts, _BUCKET).sortWithinPartitions(_BUCKET, _KIND)
     kept = [c for c in rows.columns if c != RID]
