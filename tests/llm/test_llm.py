@@ -133,6 +133,7 @@ def test_bpe_against_library(spark):
         assert np.frombuffer(encoder.encode(x), "<u4").tolist() == ids
         assert "".join(decoder.runs(np.array(ids, "<u4").tobytes())) == t.decode(ids, skip_special_tokens=False)
     assert "".join(decoder.runs(np.array([encoder.merges.byte_id[0xE6]], "<u4").tobytes())) == "�"
+    assert "".join(decoder.runs(np.array([encoder.merges.byte_id[65]], "<u4").tobytes())) == "A"
     rng = random.Random(1)
     for _ in range(20):
         data = "".join(rng.choices(["the", "ing", " ", "er", "a", "--", "é", "中"], k=900)).encode()
@@ -146,6 +147,61 @@ def test_bpe_against_library(spark):
     assert {r["doc_id"]: r["text"] for r in collected(back)} == {1: "hello world", 2: ""}
 
 
+def test_bpe_emits_before_the_end(spark):
+    """Real documents and one piece without end: most tokens leave before the text ends, and little is held."""
+    encoder = bpe.Encoder(tokenizer("byte_bpe_50k.json"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    early = total = 0
+    for text in [t for t in texts if t] + ["ab" * 40_000, " " * 50_000 + "x", "no-spaces," * 6_000]:
+        machine, out, held = bpe.StreamEncoder(encoder), [], 0
+        for k in range(0, len(text), 512):
+            out.append(machine.feed(text[k : k + 512]))
+            held = max(held, len(machine.held) + (len(machine.machine.buffer) if machine.machine else 0))
+        last = machine.finish()
+        assert b"".join(out) + last == b"".join(encoder.stream(text, 1 << 30))
+        assert held < 5_000
+        early, total = early + sum(map(len, out)), total + sum(map(len, out)) + len(last)
+    assert early > 0.6 * total
+
+
+def test_bpe_stream_cuts_anywhere():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    library, encoder, rng = Tokenizer.from_file(path), bpe.Encoder(path), random.Random(7)
+    atoms = ["'s", "'re", "'", "r", "e", "the ", " ", "  ", "\n", "\u3000", "23", "!", "--", "é", "\u0301", "🙂", "<|endoftext|>", "<|endof", "|>", "\x1c"]
+    for _ in range(800):
+        text = "".join(rng.choices(rng.choice([rng.sample(atoms, 3), atoms]), k=rng.choice([3, 20, 200])))
+        machine, out, k = bpe.StreamEncoder(encoder, rng.choice([3, 8, 40])), b"", 0
+        while k < len(text):
+            size = rng.choice([1, 2, 5, 17, 90])
+            out += machine.feed(text[k : k + size])
+            k += size
+        assert np.frombuffer(out + machine.finish(), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_round_trip_and_counts_through_spark(spark):
+    """The functions behind op4 and op5 on nulls, empty, long and repeated rows, clashing names and empty tables."""
+    from tokenizers import Tokenizer
+
+    rows = [*corpus(4)[:30], *corpus(4)[-6:], (None, "null id"), (7, "repeated"), (7, "repeated"), (8, "x<|endoftext|>y")]
+    df = frame(spark, rows).selectExpr("*", "5 AS n_tokens", "'q' AS ids_sha256")
+    path = tokenizer("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = bpe.round_trip(df, path)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in collected(got)) == sorted(want)
+    assert bpe.round_trip(df.limit(0), path).count() == 0
+    counted = token_counts.count_tokens(df, tokenizer("piece_bpe_32k.model"))
+    unigram = token_counts.Unigram.from_sentencepiece(tokenizer("piece_bpe_32k.model")).counter()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in collected(counted)) == sorted((str(i), unigram(t or "")) for i, t in rows)
+    assert token_counts.count_tokens(df.limit(0), tokenizer("piece_bpe_32k.model")).count() == 0
+
+
 def test_token_counts_against_library():
     from tokenizers import Tokenizer, models
 
@@ -160,6 +216,42 @@ def test_token_counts_against_library():
     assert count("") == 0 and exact.splits and not loose.splits
 
 
+def members(files):
+    """The gzip members of all archives."""
+    for r in files.collect():
+        with open(r.path, "rb") as f:
+            data = f.read()
+        while data:
+            z = zlib.decompressobj(31)
+            z.decompress(data)
+            yield data[: len(data) - len(z.unused_data)]
+            data = z.unused_data
+
+
+def test_damaged_archives(spark, tmp_path):
+    whole = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{k}>")], b"HTTP/1.1 200 OK\r\n\r\nbody%d" % k) for k in range(3)]
+    cases = {
+        "good": b"".join(whole),
+        "cut": b"".join(whole)[:-20],
+        "gap": b"\r\n" + whole[0] + b"\r\n\r\n" + whole[1],
+        "none": b"",
+        "lengthless": whole[0] + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n",
+        "text": whole[0] + b"this is no record\r\n\r\n",
+        "badzip": b"\x1f\x8b" + b"junk" * 9,
+        "badnumber": whole[0].replace(b"WARC-Type", b"WARC-Segment-Number: one\r\nWARC-Type"),
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in cases], "path string")
+    got = collected(warc.read_warc(files))
+    errors = sorted(r["error"].split(":")[1].rpartition("/")[2] for r in got if r["error"])
+    assert errors == ["badnumber", "badzip", "cut", "lengthless", "text"]
+    good = sorted(bytes(r["payload"]).decode() for r in got if not r["error"])
+    assert good == sorted(["body0", "body1", "body2"] + ["body0", "body1"] * 2 + ["body0"] * 2)
+    slim = collected(warc.read_warc(files, with_payload=False))
+    assert all(r["payload"] is None for r in slim) and sorted(r["payload_bytes"] or 0 for r in slim) == sorted(r["payload_bytes"] or 0 for r in got)
+
+
 def test_warc(spark, tmp_path):
     rng = random.Random(3)
     pages = [(i, f"http://x/{i}", rng.choice(["", None, "é" * 50, "p" * 40_000, "".join(rng.choices("abc\r\n", k=5000))])) for i in range(30)]
@@ -178,6 +270,7 @@ def test_warc(spark, tmp_path):
             assert r["record_type"] == "revisit" and r["refers_to"] == f"<urn:page:{last[h or '']}>"
     with pytest.raises(ValueError):
         warc.unchunked(b"3\r\nabXX")
+    assert any("continuation" in zlib.decompress(m, 31).decode("latin-1") for m in members(files))
     head = "warc-record-id: <o>\nwarc-type: response"
     assert warc.reassembled([(1, None, head, b"ab")], "<o>")[-1] == "missing segments"
     assert warc.reassembled([(1, None, head, b"ab"), (2, 9, None, b"c")], "<o>")[-1] == "total length differs"
@@ -185,22 +278,43 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(empty).count() == 0
 
 
-def test_sharding(spark, tmp_path):
+def shards_by_hand(sizes, limit):
+    """{key: shard}: the shortest prefix of each row's hash whose rows fit or are one."""
+    bits = {i: f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}" for i in sizes}
+    out = {}
+    for i, b in bits.items():
+        for depth in range(61):
+            mine = [j for j, x in bits.items() if x.startswith(b[:depth])]
+            if sum(sizes[j] for j in mine) <= limit or len(mine) == 1:
+                out[i] = b[:depth]
+                break
+    return out
+
+
+@pytest.mark.parametrize("limit", [4_000, 60, 10**6])
+def test_sharding(spark, tmp_path, limit):
     rows = corpus(6)
-    got = collected(sharding.assign_shards(frame(spark, rows), 4000))
-    sizes = {}
-    for r in got:
-        sizes.setdefault(r["shard"], []).append(r["n_bytes"])
-        assert len(r["shard"]) == r["depth"] and r["oversized"] == (r["n_bytes"] > 4000)
-    assert len(got) == len(rows) and all(sum(s) <= 4000 or len(s) == 1 for s in sizes.values())
-    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
-    for s in sizes:  # only oversized buckets split: a leaf and its sibling together exceed the limit
-        if s:
-            assert sum(sum(x) for t, x in sizes.items() if t.startswith(s[:-1])) > 4000
+    docs = frame(spark, rows)
+    sizes = {i: len(t or "") + 8 * 4 + 1 for i, t in rows}  # text and hash count their bytes, the other columns 8
+    want = shards_by_hand(sizes, limit)
+    got = {r["doc_id"]: r for r in collected(sharding.assign_shards(docs, limit))}
+    assert {i: r["shard"] for i, r in got.items()} == want
+    assert all((r["depth"], r["n_bytes"], r["oversized"]) == (len(want[i]), sizes[i], sizes[i] > limit) for i, r in got.items())
+    given = sharding.write_shards(docs, f"file://{tmp_path}/s", limit)
+    assert given.count() == len(rows)
+    back = collected(sharding.read_shards(docs, f"file://{tmp_path}/s"))
+    assert {r["doc_id"]: (r["shard"], r["text"]) for r in back} == {i: (want[i], t) for i, t in rows}
+
+
+def test_sharding_beyond_one_level_of_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BITS", 2)
+    rows = [(i, "x" * (i % 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = shards_by_hand({i: i % 50 + 8 for i, _ in rows}, 120)
+    assert {r["doc_id"]: r["shard"] for r in collected(sharding.assign_shards(df, 120))} == want
+    assert max(map(len, want.values())) > 4
     same = collected(sharding.assign_shards(frame(spark, [(1, "abcd")] * 6 + [(None, None)]), 8))
     assert len(same) == 7 and sharding.assign_shards(frame(spark, []), 8).count() == 0
-    sharding.write_shards(frame(spark, rows), f"file://{tmp_path}/s", 4000)
-    assert spark.read.parquet(f"file://{tmp_path}/s").count() == len(rows)
 
 
 def test_quality(spark):
@@ -244,28 +358,101 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, [(1, "a"), (1, "a"), (None, None)]), path).count() == 3
 
 
-def test_bm25(spark):
-    rows = [r for r in corpus(8) if r[0] < 60]
-    docs = {i: (t or "").lower().split() for i, t in rows}
-    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+def best_by_hand(docs, asked, k, round_to=9):
+    """{query: [(document, score)]} over {id: text}, ties by id."""
+    words = {i: (t or "").encode().lower().split() for i, t in docs}
+    n, avg = len(words), sum(map(len, words.values())) / max(len(words), 1)
     df = {}
-    for w in docs.values():
+    for w in words.values():
         for x in set(w):
             df[x] = df.get(x, 0) + 1
-    want = {}
-    for q in range(0, 60, 20):
+    out = {}
+    for q, t in asked:
         scores = []
-        for i, w in docs.items():
-            s = sum(np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / avg)) for x in set(docs[q]) if x in w)
+        for i, w in words.items():
+            s = sum(np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / avg)) for x in set((t or "").encode().lower().split()) if x in w)
             if s > 0:
-                scores.append((-round(s, 9), i))
-        want[q] = [i for _, i in sorted(scores)[:10]]
+                scores.append((-round(s, round_to), i))
+        if scores:
+            out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def hits(df):
+    out = {}
+    for r in sorted(collected(df), key=lambda r: (str(r["query_id"]), r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    return out
+
+
+def assert_same_hits(got, want):
+    assert got.keys() == want.keys()
+    for q, w in want.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in w] and all(abs(a - b) < 1e-6 for (_, a), (_, b) in zip(got[q], w, strict=True))
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 25, 9_000])
+def test_bm25(spark, monkeypatch, shard_bytes):
+    """One shard, and rounds of several; null, empty, long and repeated texts among documents and queries."""
+    monkeypatch.setattr(bm25, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(bm25, "FIRST", 1)
+    rows = corpus(8, 150) + [(800 + k, "alpha beta gamma") for k in range(6)]
     d = frame(spark, rows)
-    got = {}
-    for r in sorted(collected(bm25.search(d, d.filter("doc_id % 20 = 0"))), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append(r["doc_id"])
-    assert got == {q: x for q, x in want.items() if x}
-    assert bm25.search(d.limit(0), d.limit(0)).count() == 0
+    asked = [(i, t) for i, t in rows if i % 7 == 0 or i >= 150]
+    want = best_by_hand(rows, asked, 10)
+    assert_same_hits(hits(bm25.search(d, frame(spark, asked))), want)
+    ties = want[800]
+    assert [i for i, _ in ties][:6] == list(range(800, 806))
+    assert bm25.search(d.limit(0), d).count() == bm25.search(d, d.limit(0)).count() == 0
+
+
+def test_bm25_pruning_is_exact_on_many_blocks(spark):
+    """A shard of many superblocks, with and without a threshold, against all scores; some postings stay unread."""
+    rng = np.random.default_rng(4)
+    n, vocabulary = 5_000, 900
+    weight = 1 / np.arange(1, vocabulary + 1)
+    lens = np.r_[rng.integers(1, 60, n - 40), rng.integers(400, 900, 40)]
+    doc = np.repeat(np.arange(n), lens)
+    term = np.concatenate([rng.choice(vocabulary, m, p=weight / weight.sum()) + vocabulary * (i % 3) for i, m in enumerate(lens)])
+    (doc, term), tf = np.unique(np.stack([doc, term]), axis=1, return_counts=True)
+    data = bm25.index_of(np.arange(n) + 10, lens, doc, term.astype(np.uint64), tf)
+    shard = bm25.Shard(data, float(lens.mean()), 1.2, 0.75)
+    df = np.bincount(term, minlength=3 * vocabulary)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked = rng.choice(n, 40, replace=False)
+    sets = [np.unique(term[doc == q]) for q in asked]
+    terms, which = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.r_[0, np.cumsum([len(s) for s in sets])]
+    norm = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lens[doc] / lens.mean()))
+    least = np.zeros(len(asked))
+    for again in range(2):
+        shard.all_postings = shard.read_postings = 0
+        q, i, s = (np.array(x) for x in shard.answer(starts, which, terms.astype(np.uint64), idf[terms], least, 10))
+        for x, mine in enumerate(sets):
+            use = np.isin(term, mine)
+            score = np.bincount(doc[use], norm[use] * idf[term[use]], n)
+            best = np.lexsort((np.arange(n), -np.round(score, 9)))[:10]
+            best = best[score[best] > 0]
+            found = sorted(zip(np.round(-s[q == x], 9), i[q == x], strict=True))[:10]
+            assert [b for _, b in found] == (best + 10).tolist()
+            least[x] = score[best[-1]] * (1 - 1e-12) if len(best) == 10 else 0
+        if again:
+            assert shard.read_postings < shard.all_postings
+
+
+def test_bm25_odd_ids(spark):
+    texts = ["a b c", "a b", None, "", "c d e f", "a b c"]
+    for ids, kind in ((["x", "y", "z", "u", "v", "w"], "string"), ([1, 1, 2, None, 3, 3], "long")):
+        d = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").selectExpr("*", "1 AS rank", "2 AS score", "3 AS query_id")
+        got = collected(bm25.search(d, d, k=3))
+        asked = [(i, t) for i, t in zip(ids, texts, strict=True) if i is not None]
+        want = []  # rows with equal ids are queries and documents of their own
+        for q, t in asked:
+            numbered = list(enumerate(x for _, x in asked))
+            best = best_by_hand(numbered, [(0, t)], 3).get(0, [])
+            want += [(str(q), round(s, 6)) for _, s in best]
+        assert sorted((str(r["query_id"]), round(r["score"], 6)) for r in got) == sorted(want)
+        assert all(r["doc_id"] is not None for r in got) and {type(r["doc_id"]) for r in got} == {str if kind == "string" else int}
 
 
 def test_pipeline_stages(spark):
