@@ -6,13 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.lineage import cut
 from .components import ONE_TASK_ARCS, arrow_columns
 from .kernels import Adjacency, dependencies, ranks
 
-#: Arcs of a graph that is broadcast for per-source kernels (about 24 bytes each): 1.2 GB at most, else an error.
-BROADCAST_ARCS = 50_000_000
+#: Arcs of a graph that is broadcast for per-source kernels (about 24 bytes each, so 240 MB); larger graphs run as joins.
+BROADCAST_ARCS = 10_000_000
 
 
 def pagerank(out: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float = 1e-10, max_iter: int = 100, one_task_arcs: int = ONE_TASK_ARCS) -> DataFrame:
@@ -50,11 +51,11 @@ def pagerank(out: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float
     return rank.select("id", "rank")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, k: int = 200, seed: int = 42, normalise: bool = True) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, k: int = 200, seed: int = 42, normalise: bool = True, broadcast_arcs: int = BROADCAST_ARCS) -> DataFrame:
     """(id, betweenness) per node: k random pairs with replacement, scaled to all pairs; all pairs if there are no more than k.
 
-    The graph is broadcast behind a check of its size; sources run in parallel, one backward pass per source however
-    many of its targets were drawn.
+    A graph of a checked size is broadcast, and sources run in parallel, one backward pass per source however many of its
+    targets were drawn.  A larger one takes part in joins on (source, node), see dependencies_by_joins.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -62,24 +63,39 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
     n = nodes.count()
     if n < 2:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    if (m := edges.count()) > BROADCAST_ARCS:
-        raise ValueError(f"{m} edges are more than a broadcast takes ({BROADCAST_ARCS})")
-    e = edges.select("u", "v", "w").toArrow()
-    u, v, w = (e.column(c).to_numpy() for c in ("u", "v", "w"))
-    ids = nodes.select("id").toArrow().column("id").to_numpy()
-    graph = spark.sparkContext.broadcast(Adjacency(np.r_[ids, u, v], u, v, w if weighted else None, directed))
     pairs = n * (n - 1) if directed else n * (n - 1) // 2
     if k >= pairs:
-        sources, targets, scale = spark.range(n).toDF("s"), None, 1.0 if directed else 0.5
+        drawn, scale = None, 1.0 if directed else 0.5
     else:
         rng = np.random.default_rng(seed)
         s = rng.integers(0, n, k)
         t = (s + 1 + rng.integers(0, n - 1, k)) % n
-        sources, scale = spark.createDataFrame([(int(x),) for x in np.unique(s)], "s long"), pairs / k
+        scale = pairs / k
         drawn: dict[int, dict[int, float]] = {}
         for a, b in zip(s.tolist(), t.tolist(), strict=True):
             drawn.setdefault(a, {})[b] = drawn.get(a, {}).get(b, 0.0) + 1
-        targets = spark.sparkContext.broadcast(drawn)
+    if edges.count() <= broadcast_arcs:
+        got = _by_broadcast(edges, nodes, directed, weighted, drawn)
+    else:
+        got = dependencies_by_joins(edges, nodes, directed, weighted, drawn)
+    got = got.groupBy("id").agg((F.sum("b") * scale).alias("b"))
+    out = nodes.join(got, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+    if normalise:
+        out = cut(out)
+        top = out.agg(F.max("betweenness")).first()[0]
+        out = out.withColumn("betweenness", F.col("betweenness") / top) if top and top > 0 else out
+    return out
+
+
+def _by_broadcast(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
+    """(id, b): shares of the paths of all pairs, or of the drawn ones, given by places among the ascending ids."""
+    spark = nodes.sparkSession
+    e = edges.select("u", "v", "w").toArrow()
+    u, v, w = (e.column(c).to_numpy() for c in ("u", "v", "w"))
+    ids = nodes.select("id").toArrow().column("id").to_numpy()
+    graph = spark.sparkContext.broadcast(Adjacency(np.r_[ids, u, v], u, v, w if weighted else None, directed))
+    targets = None if drawn is None else spark.sparkContext.broadcast(drawn)
+    sources = spark.range(len(ids)).toDF("s") if drawn is None else spark.createDataFrame([(x,) for x in sorted(drawn)], "s long")
 
     def run(batches):
         g = graph.value
@@ -90,10 +106,49 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
                     total[x] = total.get(x, 0.0) + share
         yield pa.record_batch({"id": pa.array(g.ids[list(total)].astype(np.int64) if total else [], pa.int64()), "b": pa.array(list(total.values()), pa.float64())})
 
-    got = sources.repartition(spark.sparkContext.defaultParallelism, "s").mapInArrow(run, "id long, b double").groupBy("id").agg((F.sum("b") * scale).alias("b"))
-    out = nodes.join(got, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
-    if normalise:
-        out = cut(out)
-        top = out.agg(F.max("betweenness")).first()[0]
-        out = out.withColumn("betweenness", F.col("betweenness") / top) if top and top > 0 else out
-    return out
+    return sources.repartition(spark.sparkContext.defaultParallelism, "s").mapInArrow(run, "id long, b double")
+
+
+def dependencies_by_joins(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
+    """What _by_broadcast gives, with joins only: distances by relaxing what improved, then the arcs on shortest paths, along
+    which path counts go forward and shares go back, a round for each arc of the longest shortest path."""
+    spark = nodes.sparkSession
+    w = F.col("w") if weighted else F.lit(1.0)
+    arcs = edges.select("u", "v", w.alias("w"))
+    arcs = cut(arcs if directed else arcs.union(arcs.select("v", "u", "w")))
+    if drawn is None:
+        sources, wanted = nodes.select(F.col("id").alias("s")), None
+    else:
+        ranked = nodes.select("id").orderBy("id").withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
+        ranked = cut(ranked)
+        per = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+        place = ranked.join(F.broadcast(per.select("part", "lo", before.alias("before"))), "part").select("id", (F.col("before") + F.col("m") - F.col("lo")).alias("place"))
+        rows = [(a, b, x) for a, row in drawn.items() for b, x in row.items()]  # at most k
+        told = spark.createDataFrame(rows, "a long, b long, own double")
+        wanted = told.join(place.select(F.col("id").alias("s"), F.col("place").alias("a")), "a").join(place.select(F.col("id").alias("v"), F.col("place").alias("b")), "b")
+        wanted = cut(wanted.select("s", "v", "own"))
+        sources = wanted.select("s").distinct()
+    far = front = cut(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d")))
+    while not front.isEmpty():
+        told = front.join(arcs.select(F.col("u").alias("v"), F.col("v").alias("to"), "w"), "v").groupBy("s", F.col("to").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        both = cut(far.join(told, ["s", "v"], "full").select("s", "v", F.least("d", "new").alias("d"), (F.coalesce(F.col("new") < F.col("d"), F.col("d").isNull())).alias("moved")))
+        far, front = both.select("s", "v", "d"), both.filter("moved").select("s", "v", "d")
+    near = far.withColumnsRenamed({"v": "u", "d": "du"})
+    tie = F.abs(F.col("du") + F.col("w") - F.col("d")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("du") + F.col("w")), F.abs(F.col("d")))
+    tree = cut(near.join(arcs, "u").join(far, ["s", "v"]).filter(tie & (F.col("du") < F.col("d"))).select("s", "u", "v"))
+    paths = front = cut(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("c")))
+    while not front.isEmpty():
+        front = cut(front.withColumnRenamed("v", "u").join(tree, ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")))
+        paths = cut(paths.union(front).groupBy("s", "v").agg(F.sum("c").alias("c")))
+    share = tree.join(paths.withColumnsRenamed({"v": "u", "c": "cu"}), ["s", "u"]).join(paths, ["s", "v"]).select("s", "u", "v", (F.col("cu") / F.col("c")).alias("r"))
+    share = cut(share.filter("u <> s"))  # ends of a path take no share
+    own = far.filter("s <> v").select("s", "v", F.lit(1.0).alias("own")) if wanted is None else wanted.join(far.select("s", "v"), ["s", "v"], "left_semi")
+    front, total = own.withColumnRenamed("own", "x"), None
+    while True:
+        front = cut(front.join(share, ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("x") * F.col("r")).alias("x")).select("s", F.col("u").alias("v"), "x"))
+        if front.isEmpty():
+            break
+        part = front.select(F.col("v").alias("id"), F.col("x").alias("b"))
+        total = part if total is None else total.union(part)
+    return total if total is not None else nodes.select("id", F.lit(0.0).alias("b"))

@@ -1,7 +1,8 @@
 """Graph: an immutable simple graph as two DataFrames and its flags.
 
 edges(u, v, w) holds each edge once: u < v when undirected, every arc when directed; w is 1.0 in unweighted graphs.
-nodes(id) holds the ids ever touched: an edge or add_node touches them, removing edges does not untouch them.
+extra(id) holds ids that were touched besides the ends of these edges: by add_node, or by an edge removed since.  It may
+name ends of edges too.  So a graph that only grew is one table, and its measures one pass over it.
 Changing methods return a new Graph; plans stay lazy except for validation, which is one aggregate over a batch, or part
 of the plan where the caller asks for that.
 """
@@ -41,7 +42,7 @@ def good_weight(w: str = "w") -> str:
 @dataclass(frozen=True)
 class Graph:
     edges: DataFrame
-    touched: DataFrame
+    extra: DataFrame
     directed: bool = False
     weighted: bool = False
     base_ids: int = 0
@@ -106,8 +107,7 @@ class Graph:
         else:
             first = self._canonical(df.filter("u <> v")).groupBy("u", "v").agg(best)
         fresh = first.join(self.edges, ["u", "v"], "left_anti")
-        ends = fresh.select(F.explode(F.array("u", "v")).alias("id"))
-        return replace(self, edges=self.edges.unionByName(fresh), touched=self.touched.union(ends).distinct())
+        return replace(self, edges=self.edges.unionByName(fresh))
 
     def add_edge(self, u: int, v: int, w: float = 1.0) -> tuple[Graph, bool]:
         if u == v:
@@ -126,7 +126,7 @@ class Graph:
 
     def remove_edges(self, edges: DataFrame | Iterable[tuple]) -> Graph:
         gone = self._canonical(self._frame(edges).select("u", "v"))
-        return replace(self, edges=self.edges.join(gone, ["u", "v"], "left_anti"))
+        return replace(self, edges=self.edges.join(gone, ["u", "v"], "left_anti"), extra=self.touched)
 
     def remove_edge(self, u: int, v: int) -> tuple[Graph, bool]:
         if u == v or not self.has_edge(u, v):
@@ -155,7 +155,7 @@ class Graph:
     def add_nodes(self, start: int, count: int) -> Graph:
         if start < 0 or count < 0 or start + count > ID_END:
             raise IndexError("node ids out of range")
-        return replace(self, touched=self.touched.union(self.spark.range(start, start + count).toDF("id")).distinct())
+        return replace(self, extra=self.extra.union(self.spark.range(start, start + count).toDF("id")))
 
     def count_new_nodes(self, start: int, count: int) -> tuple[Graph, int]:
         """add_nodes and the number of nodes that were new."""
@@ -174,7 +174,7 @@ class Graph:
         return (self.add_nodes(u, 1), True) if fresh else (self, False)
 
     def add_node_frame(self, ids: DataFrame) -> Graph:
-        return replace(self, touched=self.touched.union(ids.select(F.col(ids.columns[0]).cast("long"))).distinct())
+        return replace(self, extra=self.extra.union(ids.select(F.col(ids.columns[0]).cast("long"))))
 
     def reserve_nodes(self, n: int) -> Graph:
         """Room for ids below n, until the graph is cleared."""
@@ -193,10 +193,15 @@ class Graph:
 
     def copy(self) -> Graph:
         """The same values with lineage cut; later clears keep today's id range."""
-        return replace(self, edges=cut(self.edges), touched=cut(self.touched), base_ids=self.n_ids(), reserved=0)
+        return replace(self, edges=cut(self.edges), extra=cut(self.extra.distinct()), base_ids=self.n_ids(), reserved=0)
 
     # lookups
 
+    @property
+    def touched(self) -> DataFrame:
+        """(id) of every touched node, once."""
+        return self.edges.select(F.explode(F.array("u", "v")).alias("id")).union(self.extra).distinct()
+
     def nodes(self) -> DataFrame:
         return self.touched.orderBy("id")
 
@@ -263,10 +268,11 @@ class Graph:
     # degrees and totals
 
     def degrees(self) -> DataFrame:
-        return metrics.degrees(self._out(), self.touched)
+        return metrics.per_node(self.edges, self.extra, self.directed).select("id", F.col("n").alias("degree"))
 
     def in_degrees(self) -> DataFrame:
-        return metrics.degrees(self._in(), self.touched)
+        into = metrics.flipped(self.edges) if self.directed else self.edges
+        return metrics.per_node(into, self.extra, self.directed).select("id", F.col("n").alias("degree"))
 
     def degree(self, u: int) -> int:
         return self._out().filter(F.col("u") == u).count()
@@ -283,7 +289,7 @@ class Graph:
         return top.join(found, "degree", "left").select("degree", F.coalesce("nodes", F.lit(0)).alias("nodes"))
 
     def stats(self) -> DataFrame:
-        return metrics.stats(self.edges, self.touched, self.degrees(), self.directed)
+        return metrics.stats(metrics.per_node(self.edges, self.extra, self.directed), self.directed)
 
     def max_degree(self) -> int:
         return self.stats().first().max_degree
@@ -295,7 +301,7 @@ class Graph:
         return self.stats().first().density
 
     def strengths(self) -> DataFrame:
-        return metrics.strengths(self._out(), self.touched)
+        return metrics.per_node(self.edges, self.extra, self.directed).select("id", F.col("w").alias("strength"))
 
     def strength(self, u: int) -> float:
         return self._out().filter(F.col("u") == u).agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 
 def listing(edges: DataFrame) -> DataFrame:
-    """(a, b, c) with a < b < c for canonical undirected edges (u < v, each once)."""
+    """(a, b, c) with a < b < c for canonical undirected edges (u < v, each once), which are computed once and kept."""
+    edges = cut(edges.select("u", "v"))
     degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     du, dv = degree.select(F.col("id").alias("u"), F.col("d").alias("du")), degree.select(F.col("id").alias("v"), F.col("d").alias("dv"))
     known = edges.select("u", "v").join(du, "u").join(dv, "v")
@@ -25,6 +27,7 @@ def local(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    edges = cut(edges.select("u", "v"))
     degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     both = local(edges, nodes).join(degree, "id", "left")
     d = F.col("d")

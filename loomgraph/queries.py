@@ -160,6 +160,13 @@ def isolates(spark, d):
     return g.degrees().filter("degree = 0").select("id")
 
 
+@query(f"WITH {UND} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT u FROM s)")
+def isolated_parts(spark, d):
+    """The graph of users with all part keys as nodes: keys beyond the users' ids have no edge."""
+    g = undirected(spark, d).add_node_frame(table(spark, d, "part").select("p_partkey"))
+    return g.degrees().filter("degree = 0").select("id")
+
+
 @query(f"WITH {TRI} SELECT count(*) AS triangles FROM t")
 def triangle_count(spark, d):
     return undirected(spark, d).triangles().agg(F.count(F.lit(1)).alias("triangles"))
@@ -508,7 +515,7 @@ def quarters(log: DataFrame) -> DataFrame:
 
 _AT = f"{_LOG}, c AS (SELECT (SELECT max(seq) FROM evt WHERE w > 0) * unnest(range(1, 5)) // 4 AS upto), ww AS (SELECT u, v, ep, seq, w FROM q WHERE effective AND op <> 'remove'), e AS (SELECT c.upto, g.u, g.v, (SELECT arg_max(w, seq) FROM ww WHERE ww.u = g.u AND ww.v = g.v AND ww.ep = g.ep AND ww.seq <= c.upto) AS w FROM c JOIN g ON g.born <= c.upto AND (g.died IS NULL OR g.died > c.upto)), s AS (SELECT upto, u, v, w FROM e UNION ALL SELECT upto, v, u, w FROM e), n AS (SELECT c.upto, id FROM c JOIN (SELECT id, min(seq) AS seq FROM (SELECT unnest([u, v]) AS id, seq FROM q WHERE op = 'add' AND effective) GROUP BY id) f ON f.seq <= c.upto), dg AS (SELECT n.upto, n.id, count(s.v) AS degree, coalesce(sum(s.w), 0) AS strength FROM n LEFT JOIN s ON s.upto = n.upto AND s.u = n.id GROUP BY ALL)"
 _AT_TRI = f"{_AT}, t AS (SELECT x.upto, x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON y.upto = x.upto AND y.u = x.v JOIN e z ON z.upto = x.upto AND z.u = x.u AND z.v = y.v), k AS (SELECT upto, id, count(*) AS n FROM (SELECT upto, unnest([a, b, c]) AS id FROM t) GROUP BY ALL), lo AS (SELECT dg.upto, dg.id, degree, coalesce(k.n, 0) AS triangles, CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(k.n, 0) / (degree * (degree - 1)) END AS clustering FROM dg LEFT JOIN k ON k.upto = dg.upto AND k.id = dg.id)"
-_AT_WCC = f"{_AT}, r(upto, id, k) USING KEY (upto, id) AS (SELECT upto, id, id AS k FROM n UNION SELECT s.upto, s.v, min(r.k) FROM r JOIN s ON s.upto = r.upto AND s.u = r.id JOIN recurring.r AS z ON z.upto = s.upto AND z.id = s.v WHERE r.k < z.k GROUP BY s.upto, s.v)"
+_AT_WCC = f"{_AT}, wc(upto, id, k) USING KEY (upto, id) AS (SELECT upto, id, id AS k FROM n UNION SELECT s.upto, s.v, min(wc.k) FROM wc JOIN s ON s.upto = wc.upto AND s.u = wc.id JOIN recurring.wc AS z ON z.upto = s.upto AND z.id = s.v WHERE wc.k < z.k GROUP BY s.upto, s.v)"
 
 
 def at_quarters(spark, d) -> DataFrame:
@@ -541,12 +548,12 @@ def prefix_clustering(spark, d):
     return at_quarters(spark, d).select("upto", "id", F.round("clustering", 6).alias("clustering"))
 
 
-@query(f"WITH RECURSIVE {_AT_WCC} SELECT upto, id, k AS component_id FROM r")
+@query(f"WITH RECURSIVE {_AT_WCC} SELECT upto, id, k AS component_id FROM wc")
 def prefix_components(spark, d):
     return at_quarters(spark, d).select("upto", "id", "component_id")
 
 
-@query(f"WITH RECURSIVE {_AT_WCC.replace(_AT, _AT_TRI)}, a AS (SELECT upto, count(*) AS n, max(degree) AS top, avg(clustering) AS cl, sum(triangles) // 3 AS tr FROM lo GROUP BY upto), b AS (SELECT upto, count(*) AS m, sum(w) AS tw FROM e GROUP BY upto), rr AS (SELECT upto, count(DISTINCT k) AS nc FROM r GROUP BY upto) SELECT upto, n AS n_nodes, m AS n_edges, round(tw, 2) AS total_weight, top AS max_degree, round(2.0 * m / n, 6) AS avg_degree, round(2.0 * m / (n * (n - 1)), 6) AS density, tr::BIGINT AS n_triangles, round(cl, 6) AS avg_clustering, nc AS n_components FROM a JOIN b USING (upto) JOIN rr USING (upto)")
+@query(f"WITH RECURSIVE {_AT_WCC.replace(_AT, _AT_TRI)}, a AS (SELECT upto, count(*) AS n, max(degree) AS top, avg(clustering) AS cl, sum(triangles) // 3 AS tr FROM lo GROUP BY upto), b AS (SELECT upto, count(*) AS m, sum(w) AS tw FROM e GROUP BY upto), rr AS (SELECT upto, count(DISTINCT k) AS nc FROM wc GROUP BY upto) SELECT upto, n AS n_nodes, m AS n_edges, round(tw, 2) AS total_weight, top AS max_degree, round(2.0 * m / n, 6) AS avg_degree, round(2.0 * m / (n * (n - 1)), 6) AS density, tr::BIGINT AS n_triangles, round(cl, 6) AS avg_clustering, nc AS n_components FROM a JOIN b USING (upto) JOIN rr USING (upto)")
 def prefix_stats(spark, d):
     log = cut(mutations(spark, d))
     got = prefix_totals(log, quarters(log), weighted=True).withColumnRenamed("at", "upto")

@@ -134,18 +134,29 @@ def load(spark: SparkSession, path: str) -> Graph:
 
 
 def save(graph: Graph, path: str) -> None:
-    """Streams sorted rows through the driver, a partition at a time, into path.tmp, then renames it."""
+    """Tasks sort and encode ranges of rows; the driver appends their bytes in order to path.tmp, a batch at a time, and renames it."""
     fs, at = filesystem(path)
     n, m = graph.n_nodes(), graph.n_edges()
     flags = graph.directed | graph.weighted << 1
+    kind = np.dtype([("u", "<u4"), ("v", "<u4")] + ([("w", "<f8")] if graph.weighted else []))
+
+    def ids(batches):
+        for b in batches:
+            yield pa.record_batch({"data": pa.array([b.column(0).to_numpy().astype("<u4").tobytes()], pa.binary())})
+
+    def edges(batches):
+        for b in batches:
+            rows = np.empty(b.num_rows, kind)
+            for k, name in enumerate(kind.names):
+                rows[name] = b.column(k).to_numpy()
+            yield pa.record_batch({"data": pa.array([rows.tobytes()], pa.binary())})
+
     temp = at + ".tmp"
     with fs.open_output_stream(temp) as f:
         f.write(b"EDGS" + struct.pack("<HBQQQ", 3, flags, graph.n_ids(), n, m))
-        for r in graph.nodes().toLocalIterator():
-            f.write(struct.pack("<I", r.id))
-        form = struct.Struct("<IId" if graph.weighted else "<II")
-        for r in graph.edge_list().toLocalIterator():
-            f.write(form.pack(r.u, r.v, r.w) if graph.weighted else form.pack(r.u, r.v))
+        for encoded in (graph.nodes().mapInArrow(ids, "data binary"), graph.edge_list().mapInArrow(edges, "data binary")):
+            for r in encoded.toLocalIterator():
+                f.write(r.data)
     fs.move(temp, at)
 
 

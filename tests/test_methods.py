@@ -80,6 +80,19 @@ def test_directed_betweenness(spark):
     assert all(b == 0 for _, b in values(meeting.betweenness_approx(k=10**6), "id", "betweenness"))
 
 
+@pytest.mark.parametrize(("directed", "weighted"), [(False, False), (True, False), (False, True), (True, True)])
+@pytest.mark.parametrize("k", [25, 10**6])
+def test_betweenness_by_joins_equals_the_kernel(spark, directed, weighted, k):
+    from loomgraph.operators.centrality import betweenness
+
+    rng = random.Random(2)
+    edges = [(*rng.sample((u, v), 2), rng.choice([0.5, 1.0, 1.5])) for u, v in itertools.combinations(range(9), 2) if rng.random() < 0.4] + [(20, 21, 1.0)]
+    g = graph(spark, edges, directed=directed, weighted=weighted).add_nodes(30, 1)
+    one = dict(values(betweenness(g.edges, g.touched, directed, weighted, k, 3, False), "id", "betweenness"))
+    two = dict(values(betweenness(g.edges, g.touched, directed, weighted, k, 3, False, broadcast_arcs=-1), "id", "betweenness"))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-9 for i in one) and any(one.values())
+
+
 @pytest.mark.parametrize("arcs", list(itertools.permutations([(0, 1), (1, 2), (2, 0)]))[::2])
 def test_directed_triangles_in_any_order(spark, arcs):
     assert graph(spark, list(arcs), directed=True).triangle_count() == 1
