@@ -22,8 +22,11 @@ from ..sources.edgs import load_parquet, save_parquet
 EVENTS = "u long, v long, event string, at timestamp, w double"
 
 
-def maintain(log: DataFrame, path: str, checkpoint: str, directed: bool = False, weighted: bool = False, **trigger) -> StreamingQuery:
-    """Applies log rows (seq, op, u, v, w) batch by batch; version k of the graph is path/k (Graph via load_parquet)."""
+def maintain(log: DataFrame, path: str, checkpoint: str, directed: bool = False, weighted: bool = False, measures: bool = False, **trigger) -> StreamingQuery:
+    """Applies log rows (seq, op, u, v, w) batch by batch; version k of the graph is path/k (Graph via load_parquet).
+
+    With ``measures`` each version's totals are a row of path/metrics, see totals; ``batch`` is the version.
+    """
 
     def step(batch: DataFrame, k: int) -> None:
         spark = batch.sparkSession
@@ -35,10 +38,21 @@ def maintain(log: DataFrame, path: str, checkpoint: str, directed: bool = False,
         edges = lifetimes(rows, directed).filter("died IS NULL").select("u", "v", F.col("weight").alias("w"))
         touched = before.touched.union(first_touches(rows, directed).select("id")).distinct()
         save_parquet(Graph(edges, touched, directed, weighted, old.base_ids), f"{path}/{k}")
+        if measures:
+            totals(load_parquet(spark, f"{path}/{k}")).write.mode("overwrite").parquet(f"{path}/metrics/batch={k}")
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def totals(graph: Graph) -> DataFrame:
+    """One row: what Graph.stats gives, n_triangles, avg_clustering and n_components."""
+    one = F.lit(1)
+    triangles = graph.triangles().agg(F.count(one).alias("n_triangles"))
+    clustering = graph.clustering().agg(F.coalesce(F.avg("clustering"), F.lit(0.0)).alias("avg_clustering"))
+    components = graph.component_ids().agg(F.count_if(F.col("id") == F.col("component_id")).alias("n_components"))
+    return graph.stats().crossJoin(triangles).crossJoin(clustering).crossJoin(components)  # one row each
+
+
 def expiring(events: DataFrame, width_s: float, delay: str = "0 seconds") -> DataFrame:
     """Events (u, v, event, at, w) from a stream of (u, v, ts timestamp, w[, seq]): added, refreshed, or expired by the watermark.
 

@@ -208,9 +208,11 @@ def test_stream_maintenance(spark, tmp_path):
     shape = "seq long, op string, u long, v long, w double"
     spark.createDataFrame([(1, "add", 0, 1, 1.0), (2, "add", 1, 2, 1.0)], shape).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/in")
-    maintain(stream, f"{tmp_path}/g", f"{tmp_path}/c").awaitTermination()
+    maintain(stream, f"{tmp_path}/g", f"{tmp_path}/c", measures=True).awaitTermination()
     spark.createDataFrame([(3, "remove", 1, 0, None)], shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    maintain(stream, f"{tmp_path}/g", f"{tmp_path}/c").awaitTermination()
+    maintain(stream, f"{tmp_path}/g", f"{tmp_path}/c", measures=True).awaitTermination()
+    measured = values(spark.read.parquet(f"{tmp_path}/g/metrics"), "batch", "n_nodes", "n_edges", "max_degree", "n_triangles", "n_components")
+    assert measured == [(0, 3, 2, 2, 0, 1), (1, 3, 1, 1, 0, 2)]
     assert load_parquet(spark, f"{tmp_path}/g/0").n_edges() == 2
     g = load_parquet(spark, f"{tmp_path}/g/1")
     assert values(g.edges, "u", "v") == [(1, 2)] and g.n_nodes() == 3
