@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from functools import lru_cache
 from itertools import islice
@@ -29,8 +31,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(*BATCH)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; it goes when this driver ends, as results are read from it until then."""
+    if not _SCRATCH:
+        atexit.register(_sweep)
+    _SCRATCH.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def _sweep() -> None:
+    for path in _SCRATCH:
+        with contextlib.suppress(OSError):  # never written, or gone
+            fs, at = filesystem(path)
+            fs.delete_dir(at)
 
 
 def filesystem(url: str) -> tuple[pafs.FileSystem, str]:

@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -329,6 +330,24 @@ def test_quality(spark):
     assert [r["score"] for r in none] == [0.5] * 3
 
 
+def test_quality_on_odd_rows(spark):
+    """A column named score, repeated and null ids with labels, very long texts; the sample stays bounded where ids repeat."""
+    rng = random.Random(5)
+    rows = [(i % 40, " ".join(rng.choices(WORDS, k=50)) + ".") for i in range(160)] + [(100 + i, "### " * 40) for i in range(40)]
+    rows += [(None, None), (None, "a b"), (7, "word " * 20_000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)] + [(3, 0)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' AS score", "1 AS y", "2 AS t")
+    for most in (20_000, 60):
+        got = collected(quality.score_quality(df, labels, max_train=most))
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+        by = {}
+        for r in got:
+            by.setdefault(r["text"], set()).add(r["score"])
+        assert all(len(s) == 1 for s in by.values())
+    assert quality.score_quality(df.limit(0), labels).count() == 0
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
