@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  Each is
 judged on what its predecessor kept.  Between stages the rows are written as Parquet and read again, so a lost executor
 costs at most a stage.
+
+Defined results: a null or empty text is a document like any other: it gets a score, the first of those kept stays (they
+are equal to each other), nothing is removed from it, and it is packed as one end token.  Repeated or null ids are
+documents of their own, the first of equal texts stays, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
