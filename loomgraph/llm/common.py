@@ -56,6 +56,13 @@ def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url if "://" in url or url.startswith("file:") else "file://" + url)
 
 
+def publish(fs: pafs.FileSystem, temp: str, final: str) -> None:
+    """Gives a finished file its name, also where an earlier attempt of the same task has left one."""
+    if fs.get_file_info(final).type == pafs.FileType.File:
+        fs.delete_file(final)
+    fs.move(temp, final)
+
+
 def shared_table(folder: str) -> pa.Table | None:
     """Rows of the Parquet files in a shared folder; None if there is none."""
     fs, at = filesystem(folder)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, cut, filesystem, keyed
+from .common import RID, cut, filesystem, keyed, publish
 
 CRLF = b"\r\n"
 READ = "record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, error string"
@@ -99,7 +99,7 @@ def write_warc(pages: DataFrame, directory: str, id_col: str = "page_id", url_co
         def close():
             out.close()
             final = f"{root}/part-{context.partitionId():05d}-{len(paths):05d}.warc.gz"
-            fs.move(temp, final)
+            publish(fs, temp, final)
             paths.append(final)
             counts.append(n)
             sizes.append(size)
