@@ -140,6 +140,21 @@ def windows(w: np.ndarray, coef: np.ndarray) -> np.ndarray:
     return mixed(h)
 
 
+def grouped(which: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in order of (which, h), equal pairs in any order; which from 0.
+
+    One sort of a packed key; where its bits do not tell two values apart, a sort by both.
+    """
+    bits = int(which.max()).bit_length() if len(which) else 0
+    key = h if not bits else which.astype(np.uint64) << np.uint64(64 - bits) | h >> np.uint64(bits)
+    order = np.argsort(key)
+    if bits:
+        key, seen = key[order], h[order]
+        if np.any((key[1:] == key[:-1]) & (seen[1:] != seen[:-1])):
+            return np.lexsort((h, which))
+    return order
+
+
 def pack(a: np.ndarray) -> bytes:
     """Fixed-width integers split into byte planes and compressed: constant high bytes cost nothing."""
     raw = np.ascontiguousarray(a)
