@@ -29,9 +29,9 @@ _SHARD, _SIZE = "__lg_shard", "__lg_size"
 
 
 def leaf_depths(size: np.ndarray, rows: np.ndarray, limit: int) -> np.ndarray:
-    """For each of 2**BITS buckets the depth at which its prefix fits, or -1."""
+    """For each of a power of two of buckets the depth at which its prefix fits, or -1."""
     out = np.full(len(size), -1, np.int64)
-    for depth in range(BITS, -1, -1):
+    for depth in range(len(size).bit_length() - 1, -1, -1):
         s, n = (a.reshape(1 << depth, -1).sum(1) for a in (size, rows))
         fits = np.repeat((s <= limit) | (n <= 1), len(size) >> depth)
         out[fits] = depth
@@ -53,9 +53,9 @@ def bits_of(key: str = RID) -> Column:
     return F.lpad(number, 4 * DIGITS, "0")
 
 
-def _splitter(limit: int):
+def _splitter(limit: int, bits: int):
     def directory(key, part):
-        size, rows = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        size, rows = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         at = np.array([int(x, 2) for x in part["sub"]], np.int64)
         size[at], rows[at] = part["bytes"], part["rows"]
         return pd.DataFrame({"prefix": key[0], "sub": part["sub"], "leaf": leaf_depths(size, rows, limit)[at]})
@@ -71,7 +71,7 @@ def _directory(rows: DataFrame, limit: int) -> list[DataFrame]:
         done = BITS * len(levels)
         tagged = live.withColumns({"prefix": F.substring("bits", 1, done) if done else F.lit(""), "sub": F.substring("bits", done + 1, BITS)})
         sums = tagged.groupBy("prefix", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        levels.append(cut(sums.groupBy("prefix").applyInPandas(_splitter(limit), "prefix string, sub string, leaf long")))
+        levels.append(cut(sums.groupBy("prefix").applyInPandas(_splitter(limit, BITS), "prefix string, sub string, leaf long")))
         still = levels[-1].filter("leaf < 0")
         if still.isEmpty():
             break

@@ -415,7 +415,7 @@ def test_bm25(spark, monkeypatch, shard_bytes):
     """One shard, and rounds of several; null, empty, long and repeated texts among documents and queries."""
     monkeypatch.setattr(bm25, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(bm25, "FIRST", 1)
-    rows = corpus(8, 150) + [(800 + k, "alpha beta gamma") for k in range(6)]
+    rows = corpus(8, 150) + [(800 + k, "three equal texts") for k in range(6)]
     d = frame(spark, rows)
     asked = [(i, t) for i, t in rows if i % 7 == 0 or i >= 150]
     want = best_by_hand(rows, asked, 10)
