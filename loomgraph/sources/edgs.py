@@ -7,6 +7,7 @@ then ascending u32 node ids, then edges u32 u, u32 v[, f64 w].  Version 2 has th
 from __future__ import annotations
 
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.graph import EDGES, ID_END, Graph
+from ..plans.lineage import cut
 
 HEADS = {b"EDGS": 3, b"SGDE": 2}
 BLOCK = 1_000_000
@@ -111,6 +113,7 @@ def load(spark: SparkSession, path: str) -> Graph:
     edges = spark.read.format("edgs").option("part", "edges").load(path)
     if not h["directed"]:
         edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+    edges = cut(edges)  # the file is read once, and what was checked is what is used
     wrong = edges.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("hi"), F.min("w").alias("lo")).filter("n > 1 OR u = v OR NOT (lo > 0 AND hi < double('Infinity') AND NOT isnan(hi))")
     if not wrong.isEmpty():
         raise RuntimeError("invalid or duplicate edge")
@@ -119,6 +122,7 @@ def load(spark: SparkSession, path: str) -> Graph:
         return Graph(edges, ends, h["directed"], h["weighted"], 0)
     nodes = spark.read.format("edgs").option("part", "nodes").load(path)
     try:
+        nodes = cut(nodes)
         got = nodes.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).first()
     except Exception as e:
         if "bad touched list" in str(e):
@@ -136,7 +140,11 @@ def load(spark: SparkSession, path: str) -> Graph:
 def save(graph: Graph, path: str) -> None:
     """Tasks sort and encode ranges of rows; the driver appends their bytes in order to path.tmp, a batch at a time, and renames it."""
     fs, at = filesystem(path)
-    n, m = graph.n_nodes(), graph.n_edges()
+    whole = replace(graph, edges=cut(graph.edge_list()))
+    listed = cut(whole.nodes())
+    n, m = listed.count(), whole.n_edges()
+    top = listed.agg(F.max("id")).first()[0]
+    n_ids = max(graph.base_ids, graph.reserved, 0 if top is None else top + 1)
     flags = graph.directed | graph.weighted << 1
     kind = np.dtype([("u", "<u4"), ("v", "<u4")] + ([("w", "<f8")] if graph.weighted else []))
 
@@ -153,8 +161,8 @@ def save(graph: Graph, path: str) -> None:
 
     temp = at + ".tmp"
     with fs.open_output_stream(temp) as f:
-        f.write(b"EDGS" + struct.pack("<HBQQQ", 3, flags, graph.n_ids(), n, m))
-        for encoded in (graph.nodes().mapInArrow(ids, "data binary"), graph.edge_list().mapInArrow(edges, "data binary")):
+        f.write(b"EDGS" + struct.pack("<HBQQQ", 3, flags, n_ids, n, m))
+        for encoded in (listed.mapInArrow(ids, "data binary"), whole.edges.mapInArrow(edges, "data binary")):
             for r in encoded.toLocalIterator():
                 f.write(r.data)
     fs.move(temp, at)
