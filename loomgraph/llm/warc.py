@@ -22,13 +22,12 @@ import base64
 import hashlib
 import zlib
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, cut, filesystem, keyed, publish
+from .common import RID, cut, filesystem, keyed, publish, scratch_path
 
 CRLF = b"\r\n"
 READ = "record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, error string"
@@ -126,7 +125,7 @@ def write_warc(pages: DataFrame, directory: str, id_col: str = "page_id", url_co
     return files, rows.select(F.concat(F.lit("<urn:page:"), F.col("key").cast("string"), F.lit(">")).alias("record_id"), "id")
 
 
-def bytes_of(stream, block: int = 1 << 20):
+def bytes_of(stream, block: int = 1 << 15):
     """Decompressed pieces of an archive, which may be plain or of one or more gzip members."""
     z, first = None, True
     while data := stream.read(block):
@@ -266,10 +265,29 @@ def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = Tru
                         rows, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=columns)
 
-    def join(key, part):
-        got = reassembled([(int(n), None if pd.isna(t) else int(t), h if isinstance(h, str) else None, bytes(x)) for n, t, h, x in zip(part["number"], part["total"], part["head"], part["block"], strict=True)], key[0])
-        return pd.DataFrame([shown(got)], columns=_READ_NAMES).astype({"payload_bytes": "Int64"})
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds[:8])], names=_READ_NAMES)
 
-    found = cut(names.mapInArrow(read, f"{READ}, {_SEGMENT}"))
-    segments = found.filter("origin IS NOT NULL").select(*columns[8:])
-    return found.filter("origin IS NULL").select(*_READ_NAMES).union(segments.groupBy("origin").applyInPandas(join, READ))
+    def join(batches):
+        """Segments come in order of origin: one record's are held at a time, and a bounded run of results."""
+        here, held, rows, size = None, [], [], 0
+        for b in batches:
+            for origin, number, total, head, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and origin != here:
+                    rows.append(shown(reassembled(held, here)))
+                    size += sum(len(x[3]) for x in held)
+                    held = []
+                    if size > 8 << 20 or len(rows) >= 5_000:
+                        yield table(rows)
+                        rows, size = [], 0
+                here = origin
+                held.append((number, total, head, block))
+        if held:
+            rows.append(shown(reassembled(held, here)))
+        yield table(rows)
+
+    kept = scratch_path(files.sparkSession, "warc-records")
+    names.mapInArrow(read, f"{READ}, {_SEGMENT}").write.option("compression", "zstd").parquet(kept)
+    found = files.sparkSession.read.schema(f"{READ}, {_SEGMENT}").parquet(kept)
+    segments = found.filter("origin IS NOT NULL").select(*columns[8:]).repartition("origin").sortWithinPartitions("origin", "number")
+    return found.filter("origin IS NULL").select(*_READ_NAMES).union(segments.mapInArrow(join, READ))
