@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import bm25, bpe, exact_dedup, jaccard, packing, quality, sharding, substring_dedup, token_counts, warc
@@ -459,6 +460,42 @@ def test_bm25_pruning_is_exact_on_many_blocks(spark):
             assert shard.read_postings < shard.all_postings
 
 
+def test_bm25_words_are_hashed_a_column_at_a_time(monkeypatch):
+    """The words that bytes.split() gives, equal hashes for equal words only, and no call for each short word."""
+    import xxhash
+
+    calls, one = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or one(w))
+    rng = np.random.default_rng(8)
+    parts = np.array(["a", "B", "Z", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x00", "\x1c", "\x85", "\u3000", "é", "日本", "x" * 40], object)
+    texts = [None, "", " ", "a A", "Z" * 300_000 + " b  " + "y" * 131_072 + " c", "d e " * 60_000]
+    texts += ["".join(rng.choice(parts, n)) for n in rng.integers(0, 50, 1_500)]
+    ids, lens, doc, term, tf = (np.concatenate(x) for x in zip(*bm25.doc_terms([pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["i", "t"])], 1 << 40), strict=True))
+    words = [(t or "").encode().lower().split() for t in texts]
+    assert ids.tolist() == list(range(len(texts))) and lens.tolist() == [len(w) for w in words]
+    hashes = {}
+    for d, w in enumerate(words):
+        mine = doc == d
+        assert sorted(tf[mine].tolist()) == sorted(w.count(x) for x in set(w)) if len(w) < 1_000 else tf[mine].tolist() == [60_000] * 2
+        if len(set(w)) == 1:
+            assert hashes.setdefault(w[0], int(term[mine][0])) == int(term[mine][0])
+    assert len(np.unique(term)) == len({x for w in words for x in w}) and len(set(hashes.values())) == len(hashes) > 20
+    assert all(len(x) > 32 for x in calls)
+
+
+def test_bm25_scores_a_querys_documents_together(monkeypatch):
+    """Documents near the threshold are scored again in one call for each query, also where many copies tie."""
+    n = 4_000
+    lens, doc, term = np.full(n, 3), np.repeat(np.arange(n), 3), np.tile(np.arange(3), n)
+    term[doc % 2 == 1] += 3
+    shard = bm25.Shard(bm25.index_of(np.arange(n)[::-1], lens, doc, term.astype(np.uint64), np.ones(3 * n, np.int64)), 3.0, 1.2, 0.75)
+    calls, exact = [], shard.exact
+    monkeypatch.setattr(shard, "exact", lambda *x: calls.append(x) or exact(*x))
+    q, i, s = shard.answer(np.array([0, 3, 6]), np.arange(6), np.arange(6, dtype=np.uint64), np.ones(6), np.zeros(2), 10)
+    assert len(calls) == 2 and q == [0] * 10 + [1] * 10
+    assert i == [*range(1, 20, 2), *range(0, 20, 2)] and np.allclose(s, 3)
+
+
 def test_bm25_odd_ids(spark):
     texts = ["a b c", "a b", None, "", "c d e f", "a b c"]
     for ids, kind in ((["x", "y", "z", "u", "v", "w"], "string"), ([1, 1, 2, None, 3, 3], "long")):
