@@ -15,7 +15,7 @@ Encoding
     the sufficient lookahead: a token that ends that many bytes before the end of the buffer is stable.  Tokens
     behind a token border encode as they would alone, so the buffer restarts there and memory stays constant.
 
-    Short units are memoised per worker; their number is bounded.
+    Short units and pieces are memoised per worker; their number is bounded.
 
 Decoding
     Tokens are mapped to bytes, and an incremental UTF-8 machine turns bytes to text, as the encoder emits them, a
@@ -31,7 +31,9 @@ import codecs
 import hashlib
 import heapq
 import json
+import struct
 from functools import lru_cache
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Fixed value: Unicode White_Space, as the pattern's \s.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
-MEMO, MEMO_CHARS, RUN = 300_000, 64, 65_536
+MEMO, PIECE_MEMO, MEMO_CHARS, RUN = 300_000, 300_000, 64, 65_536
 #: Characters of text that the stream encoder takes at a time, and of a unit or piece that it waits for the end of.
 BLOCK, WAIT = 4_096, 1_024
 
@@ -77,6 +79,10 @@ class Merges:
         for k, m in enumerate(model["merges"]):
             a, b = (as_bytes(x) for x in (m if isinstance(m, list) else m.split(" ")))
             self.rank.setdefault((ids[a], ids[b]), (k, ids[a + b]))
+        #: The same rules as one number each, so that the lowest of a list is found at once: rank * base + token.
+        self.base = len(self.bytes_of)
+        self.rule = {pair: k * self.base + new for pair, (k, new) in self.rank.items()}
+        self.none = (len(model["merges"]) + 1) * self.base
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -102,15 +108,17 @@ class Merges:
         t = [self.byte_id[b] for b in data]
         rank = self.rank
         if len(t) <= 48:
-            while len(t) > 1:
-                low, at = None, -1
-                for i in range(len(t) - 1):
-                    r = rank.get((t[i], t[i + 1]))
-                    if r is not None and (low is None or r < low):
-                        low, at = r, i
-                if low is None:
-                    break
-                t[at : at + 2] = [low[1]]
+            get, base, none = self.rule.get, self.base, self.none
+            rules = list(map(get, pairwise(t), repeat(none)))  # of each pair; a merge changes those beside it
+            while rules and (low := min(rules)) < none:
+                i = rules.index(low)
+                new = low % base
+                t[i : i + 2] = [new]
+                del rules[i]
+                if i:
+                    rules[i - 1] = get((t[i - 1], new), none)
+                if i < len(rules):
+                    rules[i] = get((new, t[i + 1]), none)
             return t
         n = len(t)
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -172,22 +180,32 @@ class Encoder:
         self.classes = [(True, regex.compile(r"\s+")), *((False, regex.compile(p)) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+"))]
         self.added = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.merges.added, key=len, reverse=True)) + ")") if self.merges.added else None
         self.longest_added = max(map(len, self.merges.added), default=0)
+        self.machine = Transducer(self.merges)  # of pieces whose end is known; empty between them
         self.memo: dict[str, bytes] = {}
+        self.piece_memo: dict[str, list[int]] = {}
 
     def _unit(self, unit: str) -> bytes:
         got = self.memo.get(unit)
         if got is None:
             ids: list[int] = []
             for piece in self.pieces(unit):
-                machine = Transducer(self.merges)
-                ids += machine.feed(piece.encode("utf-8", "replace"))
-                ids += machine.finish()
-            got = np.array(ids, "<u4").tobytes()
+                ids += self._piece(piece)
+            got = struct.pack(f"<{len(ids)}I", *ids)
             if len(unit) <= MEMO_CHARS:
                 make_room(self.memo, MEMO)
                 self.memo[unit] = got
         return got
 
+    def _piece(self, piece: str) -> list[int]:
+        got = self.piece_memo.get(piece)
+        if got is None:
+            got = self.machine.feed(piece.encode("utf-8", "replace"))
+            got += self.machine.finish()
+            if len(piece) <= MEMO_CHARS:
+                make_room(self.piece_memo, PIECE_MEMO)
+                self.piece_memo[piece] = got
+        return got
+
     def closed(self, text: str) -> bytes:
         """Tokens of a text that nothing continues, without added tokens."""
         memo, unit = self.memo.get, self._unit

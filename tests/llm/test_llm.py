@@ -460,6 +460,22 @@ def test_bm25_pruning_is_exact_on_many_blocks(spark):
             assert shard.read_postings < shard.all_postings
 
 
+def test_bpe_merges_each_piece_once(monkeypatch):
+    """A piece in units of different kinds is merged once, and short pieces of all lengths are as in the library."""
+    import tokenizers
+
+    path = tokenizer("byte_bpe_50k.json")
+    encoder, library = bpe.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    merged, merge = [], encoder.merges.merge
+    monkeypatch.setattr(encoder.merges, "merge", lambda data: merged.append(data) or merge(data))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aaeinorst" + "hlé日" * (k % 3)) for _ in range(k % 60 + 1)) for k in range(600)]
+    for text in (" ".join(words), ", ".join(words), ". ".join(reversed(words))):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    short = [m for m in merged if 0 < len(m.decode()) <= bpe.MEMO_CHARS]
+    assert len(short) == len(set(short)) > 500
+
+
 def test_bm25_words_are_hashed_a_column_at_a_time(monkeypatch):
     """The words that bytes.split() gives, equal hashes for equal words only, and no call for each short word."""
     import xxhash
