@@ -51,3 +51,52 @@ b AS (SELECT shard, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM k G
 f AS (SELECT k.*, b.shard_bytes, b.shard_rows, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS r FROM k JOIN b USING (shard))
 SELECT doc_id, shard, depth::INTEGER AS depth, n_bytes, n_bytes > 1048576 AS oversized, shard_bytes::BIGINT AS shard_bytes, shard_rows FROM f WHERE r = 1""",
 }
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Assignments and means, a pair of table expressions a round; products of integers are exact in doubles here."""
+    near = (
+        "SELECT vec_id, label, p, first(e ORDER BY far, e) AS e, min(far)::BIGINT AS far, any_value(v) AS v"
+        " FROM (SELECT *, list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS far FROM q JOIN b{r} USING (p)) GROUP BY vec_id, label, p"
+    )
+    step = (
+        "m{r} AS (SELECT p, e, list(floor(s / n) ORDER BY i) AS c FROM (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r}) GROUP BY p, e, i) GROUP BY p, e),"
+        " b{t} AS MATERIALIZED (SELECT b{r}.p, b{r}.e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))"
+    )
+    out = [
+        "k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"q AS MATERIALIZED (SELECT vec_id, label, p, w[p * len(w) // {parts} + 1:(p + 1) * len(w) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM q QUALIFY e < {entries})",
+    ]
+    for r in range(rounds):
+        out += [f"a{r} AS MATERIALIZED ({near.format(r=r)})", step.format(r=r, t=r + 1)]
+    out += [
+        f"a AS MATERIALIZED ({near.format(r=rounds)})",
+        "g AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a GROUP BY vec_id, label)",
+        f"h AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM b{rounds}))",
+    ]
+    return "WITH " + ",\n".join(out) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM g, h"
+
+
+ORACLES["op11_vector_codes"] = _vector_codes()
+
+# CRC-32 a bit at a time: a byte is taken in, and eight steps (256) follow it.
+_CRC = "xor(list_reduce(flatten(list_transform(range(len(conv_id::VARCHAR)), lambda i: [ascii(substr(conv_id::VARCHAR, i + 1, 1)), 256, 256, 256, 256, 256, 256, 256, 256])), lambda c, x: CASE WHEN x < 256 THEN xor(c, x::BIGINT) ELSE xor(c >> 1, 3988292384 * (c & 1)) END, 4294967295::BIGINT), 4294967295)"
+ORACLES["op12_prefix_trie"] = f"""
+WITH o AS (SELECT conv_id, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, len(coalesce(text, '')) AS chars,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, conv_id - conv_id % 100 AS block, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT k.conv_id, 0 AS own, o.i, x, chars FROM k JOIN o ON o.conv_id = block AND o.i <= h UNION ALL SELECT k.conv_id, 1, o.i, x, chars FROM k JOIN o ON o.conv_id = k.conv_id AND o.i > h),
+t AS (SELECT *, row_number() OVER w AS depth, string_agg(x || '/', '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+p AS MATERIALIZED (SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM k UNION ALL SELECT conv_id, depth, path, chars FROM t),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path),
+n AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, CASE WHEN depth > 0 THEN left(path, length(path) - 65) END AS parent FROM p GROUP BY path, depth),
+c AS (SELECT parent AS path, count(*) AS n_children FROM n GROUP BY parent),
+s AS (SELECT a.path, count(*) FILTER (c.path IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens FROM n a JOIN n b ON starts_with(b.path, a.path) LEFT JOIN c ON c.path = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM n LEFT JOIN n m ON m.path = n.parent LEFT JOIN c ON c.path = n.path JOIN s ON s.path = n.path LEFT JOIN e ON e.path = n.path"""
+# On pages whose article is marked and holds no template: its text without tags and with the references that occur there.
+ORACLES["op13_html_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM d"""

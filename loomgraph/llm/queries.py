@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, exact_dedup, jaccard, packing, quality, sharding, substring_dedup, token_counts, warc
+from . import bm25, bpe, exact_dedup, html_extract, jaccard, packing, prefix_trie, quality, sharding, substring_dedup, token_counts, vector_codes, warc
 from .common import scratch_path
 
 #: Folder of the public tokenisers' files; they are never copied here.
@@ -85,7 +85,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), block=c - c % 100, head=F.crc32(c.cast("string")) % 6, most_head=5)
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_bm25_search, op3_substring_dedup, op4_token_counts, op5_bpe_round_trip, op6_jaccard_join, op7_warc, op8_sharding, op9_quality, op10_packing)
+    for f in (op1_exact_dedup, op2_bm25_search, op3_substring_dedup, op4_token_counts, op5_bpe_round_trip, op6_jaccard_join, op7_warc, op8_sharding, op9_quality, op10_packing, op11_vector_codes, op12_prefix_trie, op13_html_text)
 }
