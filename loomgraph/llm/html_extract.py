@@ -137,9 +137,8 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag == "br":
-                    pieces.append(None)
-                    continue
+                if tag == "br" or tag not in INLINE:
+                    pieces.append(None)  # a border, also where it closes nothing
                 k = opened((tag,), ("table", "template") if tag in TABLE else BOUNDS)
                 if k and not (tag in FORMATTING and any(e[0] not in INLINE for e in stack[k + 1 :])):  # else its blocks stay open
                     close(k)

@@ -9,7 +9,10 @@ too large go on to the next BITS bits.  Only (key, hash, size) moves for that, n
 for each level, whose first (2**BITS rows) is broadcast; later ones are joined by prefix, and Spark broadcasts them only
 below its own threshold.  Nothing is collected.  Writing moves each row once, to its shard.
 
-Defined results: the size of a row counts the bytes of all its text and binary columns (null: 0) and 8 for each other one;
+Defined results: the size of a row counts the bytes of all its text and binary columns (null: 0), those of its nested columns
+as JSON (null: 0), and 8 for each other one; where the table has a column named shard, folders and the column of read_shards
+are named shard_1 (shard_2, ..., the first free name), and its own column is written as it is; an id column must not have
+the name of a result column (ValueError);
 a row larger than the limit is a shard by itself, marked oversized; repeated or null ids are rows of their own, and their
 hash is that of the row's number; rows that agree in all 60 bits stay together; an empty table gives an empty table.
 """
@@ -42,11 +45,28 @@ def row_bytes(df: DataFrame) -> Column:
     """The size of a row, as the limit counts it."""
     total = F.lit(0).cast("long")
     for f in df.schema.fields:
-        text = isinstance(f.dataType, T.StringType | T.BinaryType)
-        total = total + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if text else F.lit(8))
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            size = F.when(col.isNotNull(), F.octet_length(F.to_json(F.struct(col.alias("v")))))
+        else:
+            size = F.octet_length(col) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
     return total
 
 
+def shard_column(df: DataFrame) -> str:
+    """The name of the column of shards beside those of df."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in ("shard", *(f"shard_{k}" for k in range(1, len(taken) + 2))) if n not in taken)
+
+
+def _checked(limit_bytes: int, id_col: str) -> None:
+    if limit_bytes < 1:
+        raise ValueError("limit_bytes must be positive")
+    if id_col.lower() in ("shard", "depth", "n_bytes", "oversized"):
+        raise ValueError(f"the id column must not be named {id_col}")
+
+
 def bits_of(key: str = RID) -> Column:
     """The hash of a row as text of 60 bits."""
     number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, DIGITS), 16, 2)
@@ -100,27 +120,27 @@ def _told(sharded: DataFrame, id_col: str, limit: int) -> DataFrame:
 
 def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, shard string of bits, depth int, n_bytes long, oversized boolean)."""
-    if limit_bytes < 1:
-        raise ValueError("limit_bytes must be positive")
+    _checked(limit_bytes, id_col)
     rows, _ = keyed(docs.withColumn(_SIZE, row_bytes(docs)), id_col, text_col)
     slim = rows.select(RID, id_col, _SIZE)
     return _told(_sharded(slim, _directory(slim, limit_bytes)), id_col, limit_bytes)
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes all rows of docs as Parquet, one folder (``shard=`` and the bits) for each shard; returns the assignment."""
-    if limit_bytes < 1:
-        raise ValueError("limit_bytes must be positive")
+    """Writes all rows of docs as Parquet, one folder (its name is shard_column's and the bits) for each shard; returns the assignment."""
+    _checked(limit_bytes, id_col)
     rows, _ = keyed(docs.withColumn(_SIZE, row_bytes(docs)), id_col, text_col)
     slim = rows.select(RID, id_col, _SIZE)
     levels = _directory(slim, limit_bytes)
-    placed = _sharded(rows, levels).select(*docs.columns, F.col(_SHARD).alias("shard"))
-    placed.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    name = shard_column(docs)
+    placed = _sharded(rows, levels).select(*docs.columns, F.col(_SHARD).alias(name))
+    placed.repartition(name).write.partitionBy(name).mode("overwrite").parquet(path)
     return _told(_sharded(slim, levels), id_col, limit_bytes)
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
-    """The rows written of docs, with their shard."""
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "shard"), T.StructField("shard", T.StringType())])
+    """The rows written of docs, with their shard in the column that shard_column names."""
+    name = shard_column(docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
     back = docs.sparkSession.read.schema(schema).parquet(path)
-    return back.withColumn("shard", F.coalesce("shard", F.lit("")))
+    return back.withColumn(name, F.coalesce(name, F.lit("")))

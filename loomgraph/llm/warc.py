@@ -12,17 +12,19 @@ of the stated total length, joined, and then decoded.  Chunked framing is remove
 
 Defined results: null payload counts as empty; repeated or null ids are records of their own; a record with missing
 or contradicting segments, bad framing or a wrong digest is returned with null payload and its ``error``; an archive that
-is cut off, not compressed as it says or holds what is no record gives the records before that and a row with an ``error``
-alone; an empty table gives no archives and no records.
+is cut off, not compressed as it says or holds what is no record (lengths and numbers are digits only) gives the records before that and a row with an ``error``
+alone, as does one that is not there; an empty table gives no archives and no records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +46,20 @@ def chunked(data: bytes, size: int = 8192) -> bytes:
     return b"".join(out) + b"0\r\n\r\n"
 
 
+def number_of(text: bytes | str, base: int = 10) -> int:
+    """A number of a header or chunk: digits only, where int() also takes signs, blanks and underscores."""
+    if isinstance(text, bytes):
+        text = text.decode("latin-1")
+    if not re.fullmatch("[0-9a-fA-F]{1,15}" if base == 16 else "[0-9]{1,18}", text):
+        raise ValueError(f"not a number: {text[:40]!r}")
+    return int(text, base)
+
+
 def unchunked(data: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = data.index(CRLF, at)
-        n = int(data[at:end].split(b";")[0], 16)
+        n = number_of(data[at:end].split(b";")[0].strip(b" \t"), 16)
         at = end + 2
         if n == 0:
             return b"".join(out)
@@ -174,7 +185,7 @@ def parse(stream):
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         if "content-length" not in headers:
             raise ValueError("record without a length")
-        n = int(headers["content-length"])
+        n = number_of(headers["content-length"])
         del buffer[: end + 4]
         if not fill(n):
             raise ValueError("archive ends within a record")
@@ -193,7 +204,7 @@ def decoded(headers: dict[str, str], block: bytes) -> tuple:
             raise ValueError("no HTTP header")
         http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
         if kind == "revisit":
-            size = int(http.get(b"content-length", b"0"))
+            size = number_of(http.get(b"content-length", b"0"))
         else:
             payload = unchunked(body) if http.get(b"transfer-encoding", b"").lower() == b"chunked" else body
             size, found = len(payload), digest(payload)
@@ -240,14 +251,19 @@ def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = Tru
 
     def rows_of(path: str):
         fs, at = filesystem(path)
+        if fs.get_file_info(at).type != pafs.FileType.File:
+            yield (None,) * 7 + (f"{path}: no such archive",) + none, 0
+            return
         with fs.open_input_stream(at, compression=None) as stream:
             try:
                 for headers, block in parse(stream):
                     if "warc-segment-number" in headers:
-                        number, total = int(headers["warc-segment-number"]), headers.get("warc-segment-total-length")
+                        number, total = number_of(headers["warc-segment-number"]), headers.get("warc-segment-total-length")
+                        if number >= 2**31:
+                            raise ValueError("segment number out of range")
                         origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
                         head = "\n".join(f"{k}: {v}" for k, v in headers.items()) if number == 1 else None
-                        yield (None,) * 8 + (origin, number, total and int(total), head, block), len(block)
+                        yield (None,) * 8 + (origin, number, total and number_of(total), head, block), len(block)
                     elif headers.get("warc-type") in ("response", "revisit", "resource"):
                         yield shown(decoded(headers, block)) + none, len(block)
             except (ValueError, zlib.error) as e:
