@@ -10,51 +10,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import metrics
 from ..plans.lineage import cut
 from ..plans.order import next_point
 from .components import component_labels
-from .graph import ID_END, Graph
-from .triangles import listing, local
+from .graph import Graph
+from .triangles import listing
 
 
-def since_clear(log: DataFrame) -> DataFrame:
-    last = log.filter("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-(2**62)).cast("long")).alias("cleared"))
-    return log.join(F.broadcast(last), F.col("seq") > F.col("cleared")).drop("cleared")  # one row
+def with_spans(log: DataFrame) -> DataFrame:
+    """The log without its clears, with until: the seq of the next one, null behind the last; until_k: its column k, if the log has one."""
+    clears = log.filter("op = 'clear'")
+    rows = log.filter("op <> 'clear'")
+    k = F.col("k") if "k" in log.columns else F.lit(None).cast("long")
+    if clears.isEmpty():
+        return rows.withColumns({"until": F.lit(None).cast("long"), "until_k": F.lit(None).cast("long")})
+    points = clears.select(F.col("seq").alias("at"), F.struct(F.col("seq").cast("long").alias("seq"), k.alias("k")).alias("told"))
+    found = next_point(rows, "seq", points, False, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return found.withColumns({"until": F.col("point.seq"), "until_k": F.col("point.k")}).drop("point")
+
+
+def _spans(log: DataFrame) -> DataFrame:
+    return log if "until" in log.columns else with_spans(log)
 
 
 def effects(log: DataFrame, directed: bool = False) -> DataFrame:
-    """Rows of add, remove and update with effective boolean (what the call returns), episode, and the weight that holds after it."""
-    rows = since_clear(log).filter("op IN ('add', 'remove', 'update') AND u <> v")
+    """Rows of add, remove and update, before and behind clears, with effective boolean (what the call returns), until (seq of
+    the clear that ends what it does, or null), episode, and the weight that holds after it."""
+    rows = _spans(log).filter("op IN ('add', 'remove', 'update') AND u <> v")
     if not directed:
         rows = rows.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
-    per = Window.partitionBy("u", "v").orderBy("seq")
+    per = Window.partitionBy("until", "u", "v").orderBy("seq")
     before = F.last(F.when(F.col("op") != "update", F.col("op")), ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, -1))
     here = F.coalesce(F.col("before") == "add", F.lit(False))
     rows = rows.withColumn("before", before)
     rows = rows.withColumn("effective", F.when(F.col("op") == "add", ~here).otherwise(here)).drop("before")
     rows = rows.withColumn("episode", F.sum(F.when((F.col("op") == "add") & F.col("effective"), 1).otherwise(0)).over(per))
     sets = F.when(F.col("effective") & (F.col("op") != "remove"), F.coalesce(F.col("w"), F.lit(1.0)))
-    inner = Window.partitionBy("u", "v", "episode").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("until", "u", "v", "episode").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("weight", F.last(sets, ignorenulls=True).over(inner))
 
 
 def lifetimes(log: DataFrame, directed: bool = False) -> DataFrame:
-    """(u, v, born, died or null, weight): the spans of seq in which an edge is present, and its last weight in them."""
-    return _spans(log, directed).drop("weights")
+    """(u, v, born, died or null, weight): the spans of seq in which an edge is present, and its last weight in them; a clear ends them."""
+    died = F.coalesce(F.max(F.when(F.col("op") == "remove", F.col("seq"))), F.first("until"))
+    last = F.max_by("weight", F.when(F.col("op") != "remove", F.col("seq")))
+    return effects(log, directed).filter("effective").groupBy("until", "u", "v", "episode").agg(F.min("seq").alias("born"), died.alias("died"), last.alias("weight")).drop("until", "episode")
 
 
-def _spans(log: DataFrame, directed: bool) -> DataFrame:
-    """lifetimes with weights: array of (seq, w), the weights that held from seq on, in order."""
-    weights = F.array_sort(F.collect_list(F.when(F.col("op") != "remove", F.struct("seq", F.col("weight").alias("w")))))
-    return effects(log, directed).filter("effective").groupBy("u", "v", "episode").agg(F.min("seq").alias("born"), F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("died"), F.max_by("weight", "seq").alias("weight"), weights.alias("weights")).drop("episode")
+def touches(log: DataFrame, effective: DataFrame) -> DataFrame:
+    """(id, seq, until[, k1, k2]): when each node is first touched, after the start and after each clear, and the clear that ends that.
+
+    ``log`` has what with_spans adds; ``effective`` are its effective rows.
+    """
+    kept = ["seq", "until", "until_k", *(["k"] if "k" in log.columns else [])]
+    added = effective.filter("op = 'add'").select(F.explode(F.array("u", "v")).alias("id"), *kept)
+    alone = log.filter("op = 'node'").select(F.col("u").alias("id"), *kept)
+    first = [F.min("seq").alias("seq")] + ([F.min("k").alias("k1"), F.first("until_k").alias("k2")] if "k" in kept else [])
+    return added.union(alone).groupBy("id", "until").agg(*first)
 
 
 def first_touches(log: DataFrame, directed: bool = False) -> DataFrame:
-    """(id, seq): when each node was first touched."""
-    added = effects(log, directed).filter("op = 'add' AND effective").select(F.explode(F.array("u", "v")).alias("id"), "seq")
-    alone = since_clear(log).filter("op = 'node'").select(F.col("u").alias("id"), "seq")
-    return added.union(alone).groupBy("id").agg(F.min("seq").alias("seq"))
+    """(id, seq): when each node of the graph that the log makes was first touched, since the last clear."""
+    rows = with_spans(log)
+    return touches(rows, effects(rows, directed).filter("effective")).filter("until IS NULL").select("id", "seq")
 
 
 def replay(log: DataFrame, directed: bool = False, weighted: bool = False) -> Graph:
@@ -99,53 +117,3 @@ def prefix_metrics(log: DataFrame, checkpoints: DataFrame, directed: bool = Fals
     upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # over checkpoints, which the caller chose
     nodes, links, closed, joined = (F.sum(str(k)).over(upto) for k in range(4))
     return got.select("at", nodes.alias("n_nodes"), links.alias("n_edges"), closed.alias("n_triangles"), (nodes - joined).alias("n_components"))
-
-
-def prefix_node_metrics(log: DataFrame, checkpoints: DataFrame, directed: bool = False, weighted: bool = False) -> DataFrame:
-    """(at, id, degree, in_degree, strength, triangles, clustering, component_id) of each touched node after each checkpoint.
-
-    Any log, removals included.  The graphs of all checkpoints are taken as one graph without edges between them (ids get the
-    checkpoint's number above 32 bits), so each measure is one plan, and components one fixpoint, for all of them.
-    """
-    points = checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).distinct()
-    number = Window.orderBy("at")  # over checkpoints, which the caller chose
-    points = cut(points.withColumn("k", F.row_number().over(number).cast("long") * (ID_END + 1)))
-    spans = _spans(log, directed).select("u", "v", "born", F.coalesce("died", F.lit(2**63 - 1)).alias("died"), "weights")
-    listed = points.agg(F.array_sort(F.collect_list(F.struct("at", "k"))).alias("p"))  # one row
-    held = lambda df, cond: df.join(F.broadcast(listed)).withColumn("p", F.explode(F.filter("p", cond)))
-    live = held(spans, lambda p: (p["at"] >= F.col("born")) & (p["at"] < F.col("died")))
-    current = F.element_at(F.filter("weights", lambda x: x["seq"] <= F.col("p.at")), -1)["w"] if weighted else F.lit(1.0)
-    edges = cut(live.select((F.col("u") + F.col("p.k")).alias("u"), (F.col("v") + F.col("p.k")).alias("v"), current.alias("w")))
-    seen = held(first_touches(log, directed), lambda p: p["at"] >= F.col("seq"))
-    nodes = cut(seen.select((F.col("id") + F.col("p.k")).alias("id")))
-    out, back = (edges, metrics.flipped(edges)) if directed else (metrics.symmetric(edges), metrics.symmetric(edges))
-    under = metrics.underlying(edges) if directed else edges.select("u", "v")
-    both = under.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    label = component_labels(edges)
-    got = metrics.degrees(out, nodes).join(metrics.degrees(back, nodes).withColumnRenamed("degree", "in_degree"), "id").join(metrics.strengths(out, nodes), "id")
-    got = got.join(local(under, nodes), "id").join(both, "id", "left").join(label, "id", "left")
-    base, d = F.col("id").bitwiseAND(ID_END), F.col("d")
-    rate = F.when(d >= 2, 2.0 * F.col("triangles") / (d * (d - 1))).otherwise(F.lit(0.0))
-    root = F.coalesce("component_id", "id").bitwiseAND(ID_END)
-    named = got.withColumn("k", F.col("id") - base).join(F.broadcast(points), "k")
-    return named.select("at", base.alias("id"), "degree", "in_degree", "strength", "triangles", rate.alias("clustering"), root.alias("component_id"))
-
-
-def prefix_totals(log: DataFrame, checkpoints: DataFrame, directed: bool = False, weighted: bool = False) -> DataFrame:
-    """Per checkpoint: n_nodes, n_edges, total_weight, max_degree, avg_degree, density, n_triangles, avg_clustering, n_components; any log."""
-    points = checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).distinct()
-    each = 1 if directed else 2
-    n, m = F.col("n_nodes"), F.col("n_edges")
-    sums = prefix_node_metrics(log, points, directed, weighted).groupBy("at").agg(
-        F.count(F.lit(1)).alias("n_nodes"),
-        F.sum("degree").alias("ends"),
-        F.sum("strength").alias("weight"),
-        F.max("degree").alias("max_degree"),
-        F.sum("triangles").alias("corners"),
-        F.avg("clustering").alias("avg_clustering"),
-        F.count_if(F.col("id") == F.col("component_id")).alias("n_components"),
-    )
-    sums = points.join(sums, "at", "left").na.fill(0).withColumn("n_edges", F.expr(f"ends div {each}"))
-    avg = F.when(n > 0, float(each) * m / n).otherwise(F.lit(0.0))
-    dense = F.when(n > 1, float(each) * m / (n * (n - 1))).otherwise(F.lit(0.0))
-    return sums.select("at", "n_nodes", "n_edges", (F.col("weight") / each).alias("total_weight"), "max_degree", avg.alias("avg_degree"), dense.alias("density"), F.expr("corners div 3").alias("n_triangles"), "avg_clustering", "n_components")

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-def listing(edges: DataFrame) -> DataFrame:
-    """(a, b, c) with a < b < c for canonical undirected edges (u < v, each once), which are computed once and kept."""
-    edges = cut(edges.select("u", "v"))
+
+def oriented(edges: DataFrame) -> DataFrame:
+    """(s, t, other columns) for edges(u, v, ...): each edge from its end of lower degree (lower id of equal ones)."""
     degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     du, dv = degree.select(F.col("id").alias("u"), F.col("d").alias("du")), degree.select(F.col("id").alias("v"), F.col("d").alias("dv"))
-    known = edges.select("u", "v").join(du, "u").join(dv, "v")
+    known = edges.join(du, "u").join(dv, "v")
     low = F.when((F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v"))), F.col("u")).otherwise(F.col("v"))
-    arcs = known.select(low.alias("s"), F.when(low == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("t"))
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    return known.select(low.alias("s"), F.when(low == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("t"), *rest)
+
+
+def _corners() -> list:
+    return [F.least("s", "x").alias("a"), F.greatest(F.least("s", "y"), "x").alias("b"), F.greatest("s", "y").alias("c")]
+
+
+def listing(edges: DataFrame) -> DataFrame:
+    """(a, b, c) with a < b < c for canonical undirected edges (u < v, each once), which are computed once and kept."""
+    edges = cut(edges.select("u", "v"))
+    arcs = oriented(edges)
     x, y = arcs.select("s", F.col("t").alias("x")), arcs.select("s", F.col("t").alias("y"))
     wedges = x.join(y, "s").filter("x < y")
     closed = wedges.join(edges.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
-    return closed.select(F.least("s", "x").alias("a"), F.greatest(F.least("s", "y"), "x").alias("b"), F.greatest("s", "y").alias("c"))
+    return closed.select(*_corners())
+
+
+def meeting(x: str, y: str) -> Column:
+    """Where two lists of intervals (a, b) meet; each list is sorted and its intervals lie apart, so the result is as well."""
+    both = lambda i, j: F.struct(F.greatest(i["a"], j["a"]).alias("a"), F.least(i["b"], j["b"]).alias("b"))
+    return F.filter(F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: both(i, j)))), lambda i: i["a"] < i["b"])
+
+
+def living(edges: DataFrame) -> DataFrame:
+    """(a, b, c, alive): triangles of edges(u, v, alive), which live where the lives of all three edges meet.
+
+    A pair of edges that were never there together is no wedge, so it costs no lookup of a third.
+    """
+    arcs = cut(oriented(edges))
+    x, y = (arcs.select("s", F.col("t").alias(n), F.col("alive").alias(f"{n}_alive")) for n in "xy")
+    wedges = x.join(y, "s").filter("x < y").withColumn("wedge", meeting("x_alive", "y_alive")).filter("size(wedge) > 0")
+    closed = wedges.select("s", "x", "y", "wedge").join(edges.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("alive").alias("third")), ["x", "y"])
+    return closed.select(*_corners(), meeting("wedge", "third").alias("alive")).filter("size(alive) > 0")
 
 
 def local(edges: DataFrame, nodes: DataFrame) -> DataFrame:

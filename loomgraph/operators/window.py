@@ -2,6 +2,10 @@
 
 The clock moves with every row, self-loops too, and must not go back.  Seeing an edge again restarts its time and
 replaces its weight.  An edge seen exactly width ago is still live.
+
+Ids are those of a Graph and must be there, of self-loops too; weights of a weighted window must be finite and positive.
+Functions over frames refuse bad ids in their plan, so they fail when they run; SlidingWindow and window_calls refuse bad
+ids (IndexError) and weights (ValueError) at once.
 """
 
 from __future__ import annotations
@@ -11,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.order import next_point
-from .graph import Graph
+from .graph import ID_END, Graph, good_weight
+
+BAD_IDS = f"u IS NULL OR v IS NULL OR u < 0 OR v < 0 OR u >= {ID_END} OR v >= {ID_END}"
 
 
 def _checked(width: float) -> float:
@@ -20,8 +26,18 @@ def _checked(width: float) -> float:
     return float(width)
 
 
+def check_edges(events: DataFrame, weighted: bool) -> None:
+    """Raises IndexError for ids and ValueError for weights that an edge must not have, by one aggregate."""
+    wrong = F.expr(f"u <> v AND NOT coalesce({good_weight()}, false)") if weighted else F.lit(False)
+    got = events.agg(F.count_if(F.expr(BAD_IDS)).alias("ids"), F.count_if(wrong).alias("weights")).first()
+    if got.ids:
+        raise IndexError(f"{got.ids} edges with a node id out of range")
+    if got.weights:
+        raise ValueError(f"{got.weights} edges with a weight that is not finite and positive")
+
+
 def _canonical(events: DataFrame, directed: bool) -> DataFrame:
-    rows = events.filter("u <> v")
+    rows = events.filter(F.when(F.expr(BAD_IDS), F.raise_error(F.lit("node id out of range"))).otherwise(F.col("u") != F.col("v")))
     return rows if directed else rows.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
 
 
@@ -69,17 +85,19 @@ def expired_counts(events: DataFrame, width: float, clocks: DataFrame, directed:
     return ticks.join(got, "at", "left").select("at", F.coalesce("expired", F.lit(0)).alias("expired"))
 
 
-def window_calls(calls: DataFrame, width: float, directed: bool = False) -> DataFrame:
+def window_calls(calls: DataFrame, width: float, directed: bool = False, weighted: bool = False) -> DataFrame:
     """What each call returns: (seq, op, added boolean, expired long) of calls (seq, op add or advance, u, v, ts, w).
 
     Every call first moves the clock to its ts, which expires edges; then add adds or refreshes its edge (added false),
-    and a self-loop does nothing more (added false).  Raises ValueError if a ts is null, not finite or before the last.
+    and a self-loop does nothing more (added false).  Raises ValueError if a ts is null, not finite or before the last, and
+    what an edge to be added must not have is refused as by Graph.add_edge.
     """
     _checked(width)
     if not calls.filter("ts IS NULL OR isnan(ts) OR abs(ts) = double('Infinity')").isEmpty():
         raise ValueError("timestamps must be finite")
     assert_monotone(calls)
     adds = calls.filter("op = 'add'")
+    check_edges(adds, weighted)
     flags = add_flags(adds, width, directed).select("seq", "added")
     ends = episodes(adds, width, directed).select("until")
     # Equal clocks belong to one advance: the first call with that ts makes it.
@@ -93,16 +111,20 @@ def window_calls(calls: DataFrame, width: float, directed: bool = False) -> Data
 class SlidingWindow:
     """Read access to the graph of a window at any clock value: ``SlidingWindow(events, 60).at(161.0).n_edges()``.
 
-    Events whose ts falls along seq are refused, by one pass over them (``check_clock``).
+    What a Graph can be asked, the window can be asked itself, at the clock of its last event.  Events whose ts falls along
+    seq are refused, by one pass over them (``check_clock``), and bad edges by another (``check_rows``).
     """
 
-    def __init__(self, events: DataFrame, width: float, directed: bool = False, weighted: bool = False, n_nodes: int = 0, check_clock: bool = True):
+    def __init__(self, events: DataFrame, width: float, directed: bool = False, weighted: bool = False, n_nodes: int = 0, check_clock: bool = True, check_rows: bool = True):
         self.width = _checked(width)
         if check_clock:
             assert_monotone(events)
         w = F.col("w").cast("double") if weighted and "w" in events.columns else F.lit(1.0)
         self.events = events.withColumn("w", w)
-        self.directed, self.weighted, self.n_nodes = directed, weighted, n_nodes
+        self.directed, self.weighted, self._ids = directed, weighted, n_nodes
+        self._snapshot: Graph | None = None
+        if check_rows:
+            check_edges(self.events, weighted)
 
     def at(self, clock: float) -> Graph:
         """The graph at a clock value; nodes ever seen stay touched."""
@@ -110,7 +132,7 @@ class SlidingWindow:
             raise ValueError("clock must be finite")
         live = live_edges(self.events, self.width, clock, self.directed).select("u", "v", "w")
         seen = self.events.filter((F.col("ts") <= clock) & (F.col("u") != F.col("v"))).select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        return Graph(live, seen, self.directed, self.weighted, self.n_nodes)
+        return Graph(live, seen, self.directed, self.weighted, self._ids)
 
     def snapshot(self) -> Graph:
         top = self.events.agg(F.max("ts")).first()[0]
@@ -126,4 +148,6 @@ class SlidingWindow:
     def __getattr__(self, name: str):
         if name.startswith(("_", "add", "remove", "update", "clear", "reserve")):
             raise AttributeError(name)
-        return getattr(self.snapshot(), name)
+        if self._snapshot is None:
+            self._snapshot = self.snapshot()
+        return getattr(self._snapshot, name)

@@ -7,11 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Quantiles that are looked up; buckets beyond that many split the ranges between them evenly.
+QUANTILES = 64
+
+
 def even_buckets(df: DataFrame, col: str, parts: int) -> Column:
-    """``parts`` ranges of equal width over the numbers of a column, by one aggregate; monotone in the column."""
-    lo, hi = df.agg(F.min(col).cast("double"), F.max(col).cast("double")).first()
-    width = (hi - lo) / parts if lo is not None and hi > lo else 1.0
-    return F.floor((F.col(col).cast("double") - F.lit(lo or 0.0)) / F.lit(width)).cast("long")
+    """About ``parts`` ranges with as many rows each, monotone in the column: ranges between quantiles, split by width.
+
+    A far value or a busy stretch of time is no hot bucket then; only equal values cannot be told apart.  One aggregate.
+    """
+    n = max(1, min(parts, QUANTILES))
+    split = -(-parts // n)
+    x = F.col(col).cast("double")
+    marks = df.agg(F.percentile_approx(x, [k / n for k in range(n + 1)], 10_000)).first()[0]
+    marks = sorted(set(marks or [0.0]))
+    if len(marks) < 2:
+        return F.when(x.isNotNull(), F.lit(0).cast("long"))
+
+    def place(lo: int, hi: int) -> Column:
+        """The number of the range that x lies in, by halving."""
+        if hi - lo == 1:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < marks[mid], place(lo, mid)).otherwise(place(mid, hi))
+
+    which = place(0, len(marks) - 1)
+    if split == 1:
+        return F.when(x.isNotNull(), which.cast("long"))
+    low, high = F.array(*map(F.lit, marks[:-1])), F.array(*map(F.lit, marks[1:]))
+    share = (x - F.get(low, which)) / (F.get(high, which) - F.get(low, which))
+    inner = F.least(F.greatest(F.floor(share * split), F.lit(0)), F.lit(split - 1))
+    return (which * split + inner).cast("long")
 
 
 def carried(df: DataFrame, bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
@@ -30,9 +56,13 @@ def carried(df: DataFrame, bucket: Column, order: list[str], value: Column, name
 
 
 def next_point(rows: DataFrame, at: str, points: DataFrame, inclusive: bool, parts: int) -> DataFrame:
-    """rows with ``point``: the smallest point (one column) behind ``at``, or not before it if inclusive; null behind the last."""
-    marks = points.select(F.col(points.columns[0]).alias(at)).distinct().withColumn("_mark", F.lit(True))
+    """rows with ``point``: the smallest point behind ``at``, or not before it if inclusive; null behind the last.
+
+    Points have one column, or two, of which the second is told instead (of equal points that of the smallest).
+    """
+    key, told = points.columns[0], points.columns[-1]
+    marks = points.groupBy(F.col(key).alias(at)).agg(F.min(told).alias("_told")).withColumn("_mark", F.lit(True))
     both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_x", -F.col(at))
     both = both.withColumn("_tie", F.col("_mark").isNull() if inclusive else F.col("_mark").isNotNull())
-    found = carried(both, even_buckets(both, "_x", parts), ["_x", "_tie"], F.when(F.col("_mark"), F.col(at)), "point")
+    found = carried(both, even_buckets(both, "_x", parts), ["_x", "_tie"], F.when(F.col("_mark"), F.col("_told")), "point")
     return found.filter("_mark IS NULL").select(*rows.columns, "point")

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .operators.graph import Graph, KeyIndex
-from .operators.log import effects, first_touches, lifetimes, prefix_metrics, prefix_node_metrics, prefix_totals, replay
+from .operators.log import effects, first_touches, lifetimes, prefix_metrics, replay
+from .operators.prefixes import prefix_node_metrics, prefix_totals
 from .operators.window import SlidingWindow, add_flags, episodes, expired_counts, live_edges, window_calls
 from .plans.lineage import cut, shared_folder
-from .plans.order import carried
+from .plans.order import carried, even_buckets
 from .sources.edgs import filesystem, load, save
 from .sources.interop import from_arrays, from_frames, to_coordinates, to_frames
 
@@ -28,9 +29,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def evt(spark: SparkSession, d: str) -> DataFrame:
-    """(seq, u, v, ts seconds, w).  The stream is one chain: each event looks back within its hour, and hours carry over."""
-    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    ordered = carried(e, F.date_trunc("hour", "ts"), ["ts", "event_id"], F.struct("user_id"), "before").filter("before.user_id IS NOT NULL")
+    """(seq, u, v, ts seconds, w).  The stream is one chain: each event looks back within its bucket, and buckets carry over."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    bucket = even_buckets(e, "at", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = carried(e, bucket, ["ts", "event_id"], F.struct("user_id"), "before").filter("before.user_id IS NOT NULL")
     return ordered.select(F.col("event_id").cast("long").alias("seq"), F.col("before.user_id").cast("long").alias("u"), F.col("user_id").cast("long").alias("v"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("value").cast("double").alias("w"))
 
 
@@ -518,39 +520,39 @@ _AT_TRI = f"{_AT}, t AS (SELECT x.upto, x.u AS a, x.v AS b, y.v AS c FROM e x JO
 _AT_WCC = f"{_AT}, wc(upto, id, k) USING KEY (upto, id) AS (SELECT upto, id, id AS k FROM n UNION SELECT s.upto, s.v, min(wc.k) FROM wc JOIN s ON s.upto = wc.upto AND s.u = wc.id JOIN recurring.wc AS z ON z.upto = s.upto AND z.id = s.v WHERE wc.k < z.k GROUP BY s.upto, s.v)"
 
 
-def at_quarters(spark, d) -> DataFrame:
+def at_quarters(spark, d, *measures: str) -> DataFrame:
     log = cut(mutations(spark, d))
-    return prefix_node_metrics(log, quarters(log), weighted=True).withColumnRenamed("at", "upto")
+    return prefix_node_metrics(log, quarters(log), weighted=True, measures=measures).withColumnRenamed("at", "upto")
 
 
 @query(f"WITH {_AT} SELECT upto, id, degree FROM dg")
 def prefix_degrees(spark, d):
-    return at_quarters(spark, d).select("upto", "id", "degree")
+    return at_quarters(spark, d, "degree").select("upto", "id", "degree")
 
 
 @query(f"WITH {_AT} SELECT upto, id, round(strength, 4) AS strength FROM dg")
 def prefix_strengths(spark, d):
-    return at_quarters(spark, d).select("upto", "id", F.round("strength", 4).alias("strength"))
+    return at_quarters(spark, d, "strength").select("upto", "id", F.round("strength", 4).alias("strength"))
 
 
 @query(f"WITH {_AT} SELECT upto, degree, count(*) AS nodes FROM dg GROUP BY ALL")
 def prefix_histograms(spark, d):
-    return at_quarters(spark, d).groupBy("upto", "degree").agg(F.count(F.lit(1)).alias("nodes"))
+    return at_quarters(spark, d, "degree").groupBy("upto", "degree").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query(f"WITH {_AT_TRI} SELECT upto, id, triangles FROM lo")
 def prefix_triangles(spark, d):
-    return at_quarters(spark, d).select("upto", "id", "triangles")
+    return at_quarters(spark, d, "triangles").select("upto", "id", "triangles")
 
 
 @query(f"WITH {_AT_TRI} SELECT upto, id, round(clustering, 6) AS clustering FROM lo")
 def prefix_clustering(spark, d):
-    return at_quarters(spark, d).select("upto", "id", F.round("clustering", 6).alias("clustering"))
+    return at_quarters(spark, d, "clustering").select("upto", "id", F.round("clustering", 6).alias("clustering"))
 
 
 @query(f"WITH RECURSIVE {_AT_WCC} SELECT upto, id, k AS component_id FROM wc")
 def prefix_components(spark, d):
-    return at_quarters(spark, d).select("upto", "id", "component_id")
+    return at_quarters(spark, d, "component_id").select("upto", "id", "component_id")
 
 
 @query(f"WITH RECURSIVE {_AT_WCC.replace(_AT, _AT_TRI)}, a AS (SELECT upto, count(*) AS n, max(degree) AS top, avg(clustering) AS cl, sum(triangles) // 3 AS tr FROM lo GROUP BY upto), b AS (SELECT upto, count(*) AS m, sum(w) AS tw FROM e GROUP BY upto), rr AS (SELECT upto, count(DISTINCT k) AS nc FROM wc GROUP BY upto) SELECT upto, n AS n_nodes, m AS n_edges, round(tw, 2) AS total_weight, top AS max_degree, round(2.0 * m / n, 6) AS avg_degree, round(2.0 * m / (n * (n - 1)), 6) AS density, tr::BIGINT AS n_triangles, round(cl, 6) AS avg_clustering, nc AS n_components FROM a JOIN b USING (upto) JOIN rr USING (upto)")
@@ -558,3 +560,88 @@ def prefix_stats(spark, d):
     log = cut(mutations(spark, d))
     got = prefix_totals(log, quarters(log), weighted=True).withColumnRenamed("at", "upto")
     return got.withColumns({"total_weight": F.round("total_weight", 2)} | {c: F.round(c, 6) for c in ("avg_degree", "density", "avg_clustering")})
+
+
+# metrics at a hundred points of a log with removals, updates and clears
+
+
+CLEARS = "seq % 3500 = 3499"
+
+
+def mutations_with_clears(spark, d) -> DataFrame:
+    """mutations, but every 3,500th event clears the graph."""
+    op = F.expr(f"CASE WHEN {CLEARS} THEN 'clear' WHEN seq % 3 = 2 THEN 'remove' WHEN seq % 7 = 0 THEN 'update' ELSE 'add' END")
+    return evt(spark, d).filter("w > 0").select("seq", op.alias("op"), "u", "v", "w")
+
+
+def hundredths(log: DataFrame) -> DataFrame:
+    end = log.agg(F.max("seq")).first()[0] or 0
+    return log.sparkSession.createDataFrame([(end * k // 100,) for k in range(1, 101)], "at long")
+
+
+_CLEARED = f"""{EVT},
+m AS (SELECT seq, CASE WHEN {CLEARS} THEN 'clear' WHEN seq % 3 = 2 THEN 'remove' WHEN seq % 7 = 0 THEN 'update' ELSE 'add' END AS op, u, v, w FROM evt WHERE w > 0),
+sp AS (SELECT *, count(*) FILTER (op = 'clear') OVER (ORDER BY seq) AS span FROM m),
+cs AS (SELECT span - 1 AS span, seq AS cleared FROM sp WHERE op = 'clear'),
+r AS (SELECT seq, op, span, least(u, v) AS u, greatest(u, v) AS v, w FROM sp WHERE op <> 'clear' AND u <> v),
+x AS (SELECT *, last_value(CASE WHEN op <> 'update' THEN op END IGNORE NULLS) OVER (PARTITION BY span, u, v ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
+y AS (SELECT *, CASE WHEN op = 'add' THEN coalesce(b <> 'add', true) ELSE coalesce(b = 'add', false) END AS effective FROM x),
+q AS (SELECT *, sum(CASE WHEN op = 'add' AND effective THEN 1 ELSE 0 END) OVER (PARTITION BY span, u, v ORDER BY seq) AS ep FROM y),
+g AS (SELECT span, u, v, ep, min(seq) AS born, coalesce(max(CASE WHEN op = 'remove' THEN seq END), any_value(cleared)) AS died, arg_max(w, CASE WHEN op <> 'remove' THEN seq END) AS weight
+      FROM q LEFT JOIN cs USING (span) WHERE effective GROUP BY span, u, v, ep),
+c AS (SELECT DISTINCT (SELECT max(seq) FROM m) * unnest(range(1, 101)) // 100 AS upto),
+n AS (SELECT upto, id FROM c JOIN (SELECT id, span, min(seq) AS seq FROM (SELECT unnest([u, v]) AS id, span, seq FROM q WHERE op = 'add' AND effective) GROUP BY id, span) f ON f.seq <= upto
+      LEFT JOIN cs USING (span) WHERE cleared IS NULL OR cleared > upto),
+e AS (SELECT upto, span, u, v, ep FROM c JOIN g ON born <= upto AND (died IS NULL OR died > upto)),
+s AS (SELECT upto, u, v FROM e UNION ALL SELECT upto, v, u FROM e),
+dg AS (SELECT n.upto, n.id, count(s.v) AS degree FROM n LEFT JOIN s ON s.upto = n.upto AND s.u = n.id GROUP BY ALL)"""
+_CLEARED_TRI = f"""{_CLEARED},
+t AS (SELECT x.upto, x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON y.upto = x.upto AND y.u = x.v JOIN e z ON z.upto = x.upto AND z.u = x.u AND z.v = y.v),
+k AS (SELECT upto, id, count(*) AS n FROM (SELECT upto, unnest([a, b, c]) AS id FROM t) GROUP BY ALL),
+lo AS (SELECT dg.upto, dg.id, degree, coalesce(k.n, 0) AS triangles, CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(k.n, 0) / (degree * (degree - 1)) END AS clustering
+       FROM dg LEFT JOIN k ON k.upto = dg.upto AND k.id = dg.id)"""
+_CLEARED_WCC = """,
+wc(upto, id, k) USING KEY (upto, id) AS (SELECT upto, id, id AS k FROM n
+  UNION SELECT s.upto, s.v, min(wc.k) FROM wc JOIN s ON s.upto = wc.upto AND s.u = wc.id JOIN recurring.wc AS z ON z.upto = s.upto AND z.id = s.v WHERE wc.k < z.k GROUP BY s.upto, s.v)"""
+
+
+def at_hundredths(spark, d, *measures: str) -> DataFrame:
+    log = cut(mutations_with_clears(spark, d))
+    return prefix_node_metrics(log, hundredths(log), weighted=True, measures=measures).withColumnRenamed("at", "upto")
+
+
+@query(f"WITH {_CLEARED} SELECT seq, op, effective FROM q")
+def log_cleared_flags(spark, d):
+    return effects(mutations_with_clears(spark, d)).select("seq", "op", "effective")
+
+
+@query(f"WITH {_CLEARED} SELECT u, v, born, died, weight FROM g")
+def log_cleared_lifetimes(spark, d):
+    return lifetimes(mutations_with_clears(spark, d))
+
+
+@query(f"WITH {_CLEARED_TRI} SELECT upto, id, degree, triangles, round(clustering, 6) AS clustering FROM lo")
+def prefix_cleared_triangles(spark, d):
+    """Triangles from the lives of their edges, at a hundred points."""
+    return at_hundredths(spark, d, "degree", "triangles", "clustering").withColumn("clustering", F.round("clustering", 6))
+
+
+@query(f"WITH RECURSIVE {_CLEARED}{_CLEARED_WCC} SELECT upto, id, k AS component_id FROM wc")
+def prefix_cleared_components(spark, d):
+    """Components at a hundred points, from a tree over them."""
+    return at_hundredths(spark, d, "component_id")
+
+
+@query(f"""WITH RECURSIVE {_CLEARED_TRI}{_CLEARED_WCC},
+a AS (SELECT upto, count(*) AS n, max(degree) AS top, avg(clustering) AS cl, sum(triangles) // 3 AS tr FROM lo GROUP BY upto),
+ww AS (SELECT span, u, v, ep, seq, w FROM q WHERE effective AND op <> 'remove'),
+b AS (SELECT upto, count(*) AS m, sum(w) AS tw FROM (SELECT e.upto, e.u, e.v, arg_max(ww.w, ww.seq) AS w FROM e JOIN ww USING (span, u, v, ep) WHERE ww.seq <= e.upto GROUP BY e.upto, e.u, e.v) GROUP BY upto),
+rr AS (SELECT upto, count(DISTINCT k) AS nc FROM wc GROUP BY upto)
+SELECT upto, coalesce(n, 0) AS n_nodes, coalesce(m, 0) AS n_edges, round(coalesce(tw, 0), 2) AS total_weight, coalesce(top, 0) AS max_degree,
+  round(CASE WHEN n > 0 THEN 2.0 * coalesce(m, 0) / n ELSE 0 END, 6) AS avg_degree, round(CASE WHEN n > 1 THEN 2.0 * coalesce(m, 0) / (n * (n - 1)) ELSE 0 END, 6) AS density,
+  coalesce(tr, 0)::BIGINT AS n_triangles, round(coalesce(cl, 0), 6) AS avg_clustering, coalesce(nc, 0) AS n_components
+FROM c LEFT JOIN a USING (upto) LEFT JOIN b USING (upto) LEFT JOIN rr USING (upto)""")
+def prefix_cleared_totals(spark, d):
+    log = cut(mutations_with_clears(spark, d))
+    got = prefix_totals(log, hundredths(log), weighted=True).withColumnRenamed("at", "upto")
+    return got.withColumns({"total_weight": F.round("total_weight", 2)} | {c: F.round(c, 6) for c in ("avg_degree", "density", "avg_clustering")})

@@ -9,7 +9,8 @@ from collections import Counter
 import pytest
 
 from loomgraph.operators.graph import Graph, KeyIndex
-from loomgraph.operators.log import prefix_node_metrics, prefix_totals
+from loomgraph.operators.log import effects, first_touches, lifetimes, replay
+from loomgraph.operators.prefixes import MEASURES, TOTALS, prefix_node_metrics, prefix_totals
 from loomgraph.operators.window import SlidingWindow, add_flags, expired_counts, window_calls
 from loomgraph.plans.order import carried, even_buckets
 from loomgraph.sources.interop import from_frames, from_networkx, index_keys, to_frames
@@ -308,17 +309,17 @@ def measured(edges, nodes, directed):
     return got
 
 
-@pytest.mark.parametrize("directed", [False, True])
-def test_metrics_after_prefixes_by_simulation(spark, directed):
-    rng = random.Random(6)
-    rows = [(i, rng.choice(["add", "add", "add", "remove", "update", "node"]), rng.randrange(7), rng.randrange(7), float(rng.randrange(1, 9))) for i in range(160)]
-    points, want, totals = [20, 75, 159, 400], {}, {}
-    live, touched = {}, set()
+def simulated(rows, points, directed):
+    """Per checkpoint what measured gives for each node, and the totals, by carrying out the calls one by one."""
+    want, totals = {}, {}
     for at in points:
         live, touched = {}, set()
         for i, op, u, v, w in rows:
             if i > at:
                 break
+            if op == "clear":
+                live, touched = {}, set()
+                continue
             e = (u, v) if directed else (min(u, v), max(u, v))
             if op == "node":
                 touched.add(u)
@@ -331,17 +332,65 @@ def test_metrics_after_prefixes_by_simulation(spark, directed):
                 live[e] = w
         got = measured(live, touched, directed)
         want |= {(at, n): x for n, x in got.items()}
-        n, m = len(touched), len(live)
-        each = 1 if directed else 2
-        totals[at] = (n, m, sum(live.values()), max(x[0] for x in got.values()), each * m / n, each * m / (n * (n - 1)), sum(x[3] for x in got.values()) // 3, sum(x[4] for x in got.values()) / n, len({x[5] for x in got.values()}))
+        n, m, each = len(touched), len(live), 1 if directed else 2
+        rates = sum(x[4] for x in got.values()) / n if n else 0
+        totals[at] = (n, m, sum(live.values()), max([x[0] for x in got.values()], default=0), each * m / n if n else 0, each * m / (n * (n - 1)) if n > 1 else 0, sum(x[3] for x in got.values()) // 3, rates, len({x[5] for x in got.values()}))
+    return want, totals
+
+
+OPS = ["add"] * 9 + ["remove"] * 3 + ["update"] * 3 + ["node"] * 2
+
+
+@pytest.mark.parametrize(("directed", "clears", "points"), [(False, 0, [20, 75, 159, 400]), (True, 3, [20, 75, 159, 400]), (False, 4, range(-1, 165, 5)), (True, 2, range(0, 160, 3)), (False, 1, [159])])
+def test_metrics_after_prefixes_by_simulation(spark, directed, clears, points):
+    rng = random.Random(6 + clears)
+    rows = [(i, rng.choice(OPS + ["clear"] * (clears > 3)), rng.randrange(7), rng.randrange(7), float(rng.randrange(1, 9))) for i in range(160)]
+    for i in rng.sample(range(10, 150), clears):
+        rows[i] = (i, "clear", None, None, None)
+    want, totals = simulated(rows, points, directed)
     log = spark.createDataFrame(rows, "seq long, op string, u long, v long, w double")
-    at = spark.createDataFrame([(p,) for p in points], "at long")
+    at = spark.createDataFrame([(p,) for p in [*points, *points]], "at long")
     found = {(r.at, r.id): (r.degree, r.in_degree, r.strength, r.triangles, r.clustering, r.component_id) for r in prefix_node_metrics(log, at, directed, True).collect()}
     assert found.keys() == want.keys() and all(all(abs(a - b) < 1e-9 for a, b in zip(found[k], want[k], strict=True)) for k in want)
     sums = {r.at: tuple(r)[1:] for r in prefix_totals(log, at, directed, True).collect()}
     assert sums.keys() == totals.keys() and all(all(abs(a - b) < 1e-9 for a, b in zip(sums[k], totals[k], strict=True)) for k in totals)
-    nothing = prefix_totals(log.limit(0), at).collect()
-    assert [tuple(r)[1:] for r in nothing] == [(0, 0, 0.0, 0, 0.0, 0.0, 0, 0.0, 0)] * 4
+
+
+def test_chosen_measures_and_empty_logs(spark):
+    rows = [(1, "add", 1, 2, 2.0), (2, "add", 2, 3, 4.0), (3, "clear", None, None, None), (4, "add", 7, 8, 1.0)]
+    log = spark.createDataFrame(rows, "seq long, op string, u long, v long, w double")
+    at = spark.createDataFrame([(2,), (3,), (4,)], "at long")
+    want, totals = simulated(rows, [2, 3, 4], False)
+    for k, m in enumerate(MEASURES):
+        got = {(r["at"], r["id"]): r[m] for r in prefix_node_metrics(log, at, weighted=True, measures=[m]).collect()}
+        assert got == {key: x[k] for key, x in want.items()}, m
+    for k, m in enumerate(TOTALS):
+        assert {r["at"]: r[m] for r in prefix_totals(log, at, weighted=True, measures=[m]).collect()} == {key: x[k] for key, x in totals.items()}, m
+    assert [tuple(r)[1:] for r in prefix_totals(log.limit(0), at).collect()] == [(0, 0, 0.0, 0, 0.0, 0.0, 0, 0.0, 0)] * 3
+    assert prefix_node_metrics(log.limit(0), at).collect() == prefix_node_metrics(log, at.limit(0)).collect() == prefix_totals(log, at.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        prefix_node_metrics(log, at, measures=["rank"])
+    # The graph that the log makes is the one since the clear; what calls returned holds for all of them.
+    assert [tuple(r) for r in replay(log, weighted=True).edge_list().collect()] == [(7, 8, 1.0)]
+    assert sorted(r.id for r in first_touches(log).collect()) == [7, 8]
+    assert {r.seq: r.effective for r in effects(log).collect()} == {1: True, 2: True, 4: True}
+    assert sorted((r.u, r.born, r.died) for r in lifetimes(log).collect()) == [(1, 1, 3), (2, 2, 3), (7, 4, None)]
+
+
+def test_buckets_hold_as_many_rows_each(spark):
+    from loomgraph.plans.order import even_buckets
+
+    far = spark.range(1000).selectExpr("id AS x").union(spark.sql("SELECT 1000000000000L"))
+    busy = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 3600 * 7 + id / 4000.0 * 3600 ELSE id * 86.4 END AS x")
+    for df in (far, busy):
+        for parts in (8, 200):
+            sizes = df.groupBy(even_buckets(df, "x", parts).alias("b")).count()
+            n, top = df.count(), sizes.agg({"count": "max"}).first()[0]
+            assert top <= 4 * n / parts + 2 and sizes.count() >= parts // 2
+            ordered = df.select("x", even_buckets(df, "x", parts).alias("b")).orderBy("x").collect()
+            assert all(a.b <= b.b for a, b in itertools.pairwise(ordered))
+    nothing = spark.sql("SELECT cast(NULL AS bigint) AS x")
+    assert nothing.select(even_buckets(nothing, "x", 4)).first()[0] is None
 
 
 def test_expiring_stream(spark, tmp_path):
