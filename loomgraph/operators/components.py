@@ -1,4 +1,4 @@
-"""Weakly and strongly connected components."""
+"""Weakly connected components."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .kernels import Adjacency, strong_labels
+from ..plans.lineage import written
 
 #: Up to this many arcs a graph goes to one task's kernel (16 MB of ids); beyond it only joins are used.
 ONE_TASK_ARCS = 1_000_000
@@ -32,7 +31,7 @@ def component_labels(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     pairs = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
     loops = pairs.filter("u = v").select("u").distinct()
-    cur = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    cur = written(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _is_star_forest(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -40,7 +39,7 @@ def component_labels(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        cur = cut(small)
+        cur = written(small)
     stars = cur.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     known = stars.union(roots)
@@ -51,57 +50,3 @@ def arrow_columns(batches, *names) -> list[np.ndarray]:
     """All rows of the batches as arrays; only for inputs of a checked size."""
     got = list(batches)
     return [np.concatenate([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for b in got] or [np.zeros(0, np.int64)]) for n in names]
-
-
-def strong_component_labels(arcs: DataFrame, nodes: DataFrame, one_task_arcs: int = ONE_TASK_ARCS) -> DataFrame:
-    """(id, component_id) per node of a directed graph; component_id is the smallest id of the component.
-
-    Larger graphs: the smallest id that reaches a node is its colour; those of a colour that reach the colour's node are
-    a component.  They leave, and the rest is coloured anew, until none is left.
-    """
-    n = arcs.count()
-    if n <= one_task_arcs:
-
-        def run(batches):
-            u, v = arrow_columns(batches, "u", "v")
-            g = Adjacency(np.r_[u, v], u, v, None, True)
-            yield pa.record_batch({"id": pa.array(g.ids.astype(np.int64)), "component_id": pa.array(strong_labels(g).astype(np.int64))})
-
-        found = arcs.select("u", "v").coalesce(1).mapInArrow(run, "id long, component_id long")
-        return nodes.join(found, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
-    left, rest, done = cut(nodes.select("id")), cut(arcs.select("u", "v").filter("u <> v")), []
-    while True:
-        lively = cut(rest.select(F.col("u").alias("id")).intersect(rest.select(F.col("v").alias("id"))))
-        done.append(cut(left.join(lively, "id", "left_anti").select("id", F.col("id").alias("component_id"))))
-        if lively.isEmpty():
-            break
-        rest = cut(rest.join(lively.withColumnRenamed("id", "u"), "u", "left_semi").join(lively.withColumnRenamed("id", "v"), "v", "left_semi"))
-        colour = _spread(lively.select("id", F.col("id").alias("c")), rest)
-        inner = rest.join(colour.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").filter("cu = cv")
-        back = _reach(colour.filter("id = c"), cut(inner.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        found = cut(colour.join(back.select("id"), "id", "left_semi").select("id", F.col("c").alias("component_id")))
-        done.append(found)
-        left = cut(lively.join(found, "id", "left_anti"))
-        rest = cut(rest.join(left.withColumnRenamed("id", "u"), "u", "left_semi").join(left.withColumnRenamed("id", "v"), "v", "left_semi"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out
-
-
-def _spread(colour: DataFrame, arcs: DataFrame) -> DataFrame:
-    """The smallest colour among the nodes that reach each node."""
-    while True:
-        told = arcs.join(colour.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("t"))
-        new = cut(colour.join(told, "id", "left").select("id", F.least("c", F.coalesce("t", "c")).alias("c"), (F.coalesce("t", "c") < F.col("c")).alias("moved")))
-        colour = new.select("id", "c")
-        if new.filter("moved").isEmpty():
-            return colour
-
-
-def _reach(start: DataFrame, arcs: DataFrame) -> DataFrame:
-    seen = front = cut(start.select("id"))
-    while not front.isEmpty():
-        front = cut(arcs.join(front.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti"))
-        seen = cut(seen.union(front))
-    return seen

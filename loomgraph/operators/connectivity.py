@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import written
 from .components import component_labels
 
 TAG = 2**32
@@ -51,7 +51,7 @@ def contractions(edges: DataFrame, count: int) -> list[DataFrame | None]:
     """
     levels = levels_of(count)
     placed = edges.select("u", "v", F.explode(tree_nodes(F.col("k1"), F.col("k2"), levels)).alias("t"))
-    rest = cut(placed.distinct().withColumn("level", level_of("t")))
+    rest = written(placed.distinct().withColumn("level", level_of("t")))
     there = {r.level for r in rest.select("level").distinct().collect()}  # at most one row a level
     told: list[DataFrame | None] = []
     for level in range(levels + 1):
@@ -60,7 +60,7 @@ def contractions(edges: DataFrame, count: int) -> list[DataFrame | None]:
             continue
         here = rest.filter(F.col("level") == level)
         found = component_labels(here.select((F.col("t") * TAG + F.col("u")).alias("u"), (F.col("t") * TAG + F.col("v")).alias("v")))
-        changed = cut(found.filter("id <> component_id").select(F.col("id").alias("key"), F.col("component_id").bitwiseAND(TAG - 1).alias("label")))
+        changed = written(found.filter("id <> component_id").select(F.col("id").alias("key"), F.col("component_id").bitwiseAND(TAG - 1).alias("label")))
         told.append(changed)
         if max(there) == level:
             break
@@ -69,7 +69,7 @@ def contractions(edges: DataFrame, count: int) -> list[DataFrame | None]:
         for end in ("u", "v"):
             rest = rest.withColumn("key", above + F.col(end)).join(changed, "key", "left").withColumn(end, F.coalesce("label", end)).drop("key", "label")
         rest = rest.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "t", "level").distinct()
-        rest = cut(rest)
+        rest = written(rest)
         there = {r.level for r in rest.select("level").distinct().collect()} | {level}
         if max(there) == level:
             break

@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from ..functions import metrics
 from ..plans.lineage import cut
 from . import centrality, triangles
-from .components import component_labels, strong_component_labels
+from .components import component_labels
+from .strong import strong_component_labels
 
 #: Ids are unsigned 32-bit numbers below this one.
 ID_END = 4_294_967_295

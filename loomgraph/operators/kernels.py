@@ -83,44 +83,6 @@ def dependencies(g: Adjacency, s: int, targets: dict[int, float] | None) -> dict
     return share
 
 
-def strong_labels(g: Adjacency) -> np.ndarray:
-    """Smallest id of the strongly connected component of each node (path-based, without recursion)."""
-    n = len(g.ids)
-    seen, label = np.full(n, -1), np.full(n, -1)
-    path, open_ends, clock = [], [], 0
-    for root in range(n):
-        if seen[root] >= 0:
-            continue
-        todo = [(root, iter(g.arcs(root)))]
-        seen[root] = clock
-        clock += 1
-        path.append(root)
-        open_ends.append(root)
-        while todo:
-            x, arcs = todo[-1]
-            for k in arcs:
-                y = int(g.to[k])
-                if seen[y] < 0:
-                    seen[y] = clock
-                    clock += 1
-                    path.append(y)
-                    open_ends.append(y)
-                    todo.append((y, iter(g.arcs(y))))
-                    break
-                if label[y] < 0:
-                    while seen[open_ends[-1]] > seen[y]:
-                        open_ends.pop()
-            else:
-                todo.pop()
-                if open_ends[-1] == x:
-                    open_ends.pop()
-                    group = [path.pop()]
-                    while group[-1] != x:
-                        group.append(path.pop())
-                    label[group] = min(group)
-    return g.ids[label]
-
-
 def ranks(g: Adjacency, damping: float, tol: float, max_iter: int) -> np.ndarray:
     n = len(g.ids)
     rank = np.full(n, 1.0 / n)

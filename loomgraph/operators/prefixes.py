@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut
+from ..plans.lineage import written
 from ..plans.order import next_point
 from .connectivity import ancestors, contractions, labels, levels_of, merges, tree_nodes
 from .log import effects, touches, with_spans
@@ -34,19 +34,19 @@ class Timeline:
         spark = log.sparkSession
         self.directed, self.weighted = directed, weighted
         given = checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).filter("at IS NOT NULL").distinct()
-        self.points = cut(given.withColumn("k", F.row_number().over(Window.orderBy("at")).cast("long") - 1))  # over checkpoints, which the caller chose
+        self.points = written(given.withColumn("k", F.row_number().over(Window.orderBy("at")).cast("long") - 1))  # over checkpoints, which the caller chose
         self.count = self.points.count()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         beyond = F.coalesce(F.col("point"), F.lit(self.count)).cast("long")
         seen = next_point(log.select("seq", "op", "u", "v", "w"), "seq", self.points, True, parts).withColumn("k", beyond).drop("point")
-        seen = cut(with_spans(seen))
-        self.rows = cut(effects(seen, directed).filter("effective"))
+        seen = written(with_spans(seen))
+        self.rows = written(effects(seen, directed).filter("effective"))
         until = F.coalesce("until_k", F.lit(self.count).cast("long"))
         gone = F.coalesce(F.max(F.when(F.col("op") == "remove", F.col("k"))), F.first(until))
         last = F.max_by("weight", F.when(F.col("op") != "remove", F.col("seq")))
         lives = self.rows.groupBy("until", "u", "v", "episode").agg(F.min("k").alias("k1"), gone.alias("k2"), last.alias("weight"))
-        self.edges = cut(lives.select("u", "v", "k1", "k2", "weight").filter("k1 < k2"))
-        self.nodes = cut(touches(seen, self.rows).select("id", "k1", F.coalesce("k2", F.lit(self.count).cast("long")).alias("k2")).filter("k1 < k2"))
+        self.edges = written(lives.select("u", "v", "k1", "k2", "weight").filter("k1 < k2"))
+        self.nodes = written(touches(seen, self.rows).select("id", "k1", F.coalesce("k2", F.lit(self.count).cast("long")).alias("k2")).filter("k1 < k2"))
 
     def underlying(self) -> DataFrame:
         """(u, v, alive): pairs u < v and the intervals (a, b) in which an edge lies between them, in order, apart."""
@@ -96,7 +96,7 @@ def states(line: Timeline, measures: Sequence[str]) -> DataFrame:
         told = w.select(F.col("u").alias("id"), "k", F.lit("strength").alias("name"), F.col("w").alias("by"))
         changes = changes.union(told if line.directed else told.union(w.select("v", "k", F.lit("strength"), "w")))
     if {"triangles", "clustering"} & set(measures):
-        under = cut(line.underlying())
+        under = written(line.underlying())
         corners = living(under).select("a", "b", "c", F.explode("alive").alias("i")).select("a", "b", "c", F.col("i.a").alias("k1"), F.col("i.b").alias("k2"))
         changes = changes.union(_changes(corners, [("a", "triangles"), ("b", "triangles"), ("c", "triangles")], ""))
         if "clustering" in measures:
@@ -156,7 +156,7 @@ def prefix_totals(log: DataFrame, checkpoints: DataFrame, directed: bool = False
         parts.append(weights.select("k", F.lit("total_weight").alias("name"), F.col("w").alias("by")))
     if {"n_triangles", "avg_clustering", "max_degree"} & wanted:
         need = (["degree"] if "max_degree" in wanted else []) + (["triangles"] if {"n_triangles", "avg_clustering"} & wanted else []) + (["clustering"] if "avg_clustering" in wanted else [])
-        held = cut(states(line, need))
+        held = written(states(line, need))
         per = Window.partitionBy("id").orderBy("k")
         for column, name in (("triangles", "n_triangles"), ("clustering", "avg_clustering")):
             if name in wanted or "avg_clustering" in wanted:

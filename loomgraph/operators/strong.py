@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import written
 
 
 def _degrees(arcs: DataFrame) -> DataFrame:
@@ -32,13 +32,13 @@ def _degrees(arcs: DataFrame) -> DataFrame:
 
 def _chains(inner: DataFrame) -> DataFrame:
     """(id, head, tail, low, ring) for inner(id, before, after): the nodes at both ends of its chain, and whether it is a cycle, with smallest id low."""
-    now = cut(inner.select("id", F.col("before").alias("head"), F.col("after").alias("tail"), F.col("id").alias("low")))
+    now = written(inner.select("id", F.col("before").alias("head"), F.col("after").alias("tail"), F.col("id").alias("low")))
     left = now.count()
     while left > 0:
         a = now.select(F.col("id").alias("head"), F.col("head").alias("head2"))
         b = now.select(F.col("id").alias("tail"), F.col("tail").alias("tail2"), F.col("low").alias("low2"))
         both = now.join(a, "head", "left").join(b, "tail", "left")
-        now = cut(both.select("id", F.coalesce("head2", "head").alias("head"), F.coalesce("tail2", "tail").alias("tail"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.col("head2").isNotNull() | F.col("tail2").isNotNull()).alias("moved")))
+        now = written(both.select("id", F.coalesce("head2", "head").alias("head"), F.coalesce("tail2", "tail").alias("tail"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.col("head2").isNotNull() | F.col("tail2").isNotNull()).alias("moved")))
         if now.filter("moved").isEmpty():
             break
         now, left = now.drop("moved"), left // 2
@@ -49,63 +49,60 @@ def _chains(inner: DataFrame) -> DataFrame:
 def _first(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(id, c): the first node, by (order, id), among those that reach a node along arcs(u, v); nodes(id) hold both ends."""
     order = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("id"))
-    now = cut(nodes.select("id", order("id").alias("c")))
+    now = written(nodes.select("id", order("id").alias("c")))
     while True:
         told = arcs.join(now.select(F.col("id").alias("u"), "c"), "u").groupBy(F.col("v").alias("id")).agg(F.min("c").alias("t"))
         near = now.join(told, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("t", "c")).alias("c"))
         named = now.select(F.col("id").alias("at"), F.col("c").alias("further"))
         far = near.withColumn("at", F.col("c.id")).join(named, "at", "left").select("id", F.least("c", F.coalesce("further", "c")).alias("c"), "old")
-        new = cut(far.select("id", "c", (F.col("c") < F.col("old")).alias("moved")))
+        new = written(far.select("id", "c", (F.col("c") < F.col("old")).alias("moved")))
         now = new.select("id", "c")
         if new.filter("moved").isEmpty():
             return now.select("id", F.col("c.id").alias("c"))
 
 
-def strong_component_labels(arcs: DataFrame, nodes: DataFrame, rounds: list | None = None) -> DataFrame:
-    """(id, component_id) per node of a directed graph; component_id is the smallest id of the component.
-
-    ``rounds``, if given, gets the name of each phase's steps, for those who want to count them.
-    """
-    rest = cut(arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
+def strong_component_labels(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component_id) per node of a directed graph; component_id is the smallest id of the component."""
+    rest = written(arcs.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct())
     named, chains = [], []
     while not rest.isEmpty():
-        degrees = cut(_degrees(rest))
+        degrees = written(_degrees(rest))
         if not degrees.filter("n_in = 0 OR n_out = 0").isEmpty():
             on = degrees.filter("n_in > 0 AND n_out > 0").select("id")
-            rest = cut(_within(rest, on))
+            rest = written(_within(rest, on))
             if rest.isEmpty():
                 break
-            degrees = cut(_degrees(rest))
+            degrees = written(_degrees(rest))
         inner = degrees.filter("n_in = 1 AND n_out = 1")
         if not inner.isEmpty():
-            found = cut(_chains(inner))
+            found = written(_chains(inner))
             named.append(found.filter("ring").select("id", F.col("low").alias("c")))
             chains.append(found.filter("NOT ring").select("id", "head", "tail"))
             over = rest.join(found.select(F.col("id").alias("v"), "tail", F.lit(True).alias("in_chain")), "v", "left").join(found.select(F.col("id").alias("u")), "u", "left_anti")
-            rest = cut(over.select("u", F.coalesce("tail", "v").alias("v")).filter("u <> v").distinct())
+            rest = written(over.select("u", F.coalesce("tail", "v").alias("v")).filter("u <> v").distinct())
             if rest.isEmpty():
                 break
             nodes_left = rest.select(F.col("u").alias("id")).union(rest.select("v")).distinct()
         else:
             nodes_left = degrees.select("id")
         ahead = _first(nodes_left, rest)
-        tagged = cut(rest.join(ahead.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(ahead.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").filter("cu = cv").select("u", "v"))
+        tagged = written(rest.join(ahead.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(ahead.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").filter("cu = cv").select("u", "v"))
         back = _first(nodes_left, tagged.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = cut(ahead.join(back.withColumnRenamed("c", "b"), "id"))
+        both = written(ahead.join(back.withColumnRenamed("c", "b"), "id"))
         named.append(both.filter("c = b").select("id", "c"))
         open_ = both.filter("c <> b").select("id", F.struct("c", "b").alias("k"))
         ends = tagged.join(open_.select(F.col("id").alias("u"), F.col("k").alias("ku")), "u").join(open_.select(F.col("id").alias("v"), F.col("k").alias("kv")), "v")
-        rest = cut(ends.filter("ku = kv").select("u", "v"))
+        rest = written(ends.filter("ku = kv").select("u", "v"))
     known = None
     for part in named:
         known = part if known is None else known.union(part)
     if known is None:
         return nodes.select("id", F.col("id").alias("component_id"))
-    known = cut(known)
+    known = written(known)
     for found in reversed(chains):  # ends of a chain were named after it was contracted
         ends = found.join(known.select(F.col("id").alias("head"), F.col("c").alias("a")), "head", "left").join(known.select(F.col("id").alias("tail"), F.col("c").alias("b")), "tail", "left")
         a, b = F.coalesce("a", "head"), F.coalesce("b", "tail")
-        known = cut(known.union(ends.filter(a == b).select("id", a.alias("c"))))
+        known = written(known.union(ends.filter(a == b).select("id", a.alias("c"))))
     whole = known.union(known.select(F.col("c").alias("id"), "c")).distinct()
     low = whole.groupBy("c").agg(F.min("id").alias("component_id"))
     named_all = whole.join(low, "c").select("id", "component_id")

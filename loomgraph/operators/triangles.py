@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import written
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _corners() -> list:
 
 def listing(edges: DataFrame) -> DataFrame:
     """(a, b, c) with a < b < c for canonical undirected edges (u < v, each once), which are computed once and kept."""
-    edges = cut(edges.select("u", "v"))
+    edges = written(edges.select("u", "v"))
     arcs = oriented(edges)
     x, y = arcs.select("s", F.col("t").alias("x")), arcs.select("s", F.col("t").alias("y"))
     wedges = x.join(y, "s").filter("x < y")
@@ -43,7 +43,7 @@ def living(edges: DataFrame) -> DataFrame:
 
     A pair of edges that were never there together is no wedge, so it costs no lookup of a third.
     """
-    arcs = cut(oriented(edges))
+    arcs = written(oriented(edges))
     x, y = (arcs.select("s", F.col("t").alias(n), F.col("alive").alias(f"{n}_alive")) for n in "xy")
     wedges = x.join(y, "s").filter("x < y").withColumn("wedge", meeting("x_alive", "y_alive")).filter("size(wedge) > 0")
     closed = wedges.select("s", "x", "y", "wedge").join(edges.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("alive").alias("third")), ["x", "y"])
@@ -56,7 +56,7 @@ def local(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    edges = cut(edges.select("u", "v"))
+    edges = written(edges.select("u", "v"))
     degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     both = local(edges, nodes).join(degree, "id", "left")
     d = F.col("d")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +23,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder."""
+    """``df`` computed once into the shared folder, partition by partition."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a table in the shared folder, which goes when this driver ends.
+
+    The plan that goes on from it knows the table's true size.  A checkpoint takes its size from the estimates of its plan,
+    which joins multiply, so that in a loop they grow beyond all bounds, and with them the cost of planning.
+    """
+    spark = df.sparkSession
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    df.write.parquet(_WRITTEN[-1])
+    return spark.read.schema(df.schema).parquet(_WRITTEN[-1])
+
+
+def _sweep() -> None:
+    for path in _WRITTEN:
+        with contextlib.suppress(OSError, ValueError):  # gone, or in a store that only Spark reaches
+            for a in ("s3a://", "s3n://"):
+                path = path.replace(a, "s3://", 1)
+            fs, at = pafs.FileSystem.from_uri(path if ":" in path else "file://" + path)
+            fs.delete_dir(at)
