@@ -58,7 +58,7 @@ class Neighbours(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         degree, strength, seq = self.total.get()
-        now, gone = expiredTimerInfo.getExpiryTimeInMs(), []
+        now, gone, before = expiredTimerInfo.getExpiryTimeInMs(), [], degree
         for at, other in self.due.keys():
             if at < now:
                 gone.append((at, other))
@@ -68,14 +68,17 @@ class Neighbours(StatefulProcessor):
             if known is not None and known[1] == at:  # not seen since
                 self.near.removeKey((other,))
                 degree, strength = degree - 1, strength - known[0]
-        yield from self._told(key, degree, strength, seq)
+        if degree < before:
+            yield from self._told(key, degree, strength, seq)
 
     def close(self) -> None:
         pass
 
 
 def running_degrees(log: DataFrame, width_s: float | None = None, delay: str = "0 seconds") -> DataFrame:
-    """(id, seq, degree, strength): the state of each node that a micro-batch touches, after it; write with output mode update.
+    """(id, seq, degree, strength): the state of each node that a micro-batch or a timer changes; write with output mode update.
+
+    Of several rows of a node in one batch the last one holds.
 
     log: a stream of (seq, op, u, v, w) with op add, remove or update; adding an edge that is there changes nothing.
     With ``width_s`` it has a column ts (timestamp) besides; adding an edge again restarts its time and replaces its weight,
@@ -92,6 +95,6 @@ def running_degrees(log: DataFrame, width_s: float | None = None, delay: str = "
     far = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
     kept = ["seq", "op", F.coalesce(F.col("w").cast("double"), F.lit(1.0)).alias("w"), ms.alias("ts_ms"), *(["ts"] if width_s is not None else [])]
     ends = log.filter("u <> v AND op IN ('add', 'remove', 'update')").select(F.explode(F.array(far("u", "v"), far("v", "u"))).alias("e"), *kept)
-    keyed = ends.select("e.id", "e.other", *[c if isinstance(c, str) else c for c in ("seq", "op", "w", "ts_ms", *(["ts"] if width_s is not None else []))]).groupBy("id")
+    keyed = ends.select("e.id", "e.other", "seq", "op", "w", "ts_ms", *(["ts"] if width_s is not None else [])).groupBy("id")
     width = None if width_s is None else int(width_s * 1000)
     return keyed.transformWithState(Neighbours(width), DEGREES, "Update", "None" if width is None else "EventTime")

@@ -82,13 +82,43 @@ def test_nodes_and_ids(spark):
         g.add_node(4294967295)
 
 
-def test_strong_components_both_ways(spark):
-    from loomgraph.operators.components import strong_component_labels
+def strong_by_hand(arcs, n):
+    near = {i: {i} for i in range(n)}
+    for u, v in arcs:
+        near[u].add(v)
+    reach = {}
+    for i in near:
+        seen, todo = {i}, [i]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        reach[i] = seen
+    return sorted((i, min(x for x in reach[i] if i in reach[x])) for i in near)
+
+
+def test_strong_components(spark, monkeypatch):
+    import random
+
+    from loomgraph.operators import strong
 
     g = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (4, 5)], directed=True)
-    want = [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5)]
-    assert values(g.strong_component_ids(), "id", "component_id") == want and g.n_strong_components() == 3
-    assert values(strong_component_labels(g.edges, g.touched, one_task_arcs=0), "id", "component_id") == want
+    assert values(g.strong_component_ids(), "id", "component_id") == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5)] and g.n_strong_components() == 3
+    rng = random.Random(4)
+    for n, m in ((9, 0), (30, 45), (40, 60)):
+        arcs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 6), (6, 7), (7, 2), (7, 8)]
+        got = strong.strong_component_labels(spark.createDataFrame(arcs, "u long, v long"), spark.range(n).toDF("id"))
+        assert values(got, "id", "component_id") == strong_by_hand(arcs, n)
+    # A path of 5,000 nodes in any order, and a circle: as many rounds as its logarithm, not its length.
+    rounds, write = [], strong.written
+    monkeypatch.setattr(strong, "written", lambda df: rounds.append(1) or write(df))
+    order = list(range(5_000))
+    rng.shuffle(order)
+    path = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    nodes = spark.range(5_000).toDF("id")
+    assert strong.strong_component_labels(path, nodes).filter("id <> component_id").isEmpty() and len(rounds) < 40
+    circle = path.union(spark.createDataFrame([(order[-1], order[0])], "u long, v long"))
+    assert strong.strong_component_labels(circle, nodes).filter("component_id <> 0").isEmpty()
 
 
 def test_pagerank_both_ways(spark):

@@ -421,3 +421,46 @@ def test_windowed_degrees_count_neighbours_once(spark):
     df = spark.createDataFrame(rows, "u long, v long, ts string").selectExpr("u", "v", "cast(ts AS timestamp) AS ts")
     got = sorted((str(r.start)[-5:], r.id, r.degree) for r in windowed_degrees(df, "1 minute").collect())
     assert got == [("00:00", 0, 2), ("00:00", 1, 1), ("00:00", 2, 1), ("01:00", 0, 1), ("01:00", 1, 1)]
+
+
+def test_a_window_answers_every_metric_of_a_graph(spark):
+    rows = [(1, 1, 2, 0.0, 1.0), (2, 2, 3, 1.0, 2.0), (3, 1, 3, 2.0, 3.0), (4, 3, 4, 3.0, 4.0), (5, 5, 6, 50.0, 1.0), (6, 1, 2, 52.0, 5.0), (7, 1, 1, 53.0, 1.0)]
+    events = spark.createDataFrame(rows, "seq long, u long, v long, ts double, w double")
+    w = SlidingWindow(events, 10, weighted=True, n_nodes=9)
+    g = w.snapshot()
+    assert w.n_nodes() == 6 and w.n_edges() == 2 and w.n_ids() == 9 and not w.directed and w.weighted
+    plain = ("n_nodes", "n_edges", "n_ids", "max_degree", "avg_degree", "density", "total_weight", "n_components", "n_strong_components", "triangle_count", "avg_clustering")
+    frames = ("nodes", "edge_list", "neighbour_arrays", "in_neighbour_arrays", "degrees", "in_degrees", "degree_histogram", "stats", "strengths", "component_ids", "component_sizes", "strong_component_ids", "triangles", "local_triangles", "all_local_triangles", "clustering", "pagerank", "betweenness_approx")
+    of_node = ("degree", "in_degree", "strength", "component_id", "component_size", "clustering_coefficient")
+    for name in plain:
+        assert getattr(w, name)() == getattr(g, name)(), name
+    for name in frames:
+        assert Counter(map(tuple, map(str, getattr(w, name)().collect()))) == Counter(map(tuple, map(str, getattr(g, name)().collect()))), name
+    for name in of_node:
+        assert getattr(w, name)(1) == getattr(g, name)(1), name
+    assert w.has_edge(2, 1) and w.edge_weight(1, 2) == 5.0 and not w.same_component(1, 3) and w.degree(4) == 0
+    assert values(w.neighbours(1), "id") == values(w.component_nodes(1), "id")[1:] == [(2,)]
+    for name in ("add_edge", "add_edges", "remove_edge", "update_weights", "clear", "reserve_nodes"):
+        with pytest.raises(AttributeError):
+            getattr(w, name)
+
+
+def test_windows_refuse_bad_edges(spark):
+    shape = "seq long, op string, u long, v long, ts double, w double"
+    for bad, error in (((1, -2), IndexError), ((4294967295, 2), IndexError), ((None, 2), IndexError), ((-1, -1), IndexError)):
+        rows = spark.createDataFrame([(1, "add", *bad, 1.0, 1.0)], shape)
+        with pytest.raises(error):
+            SlidingWindow(rows, 5)
+        with pytest.raises(error):
+            window_calls(rows, 5)
+        with pytest.raises(Exception, match="out of range"):
+            add_flags(rows, 5).collect()
+    for w in (0.0, -1.0, float("inf"), float("nan"), None):
+        rows = spark.createDataFrame([(1, "add", 1, 2, 1.0, w)], shape)
+        with pytest.raises(ValueError):
+            SlidingWindow(rows, 5, weighted=True)
+        with pytest.raises(ValueError):
+            window_calls(rows, 5, weighted=True)
+        assert SlidingWindow(rows, 5).n_edges() == 1
+    loop = spark.createDataFrame([(1, "add", 1, 1, 1.0, -1.0), (2, "advance", None, None, 2.0, None)], shape)
+    assert [r.added for r in window_calls(loop, 5, weighted=True).collect()].count(False) == 1
