@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from . import bm25, bpe, exact_dedup, html_extract, jaccard, packing, prefix_trie, quality, sharding, substring_dedup, token_counts, vector_codes, warc
 from .common import scratch_path
 
-#: Folder of the public tokenisers' files; they are never copied here.
-TOKENIZERS = "/opt/tokenizers"
 TRAIN_ROWS = "crc32(cast(doc_id as string)) % 5 <> 0"
 SHARD_BYTES = 1 << 20
 #: Longest block of a WARC record; longer ones continue in segments.
@@ -17,12 +15,10 @@ SEGMENT_BYTES = 4_096
 
 
 def tokenizer(name: str) -> str:
-    try:
-        import public_tokenizers
+    """Place of a public tokeniser's file; they are never copied here."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,11 @@ best only if its score is strictly greater, and longer pieces come first: the to
 order with the same rule, so ties fall alike.  A character without a one-character piece may be unknown, at the lowest
 score less 10; unknown characters count as their bytes with byte fallback, else a run of them is one token.
 
+What is counted: the pieces on the best path of the unigram model that has the given pieces and scores, which is what the
+sentencepiece library counts for a model of type unigram without a normaliser.  A file of type BPE has ranks for scores and
+another algorithm; of such a file this takes pieces and ranks as the unigram vocabulary, and the counts are not those of
+the file's own BPE (on prose mostly higher, by 10 to 16 % in samples).  The query does so, as no unigram file is at hand.
+
 Text is the tokeniser's: blanks become U+2581, with one in front.  Where no piece holds U+2581 behind another
 character and all scores are whole numbers (their sums are then exact in any order), the best path splits at each such
 mark, so counts of units are memoised per worker; otherwise a text is one unit.
