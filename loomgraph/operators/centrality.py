@@ -2,51 +2,52 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut
-from .components import ONE_TASK_ARCS, arrow_columns
-from .kernels import Adjacency, dependencies, ranks
+from ..plans.lineage import cut, filesystem, written
+from .kernels import Adjacency, dependencies
 
-#: Arcs of a graph that is broadcast for per-source kernels (about 24 bytes each, so 240 MB); larger graphs run as joins.
+#: Arcs of a graph that each worker holds for per-source kernels (about 24 bytes each, so 240 MB); larger graphs run as joins.
 BROADCAST_ARCS = 10_000_000
 
 
-def pagerank(out: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float = 1e-10, max_iter: int = 100, one_task_arcs: int = ONE_TASK_ARCS) -> DataFrame:
+def pagerank(out: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float = 1e-10, max_iter: int = 100) -> DataFrame:
     """(id, rank) by power iteration over nodes, along arcs out(u, v, w) in proportion to w; a node without arcs spreads evenly.
 
-    Stops after max_iter rounds, or when a round moved less than tol in sum.  Graphs beyond one_task_arcs run as joins,
-    one partially aggregated shuffle of the arcs a round, with lineage cut each round.
+    Stops after max_iter rounds, or when a round moved less than tol in sum.  Arcs are dealt by source once and stay so:
+    a round sends ranks to them, sums what each partition gives to a node, and shuffles those sums.  It is one job, which
+    tells on the side what moved and what hangs on nodes without arcs.
     """
-    if not 0 <= damping < 1 or not tol > 0 or max_iter <= 0:
-        raise ValueError("damping must be in [0, 1), tol and max_iter positive")
-    if out.count() <= one_task_arcs:
-        tagged = out.select("u", "v", "w").union(nodes.select("id", F.lit(-1).cast("long"), F.lit(0.0)))
-
-        def run(batches):
-            u, v, w = arrow_columns(batches, "u", "v", "w")
-            arc = v >= 0
-            if len(u):
-                g = Adjacency(u, u[arc], v[arc], w[arc], True)
-                yield pa.record_batch({"id": pa.array(g.ids.astype(np.int64)), "rank": pa.array(ranks(g, damping, tol, max_iter))})
-
-        return tagged.coalesce(1).mapInArrow(run, "id long, rank double")
-    n = nodes.count()
-    total = out.groupBy("u").agg(F.sum("w").alias("t"))
-    arcs = cut(out.join(total, "u").select("u", "v", (F.col("w") / F.col("t")).alias("p")))
-    rank = cut(nodes.join(total.select(F.col("u").alias("id"), F.lit(True).alias("goes")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.col("goes").isNull().alias("hangs")))
+    if not 0 <= damping < 1 or not 0 < tol < float("inf") or max_iter <= 0:
+        raise ValueError("damping must be in [0, 1), tol finite and positive, max_iter positive")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = cut(out.select("u", "v", "w").repartition(parts, "u"))  # its partitioning is known to the joins that follow
+    total = given.groupBy("u").agg(F.sum("w").alias("t"))
+    goes = total.select(F.col("u").alias("id"), "t")
+    rank = written(nodes.join(goes, "id", "left").select("id", F.col("t")))
+    n = rank.count()
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    hung = rank.filter("t IS NULL").count() / n
+    rank = rank.withColumn("rank", F.lit(1.0 / n))
     for _ in range(max_iter):
-        hung = rank.filter("hangs").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        moved = arcs.join(rank.select(F.col("id").alias("u"), "rank"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("m"))
+        gives = rank.filter("t IS NOT NULL").select(F.col("id").alias("u"), (F.col("rank") / F.col("t")).alias("r"))
+        moved = given.join(gives, "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("r") * F.col("w")).alias("m"))
         base = (1 - damping) / n + damping * hung / n
-        new = cut(rank.join(moved, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("m", F.lit(0.0))).alias("new"), "rank", "hangs"))
-        gap = new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0]
-        rank = new.select("id", F.col("new").alias("rank"), "hangs")
-        if gap < tol:
+        new = rank.join(moved, "id", "left").select("id", "t", (F.lit(base) + damping * F.coalesce("m", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        told = Observation()
+        new = new.observe(told, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("gap"), F.sum(F.when(F.col("t").isNull(), F.col("rank"))).alias("hung"))
+        rank = written(new.drop("old"))
+        got = told.get
+        hung = got["hung"] or 0.0
+        if got["gap"] < tol:
             break
     return rank.select("id", "rank")
 
@@ -54,7 +55,7 @@ def pagerank(out: DataFrame, nodes: DataFrame, damping: float = 0.85, tol: float
 def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, k: int = 200, seed: int = 42, normalise: bool = True, broadcast_arcs: int = BROADCAST_ARCS) -> DataFrame:
     """(id, betweenness) per node: k random pairs with replacement, scaled to all pairs; all pairs if there are no more than k.
 
-    A graph of a checked size is broadcast, and sources run in parallel, one backward pass per source however many of its
+    A graph of a checked size is read by each worker, and sources run in parallel, one backward pass per source however many of its
     targets were drawn.  A larger one takes part in joins on (source, node), see dependencies_by_joins.
     """
     if k <= 0:
@@ -75,32 +76,35 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
         for a, b in zip(s.tolist(), t.tolist(), strict=True):
             drawn.setdefault(a, {})[b] = drawn.get(a, {}).get(b, 0.0) + 1
     if edges.count() <= broadcast_arcs:
-        got = _by_broadcast(edges, nodes, directed, weighted, drawn)
+        got = _by_copies(edges, nodes, directed, weighted, drawn)
     else:
         got = dependencies_by_joins(edges, nodes, directed, weighted, drawn)
     got = got.groupBy("id").agg((F.sum("b") * scale).alias("b"))
     out = nodes.join(got, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
     if normalise:
-        out = cut(out)
+        out = written(out)
         top = out.agg(F.max("betweenness")).first()[0]
         out = out.withColumn("betweenness", F.col("betweenness") / top) if top and top > 0 else out
     return out
 
 
-def _by_broadcast(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
-    """(id, b): shares of the paths of all pairs, or of the drawn ones, given by places among the ascending ids."""
+def _by_copies(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
+    """(id, b): shares of the paths of all pairs, or of the drawn ones, given by places among the ascending ids.
+
+    The graph, of a checked size, lies in the shared folder, and each worker reads its own copy; the driver has the path only.
+    """
     spark = nodes.sparkSession
-    e = edges.select("u", "v", "w").toArrow()
-    u, v, w = (e.column(c).to_numpy() for c in ("u", "v", "w"))
-    ids = nodes.select("id").toArrow().column("id").to_numpy()
-    graph = spark.sparkContext.broadcast(Adjacency(np.r_[ids, u, v], u, v, w if weighted else None, directed))
+    held = written(edges.select("u", "v", "w").union(nodes.select("id", F.lit(-1).cast("long"), F.lit(0.0))))
+    place = held.inputFiles()
     targets = None if drawn is None else spark.sparkContext.broadcast(drawn)
-    sources = spark.range(len(ids)).toDF("s") if drawn is None else spark.createDataFrame([(x,) for x in sorted(drawn)], "s long")
+    sources = spark.range(nodes.count()).toDF("s") if drawn is None else spark.createDataFrame([(x,) for x in sorted(drawn)], "s long")
 
     def run(batches):
-        g = graph.value
+        g = None
         total: dict[int, float] = {}
         for b in batches:
+            if b.num_rows and g is None:
+                g = _copy(tuple(place), directed, weighted)
             for s in b.column(0).to_pylist():
                 for x, share in dependencies(g, s, None if targets is None else targets.value[s]).items():
                     total[x] = total.get(x, 0.0) + share
@@ -109,44 +113,53 @@ def _by_broadcast(edges: DataFrame, nodes: DataFrame, directed: bool, weighted:
     return sources.repartition(spark.sparkContext.defaultParallelism, "s").mapInArrow(run, "id long, b double")
 
 
+@lru_cache(maxsize=1)
+def _copy(files: tuple[str, ...], directed: bool, weighted: bool) -> Adjacency:
+    """The graph in these files, once for each worker."""
+    got = pa.concat_tables([pq.read_table(at, filesystem=fs, partitioning=None) for fs, at in map(filesystem, files)])
+    u, v, w = (got.column(c).to_numpy() for c in ("u", "v", "w"))
+    arc = v >= 0
+    return Adjacency(u if not len(u) else np.r_[u, v[arc]], u[arc], v[arc], w[arc] if weighted else None, directed)
+
+
 def dependencies_by_joins(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
-    """What _by_broadcast gives, with joins only: distances by relaxing what improved, then the arcs on shortest paths, along
+    """What _by_copies gives, with joins only: distances by relaxing what improved, then the arcs on shortest paths, along
     which path counts go forward and shares go back, a round for each arc of the longest shortest path."""
     spark = nodes.sparkSession
     w = F.col("w") if weighted else F.lit(1.0)
     arcs = edges.select("u", "v", w.alias("w"))
-    arcs = cut(arcs if directed else arcs.union(arcs.select("v", "u", "w")))
+    arcs = written(arcs if directed else arcs.union(arcs.select("v", "u", "w")))
     if drawn is None:
         sources, wanted = nodes.select(F.col("id").alias("s")), None
     else:
         ranked = nodes.select("id").orderBy("id").withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-        ranked = cut(ranked)
+        ranked = written(ranked)
         per = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"))
         before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
         place = ranked.join(F.broadcast(per.select("part", "lo", before.alias("before"))), "part").select("id", (F.col("before") + F.col("m") - F.col("lo")).alias("place"))
         rows = [(a, b, x) for a, row in drawn.items() for b, x in row.items()]  # at most k
         told = spark.createDataFrame(rows, "a long, b long, own double")
         wanted = told.join(place.select(F.col("id").alias("s"), F.col("place").alias("a")), "a").join(place.select(F.col("id").alias("v"), F.col("place").alias("b")), "b")
-        wanted = cut(wanted.select("s", "v", "own"))
+        wanted = written(wanted.select("s", "v", "own"))
         sources = wanted.select("s").distinct()
-    far = front = cut(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d")))
+    far = front = written(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d")))
     while not front.isEmpty():
         told = front.join(arcs.select(F.col("u").alias("v"), F.col("v").alias("to"), "w"), "v").groupBy("s", F.col("to").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
-        both = cut(far.join(told, ["s", "v"], "full").select("s", "v", F.least("d", "new").alias("d"), (F.coalesce(F.col("new") < F.col("d"), F.col("d").isNull())).alias("moved")))
+        both = written(far.join(told, ["s", "v"], "full").select("s", "v", F.least("d", "new").alias("d"), (F.coalesce(F.col("new") < F.col("d"), F.col("d").isNull())).alias("moved")))
         far, front = both.select("s", "v", "d"), both.filter("moved").select("s", "v", "d")
     near = far.withColumnsRenamed({"v": "u", "d": "du"})
     tie = F.abs(F.col("du") + F.col("w") - F.col("d")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("du") + F.col("w")), F.abs(F.col("d")))
-    tree = cut(near.join(arcs, "u").join(far, ["s", "v"]).filter(tie & (F.col("du") < F.col("d"))).select("s", "u", "v"))
-    paths = front = cut(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("c")))
+    tree = written(near.join(arcs, "u").join(far, ["s", "v"]).filter(tie & (F.col("du") < F.col("d"))).select("s", "u", "v"))
+    paths = front = written(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("c")))
     while not front.isEmpty():
-        front = cut(front.withColumnRenamed("v", "u").join(tree, ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")))
-        paths = cut(paths.union(front).groupBy("s", "v").agg(F.sum("c").alias("c")))
+        front = written(front.withColumnRenamed("v", "u").join(tree, ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")))
+        paths = written(paths.union(front).groupBy("s", "v").agg(F.sum("c").alias("c")))
     share = tree.join(paths.withColumnsRenamed({"v": "u", "c": "cu"}), ["s", "u"]).join(paths, ["s", "v"]).select("s", "u", "v", (F.col("cu") / F.col("c")).alias("r"))
-    share = cut(share.filter("u <> s"))  # ends of a path take no share
+    share = written(share.filter("u <> s"))  # ends of a path take no share
     own = far.filter("s <> v").select("s", "v", F.lit(1.0).alias("own")) if wanted is None else wanted.join(far.select("s", "v"), ["s", "v"], "left_semi")
     front, total = own.withColumnRenamed("own", "x"), None
     while True:
-        front = cut(front.join(share, ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("x") * F.col("r")).alias("x")).select("s", F.col("u").alias("v"), "x"))
+        front = written(front.join(share, ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("x") * F.col("r")).alias("x")).select("s", F.col("u").alias("v"), "x"))
         if front.isEmpty():
             break
         part = front.select(F.col("v").alias("id"), F.col("x").alias("b"))

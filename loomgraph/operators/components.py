@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
-#: Up to this many arcs a graph goes to one task's kernel (16 MB of ids); beyond it only joins are used.
-ONE_TASK_ARCS = 1_000_000
-
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether each u has one v and no v is a u: then the larger ends are nodes, the smaller ones their components."""
@@ -44,9 +39,3 @@ def component_labels(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     known = stars.union(roots)
     return known.union(loops.select(F.col("u").alias("id"), F.col("u").alias("component_id")).join(known.select("id"), "id", "left_anti"))
-
-
-def arrow_columns(batches, *names) -> list[np.ndarray]:
-    """All rows of the batches as arrays; only for inputs of a checked size."""
-    got = list(batches)
-    return [np.concatenate([b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for b in got] or [np.zeros(0, np.int64)]) for n in names]

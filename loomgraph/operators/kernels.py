@@ -1,4 +1,4 @@
-"""Single-task kernels for inputs of a checked size, and per-source kernels that run in parallel over a broadcast graph."""
+"""Per-source kernels, which run in parallel over a graph of a checked size."""
 
 from __future__ import annotations
 
@@ -81,21 +81,3 @@ def dependencies(g: Adjacency, s: int, targets: dict[int, float] | None) -> dict
                 share[p] = share.get(p, 0.0) + paths[p] / paths[x] * own
     share.pop(s, None)
     return share
-
-
-def ranks(g: Adjacency, damping: float, tol: float, max_iter: int) -> np.ndarray:
-    n = len(g.ids)
-    rank = np.full(n, 1.0 / n)
-    source = np.repeat(np.arange(n), np.diff(g.start))
-    weight = np.ones(len(g.to)) if g.weight is None else g.weight
-    out = np.bincount(source, weight, n)
-    dangling = np.diff(g.start) == 0
-    share = weight / out[source]
-    for _ in range(max_iter):
-        moved = np.bincount(g.to, rank[source] * share, n)
-        new = (1 - damping) / n + damping * (moved + rank[dangling].sum() / n)
-        gap = np.abs(new - rank).sum()
-        rank = new
-        if gap < tol:
-            break
-    return rank

@@ -38,17 +38,28 @@ def written(df: DataFrame) -> DataFrame:
     which joins multiply, so that in a loop they grow beyond all bounds, and with them the cost of planning.
     """
     spark = df.sparkSession
+    path = scratch(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, what: str, suffix: str = "") -> str:
+    """A new place in the shared folder; what is there goes when this driver ends."""
     if not _WRITTEN:
         atexit.register(_sweep)
-    _WRITTEN.append(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
-    df.write.parquet(_WRITTEN[-1])
-    return spark.read.schema(df.schema).parquet(_WRITTEN[-1])
+    _WRITTEN.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}{suffix}")
+    return _WRITTEN[-1]
+
+
+def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a place in the shared folder."""
+    for a in ("s3a://", "s3n://"):
+        url = url.replace(a, "s3://", 1) if url.startswith(a) else url
+    return pafs.FileSystem.from_uri(url if ":" in url else "file://" + url)
 
 
 def _sweep() -> None:
     for path in _WRITTEN:
         with contextlib.suppress(OSError, ValueError):  # gone, or in a store that only Spark reaches
-            for a in ("s3a://", "s3n://"):
-                path = path.replace(a, "s3://", 1)
-            fs, at = pafs.FileSystem.from_uri(path if ":" in path else "file://" + path)
-            fs.delete_dir(at)
+            fs, at = filesystem(path)
+            (fs.delete_dir if fs.get_file_info(at).type == pafs.FileType.Directory else fs.delete_file)(at)

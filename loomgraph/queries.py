@@ -5,8 +5,6 @@ EVT: transitions between users in event order (directed).  PSEQ: parts that foll
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from .operators.graph import Graph, KeyIndex
 from .operators.log import effects, first_touches, lifetimes, prefix_metrics, replay
 from .operators.prefixes import prefix_node_metrics, prefix_totals
 from .operators.window import SlidingWindow, add_flags, episodes, expired_counts, live_edges, window_calls
-from .plans.lineage import cut, shared_folder
+from .plans.lineage import cut, scratch
 from .plans.order import carried, even_buckets
 from .sources.edgs import filesystem, load, save
 from .sources.interop import from_arrays, from_frames, to_coordinates, to_frames
@@ -150,6 +148,12 @@ def remove_edges(spark, d):
     return g.stats().select("n_nodes", "n_edges")
 
 
+@query(f"WITH {WGT}, o AS (SELECT least(u, v) AS u, greatest(u, v) AS v FROM evt WHERE seq % 3 = 0) SELECT u, v, w FROM e ANTI JOIN o USING (u, v)")
+def edges_left(spark, d):
+    """The edges that a removal leaves, with their weights."""
+    return weighted(spark, d).remove_edges(evt(spark, d).filter("seq % 3 = 0").select("u", "v")).edge_list()
+
+
 @query(f"WITH {WGT}, o AS (SELECT least(u, v) AS u, greatest(u, v) AS v, arg_max(w + 1, seq) AS x FROM evt WHERE seq % 5 = 0 AND w > 0 GROUP BY ALL) SELECT e.u, e.v, coalesce(x, w) AS w FROM e LEFT JOIN o USING (u, v)")
 def update_weights(spark, d):
     new = evt(spark, d).filter("seq % 5 = 0 AND w > 0").select("u", "v", (F.col("w") + 1).alias("w"), F.col("seq").alias("pos"))
@@ -354,10 +358,10 @@ def edgs_round_trip(spark, d):
 
 
 def scratch_file(spark: SparkSession) -> str:
-    base = shared_folder(spark)
-    fs, at = filesystem(base)
+    path = scratch(spark, "graph", ".esg")
+    fs, at = filesystem(path.rpartition("/")[0])
     fs.create_dir(at, recursive=True)
-    return f"{base}/graph-{uuid.uuid4().hex}.esg"
+    return path
 
 
 # one query for each remaining method
@@ -395,6 +399,14 @@ def copy_is_independent(spark, d):
     return g.edges.agg(F.count(F.lit(1)).alias("n_before")).crossJoin(changed.edges.agg(F.count(F.lit(1)).alias("n_copy")))  # one row each
 
 
+@query(f"WITH {UND}, o AS (SELECT least(u, v) AS u, greatest(u, v) AS v FROM evt WHERE seq % 2 = 0) SELECT u, v, (u, v) IN (SELECT (u, v) FROM o) AS removed FROM e")
+def copy_edges(spark, d):
+    """All edges of a graph, and which of them a change of its copy has removed there."""
+    g = undirected(spark, d)
+    left = g.copy().remove_edges(evt(spark, d).filter("seq % 2 = 0").select("u", "v")).edges.select("u", "v", F.lit(True).alias("left"))
+    return g.edges.join(left, ["u", "v"], "left").select("u", "v", F.col("left").isNull().alias("removed"))
+
+
 @query(f"WITH {WGT} SELECT c_custkey AS u, c_nationkey AS v, w FROM customer LEFT JOIN e ON e.u = least(c_custkey, c_nationkey) AND e.v = greatest(c_custkey, c_nationkey)")
 def edge_weights(spark, d):
     pairs = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v"))

@@ -1,4 +1,4 @@
-"""EDGS graph files: a reader that splits by byte range (a Spark data source), and an atomic writer.
+"""EDGS graph files: a Spark data source that reads by byte range, and writes by byte range under a name that it gives up at the end.
 
 Version 3, little-endian: "EDGS", u16 version, u8 flags (1 directed, 2 weighted), u64 id range, u64 nodes, u64 edges,
 then ascending u32 node ids, then edges u32 u, u32 v[, f64 w].  Version 2 has the magic bytes reversed, no id range and no ids.
@@ -6,15 +6,16 @@ then ascending u32 node ids, then edges u32 u, u32 v[, f64 w].  Version 2 has th
 
 from __future__ import annotations
 
+import os
 import struct
-from dataclasses import replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..operators.graph import EDGES, ID_END, Graph
 from ..plans.lineage import cut
@@ -106,6 +107,9 @@ class EdgsSource(DataSource):
     def reader(self, schema):
         return EdgsReader(self.options["path"], self.options.get("part", "edges"))
 
+    def writer(self, schema, overwrite):
+        return EdgsWriter(self.options["path"])
+
 
 def load(spark: SparkSession, path: str) -> Graph:
     h = header(path)
@@ -137,35 +141,112 @@ def load(spark: SparkSession, path: str) -> Graph:
     return Graph(edges, nodes, h["directed"], h["weighted"], h["n_ids"])
 
 
+class EdgsWriter(DataSourceArrowWriter):
+    """Writes rows (at, data) into a file that is there in its full length: each task its own ranges, the same ones if it is
+    repeated.  The file gets its name when all tasks are done.  Where a store has no writing within a file, the ranges are
+    files named by their place, which ``composed`` joins."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator):
+        fs, at = filesystem(self.path)
+        n = 0
+        if isinstance(fs, pafs.LocalFileSystem):
+            with open(f"{at}.tmp", "r+b") as f:
+                for batch in iterator:
+                    for place, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                        f.seek(place)
+                        n += f.write(data)
+            return Wrote(n)
+        for batch in iterator:
+            for place, data in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                with fs.open_output_stream(f"{at}.parts/{place:020d}") as f:
+                    f.write(data)
+                n += len(data)
+        return Wrote(n)
+
+    def commit(self, messages):
+        fs, at = filesystem(self.path)
+        if isinstance(fs, pafs.LocalFileSystem):
+            fs.move(f"{at}.tmp", at)
+
+    def abort(self, messages):
+        fs, at = filesystem(self.path)
+        if fs.get_file_info(f"{at}.tmp").type == pafs.FileType.File:
+            fs.delete_file(f"{at}.tmp")
+
+
+@dataclass
+class Wrote(WriterCommitMessage):
+    n: int
+
+
+def composed(spark: SparkSession, path: str) -> None:
+    """Joins the ranges that a store without writing within files holds as files; one task streams them."""
+
+    def run(batches):
+        for _ in batches:
+            pass
+        fs, at = filesystem(path)
+        found = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(f"{at}.parts")))
+        with fs.open_output_stream(f"{at}.tmp") as out:
+            for x in found:
+                with fs.open_input_stream(x, compression=None) as f:
+                    while data := f.read(1 << 22):
+                        out.write(data)
+        fs.move(f"{at}.tmp", at)
+        fs.delete_dir(f"{at}.parts")
+        yield pa.record_batch({"n": pa.array([len(found)], pa.int64())})
+
+    spark.range(1).coalesce(1).mapInArrow(run, "n long").collect()
+
+
 def save(graph: Graph, path: str) -> None:
-    """Tasks sort and encode ranges of rows; the driver appends their bytes in order to path.tmp, a batch at a time, and renames it."""
+    """Tasks sort and encode ranges of rows and write them to their places: records have one width, so the number of rows in
+    each partition says where it begins.  The driver writes the head and gives the file its name."""
+    spark = graph.spark
     fs, at = filesystem(path)
-    whole = replace(graph, edges=cut(graph.edge_list()))
-    listed = cut(whole.nodes())
-    n, m = listed.count(), whole.n_edges()
-    top = listed.agg(F.max("id")).first()[0]
-    n_ids = max(graph.base_ids, graph.reserved, 0 if top is None else top + 1)
-    flags = graph.directed | graph.weighted << 1
+    edges = cut(graph.edge_list().withColumn("part", F.spark_partition_id()))
+    nodes = cut(graph.nodes().withColumn("part", F.spark_partition_id()))
     kind = np.dtype([("u", "<u4"), ("v", "<u4")] + ([("w", "<f8")] if graph.weighted else []))
-
-    def ids(batches):
-        for b in batches:
-            yield pa.record_batch({"data": pa.array([b.column(0).to_numpy().astype("<u4").tobytes()], pa.binary())})
-
-    def edges(batches):
-        for b in batches:
-            rows = np.empty(b.num_rows, kind)
-            for k, name in enumerate(kind.names):
-                rows[name] = b.column(k).to_numpy()
-            yield pa.record_batch({"data": pa.array([rows.tobytes()], pa.binary())})
-
-    temp = at + ".tmp"
-    with fs.open_output_stream(temp) as f:
-        f.write(b"EDGS" + struct.pack("<HBQQQ", 3, flags, n_ids, n, m))
-        for encoded in (listed.mapInArrow(ids, "data binary"), whole.edges.mapInArrow(edges, "data binary")):
-            for r in encoded.toLocalIterator():
-                f.write(r.data)
-    fs.move(temp, at)
+    starts, n, m, base = [], 0, 0, 4 + struct.calcsize("<HBQQQ")
+    for rows, size in ((nodes, 4), (edges, kind.itemsize)):
+        here, total = {}, 0
+        for r in sorted(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.part):  # one row for each partition
+            here[r.part] = base
+            base, total = base + r.n * size, total + r.n
+        starts.append(here)
+        n, m = m, total
+    top = nodes.agg(F.max("id")).first()[0]
+    n_ids = max(graph.base_ids, graph.reserved, 0 if top is None else top + 1)
+    head = b"EDGS" + struct.pack("<HBQQQ", 3, graph.directed | graph.weighted << 1, n_ids, n, m)
+
+    def encoded(kind: np.dtype, begins: dict[int, int]):
+        def run(batches):
+            place = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                rows = np.empty(b.num_rows, kind)
+                for name in kind.names:
+                    rows[name] = b.column(b.schema.get_field_index(name)).to_numpy()
+                place = begins[b.column(b.schema.get_field_index("part"))[0].as_py()] if place is None else place
+                yield pa.record_batch({"at": pa.array([place], pa.int64()), "data": pa.array([rows.tobytes()], pa.binary())})
+                place += rows.nbytes
+
+        return run
+
+    local = isinstance(fs, pafs.LocalFileSystem)
+    with fs.open_output_stream(f"{at}.tmp" if local else f"{at}.parts/{0:020d}") as f:
+        f.write(head)
+    if local:
+        os.truncate(f"{at}.tmp", base)
+    spark.dataSource.register(EdgsSource)
+    data = nodes.mapInArrow(encoded(np.dtype([("id", "<u4")]), starts[0]), "at long, data binary").union(edges.mapInArrow(encoded(kind, starts[1]), "at long, data binary"))
+    data.write.format("edgs").mode("append").save(path)
+    if not local:
+        composed(spark, path)
 
 
 def save_parquet(graph: Graph, path: str) -> None:
