@@ -361,7 +361,7 @@ class Graph:
         return triangles.listing(self._underlying())
 
     def triangle_count(self) -> int:
-        return self.triangles().count()
+        return triangles.count(self._underlying())
 
     def local_triangles(self) -> DataFrame:
         return triangles.local(self._underlying(), self.touched)

@@ -1,13 +1,24 @@
-"""Triangles by degree-ordered wedges: each edge points to the end of higher degree, so hubs start few wedges."""
+"""Triangles.
+
+Of a graph: in blocks between three colours of nodes, in which sorted lists of neighbours are intersected.  Of edges that
+live for intervals: by degree-ordered wedges, each edge pointing to the end of higher degree, so that hubs start few.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+from math import isqrt
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
 
 
+
 def oriented(edges: DataFrame) -> DataFrame:
     """(s, t, other columns) for edges(u, v, ...): each edge from its end of lower degree (lower id of equal ones)."""
     degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
@@ -22,14 +33,120 @@ def _corners() -> list:
     return [F.least("s", "x").alias("a"), F.greatest(F.least("s", "y"), "x").alias("b"), F.greatest("s", "y").alias("c")]
 
 
+#: Edges of a block that a task holds (two longs each), as a mean, and least number of colours.
+BLOCK_EDGES, LEAST_COLOURS = 1_000_000, 4
+#: Pairs of neighbours that are looked up at a time.
+LOOKUPS = 2_000_000
+
+
+def _found(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (x, y, z) in the sorted ids of each triangle of a block of edges, a run at a time; ids, first, are yielded as x.
+
+    An edge goes from its end of fewer edges to the other.  For each edge the shorter list of its ends' targets is looked
+    up in the longer one, by binary search in the sorted edges, so no list is longer than the square root of the edges.
+    """
+    ids, ends = np.unique(np.r_[u, v], return_inverse=True)
+    n, m = len(ids), len(u)
+    degree = np.bincount(ends, minlength=n)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), degree))] = np.arange(n)
+    a, b = rank[ends[:m]], rank[ends[m:]]
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    key = np.unique(lo * n + hi)
+    lo, hi = key // n, key % n
+    start = np.searchsorted(lo, np.arange(n + 1))
+    size = np.diff(start)
+    back = np.argsort(rank)  # rank -> place
+    yield ids, back, back
+    swap = size[hi] < size[lo]
+    few, many = np.where(swap, hi, lo), np.where(swap, lo, hi)
+    upto = np.cumsum(size[few])
+    at = 0
+    while at < len(key):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LOOKUPS, side="right")))
+        runs = size[few[at:end]]
+        which = np.repeat(np.arange(at, end), runs)
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
+        third = hi[start[few[which]] + inner]
+        asked = many[which] * n + third
+        place = np.searchsorted(key, asked)
+        closed = (place < len(key)) & (key[np.minimum(place, len(key) - 1)] == asked)
+        yield back[lo[which[closed]]], back[hi[which[closed]]], back[third[closed]]
+        at = end
+
+
+def _blocks(edges: DataFrame, tell, schema: str, kept: bool = False) -> DataFrame:
+    """What ``tell(ids, x, y, z)`` gives for the triangles of edges(u, v), found in blocks: no pair of edges is ever a row.
+
+    Nodes get one of a few colours.  A block is a set of three colours and the edges between them, so an edge is in as many
+    blocks as there are colours; a triangle belongs to the block of just its colours.  There are more colours the more edges
+    there are, or the more the largest hub has, so a block stays within a task's memory.  ``kept``: edges are a table already.
+    """
+    edges = edges if kept else written(edges.select("u", "v"))
+    ends = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    got = ends.agg(F.sum("d").alias("ends"), F.max("d").alias("top")).first()
+    colours = max(LEAST_COLOURS, isqrt(3 * (got.ends or 0) // BLOCK_EDGES) + 1, 2 * (got.top or 0) // BLOCK_EDGES + 1)
+    colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours))
+    own = edges.select("u", "v", colour("u").alias("cu"), colour("v").alias("cv"))
+    three = lambda k: F.array_sort(F.array("cu", "cv", k.cast("long")))
+    code = lambda t: (t[0] * colours + t[1]) * colours + t[2]
+    dealt = own.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.lit(colours - 1)), lambda k: code(three(k)))))
+
+    def listed(block: int, parts: list):
+        u, v, cu, cv = (np.concatenate(c) for c in zip(*parts, strict=True))
+        found = _found(u, v)
+        ids, _, _ = next(found)
+        of = np.empty(len(ids), np.int64)
+        of[np.searchsorted(ids, u)], of[np.searchsorted(ids, v)] = cu, cv
+        want = np.array([block // colours**2, block // colours % colours, block % colours])
+        for x, y, z in found:
+            mine = (np.sort(np.stack([of[x], of[y], of[z]]), axis=0) == want[:, None]).all(axis=0)
+            yield tell(ids, x[mine], y[mine], z[mine])
+
+    def run(batches):
+        here, parts = None, []
+        for b in batches:
+            block = b.column(4).to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for lo, hi in pairwise(cuts):
+                if lo == hi:
+                    continue
+                if parts and block[lo] != here:
+                    yield from listed(here, parts)
+                    parts = []
+                here = int(block[lo])
+                parts.append([b.column(k).to_numpy()[lo:hi] for k in range(4)])
+        if parts:
+            yield from listed(here, parts)
+
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return dealt.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(run, schema)
+
+
 def listing(edges: DataFrame) -> DataFrame:
     """(a, b, c) with a < b < c for canonical undirected edges (u < v, each once), which are computed once and kept."""
-    edges = written(edges.select("u", "v"))
-    arcs = oriented(edges)
-    x, y = arcs.select("s", F.col("t").alias("x")), arcs.select("s", F.col("t").alias("y"))
-    wedges = x.join(y, "s").filter("x < y")
-    closed = wedges.join(edges.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
-    return closed.select(*_corners())
+
+    def tell(ids, x, y, z):
+        t = np.sort(np.stack([ids[x], ids[y], ids[z]]), axis=0)
+        return pa.record_batch({n: pa.array(c) for n, c in zip("abc", t, strict=True)})
+
+    return _blocks(edges, tell, "a long, b long, c long")
+
+
+def corners(edges: DataFrame, kept: bool = False) -> DataFrame:
+    """(id, triangles) of the nodes that lie in any, counted by block before anything is shuffled again."""
+
+    def tell(ids, x, y, z):
+        n = np.bincount(np.concatenate([x, y, z]), minlength=len(ids))
+        at = np.flatnonzero(n)
+        return pa.record_batch({"id": pa.array(ids[at]), "n": pa.array(n[at].astype(np.int64))})
+
+    return _blocks(edges, tell, "id long, n long", kept).groupBy("id").agg(F.sum("n").alias("triangles"))
+
+
+def count(edges: DataFrame) -> int:
+    one = _blocks(edges, lambda ids, x, y, z: pa.record_batch({"n": pa.array([len(x)], pa.int64())}), "n long")
+    return one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def meeting(x: str, y: str) -> Column:
@@ -50,14 +167,13 @@ def living(edges: DataFrame) -> DataFrame:
     return closed.select(*_corners(), meeting("wedge", "third").alias("alive")).filter("size(alive) > 0")
 
 
-def local(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    got = listing(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-    return nodes.join(got, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+def local(edges: DataFrame, nodes: DataFrame, kept: bool = False) -> DataFrame:
+    return nodes.join(corners(edges, kept), "id", "left").select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
 
 def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v"))
     degree = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    both = local(edges, nodes).join(degree, "id", "left")
+    both = local(edges, nodes, kept=True).join(degree, "id", "left")
     d = F.col("d")
     return both.select("id", F.when(d >= 2, 2.0 * F.col("triangles") / (d * (d - 1))).otherwise(F.lit(0.0)).alias("clustering"))

@@ -255,3 +255,33 @@ def test_stream_maintenance(spark, tmp_path):
     assert load_parquet(spark, f"{tmp_path}/g/0").n_edges() == 2
     g = load_parquet(spark, f"{tmp_path}/g/1")
     assert values(g.edges, "u", "v") == [(1, 2)] and g.n_nodes() == 3
+
+
+def test_triangles_in_blocks(spark, monkeypatch):
+    import random
+
+    from loomgraph.operators import triangles
+
+    rng = random.Random(11)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(500)}
+    near = {n: {b if a == n else a for a, b in edges if n in (a, b)} for n in range(60)}
+    want = sorted((a, b, c) for a, b in edges for c in near[a] & near[b] if b < c)
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    for block, lookups in ((1_000_000, 2_000_000), (40, 7)):  # few large blocks, and many small ones
+        monkeypatch.setattr(triangles, "BLOCK_EDGES", block)
+        monkeypatch.setattr(triangles, "LOOKUPS", lookups)
+        assert values(triangles.listing(df), "a", "b", "c") == want and triangles.count(df) == len(want)
+        assert dict(values(triangles.corners(df), "id", "triangles")) == {n: k for n in range(60) if (k := sum(n in t for t in want))}
+    assert triangles.listing(df.limit(0)).isEmpty() and triangles.count(df.limit(0)) == 0
+
+
+def test_triangles_around_a_hub(spark):
+    from loomgraph.operators import triangles
+
+    n = 20_000
+    spokes = spark.range(1, n + 1).selectExpr("0L AS u", "id AS v")
+    rim = spark.range(1, n).selectExpr("id AS u", "id + 1 AS v")
+    wheel = spokes.union(rim)
+    assert triangles.count(wheel) == n - 1
+    assert triangles.corners(wheel).filter("id = 0").first().triangles == n - 1
+    assert "Join" not in triangles.listing(wheel)._jdf.queryExecution().toString()  # no pair of spokes is a row
