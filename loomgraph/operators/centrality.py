@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..plans.lineage import cut, filesystem, written
 from .kernels import Adjacency, dependencies
+from .paths import KEPT, distances, levels
 
 #: Arcs of a graph that each worker holds for per-source kernels (about 24 bytes each, so 240 MB); larger graphs run as joins.
 BROADCAST_ARCS = 10_000_000
@@ -60,7 +61,6 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = nodes.sparkSession
     n = nodes.count()
     if n < 2:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
@@ -68,17 +68,11 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
     if k >= pairs:
         drawn, scale = None, 1.0 if directed else 0.5
     else:
-        rng = np.random.default_rng(seed)
-        s = rng.integers(0, n, k)
-        t = (s + 1 + rng.integers(0, n - 1, k)) % n
-        scale = pairs / k
-        drawn: dict[int, dict[int, float]] = {}
-        for a, b in zip(s.tolist(), t.tolist(), strict=True):
-            drawn.setdefault(a, {})[b] = drawn.get(a, {}).get(b, 0.0) + 1
+        drawn, scale = drawn_pairs(nodes, n, k, seed), pairs / k
     if edges.count() <= broadcast_arcs:
-        got = _by_copies(edges, nodes, directed, weighted, drawn)
+        got = _by_copies(edges, directed, weighted, drawn)
     else:
-        got = dependencies_by_joins(edges, nodes, directed, weighted, drawn)
+        got = dependencies_by_joins(edges, directed, weighted, drawn)
     got = got.groupBy("id").agg((F.sum("b") * scale).alias("b"))
     out = nodes.join(got, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
     if normalise:
@@ -88,16 +82,38 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
     return out
 
 
-def _by_copies(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
-    """(id, b): shares of the paths of all pairs, or of the drawn ones, given by places among the ascending ids.
+def drawn_pairs(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
+    """(s, v, own): k ordered pairs of two different nodes, drawn with replacement, and how often each was drawn.
 
-    The graph, of a checked size, lies in the shared folder, and each worker reads its own copy; the driver has the path only.
+    Draw i takes places among the n ascending ids from the first 60 bits of MD5 of "seed:i:s" and "seed:i:t", so that any
+    engine draws the same pairs, however the tables are partitioned.
     """
     spark = nodes.sparkSession
-    held = written(edges.select("u", "v", "w").union(nodes.select("id", F.lit(-1).cast("long"), F.lit(0.0))))
+    bits = lambda end: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(f":{end}"))), 1, 15), 16, 10).cast("long")
+    a = bits("s") % n
+    draws = spark.range(k).select(a.alias("a"), ((a + 1 + bits("t") % (n - 1)) % n).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("own"))
+    ranked = written(nodes.select("id").orderBy("id").withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()))
+    per = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    place = ranked.join(F.broadcast(per.select("part", "lo", before.alias("before"))), "part").select("id", (F.col("before") + F.col("m") - F.col("lo")).alias("place"))
+    got = draws.join(place.select(F.col("id").alias("s"), F.col("place").alias("a")), "a").join(place.select(F.col("id").alias("v"), F.col("place").alias("b")), "b")
+    return written(got.select("s", "v", "own"))
+
+
+def _by_copies(edges: DataFrame, directed: bool, weighted: bool, drawn: DataFrame | None) -> DataFrame:
+    """(id, b): shares of the paths of all pairs, or of drawn(s, v, own).
+
+    The arcs, of a checked number, lie in the shared folder, and each worker reads its own copy; the driver has the path only.
+    Nodes without arcs are on no path, so they are neither read nor sources.
+    """
+    spark = edges.sparkSession
+    held = written(edges.select("u", "v", "w"))
     place = held.inputFiles()
-    targets = None if drawn is None else spark.sparkContext.broadcast(drawn)
-    sources = spark.range(nodes.count()).toDF("s") if drawn is None else spark.createDataFrame([(x,) for x in sorted(drawn)], "s long")
+    ends = held.select(F.explode(F.array("u", "v")).alias("s")).distinct()
+    if drawn is None:
+        sources = ends.withColumn("to", F.lit(None).cast("array<struct<v:long,own:double>>"))
+    else:
+        sources = drawn.groupBy("s").agg(F.collect_list(F.struct("v", "own")).alias("to")).join(ends, "s", "left_semi")  # no more than the nodes
 
     def run(batches):
         g = None
@@ -105,8 +121,9 @@ def _by_copies(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: boo
         for b in batches:
             if b.num_rows and g is None:
                 g = _copy(tuple(place), directed, weighted)
-            for s in b.column(0).to_pylist():
-                for x, share in dependencies(g, s, None if targets is None else targets.value[s]).items():
+            for s, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                targets = None if to is None else {g.place(t["v"]): t["own"] for t in to}
+                for x, share in dependencies(g, g.place(s), targets).items():
                     total[x] = total.get(x, 0.0) + share
         yield pa.record_batch({"id": pa.array(g.ids[list(total)].astype(np.int64) if total else [], pa.int64()), "b": pa.array(list(total.values()), pa.float64())})
 
@@ -118,50 +135,40 @@ def _copy(files: tuple[str, ...], directed: bool, weighted: bool) -> Adjacency:
     """The graph in these files, once for each worker."""
     got = pa.concat_tables([pq.read_table(at, filesystem=fs, partitioning=None) for fs, at in map(filesystem, files)])
     u, v, w = (got.column(c).to_numpy() for c in ("u", "v", "w"))
-    arc = v >= 0
-    return Adjacency(u if not len(u) else np.r_[u, v[arc]], u[arc], v[arc], w[arc] if weighted else None, directed)
+    return Adjacency(np.r_[u, v], u, v, w if weighted else None, directed)
 
 
-def dependencies_by_joins(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bool, drawn: dict[int, dict[int, float]] | None) -> DataFrame:
-    """What _by_copies gives, with joins only: distances by relaxing what improved, then the arcs on shortest paths, along
-    which path counts go forward and shares go back, a round for each arc of the longest shortest path."""
-    spark = nodes.sparkSession
+def dependencies_by_joins(edges: DataFrame, directed: bool, weighted: bool, drawn: DataFrame | None) -> DataFrame:
+    """What _by_copies gives, with joins only: distances, by levels or, with weights, by buckets of distance; then the arcs on
+    shortest paths, along which path counts go forward and shares go back, a round for each arc of the longest shortest path."""
     w = F.col("w") if weighted else F.lit(1.0)
     arcs = edges.select("u", "v", w.alias("w"))
     arcs = written(arcs if directed else arcs.union(arcs.select("v", "u", "w")))
-    if drawn is None:
-        sources, wanted = nodes.select(F.col("id").alias("s")), None
-    else:
-        ranked = nodes.select("id").orderBy("id").withColumn("part", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-        ranked = written(ranked)
-        per = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("lo"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
-        place = ranked.join(F.broadcast(per.select("part", "lo", before.alias("before"))), "part").select("id", (F.col("before") + F.col("m") - F.col("lo")).alias("place"))
-        rows = [(a, b, x) for a, row in drawn.items() for b, x in row.items()]  # at most k
-        told = spark.createDataFrame(rows, "a long, b long, own double")
-        wanted = told.join(place.select(F.col("id").alias("s"), F.col("place").alias("a")), "a").join(place.select(F.col("id").alias("v"), F.col("place").alias("b")), "b")
-        wanted = written(wanted.select("s", "v", "own"))
-        sources = wanted.select("s").distinct()
-    far = front = written(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d")))
-    while not front.isEmpty():
-        told = front.join(arcs.select(F.col("u").alias("v"), F.col("v").alias("to"), "w"), "v").groupBy("s", F.col("to").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
-        both = written(far.join(told, ["s", "v"], "full").select("s", "v", F.least("d", "new").alias("d"), (F.coalesce(F.col("new") < F.col("d"), F.col("d").isNull())).alias("moved")))
-        far, front = both.select("s", "v", "d"), both.filter("moved").select("s", "v", "d")
+    ends = arcs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
+    sources = written(ends if drawn is None else drawn.select("s").distinct().join(ends, "s", "left_semi"))
+    far = distances(arcs, sources) if weighted else levels(arcs, sources)
     near = far.withColumnsRenamed({"v": "u", "d": "du"})
     tie = F.abs(F.col("du") + F.col("w") - F.col("d")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("du") + F.col("w")), F.abs(F.col("d")))
     tree = written(near.join(arcs, "u").join(far, ["s", "v"]).filter(tie & (F.col("du") < F.col("d"))).select("s", "u", "v"))
     paths = front = written(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("c")))
+    rounds = 0
     while not front.isEmpty():
+        rounds += 1
         front = written(front.withColumnRenamed("v", "u").join(tree, ["s", "u"]).groupBy("s", "v").agg(F.sum("c").alias("c")))
-        paths = written(paths.union(front).groupBy("s", "v").agg(F.sum("c").alias("c")))
+        paths = paths.union(front)
+        if rounds % KEPT == 0:
+            paths = written(paths.groupBy("s", "v").agg(F.sum("c").alias("c")))
+    paths = written(paths.groupBy("s", "v").agg(F.sum("c").alias("c")))
     share = tree.join(paths.withColumnsRenamed({"v": "u", "c": "cu"}), ["s", "u"]).join(paths, ["s", "v"]).select("s", "u", "v", (F.col("cu") / F.col("c")).alias("r"))
     share = written(share.filter("u <> s"))  # ends of a path take no share
-    own = far.filter("s <> v").select("s", "v", F.lit(1.0).alias("own")) if wanted is None else wanted.join(far.select("s", "v"), ["s", "v"], "left_semi")
-    front, total = own.withColumnRenamed("own", "x"), None
+    own = far.filter("s <> v").select("s", "v", F.lit(1.0).alias("own")) if drawn is None else drawn.join(far.select("s", "v"), ["s", "v"], "left_semi")
+    front, rounds = own.withColumnRenamed("own", "x"), 0
+    total = ends.select(F.col("s").alias("id"), F.lit(0.0).alias("b"))
     while True:
         front = written(front.join(share, ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("x") * F.col("r")).alias("x")).select("s", F.col("u").alias("v"), "x"))
         if front.isEmpty():
-            break
-        part = front.select(F.col("v").alias("id"), F.col("x").alias("b"))
-        total = part if total is None else total.union(part)
-    return total if total is not None else nodes.select("id", F.lit(0.0).alias("b"))
+            return total
+        rounds += 1
+        total = total.union(front.groupBy(F.col("v").alias("id")).agg(F.sum("x").alias("b")))
+        if rounds % KEPT == 0:
+            total = written(total.groupBy("id").agg(F.sum("b").alias("b")))

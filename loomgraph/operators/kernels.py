@@ -22,6 +22,11 @@ class Adjacency:
         self.weight = None if w is None else w[order]
         self.start = np.searchsorted(a[order], np.arange(len(self.ids) + 1))
 
+    def place(self, node: int) -> int:
+        """Position of a node; -1, which no path reaches, if it has no arc."""
+        at = int(np.searchsorted(self.ids, node))
+        return at if at < len(self.ids) and self.ids[at] == node else -1
+
     def arcs(self, x: int) -> range:
         return range(self.start[x], self.start[x + 1])
 

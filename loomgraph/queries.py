@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .operators.centrality import betweenness
 from .operators.graph import Graph, KeyIndex
 from .operators.log import effects, first_touches, lifetimes, prefix_metrics, replay
 from .operators.prefixes import prefix_node_metrics, prefix_totals
@@ -252,14 +253,65 @@ def betweenness_exact(spark, d):
     return Graph.from_edges(pseq(spark, d), False, lazy=True).betweenness_approx(k=2**62, normalise=False).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+#: Shares of the shortest paths between the pairs of own(a, v, own), along arcs s(u, v, w): distances, arcs on shortest paths,
+#: numbers of paths forward, shares backward.
+_SHARES = """
+r(a, b, d) USING KEY (a, b) AS (
+  SELECT DISTINCT u, u, 0.0::DOUBLE FROM s UNION
+  SELECT r.a, s.v, min(r.d + s.w) FROM r JOIN s ON s.u = r.b LEFT JOIN recurring.r AS o ON o.a = r.a AND o.b = s.v
+  WHERE o.a IS NULL OR r.d + s.w < o.d GROUP BY r.a, s.v),
+t AS (
+  SELECT x.a, s.u, s.v FROM r x JOIN s ON s.u = x.b JOIN r y ON y.a = x.a AND y.b = s.v
+  WHERE x.d < y.d AND abs(x.d + s.w - y.d) <= 1e-9 * greatest(1.0, x.d + s.w, y.d)),
+p AS (
+  SELECT DISTINCT u AS a, u AS v, 1.0::DOUBLE AS c FROM s UNION ALL
+  SELECT p.a, t.v, sum(p.c) FROM p JOIN t ON t.a = p.a AND t.u = p.v GROUP BY p.a, t.v),
+c AS (SELECT a, v, sum(c) AS c FROM p GROUP BY a, v),
+f AS (
+  SELECT t.a, t.u, t.v, x.c / y.c AS r FROM t JOIN c x ON x.a = t.a AND x.v = t.u JOIN c y ON y.a = t.a AND y.v = t.v
+  WHERE t.u <> t.a),
+q AS (
+  SELECT a, v, own AS x, 0 AS k FROM own UNION ALL
+  SELECT q.a, f.u, sum(q.x * f.r), any_value(q.k) + 1 FROM q JOIN f ON f.a = q.a AND f.v = q.v GROUP BY q.a, f.u),
+g AS (SELECT id, coalesce(sum(x) FILTER (k > 0), 0) AS b FROM nn LEFT JOIN q ON q.v = nn.id GROUP BY id)"""
+
+
+def _drawn(k: int, seed: int) -> str:
+    """The pairs that centrality.drawn_pairs draws, all if k is not less; then shares as parts of the largest."""
+    bits = "('0x' || substr(md5('{seed}:' || i || ':{end}'), 1, 15))::BIGINT"
+    return f"""
+nn AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT u AS id FROM s)),
+h AS (SELECT {bits.format(seed=seed, end="s")} % n AS i1, {bits.format(seed=seed, end="t")} % (n - 1) AS i2, n
+  FROM range({k}) AS z(i), (SELECT max(n) AS n FROM nn) WHERE {k} < n * (n - 1) // 2),
+own AS (
+  SELECT x.id AS a, y.id AS v, count(*)::DOUBLE AS own FROM h JOIN nn x ON x.place = i1 JOIN nn y ON y.place = (i1 + 1 + i2) % h.n
+  GROUP BY ALL UNION ALL
+  SELECT x.id, y.id, 1 FROM nn x JOIN nn y ON y.id <> x.id WHERE {k} >= x.n * (x.n - 1) // 2), {_SHARES}
+SELECT id, round(b / CASE WHEN (SELECT max(b) FROM g) > 0 THEN (SELECT max(b) FROM g) ELSE 1 END, 6) AS betweenness FROM g"""
+
+
+@query(f"WITH RECURSIVE {WGT}, {_drawn(200, 42)}")
 def betweenness_weighted(spark, d):
-    return weighted(spark, d).betweenness_approx(k=200)
+    return weighted(spark, d).betweenness_approx(k=200).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query()
+_EACH = UND.replace("s AS (SELECT u, v FROM e", "s AS (SELECT u, v, 1.0::DOUBLE AS w FROM e").replace("SELECT v, u FROM e)", "SELECT v, u, 1.0 FROM e)")
+
+
+@query(f"WITH RECURSIVE {_EACH}, {_drawn(500, 7)}")
 def betweenness_sampled(spark, d):
-    return undirected(spark, d).betweenness_approx(k=500, seed=7)
+    return undirected(spark, d).betweenness_approx(k=500, seed=7).withColumn("betweenness", F.round("betweenness", 6))
+
+
+_ALL = f"nn AS (SELECT DISTINCT u AS id FROM s), own AS (SELECT x.id AS a, y.id AS v, 1.0::DOUBLE AS own FROM nn x JOIN nn y ON y.id <> x.id), {_SHARES} SELECT id, round(b / 2, 6) AS betweenness FROM g"
+
+
+@query(f"WITH RECURSIVE {WGT}, {_ALL}")
+def betweenness_weighted_users(spark, d):
+    """All pairs of users, by the joins that larger graphs take: distances settle in buckets."""
+    g = weighted(spark, d)
+    got = betweenness(g.edges, g.touched, False, True, 2**62, normalise=False, broadcast_arcs=-1)
+    return got.withColumn("betweenness", F.round("betweenness", 6))
 
 
 _LIVE = f"{EVT}, z AS (SELECT max(ts) - {WIDTH} AS t FROM evt), k AS (SELECT least(u, v) AS u, greatest(u, v) AS v, ts, seq, w FROM evt WHERE u <> v)"

@@ -1,5 +1,6 @@
 """Methods, errors and streams that the queries over the test tables do not reach, on small graphs and by simulation."""
 
+import heapq
 import itertools
 import math
 import random
@@ -7,6 +8,7 @@ import struct
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph, KeyIndex
 from loomgraph.operators.log import effects, first_touches, lifetimes, replay
@@ -94,6 +96,59 @@ def test_betweenness_by_joins_equals_the_kernel(spark, directed, weighted, k):
     assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-9 for i in one) and (k == 25 or any(one.values()))
 
 
+def lengths(arcs, s):
+    best, heap = {}, [(0.0, s)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x not in best:
+            best[x] = d
+            for u, v, w in arcs:
+                if u == x:
+                    heapq.heappush(heap, (d + w, v))
+    return best
+
+
+@pytest.mark.parametrize("delta", [None, 0.7, 1e9])
+def test_distances_settle_by_buckets(spark, delta):
+    from loomgraph.operators.paths import distances
+
+    rng = random.Random(5)
+    arcs = [(u, v, rng.choice([1e-6, 0.25, 1.0, rng.random(), 40.0])) for u, v in itertools.permutations(range(12), 2) if rng.random() < 0.25] + [(20, 21, 3.0)]
+    got = distances(spark.createDataFrame(arcs, "u long, v long, w double"), spark.createDataFrame([(0,), (3,), (7,), (20,)], "s long"), delta)
+    want = {(s, v): d for s in (0, 3, 7, 20) for v, d in lengths(arcs, s).items()}
+    assert {(r.s, r.v): r.d for r in got.collect()} == want
+
+
+def test_distances_without_arcs_and_of_bad_width(spark):
+    from loomgraph.operators.paths import distances
+
+    none, one = spark.createDataFrame([], "u long, v long, w double"), spark.createDataFrame([(4,)], "s long")
+    assert values(distances(none, one), "s", "v", "d") == [(4, 4, 0.0)] and distances(none, one.limit(0)).count() == 0
+    for bad in (0.0, -1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            distances(none, one, bad)
+
+
+def test_betweenness_by_joins_along_a_long_path(spark):
+    """More levels than one plan keeps tables of."""
+    from loomgraph.operators.centrality import dependencies_by_joins
+
+    arcs = spark.createDataFrame([(x, x + 1, 1.0) for x in range(20)], "u long, v long, w double")
+    told = spark.createDataFrame([(0, 20, 2.0), (0, 99, 1.0), (99, 0, 1.0)], "s long, v long, own double")
+    got = dependencies_by_joins(arcs, False, False, told).groupBy("id").agg(F.sum("b").alias("b")).filter("b > 0")
+    assert values(got, "id", "b") == [(x, 2.0) for x in range(1, 20)]
+
+
+def test_drawn_pairs_do_not_depend_on_partitions(spark):
+    from loomgraph.operators.centrality import drawn_pairs
+
+    nodes = spark.range(0, 300, 3, 7)
+    one, two = (values(drawn_pairs(x, 100, 5000, 9), "s", "v", "own") for x in (nodes, nodes.repartition(3)))
+    assert one == two and sum(x for _, _, x in one) == 5000 and all(a != b and a % 3 == b % 3 == 0 for a, b, _ in one)
+    assert {a for a, _, _ in one} == {b for _, b, _ in one} == set(range(0, 300, 3))
+    assert one != values(drawn_pairs(nodes, 100, 5000, 10), "s", "v", "own")
+
+
 @pytest.mark.parametrize("arcs", list(itertools.permutations([(0, 1), (1, 2), (2, 0)]))[::2])
 def test_directed_triangles_in_any_order(spark, arcs):
     assert graph(spark, list(arcs), directed=True).triangle_count() == 1
