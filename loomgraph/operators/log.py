@@ -1,6 +1,7 @@
 """Replay of a mutation log (seq, op, u, v, w), op in add, remove, update, node, clear: results after every prefix.
 
-Everything is a window over the rows of one edge, so the log is partitioned by edge and never replayed in order.
+Everything is a window over the rows of one edge in a stretch of the log, so the log is partitioned by edge and stretch and
+never replayed in order.
 Running totals at checkpoints are sums of per-interval sums, so no window spans the whole log.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import cut
-from ..plans.order import next_point
+from ..plans.order import even_buckets, next_point
 from .components import component_labels
 from .graph import Graph
 from .triangles import listing
@@ -39,15 +40,37 @@ def effects(log: DataFrame, directed: bool = False) -> DataFrame:
     rows = _spans(log).filter("op IN ('add', 'remove', 'update') AND u <> v")
     if not directed:
         rows = rows.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
-    per = Window.partitionBy("until", "u", "v").orderBy("seq")
-    before = F.last(F.when(F.col("op") != "update", F.col("op")), ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, -1))
-    here = F.coalesce(F.col("before") == "add", F.lit(False))
-    rows = rows.withColumn("before", before)
-    rows = rows.withColumn("effective", F.when(F.col("op") == "add", ~here).otherwise(here)).drop("before")
-    rows = rows.withColumn("episode", F.sum(F.when((F.col("op") == "add") & F.col("effective"), 1).otherwise(0)).over(per))
-    sets = F.when(F.col("effective") & (F.col("op") != "remove"), F.coalesce(F.col("w"), F.lit(1.0)))
-    inner = Window.partitionBy("until", "u", "v", "episode").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("weight", F.last(sets, ignorenulls=True).over(inner))
+    return _in_stretches(rows)
+
+
+def _in_stretches(rows: DataFrame) -> DataFrame:
+    """Adds effective, episode and weight by windows over (edge, stretch of the log), so that an edge with most rows is many tasks.
+
+    What a row does depends on what lies before its stretch only by whether the edge is there.  So each stretch is worked
+    out for both cases; which one holds is found on a table of one row per edge and stretch.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = F.coalesce(F.col("until").cast("long"), F.lit(2**63 - 1))  # joins match no nulls
+    keyed = rows.withColumns({"_span": span, "_part": F.coalesce(even_buckets(rows, "seq", parts), F.lit(-1))})
+    key = ["_span", "u", "v", "_part"]
+    per = Window.partitionBy(*key).orderBy("seq")
+    sets = F.when(F.col("op") != "update", F.col("op"))
+    inner = keyed.withColumn("_before", F.last(sets, ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, -1)))
+    for case in ("remove", "add"):
+        there = F.coalesce("_before", F.lit(case)) == "add"
+        inner = inner.withColumn(f"_does_{case}", F.when(F.col("op") == "add", ~there).otherwise(there))
+    upto = per.rowsBetween(Window.unboundedPreceding, 0)
+    for case in ("remove", "add"):
+        does = F.col(f"_does_{case}")
+        weight = F.when(does & (F.col("op") != "remove"), F.coalesce(F.col("w"), F.lit(1.0)))
+        inner = inner.withColumns({f"_n_{case}": F.sum(F.when(does & (F.col("op") == "add"), 1).otherwise(0)).over(upto), f"_w_{case}": F.last(weight, ignorenulls=True).over(upto)})
+    ends = [F.max(f"_n_{c}").alias(f"_n_{c}") for c in ("remove", "add")] + [F.max_by(f"_w_{c}", "seq").alias(f"_w_{c}") for c in ("remove", "add")]
+    whole = inner.groupBy(*key).agg(F.max_by(sets, F.when(sets.isNotNull(), F.col("seq"))).alias("_op"), *ends)
+    past = Window.partitionBy(*key[:3]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    pick = lambda what: F.when(F.col("_there"), F.col(f"_{what}_add")).otherwise(F.col(f"_{what}_remove"))
+    enters = whole.withColumn("_there", F.coalesce(F.last("_op", ignorenulls=True).over(past) == "add", F.lit(False)))
+    enters = enters.select(*key, "_there", F.coalesce(F.sum(pick("n")).over(past), F.lit(0)).alias("_n"), F.last(pick("w"), ignorenulls=True).over(past).alias("_w"))
+    return inner.join(enters, key).select(*rows.columns, pick("does").alias("effective"), (F.col("_n") + pick("n")).alias("episode"), F.coalesce(pick("w"), F.col("_w")).alias("weight"))
 
 
 def lifetimes(log: DataFrame, directed: bool = False) -> DataFrame:

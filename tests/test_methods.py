@@ -433,6 +433,37 @@ def test_chosen_measures_and_empty_logs(spark):
     assert sorted((r.u, r.born, r.died) for r in lifetimes(log).collect()) == [(1, 1, 3), (2, 2, 3), (7, 4, None)]
 
 
+@pytest.mark.parametrize("clears", [0, 3])
+def test_an_edge_with_most_rows_of_a_log(spark, clears):
+    """Its rows lie in several stretches, some of which only update, so what they do hangs on the stretches before."""
+    rng = random.Random(clears)
+    rows = []
+    for seq in range(1500):
+        u, v = (1, 2) if rng.random() < 0.8 else rng.sample(range(5), 2)
+        quiet = 300 < seq % 750 < 700
+        rows.append((seq, "update" if quiet else rng.choice(["add", "remove", "update"]), u, v, rng.choice([None, float(seq)])))
+    for at in rng.sample(range(1500), clears):
+        rows[at] = (at, "clear", None, None, None)
+    live, past, want = {}, Counter(), []
+    for seq, op, u, v, w in rows:
+        e, w = (min(u or 0, v or 0), max(u or 0, v or 0)), 1.0 if w is None else w
+        if op == "clear":
+            live, past = {}, Counter()
+            continue
+        done = (e in live) == (op != "add")
+        if done and op == "remove":
+            del live[e]
+        elif done:
+            past[e] += op == "add"
+            live[e] = w
+        want.append((seq, done, past[e], live.get(e)))
+    got = effects(spark.createDataFrame(rows, "seq long, op string, u long, v long, w double"))
+    found = {r.seq: (r.effective, r.episode, r.weight) for r in got.collect()}
+    assert len(found) == len(want)
+    for seq, done, episode, weight in want:
+        assert found[seq][:2] == (done, episode) and (weight is None or found[seq][2] == weight)
+
+
 def test_buckets_hold_as_many_rows_each(spark):
     from loomgraph.plans.order import even_buckets
 
