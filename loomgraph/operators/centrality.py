@@ -61,6 +61,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, directed: bool, weighted: bo
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    edges, nodes = written(edges.select("u", "v", "w")), written(nodes.select("id"))  # computed once
     n = nodes.count()
     if n < 2:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
@@ -103,13 +104,12 @@ def drawn_pairs(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
 def _by_copies(edges: DataFrame, directed: bool, weighted: bool, drawn: DataFrame | None) -> DataFrame:
     """(id, b): shares of the paths of all pairs, or of drawn(s, v, own).
 
-    The arcs, of a checked number, lie in the shared folder, and each worker reads its own copy; the driver has the path only.
+    Edges are a written table, with a checked number of arcs, in the shared folder, and each worker reads its own copy; the driver has the path only.
     Nodes without arcs are on no path, so they are neither read nor sources.
     """
     spark = edges.sparkSession
-    held = written(edges.select("u", "v", "w"))
-    place = held.inputFiles()
-    ends = held.select(F.explode(F.array("u", "v")).alias("s")).distinct()
+    place = edges.inputFiles()
+    ends = edges.select(F.explode(F.array("u", "v")).alias("s")).distinct()
     if drawn is None:
         sources = ends.withColumn("to", F.lit(None).cast("array<struct<v:long,own:double>>"))
     else:
