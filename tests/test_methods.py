@@ -4,9 +4,11 @@ import heapq
 import itertools
 import math
 import random
+import time
 import struct
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -552,3 +554,59 @@ def test_windows_refuse_bad_edges(spark):
         assert SlidingWindow(rows, 5).n_edges() == 1
     loop = spark.createDataFrame([(1, "add", 1, 1, 1.0, -1.0), (2, "advance", None, None, 2.0, None)], shape)
     assert [r.added for r in window_calls(loop, 5, weighted=True).collect()].count(False) == 1
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize("directed", [False, True])
+def test_shares_of_a_block_equal_those_of_single_sources(directed, weighted):
+    """A block of sources takes sums of rows, follows cells, and goes on in another part of the graph, with the same shares."""
+    from loomgraph.operators import kernels
+
+    rng = np.random.default_rng(5)
+    edges = {tuple(sorted(e)) for e in rng.integers(0, 40, (300, 2)).tolist() if e[0] != e[1]}
+    edges |= {(40 + i, 41 + i) for i in range(60)} | {(110, x) for x in range(111, 160)}
+    u, v = np.array(sorted(edges)).T
+    w = rng.choice([0.5, 1.0, 1.5], len(u)) if weighted else None
+
+    def arcs(a, b, weight):
+        order = np.lexsort((b, a))
+        return kernels.Arcs(np.searchsorted(a[order], np.arange(161)), b[order].astype(np.int32), None if weight is None else weight[order])
+
+    if directed:
+        g = kernels.Adjacency(arcs(u, v, w), arcs(v, u, w))
+    else:
+        both = arcs(np.r_[u, v], np.r_[v, u], None if w is None else np.r_[w, w])
+        g = kernels.Adjacency(both, both)
+
+    def total(sources, targets=None):
+        out = np.zeros(160)
+        for rows, x in kernels.shares(g, sources, targets):
+            out[rows] += x
+        return out
+
+    everyone = np.unique(np.r_[u, v])
+    want = sum(total(everyone[i : i + 1]) for i in range(len(everyone)))
+    assert want[110] == (0 if directed else 49 * 48) and np.allclose(total(everyone), want)
+    before = kernels.PUSH, kernels.PULL
+    try:
+        for kernels.PUSH, kernels.PULL in ((0, 0), (10**9, 10**9), (10**9, 0)):
+            assert np.allclose(total(everyone), want)
+    finally:
+        kernels.PUSH, kernels.PULL = before
+    chosen = [{int(t): 2.0 for t in rng.choice(160, 3)} for _ in everyone]
+    alone = sum(total(everyone[i : i + 1], chosen[i : i + 1]) for i in range(len(everyone)))
+    assert np.allclose(total(everyone, chosen), alone)
+
+
+def test_shares_take_seconds_where_following_arcs_one_by_one_takes_minutes():
+    """All pairs of 4,000 nodes with 80,000 edges: 640 million arcs for all sources."""
+    from loomgraph.operators import kernels
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4000, (2, 80_000))
+    a, b = np.r_[a, b], np.r_[b, a]
+    order = np.lexsort((b, a))
+    arcs = kernels.Arcs(np.searchsorted(a[order], np.arange(4001)), b[order].astype(np.int32), None)
+    start = time.process_time()
+    assert sum(x.sum() for _, x in kernels.shares(kernels.Adjacency(arcs, arcs), np.arange(4000), None)) > 0
+    assert time.process_time() - start < 60
