@@ -36,7 +36,7 @@ def _corners() -> list:
 #: Edges of a block that a task holds (two longs each), as a mean, and least number of colours.
 BLOCK_EDGES, LEAST_COLOURS = 1_000_000, 4
 #: Pairs of neighbours that are looked up at a time.
-LOOKUPS = 2_000_000
+LOOKUPS = 500_000
 
 
 def _found(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -45,15 +45,22 @@ def _found(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
     An edge goes from its end of fewer edges to the other.  For each edge the shorter list of its ends' targets is looked
     up in the longer one, by binary search in the sorted edges, so no list is longer than the square root of the edges.
     """
-    ids, ends = np.unique(np.r_[u, v], return_inverse=True)
-    n, m = len(ids), len(u)
-    degree = np.bincount(ends, minlength=n)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((np.arange(n), degree))] = np.arange(n)
-    a, b = rank[ends[:m]], rank[ends[m:]]
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    key = np.unique(lo * n + hi)
-    lo, hi = key // n, key % n
+    ids = np.unique(np.r_[u, v])
+    n = len(ids)
+    a, b = (np.searchsorted(ids, x).astype(np.int32) for x in (u, v))  # places within a block take half of what ids take
+    del u, v
+    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    rank = np.empty(n, np.int32)
+    rank[np.lexsort((np.arange(n), degree))] = np.arange(n, dtype=np.int32)
+    a, b = rank[a], rank[b]
+    key = np.minimum(a, b).astype(np.int64)
+    key *= n
+    key += np.maximum(a, b)
+    del a, b
+    key.sort()
+    key = key[np.diff(key, prepend=-1) != 0]
+    lo = (key // n).astype(np.int32)
+    hi = (key % n).astype(np.int32)
     start = np.searchsorted(lo, np.arange(n + 1))
     size = np.diff(start)
     back = np.argsort(rank)  # rank -> place
@@ -68,7 +75,7 @@ def _found(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
         which = np.repeat(np.arange(at, end), runs)
         inner = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
         third = hi[start[few[which]] + inner]
-        asked = many[which] * n + third
+        asked = many[which].astype(np.int64) * n + third
         place = np.searchsorted(key, asked)
         closed = (place < len(key)) & (key[np.minimum(place, len(key) - 1)] == asked)
         yield back[lo[which[closed]]], back[hi[which[closed]]], back[third[closed]]
@@ -94,10 +101,12 @@ def _blocks(edges: DataFrame, tell, schema: str, kept: bool = False) -> DataFram
 
     def listed(block: int, parts: list):
         u, v, cu, cv = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         found = _found(u, v)
         ids, _, _ = next(found)
         of = np.empty(len(ids), np.int64)
         of[np.searchsorted(ids, u)], of[np.searchsorted(ids, v)] = cu, cv
+        del u, v, cu, cv
         want = np.array([block // colours**2, block // colours % colours, block % colours])
         for x, y, z in found:
             mine = (np.sort(np.stack([of[x], of[y], of[z]]), axis=0) == want[:, None]).all(axis=0)

@@ -610,3 +610,20 @@ def test_shares_take_seconds_where_following_arcs_one_by_one_takes_minutes():
     start = time.process_time()
     assert sum(x.sum() for _, x in kernels.shares(kernels.Adjacency(arcs, arcs), np.arange(4000), None)) > 0
     assert time.process_time() - start < 60
+
+
+def test_a_block_of_triangles_takes_few_bytes_an_edge():
+    import tracemalloc
+
+    from loomgraph.operators.triangles import _found
+
+    u, v = np.sort(np.random.default_rng(0).integers(0, 20_000, (2, 500_000)), axis=0)
+    u, v = u[u != v], v[u != v]
+    tracemalloc.start()
+    try:
+        found = _found(u, v)
+        next(found)
+        assert sum(len(x) for x, _, _ in found) == 21_112
+        assert tracemalloc.get_traced_memory()[1] < 150 * len(u)
+    finally:
+        tracemalloc.stop()
