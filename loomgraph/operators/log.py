@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import cut
-from ..plans.order import even_buckets, next_point
-from .components import component_labels
+from ..plans.lineage import written
+from ..plans.order import at_points, even_buckets, next_point, numbered
+from .connectivity import contractions, merges
 from .graph import Graph
-from .triangles import listing
+from .triangles import closed_at
 
 
 def with_spans(log: DataFrame) -> DataFrame:
@@ -104,39 +104,30 @@ def replay(log: DataFrame, directed: bool = False, weighted: bool = False) -> Gr
     return Graph(live, first_touches(log, directed).select("id"), directed, weighted)
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v, seq) of the minimum spanning forest by seq (unique): Boruvka rounds, each a join and a fixpoint of components."""
-    live = cut(edges.select("u", "v", "seq", F.col("u").alias("a"), F.col("v").alias("b")))
-    chosen = cut(live.select("u", "v", "seq").limit(0))
-    while not live.isEmpty():
-        ends = live.select(F.explode(F.array("a", "b")).alias("c"), "u", "v", "seq")
-        chosen = cut(chosen.union(ends.groupBy("c").agg(F.min_by(F.struct("u", "v", "seq"), "seq").alias("e")).select("e.u", "e.v", "e.seq")).distinct())
-        labels = cut(component_labels(chosen))
-        la, lb = labels.select(F.col("id").alias("u"), F.col("component_id").alias("a")), labels.select(F.col("id").alias("v"), F.col("component_id").alias("b"))
-        live = cut(live.select("u", "v", "seq").join(la, "u").join(lb, "v").filter("a <> b"))
-    return chosen
-
-
 def prefix_metrics(log: DataFrame, checkpoints: DataFrame, directed: bool = False) -> DataFrame:
-    """Per checkpoint (seq): n_nodes, n_edges, n_triangles, n_components after all rows up to it; the log has adds and nodes only."""
-    points = cut(checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).distinct())
-    touched = cut(first_touches(log, directed))
-    edges = cut(lifetimes(log, directed).select("u", "v", F.col("born").alias("seq")))
-    under = edges if not directed else edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "seq").groupBy("u", "v").agg(F.min("seq").alias("seq"))
-    under = cut(under)
-    birth = lambda a, b, name: under.select(F.col("u").alias(a), F.col("v").alias(b), F.col("seq").alias(name))
-    tri = listing(under.select("u", "v")).join(birth("a", "b", "p"), ["a", "b"]).join(birth("b", "c", "q"), ["b", "c"]).join(birth("a", "c", "r"), ["a", "c"]).select(F.greatest("p", "q", "r").alias("seq"))
-    forest = spanning_forest(under)
-    kinds = [touched, edges, tri, forest]
-    born = None
-    for k, df in enumerate(kinds):
-        part = df.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).select("seq", F.lit(k).alias("kind"), "n")
-        born = part if born is None else born.union(part)
-    # Each birth goes to the first checkpoint at or behind it; totals are running sums over checkpoints, not over the log.
+    """Per checkpoint (seq): n_nodes, n_edges, n_triangles, n_components after all rows up to it; the log has adds and nodes only.
+
+    Rows become the number of the first checkpoint that sees them at once, and the rest is minima of these: an edge is there
+    from its first add, a node from its first edge or row, a triangle from the last of its edges.  So no window spans the
+    log, and an edge is a row of three numbers.
+    """
     parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = next_point(born, "seq", points, True, parts).filter("point IS NOT NULL").groupBy("kind", F.col("point").alias("at")).agg(F.sum("n").alias("n"))
-    total = placed.groupBy("at").pivot("kind", [0, 1, 2, 3]).agg(F.sum("n"))
-    got = points.join(total, "at", "left").na.fill(0)
-    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # over checkpoints, which the caller chose
-    nodes, links, closed, joined = (F.sum(str(k)).over(upto) for k in range(4))
-    return got.select("at", nodes.alias("n_nodes"), links.alias("n_edges"), closed.alias("n_triangles"), (nodes - joined).alias("n_components"))
+    points = written(numbered(checkpoints))
+    count = points.count()
+    seen = at_points(log.select("seq", "op", "u", "v"), points, parts).filter("k IS NOT NULL")
+    ends = [F.col("u"), F.col("v")] if directed else [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    edges = written(seen.filter("op = 'add' AND u <> v").select(*ends, "k").groupBy("u", "v").agg(F.min("k").alias("k")))
+    under = edges
+    if directed:
+        under = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "k").groupBy("u", "v").agg(F.min("k").alias("k")))
+    alone = seen.filter("op = 'node'").select(F.col("u").alias("id"), "k")
+    touched = edges.select(F.explode(F.array("u", "v")).alias("id"), "k").union(alone).groupBy("id").agg(F.min("k").alias("k"))
+    per = lambda df, name: df.groupBy("k").agg(F.count(F.lit(1)).alias(name))
+    got = points
+    for found in (per(touched, "nodes"), per(edges, "links"), closed_at(under).withColumnRenamed("n", "closed")):
+        got = got.join(found, "k", "left")
+    merged = merges(contractions(under.select("u", "v", F.col("k").alias("k1"), F.lit(count).cast("long").alias("k2")), count), points, count)
+    got = got.join(merged, "k", "left").na.fill(0)
+    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # over checkpoints, which the caller chose
+    nodes, links, closed = (F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in ("nodes", "links", "closed"))
+    return got.select("at", nodes.alias("n_nodes"), links.alias("n_edges"), closed.alias("n_triangles"), (nodes - F.col("merged")).alias("n_components"))

@@ -13,16 +13,17 @@ bits; a node without edges has exactly 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import written
-from ..plans.order import next_point
+from ..plans.order import at_points, numbered
 from .connectivity import ancestors, contractions, labels, levels_of, merges, tree_nodes
 from .log import effects, touches, with_spans
-from .triangles import living
+from .triangles import changes as triangle_changes
 
 MEASURES = ("degree", "in_degree", "strength", "triangles", "clustering", "component_id")
 
@@ -33,12 +34,11 @@ class Timeline:
     def __init__(self, log: DataFrame, checkpoints: DataFrame, directed: bool, weighted: bool):
         spark = log.sparkSession
         self.directed, self.weighted = directed, weighted
-        given = checkpoints.select(F.col(checkpoints.columns[0]).cast("long").alias("at")).filter("at IS NOT NULL").distinct()
-        self.points = written(given.withColumn("k", F.row_number().over(Window.orderBy("at")).cast("long") - 1))  # over checkpoints, which the caller chose
+        self.points = written(numbered(checkpoints))
         self.count = self.points.count()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        beyond = F.coalesce(F.col("point"), F.lit(self.count)).cast("long")
-        seen = next_point(log.select("seq", "op", "u", "v", "w"), "seq", self.points, True, parts).withColumn("k", beyond).drop("point")
+        beyond = F.coalesce(F.col("k"), F.lit(self.count)).cast("long")
+        seen = at_points(log.select("seq", "op", "u", "v", "w"), self.points, parts).withColumn("k", beyond)
         seen = written(with_spans(seen))
         self.rows = written(effects(seen, directed).filter("effective"))
         until = F.coalesce("until_k", F.lit(self.count).cast("long"))
@@ -48,10 +48,12 @@ class Timeline:
         self.edges = written(lives.select("u", "v", "k1", "k2", "weight").filter("k1 < k2"))
         self.nodes = written(touches(seen, self.rows).select("id", "k1", F.coalesce("k2", F.lit(self.count).cast("long")).alias("k2")).filter("k1 < k2"))
 
-    def underlying(self) -> DataFrame:
-        """(u, v, alive): pairs u < v and the intervals (a, b) in which an edge lies between them, in order, apart."""
-        pairs = self.edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("i"))
-        return pairs.groupBy("u", "v").agg(joined(F.array_sort(F.collect_list("i"))).alias("alive"))
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(u, v, k1, k2): pairs u < v and each interval in which an edge lies between them; those of a pair lie apart."""
+        ends = self.edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.struct(F.col("k1").alias("a"), F.col("k2").alias("b")).alias("i"))
+        lives = ends.groupBy("u", "v").agg(joined(F.array_sort(F.collect_list("i"))).alias("alive"))
+        return written(lives.select("u", "v", F.explode("alive").alias("i")).select("u", "v", F.col("i.a").alias("k1"), F.col("i.b").alias("k2")))
 
     def weight_changes(self) -> DataFrame:
         """(u, v, k, w): by how much an edge's weight changes at checkpoint k."""
@@ -96,11 +98,9 @@ def states(line: Timeline, measures: Sequence[str]) -> DataFrame:
         told = w.select(F.col("u").alias("id"), "k", F.lit("strength").alias("name"), F.col("w").alias("by"))
         changes = changes.union(told if line.directed else told.union(w.select("v", "k", F.lit("strength"), "w")))
     if {"triangles", "clustering"} & set(measures):
-        under = written(line.underlying())
-        corners = living(under).select("a", "b", "c", F.explode("alive").alias("i")).select("a", "b", "c", F.col("i.a").alias("k1"), F.col("i.b").alias("k2"))
-        changes = changes.union(_changes(corners, [("a", "triangles"), ("b", "triangles"), ("c", "triangles")], ""))
+        near = line.pairs
+        changes = changes.union(triangle_changes(near).select("id", "k", F.lit("triangles").alias("name"), F.col("by").cast("double").alias("by")))
         if "clustering" in measures:
-            near = under.select("u", "v", F.explode("alive").alias("i")).select("u", "v", F.col("i.a").alias("k1"), F.col("i.b").alias("k2"))
             changes = changes.union(_changes(near, [("u", "near"), ("v", "near")], ""))
     names = ["present", "degree", "in_degree", "near", "strength", "triangles"]
     sums = changes.filter(F.col("k") < line.count).groupBy("id", "k").agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("by"))), F.lit(0.0)).alias(n) for n in names])
@@ -129,15 +129,11 @@ def prefix_node_metrics(log: DataFrame, checkpoints: DataFrame, directed: bool =
         held = states(line, measures).filter("present > 0")
         out = held.withColumn("k", F.explode(F.sequence("k", F.col("next") - 1))).select("k", "id", *plain)
     if "component_id" in measures:
-        found = labels(line.nodes, contractions(_pairs(line), line.count), line.count)
+        found = labels(line.nodes, contractions(line.pairs, line.count), line.count)
         out = found if out is None else out.join(found, ["k", "id"])
     return out.join(F.broadcast(line.points) if line.count < 1_000_000 else line.points, "k").select("at", "id", *measures)
 
 
-def _pairs(line: Timeline) -> DataFrame:
-    return line.underlying().select("u", "v", F.explode("alive").alias("i")).select("u", "v", F.col("i.a").alias("k1"), F.col("i.b").alias("k2"))
-
-
 TOTALS = ("n_nodes", "n_edges", "total_weight", "max_degree", "avg_degree", "density", "n_triangles", "avg_clustering", "n_components")
 
 
@@ -177,7 +173,7 @@ def prefix_totals(log: DataFrame, checkpoints: DataFrame, directed: bool = False
         way = line.points.select("k", F.explode(ancestors(F.col("k"), levels)).alias("t"))
         got = got.join(way.join(tops, "t").groupBy("k").agg(F.max("d").alias("max_degree")), "k", "left")
     if "n_components" in wanted:
-        got = got.join(merges(contractions(_pairs(line), line.count), line.points, line.count), "k", "left")
+        got = got.join(merges(contractions(line.pairs, line.count), line.points, line.count), "k", "left")
     each = 1.0 if directed else 2.0
     out = {
         "total_weight": F.when(m == 0, F.lit(0.0)).otherwise(F.col("total_weight")),
