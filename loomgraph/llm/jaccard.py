@@ -41,7 +41,8 @@ from ..operators.components import component_labels
 from .common import RID, bound_batches, coefficients, cut, keyed, scratch_path, windows, word_hashes
 from .sketch import build, frequencies
 
-CHUNK = 1_000_000
+#: Words of a chunk, which is counted as one, and of a piece, whose sets are made at once.
+CHUNK, PIECE = 1_000_000, 1 << 17
 
 
 def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,9 +50,11 @@ def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.nd
     memo, coef = word_hashes(), [coefficients(k, 1000 + k) for k in range(width + 1)]
     rids: list[int] = []
     words: list[np.ndarray] = []
-    total = 0
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    total = held = 0
 
-    def flush():
+    def sets():
+        """Numbers of shingles, and shingles, of the documents since the last call."""
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         all_words = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -66,7 +69,17 @@ def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.nd
         which, h = which[order], h[order]
         fresh = np.r_[True, (which[1:] != which[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
         which, h = which[fresh], h[fresh]
-        return np.array(rids, np.int64), np.r_[0, np.cumsum(np.bincount(which, minlength=len(rids)))], h
+        n = np.bincount(which, minlength=len(words))
+        words.clear()
+        return n, h
+
+    def flush():
+        done.append(sets())
+        n, h = (np.concatenate(x) for x in zip(*done, strict=True))
+        out = np.array(rids, np.int64), np.r_[0, np.cumsum(n)], h
+        done.clear()
+        rids.clear()
+        return out
 
     for b in batches:
         for rid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -74,9 +87,13 @@ def shingle_sets(batches, width: int, size: int = CHUNK) -> Iterator[tuple[np.nd
             rids.append(rid)
             words.append(w)
             total += len(w) + 1
+            held += len(w) + 1
             if total >= size:
                 yield flush()
-                rids, words, total = [], [], 0
+                total = held = 0
+            elif held >= PIECE:
+                done.append(sets())
+                held = 0
     if rids:
         yield flush()
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import mixed, pack_many, scratch_path, shared_table, shuffle_partitions, unpack_many
+from .common import STRETCH, mixed, pack_many, scratch_path, shared_table, shuffle_partitions, unpack_many
 
 SPARSE, RANGE_KEYS = 16, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +43,14 @@ class Repeats:
     def cells(self, keys: np.ndarray) -> np.ndarray:
         return mixed(keys * _ODD) >> np.uint64(64 - self.bits)
 
+    def among(self, again: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which keys' cells are in ``again``, ascending."""
+        out = np.zeros(len(keys), bool)
+        for a in range(0, len(keys) if len(again) else 0, STRETCH):
+            at = self.cells(keys[a : a + STRETCH])
+            out[a : a + STRETCH] = again[np.minimum(np.searchsorted(again, at), len(again) - 1)] == at
+        return out
+
     def reader(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         """For the task that calls it: (row keys of a chunk, keys) -> which keys may occur twice."""
         table = shared_table(f"{self.folder}/pid={TaskContext.get().partitionId()}")
@@ -56,10 +64,7 @@ class Repeats:
             if mine is None:
                 return np.ones(len(keys), bool)
             again = np.concatenate([np.cumsum(unpack_many(d, np.uint64)[0], dtype=np.uint64) for _, d in sorted(mine)])
-            if not len(again):
-                return np.zeros(len(keys), bool)
-            at = self.cells(keys)
-            return again[np.minimum(np.searchsorted(again, at), len(again) - 1)] == at
+            return self.among(again, keys)
 
         return repeated
 
@@ -70,17 +75,23 @@ def build(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterato
     ranges = max(1, -(-expected // RANGE_KEYS))
     sketch = Repeats(scratch_path(spark, "sketch"), max(22, (SPARSE * max(expected, 1) - 1).bit_length()))
     width = -(-(1 << sketch.bits) // ranges)
+    bounds = np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width)
 
     def partial(batches):
         pid = TaskContext.get().partitionId()
-        for rids, keys in keys_of(batches):
-            at, n = np.unique(sketch.cells(keys), return_counts=True)
-            part = (at // np.uint64(width)).astype(np.int64)
-            edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(at)] if len(at) else []
-            rows = [(int(part[a]), pack_many(np.diff(at[a:b], prepend=np.uint64(0)), np.minimum(n[a:b], 2).astype(np.uint8))) for a, b in pairwise(edges)]
-            if rows:
-                chunk = chunk_name(rids)
-                yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int64()), "pid": pa.array([pid] * len(rows), pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+        def counted(chunk):
+            rids, at = chunk[0], sketch.cells(chunk[1])
+            at.sort()
+            fresh = np.r_[True, at[1:] != at[:-1]][: len(at)]
+            n = np.r_[~fresh[1:], False][: len(at)][fresh].astype(np.uint8) + np.uint8(1)  # 2 where the next is the same cell
+            at = at[fresh]
+            edges = np.searchsorted(at, bounds).tolist()
+            rows = [(part, pack_many(np.diff(at[a:b], prepend=np.uint64(0)), n[a:b])) for part, (a, b) in enumerate(pairwise(edges)) if a < b]
+            name = chunk_name(rids)
+            return pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int64()), "pid": pa.array([pid] * len(rows), pa.int32()), "chunk": pa.array([name] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+        return map(counted, keys_of(batches))  # no chunk is held while the next is gathered
 
     def merge(key, rows):
         found = [unpack_many(d, np.uint64, np.uint8) for d in rows["data"]]

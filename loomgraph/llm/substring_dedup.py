@@ -47,7 +47,10 @@ def chunks(batches, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray,
     def flush():
         order = np.argsort(np.array(rids, np.int64), kind="stable")
         sizes = np.array([len(words[i]) for i in order], np.int64)
-        return np.array(rids, np.int64)[order], np.r_[0, np.cumsum(sizes)], np.concatenate([words[i] for i in order])
+        out = np.array(rids, np.int64)[order], np.r_[0, np.cumsum(sizes)], np.concatenate([words[i] for i in order])
+        rids.clear()
+        words.clear()
+        return out
 
     for b in batches:
         for rid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -58,7 +61,7 @@ def chunks(batches, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray,
                 total += len(w)
             if total >= size:
                 yield flush()
-                rids, words, total = [], [], 0
+                total = 0
     if total:
         yield flush()
 
@@ -66,11 +69,11 @@ def chunks(batches, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray,
 def starts_in(offsets: np.ndarray, width: int) -> np.ndarray:
     """Places in the concatenated words at which a window of one document starts."""
     n = int(offsets[-1])
-    ok = np.zeros(n + 1, np.int32)
+    ok = np.zeros(n + 1, np.int8)
     a, b = offsets[:-1], np.maximum(offsets[1:] - width + 1, offsets[:-1])
     np.add.at(ok, a, 1)
     np.add.at(ok, b, -1)
-    return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
+    return np.flatnonzero(np.cumsum(ok[:-1], dtype=np.int8))  # 0 or 1
 
 
 def spans_of(doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,11 +96,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     c1, c2 = coefficients(width, 11), coefficients(width, 29)
 
-    def keys_of(batches):
-        for rids, offsets, w in chunks(batches):
-            yield rids, windows(w, c1)[starts_in(offsets, width)]
+    def hashed(chunk):
+        rids, offsets, w = chunk
+        return rids, windows(w, c1)[starts_in(offsets, width)]
 
-    filt = build(slim, keys_of, size // 6)
+    filt = build(slim, lambda batches: map(hashed, chunks(batches)), size // 6)
     parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))  # of hash ranges, and of documents: tasks pass each other one blob per pair
 
     def bucket(rid: np.ndarray) -> np.ndarray:
@@ -116,29 +119,33 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         salt = TaskContext.get().partitionId()  # spans found here only pass through, so they need not meet
         return pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.int32()), "salt": pa.array([salt * r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
+    def repeats(look, chunk):
+        rids, offsets, w = chunk
+        at = starts_in(offsets, width)
+        h1 = windows(w, c1)[at]
+        keep = look(rids, h1)
+        at, h1 = at[keep], h1[keep]
+        if not len(at):
+            return []
+        h2 = (windows(w, c2)[at] >> np.uint64(32)).astype(np.uint32)
+        which = np.searchsorted(offsets, at, side="right") - 1
+        doc, start = rids[which], (at - offsets[which]).astype(np.int64)
+        order = np.lexsort((h2, h1))  # stable, and rows are in (document, start) order
+        s1, s2 = h1[order], h2[order]
+        first = np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]
+        later = np.sort(order[~first])
+        out = []
+        if len(later):
+            d, a, b = spans_of(doc[later], start[later], width)
+            out += split(1, bucket(d), d, a, b)
+        lead = order[first]
+        out += split(0, ((h1[lead] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), h1[lead], h2[lead], doc[lead], start[lead].astype(np.uint32))
+        return [batch_of(out)]
+
     def candidates(batches):
         look = filt.reader()
-        for rids, offsets, w in chunks(batches):
-            at = starts_in(offsets, width)
-            h1 = windows(w, c1)[at]
-            keep = look(rids, h1)
-            if not keep.any():
-                continue
-            at, h1 = at[keep], h1[keep]
-            h2 = (windows(w, c2)[at] >> np.uint64(32)).astype(np.uint32)
-            which = np.searchsorted(offsets, at, side="right") - 1
-            doc, start = rids[which], (at - offsets[which]).astype(np.int64)
-            order = np.lexsort((h2, h1))  # stable, and rows are in (document, start) order
-            s1, s2 = h1[order], h2[order]
-            first = np.r_[True, (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]
-            later = np.sort(order[~first])
-            out = []
-            if len(later):
-                d, a, b = spans_of(doc[later], start[later], width)
-                out += split(1, bucket(d), d, a, b)
-            lead = order[first]
-            out += split(0, ((h1[lead] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), h1[lead], h2[lead], doc[lead], start[lead].astype(np.uint32))
-            yield batch_of(out)
+        for found in map(lambda chunk: repeats(look, chunk), chunks(batches)):  # no chunk is held while the next is gathered
+            yield from found
 
     def judge(key, blobs):
         kind, _, part = key
