@@ -17,7 +17,6 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 from itertools import filterfalse, groupby
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import byte_alphabet
-from .common import RID, cut, keyed, make_room, shuffle_partitions
+from .common import RID, cut, kept, keyed, make_room, shuffle_partitions
 
 #: Pieces whose ids a Python worker remembers.
 MEMO = 400_000
@@ -140,10 +139,9 @@ class PieceEncoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str) -> PieceEncoder:
-    """One encoder per Python worker, kept from task to task."""
-    return PieceEncoder(path)
+    """The worker's encoder."""
+    return kept(f"encoder of {path}", lambda: PieceEncoder(path))
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:

@@ -5,7 +5,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from loomgraph.llm.common import STRETCH, coefficients, mixed, windows, word_hashes
+from loomgraph.llm import packing
+from loomgraph.llm.common import _KEPT, STRETCH, coefficients, kept, mixed, windows, word_hashes
 from loomgraph.llm.jaccard import shingle_sets
 from loomgraph.llm.sketch import Repeats
 from loomgraph.llm.substring_dedup import chunks, starts_in
@@ -67,3 +68,13 @@ def test_no_chunk_is_held_while_the_next_is_gathered():
     sets = []
     assert peak(lambda: sets.extend(len(h) for _, _, h in shingle_sets(batches, 5, 400_000))) < 20
     assert sum(sets) == 1200 * 996
+
+
+def test_a_worker_keeps_one_thing(monkeypatch):
+    memo = word_hashes()
+    assert word_hashes() is memo and kept("words", list) is memo
+    monkeypatch.setattr(packing, "PieceEncoder", lambda path: [path])
+    encoder = packing.encoder_of("some.json")
+    assert packing.encoder_of("some.json") is encoder and list(_KEPT.values()) == [encoder]
+    assert packing.encoder_of("other.json") == ["other.json"] and len(_KEPT) == 1
+    assert word_hashes() is not memo and len(_KEPT) == 1
