@@ -15,7 +15,8 @@ Encoding
     the sufficient lookahead: a token that ends that many bytes before the end of the buffer is stable.  Tokens
     behind a token border encode as they would alone, so the buffer restarts there and memory stays constant.
 
-    Short units and pieces are memoised per worker; their number is bounded.
+    Short units and pieces are memoised per worker; their number is bounded.  Of a run of texts, those not met before are
+    first merged side by side, one rule in each of them a round; the stream encoder then finds them, or merges alone.
 
 Decoding
     Tokens are mapped to bytes, and an incremental UTF-8 machine turns bytes to text, as the encoder emits them, a
@@ -47,7 +48,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Fixed value: Unicode White_Space, as the pattern's \s.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
+#: Units that are surely one piece: letters below U+0250, a blank before them or not.
+WORD = " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 MEMO, PIECE_MEMO, MEMO_CHARS, RUN = 300_000, 300_000, 64, 65_536
+#: Characters of texts whose new pieces are merged side by side, and widths of these in bytes; longer pieces are merged alone.
+LEARN, WIDTHS = 1 << 20, (0, 8, 12, 16, 24, 48)
 #: Characters of text that the stream encoder takes at a time, and of a unit or piece that it waits for the end of.
 BLOCK, WAIT = 4_096, 1_024
 
@@ -83,6 +88,15 @@ class Merges:
         self.base = len(self.bytes_of)
         self.rule = {pair: k * self.base + new for pair, (k, new) in self.rank.items()}
         self.none = (len(model["merges"]) + 1) * self.base
+        #: The same rules as arrays, for many byte strings at once; ``base`` stands behind the end of a string.
+        pairs = np.array([(a * (self.base + 1) + b, k, new) for (a, b), (k, new) in self.rank.items()], np.int64).reshape(-1, 3)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair = np.append(pairs[:, 0], np.iinfo(np.int64).max)
+        self.rank_of_pair = np.append(pairs[:, 1], len(model["merges"])).astype(np.int32)
+        self.made = np.zeros(len(model["merges"]), np.int32)
+        self.made[pairs[:, 1]] = pairs[:, 2]
+        end = [*self.byte_id, self.base]
+        self.rank_of_bytes = self._ranks(np.repeat(end, 257), np.tile(end, 257)).reshape(257, 257)
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -138,6 +152,47 @@ class Merges:
         return [x for x, ok in zip(t, live, strict=True) if ok]
 
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the rule of each pair of tokens; the number of all rules where there is none."""
+        key = a.astype(np.int64) * (self.base + 1) + b
+        at = np.searchsorted(self.pair, key)
+        return np.where(self.pair[at] == key, self.rank_of_pair[at], self.rank_of_pair[-1])
+
+    def merge_all(self, strings: list[bytes]) -> list[bytes]:
+        """Of each string what merge() gives, as little-endian unsigned 32-bit ids: a round makes the next merge in all of them."""
+        out = [b""] * len(strings)
+        sizes, ids = np.fromiter(map(len, strings), np.int64, len(strings)), np.array([*self.byte_id, self.base], np.int32)
+        for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            out[k] = np.array(self.merge(strings[k]), "<u4").tobytes()
+        for least, width in pairwise(WIDTHS):
+            chosen = np.flatnonzero((sizes > least) & (sizes <= width))
+            laid = b"".join([strings[k].ljust(width, b"\0") for k in chosen.tolist()])
+            given = np.full((len(chosen), width + 1), 256, np.int16)
+            given[:, :-1] = np.frombuffer(laid, np.uint8).reshape(-1, width)
+            given[np.arange(width + 1) >= sizes[chosen][:, None]] = 256
+            t, ranks = ids[given], self.rank_of_bytes[given[:, :-1], given[:, 1:]]
+            ends, rows = np.empty_like(t), np.arange(len(chosen))
+            while len(rows):
+                at = ranks.argmin(1)  # the leftmost of the lowest
+                low = ranks[np.arange(len(rows)), at]
+                go = low < self.rank_of_pair[-1]
+                if not go.all():
+                    ends[rows[~go]] = t[~go]
+                    rows, t, ranks, at, low = rows[go], t[go], ranks[go], at[go], low[go]
+                n, new = np.arange(len(rows)), self.made[low]
+                behind = np.arange(width) > at[:, None]
+                np.copyto(t[:, :-1], t[:, 1:], where=behind)
+                np.copyto(ranks[:, :-1], ranks[:, 1:], where=behind[:, :-1])
+                t[n, at] = new
+                ranks[n, at] = self._ranks(new, t[n, at + 1])
+                left = np.flatnonzero(at)
+                ranks[left, at[left] - 1] = self._ranks(t[left, at[left] - 1], new[left])
+            data, many = ends.astype("<u4").tobytes(), (ends != self.base).sum(1).tolist()
+            for r, (k, m) in enumerate(zip(chosen.tolist(), many, strict=True)):
+                out[k] = data[4 * r * (width + 1) : 4 * (r * (width + 1) + m)]
+        return out
+
+
 class Transducer:
     """Bytes in, stable tokens out; never holds more than about two lookaheads and a block."""
 
@@ -176,31 +231,55 @@ class Encoder:
         self.piece = regex.compile(PATTERN)
         self.pieces = self.piece.findall
         self.units = re.compile(UNIT).findall
+        self.word = re.compile(WORD).fullmatch
         self.unit_end = re.compile(f"(?s).*[^{_WHITE}](?=[{_WHITE}])")
         self.classes = [(True, regex.compile(r"\s+")), *((False, regex.compile(p)) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+"))]
         self.added = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.merges.added, key=len, reverse=True)) + ")") if self.merges.added else None
         self.longest_added = max(map(len, self.merges.added), default=0)
         self.machine = Transducer(self.merges)  # of pieces whose end is known; empty between them
         self.memo: dict[str, bytes] = {}
-        self.piece_memo: dict[str, list[int]] = {}
+        self.piece_memo: dict[str, bytes] = {}
+        self.old_memo, self.old_piece_memo = dict[str, bytes](), dict[str, bytes]()
+
+    def learn(self, texts: list[str]) -> None:
+        """Memoises the short units of some texts, whose pieces are merged all at once."""
+        units: set[str] = set()
+        for text in texts:
+            units.update(self.units(text))
+        if len(self.memo) >= MEMO // 2:  # half is forgotten, but for what is met again before the next time
+            self.memo, self.old_memo = {}, self.memo
+        if len(self.piece_memo) >= PIECE_MEMO // 2:
+            self.piece_memo, self.old_piece_memo = {}, self.piece_memo
+        memo, known = self.memo, self.piece_memo
+        units.difference_update(memo)
+        for u in units & self.old_memo.keys():
+            memo[u] = self.old_memo[u]
+        fresh = [u for u in units if u not in memo and len(u) <= MEMO_CHARS]
+        pieces: list[str] = []
+        ends = [len(pieces) for u in fresh if pieces.extend((u,) if self.word(u) else self.pieces(u)) is None]
+        new = set(pieces).difference(known)
+        for p in new & self.old_piece_memo.keys():
+            known[p] = self.old_piece_memo[p]
+        new = [p for p in new if p not in known]
+        known.update(zip(new, self.merges.merge_all([p.encode("utf-8", "replace") for p in new]), strict=True))
+        ids = list(map(known.__getitem__, pieces))
+        memo.update(zip(fresh, [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in pairwise([0, *ends])], strict=True))
 
     def _unit(self, unit: str) -> bytes:
         got = self.memo.get(unit)
         if got is None:
-            ids: list[int] = []
-            for piece in self.pieces(unit):
-                ids += self._piece(piece)
-            got = struct.pack(f"<{len(ids)}I", *ids)
+            got = b"".join(map(self._piece, self.pieces(unit)))
             if len(unit) <= MEMO_CHARS:
                 make_room(self.memo, MEMO)
                 self.memo[unit] = got
         return got
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         got = self.piece_memo.get(piece)
         if got is None:
-            got = self.machine.feed(piece.encode("utf-8", "replace"))
-            got += self.machine.finish()
+            ids = self.machine.feed(piece.encode("utf-8", "replace"))
+            ids += self.machine.finish()
+            got = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= MEMO_CHARS:
                 make_room(self.piece_memo, PIECE_MEMO)
                 self.piece_memo[piece] = got
@@ -208,8 +287,12 @@ class Encoder:
 
     def closed(self, text: str) -> bytes:
         """Tokens of a text that nothing continues, without added tokens."""
-        memo, unit = self.memo.get, self._unit
-        return b"".join([memo(u) or unit(u) for u in self.units(text)])
+        units = self.units(text)
+        try:
+            return b"".join(map(self.memo.__getitem__, units))
+        except KeyError:
+            memo, unit = self.memo.get, self._unit
+            return b"".join([memo(u) or unit(u) for u in units])
 
     def stream(self, text: str | None, block: int = BLOCK):
         """Tokens of a text, as they are emitted."""
@@ -325,13 +408,20 @@ class Decoder:
     """ids -> text, as they come and a bounded run of tokens at a time."""
 
     def __init__(self, merges: Merges):
-        self.bytes_of = merges.bytes_of
+        self.laid = np.frombuffer(b"".join(merges.bytes_of), np.uint8)
+        self.sizes = np.fromiter(map(len, merges.bytes_of), np.int32, len(merges.bytes_of))
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: bytes):
         numbers = np.frombuffer(ids, "<u4")
         for k in range(0, len(numbers), RUN):
-            yield self.machine.decode(b"".join(map(self.bytes_of.__getitem__, numbers[k : k + RUN].tolist())))
+            some = numbers[k : k + RUN]
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes, dtype=np.int32)
+            at = np.repeat(self.starts[some] - ends + sizes, sizes)
+            at += np.arange(len(at), dtype=np.int32)
+            yield self.machine.decode(self.laid[at].tobytes())
 
     def finish(self) -> str:
         """What an unfinished character at the end gives; ready for the next text."""
@@ -344,13 +434,27 @@ class Decoder:
         yield self.finish()
 
 
+def learned(encoder: Encoder, texts):
+    """The texts of an Arrow column, once the encoder has learned from a run of them."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_py() or "")
+        size += len(run[-1])
+        if size >= LEARN:
+            encoder.learn([x[:LEARN] for x in run])
+            yield from run
+            run, size = [], 0
+    encoder.learn([x[:LEARN] for x in run])
+    yield from run
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<long>)."""
 
     def run(batches):
         encoder = encoder_of(path)
         for b in batches:
-            ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(np.int64) for t in b.column(1)]
+            ids = [np.frombuffer(encoder.encode(t), "<u4").astype(np.int64) for t in learned(encoder, b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int64()))], names=[id_col, "ids"])
 
     slim = docs.select(F.col(id_col), F.col(text_col))
@@ -378,9 +482,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         decoder = Decoder(encoder.merges)
         for b in batches:
             n, a, d = [], [], []
-            for t in b.column(1):
+            for t in learned(encoder, b.column(1)):
                 count, hashed, text = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in encoder.stream(t.as_py()):
+                for ids in encoder.stream(t):
                     count += len(ids) // 4
                     hashed.update(ids)
                     for part in decoder.feed(ids):

@@ -540,3 +540,32 @@ def test_pipeline_stages(spark):
     for r in collected(out):
         w = [x for k, x in enumerate((dict(rows)[r["doc_id"]] or "").split()) if k not in gone[r["doc_id"]]]
         assert (r["text"] or "").split() == w
+
+
+def test_bpe_merges_the_pieces_of_a_run_of_texts_side_by_side(monkeypatch):
+    """What the stream encoder looks up has been merged at once, the same as one at a time, also when a memo is full or a text is long."""
+    import tokenizers
+
+    path = tokenizer("byte_bpe_50k.json")
+    encoder, library = bpe.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    alone, merge = [], encoder.merges.merge
+    monkeypatch.setattr(encoder.merges, "merge", lambda data: alone.append(data) or merge(data))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aaeinorst" + "hlé日'9\x00" * (k % 3)) for _ in range(k % 60 + 1)) for k in range(3_000)]
+    strings = [w.encode() for w in words] + [b"", b"aaaaaaaa", bytes(range(256))]
+    assert encoder.merges.merge_all(strings) == [np.array(merge(x), "<u4").tobytes() for x in strings]
+    assert encoder.merges.merge_all([]) == []
+    alone.clear()
+    texts = [" ".join(words[k : k + 30]) for k in range(0, 3_000, 30)]
+    seen = [encoder.encode(t) for t in bpe.learned(encoder, pa.array(texts))]
+    assert all(len(x) > bpe.WIDTHS[-1] for x in alone)
+    odd = ["", "  \n x<|endoftext|>y  ", None, "q" * 90 + " " + "é" * 70]
+    texts, seen = texts + odd, seen + [encoder.encode(t) for t in bpe.learned(encoder, pa.array(odd))]
+    for small in (seen, None):
+        if small is None:
+            monkeypatch.setattr(bpe, "MEMO", 40)
+            monkeypatch.setattr(bpe, "PIECE_MEMO", 40)
+            monkeypatch.setattr(bpe, "LEARN", 700)
+            small = [encoder.encode(t) for t in bpe.learned(encoder, pa.array(texts))]
+        for text, ids in zip(texts, small, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
