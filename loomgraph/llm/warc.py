@@ -6,9 +6,11 @@ is cut into a first record and continuation records.  Tasks stream records into
 one gzip member per record, under a name of the attempt, and rename them once complete, so a repeated task leaves
 whole files.
 
-Reading.  Tasks stream archives record by record, once.  A record that is not segmented is decoded where it is read; only
-segments are shuffled: they are grouped by the record they continue, ordered by number, checked to be complete and
-of the stated total length, joined, and then decoded.  Chunked framing is removed and the payload digest checked.
+Reading.  Tasks stream archives record by record, once.  A record is decoded where it is read, also a segmented one whose
+segments an archive holds in order up to its end; of that, what was decoded and a hash of each segment are shuffled, to meet segments of
+the same record elsewhere.  Other segments are shuffled themselves: they are grouped by the record they continue, ordered by
+number, checked to be complete and of the stated total length, joined, and then decoded.  Chunked framing is removed and
+the payload digest checked.
 
 Defined results: null payload counts as empty; repeated or null ids are records of their own; a record with missing
 or contradicting segments, bad framing or a wrong digest is returned with null payload and its ``error``; an archive that
@@ -34,7 +36,8 @@ from .common import RID, cut, filesystem, keyed, publish, scratch_path
 CRLF = b"\r\n"
 READ = "record_id string, record_type string, target_uri string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, error string"
 _READ_NAMES = [x.split()[0] for x in READ.split(", ")]
-_SEGMENT = "origin string, number int, total bigint, head string, block binary"
+#: Loose segments have a number and a block; a record joined where it was read has neither, but READ columns and seals.
+_SEGMENT = "origin string, number int, total bigint, head string, block binary, seals binary"
 
 
 def digest(data: bytes) -> str:
@@ -236,15 +239,37 @@ def reassembled(segments: list[tuple[int, int | None, str | None, bytes]], origi
     return decoded(head, whole)
 
 
+def seal(total: int | None, text: str | None, block: bytes) -> bytes:
+    """Hash of what two segments of one number must have in common."""
+    return hashlib.sha256(repr((total, text)).encode() + b"\0" + block).digest()
+
+
+def agreed(whole: list[tuple[tuple, bytes]], loose: list[tuple[int, int | None, str | None, bytes]], origin: str) -> tuple:
+    """A READ row from READ rows and seals of one record, at least one, each joined where it was read, and loose segments of it.
+
+    The same as reassembled() gives for all their segments.
+    """
+    row, seals = whole[0]
+    told = {k // 32 + 1: seals[k : k + 32] for k in range(0, len(seals), 32)}
+    error = "missing segments" if any(number not in told for number, *_ in loose) else None
+    among: dict[int, tuple] = {}
+    for number, *rest in loose:
+        if among.setdefault(number, tuple(rest)) != tuple(rest) or number in told and seal(*rest) != told[number]:
+            error = "contradicting segments"
+    if any(other != seals for _, other in whole):
+        error = "contradicting segments"
+    return (origin, *row[1:4], None, None, None, error) if error else row
+
+
 def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = True) -> DataFrame:
     """Responses and revisits of the archives (paths as filesystem() takes them); see READ.
 
-    What a task has read is kept in the shared folder, so archives are read once; without payloads only segments take room.
+    What a task has read is kept in the shared folder, so archives are read once; without payloads only loose segments take room.
     """
     names = files.select(F.col(path_col).alias("path")).repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
-    kinds = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
     columns = [*_READ_NAMES, *(x.split()[0] for x in _SEGMENT.split(", "))]
-    none = (None,) * 5
+    none = (None,) * 6
 
     def shown(row: tuple) -> tuple:
         return row if with_payload else (*row[:4], None, *row[5:])
@@ -254,6 +279,13 @@ def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = Tru
         if fs.get_file_info(at).type != pafs.FileType.File:
             yield (None,) * 7 + (f"{path}: no such archive",) + none, 0
             return
+        held, of = [], None  # segments 1, 2, .. of a record that has not ended
+
+        def loose():
+            for segment in held:
+                yield (None,) * 8 + (of, *segment, None), len(segment[-1])
+            held.clear()
+
         with fs.open_input_stream(at, compression=None) as stream:
             try:
                 for headers, block in parse(stream):
@@ -263,10 +295,25 @@ def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = Tru
                             raise ValueError("segment number out of range")
                         origin = headers.get("warc-segment-origin-id") or headers.get("warc-record-id")
                         head = "\n".join(f"{k}: {v}" for k, v in headers.items()) if number == 1 else None
-                        yield (None,) * 8 + (origin, number, total and number_of(total), head, block), len(block)
+                        segment = (number, total and number_of(total), head, block)
+                        if origin != of or number != len(held) + 1:
+                            yield from loose()
+                            of = origin
+                        held.append(segment)
+                        if origin is None or number != len(held):
+                            yield from loose()
+                        elif segment[1] is not None and segment[1] == sum(len(x[3]) for x in held):
+                            row = shown(reassembled(held, origin))
+                            seals = b"".join([seal(*x[1:]) for x in held])
+                            held.clear()
+                            yield row + (origin, None, None, None, None, seals), len(row[4] or b"") + len(seals)
+                        elif segment[1] is not None:
+                            yield from loose()
                     elif headers.get("warc-type") in ("response", "revisit", "resource"):
                         yield shown(decoded(headers, block)) + none, len(block)
+                yield from loose()
             except (ValueError, zlib.error) as e:
+                yield from loose()
                 yield (None,) * 7 + (f"{path}: {e}",) + none, 0
 
     def read(batches):
@@ -286,24 +333,31 @@ def read_warc(files: DataFrame, path_col: str = "path", with_payload: bool = Tru
 
     def join(batches):
         """Segments come in order of origin: one record's are held at a time, and a bounded run of results."""
-        here, held, rows, size = None, [], [], 0
+        here, whole, held, rows, size = None, [], [], [], 0
+
+        def ended():
+            return agreed(whole, held, here) if whole else shown(reassembled(held, here))
+
         for b in batches:
-            for origin, number, total, head, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and origin != here:
-                    rows.append(shown(reassembled(held, here)))
-                    size += sum(len(x[3]) for x in held)
-                    held = []
+            for *row, origin, number, total, head, block, seals in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (whole or held) and origin != here:
+                    rows.append(ended())
+                    size += sum(len(x[3]) for x in held) + sum(len(x[4] or b"") for x, _ in whole)
+                    whole, held = [], []
                     if size > 8 << 20 or len(rows) >= 5_000:
                         yield table(rows)
                         rows, size = [], 0
                 here = origin
-                held.append((number, total, head, block))
-        if held:
-            rows.append(shown(reassembled(held, here)))
+                if seals is None:
+                    held.append((number, total, head, block))
+                else:
+                    whole.append((tuple(row), seals))
+        if whole or held:
+            rows.append(ended())
         yield table(rows)
 
     kept = scratch_path(files.sparkSession, "warc-records")
     names.mapInArrow(read, f"{READ}, {_SEGMENT}").write.option("compression", "zstd").parquet(kept)
     found = files.sparkSession.read.schema(f"{READ}, {_SEGMENT}").parquet(kept)
-    segments = found.filter("origin IS NOT NULL").select(*columns[8:]).repartition("origin").sortWithinPartitions("origin", "number")
+    segments = found.filter("origin IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "number")
     return found.filter("origin IS NULL").select(*_READ_NAMES).union(segments.mapInArrow(join, READ))

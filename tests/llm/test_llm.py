@@ -569,3 +569,47 @@ def test_bpe_merges_the_pieces_of_a_run_of_texts_side_by_side(monkeypatch):
             small = [encoder.encode(t) for t in bpe.learned(encoder, pa.array(texts))]
         for text, ids in zip(texts, small, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_warc_segments_meet_wherever_they_lie(spark, tmp_path):
+    """Records are joined where they are read, and only loose segments are kept; repeats, gaps and contradictions in other archives count as before."""
+    from loomgraph.llm import common
+
+    pages = [(i, f"http://x/{i}", chr(97 + i) * (5_000 * i)) for i in range(8)]
+    files, _ = warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w", segment=3000)
+    got = warc.read_warc(files, with_payload=False)
+    kept = spark.read.parquet(common._SCRATCH[-1])
+    assert kept.filter("block IS NOT NULL").count() == 0 < kept.filter("origin IS NOT NULL").count()
+    assert sorted((int(r["record_id"][10:-1]), r["payload_bytes"]) for r in collected(got)) == [(i, len(h)) for i, _, h in pages]
+
+    rng = random.Random(4)
+    places, told = [b""] * 4, {}
+    for k in range(60):
+        origin, parts, body = f"<{k}>", rng.randint(1, 4), b"HTTP/1.1 200 OK\r\n\r\n" + b"%d" % k * 20
+        size = -(-len(body) // parts)
+        of = []
+        for n in range(1, parts + 1):
+            of.append((n, len(body) if n == parts else None, body[(n - 1) * size : n * size]))
+        given = [list(of) for _ in range(k % 3)]  # whole, in so many places
+        for _ in range(rng.choice([0, 0, 1, 3]) if given else 3):
+            n, total, block = rng.choice(of)
+            given.append([rng.choice([(n, total, block), (n, total, block), (n, total, block + b"!"), (n + parts, total, block), (0, None, block), (n, total or 7, block)])])
+        for run in given:
+            data = b""
+            for n, total, block in run:
+                more = [("WARC-Type", "response"), ("WARC-Record-ID", origin)] if n == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{origin}:{n}"), ("WARC-Segment-Origin-ID", origin)]
+                heads = [*more, ("WARC-Segment-Number", str(n)), *([] if total is None else [("WARC-Segment-Total-Length", str(total))])]
+                data += warc.record(heads, block)
+                head = "\n".join(f"{a.lower()}: {b}" for a, b in [*heads, ("Content-Length", str(len(block)))]) if n == 1 else None
+                told.setdefault(origin, []).append((n, total, head, block))
+            places[rng.randrange(4)] += data
+    for n, data in enumerate(places):
+        (tmp_path / f"p{n}").write_bytes(data)
+    there = spark.createDataFrame([(f"file://{tmp_path}/p{n}",) for n in range(4)], "path string")
+    expected = {origin: warc.reassembled(segments, origin) for origin, segments in told.items()}
+    assert {e[-1] for e in expected.values()} == {None, "missing segments", "contradicting segments"}
+    rows = collected(warc.read_warc(there))
+    assert len(rows) == len(expected)
+    for r in rows:
+        e = expected[r["record_id"]]
+        assert (r["record_type"], r["payload"] and bytes(r["payload"]), r["payload_bytes"], r["payload_digest"], r["error"]) == (e[1], *e[4:])
