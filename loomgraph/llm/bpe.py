@@ -298,6 +298,8 @@ class Encoder:
         """Tokens of a text, as they are emitted."""
         machine, text = StreamEncoder(self), text or ""
         for k in range(0, len(text) - block, block):
+            if k and k % LEARN < block:  # the first run is learned with the texts around it
+                self.learn([text[k : k + LEARN]])
             yield machine.feed(text[k : k + block])
         yield machine.finish(text[(max(len(text) - 1, 0)) // block * block :])
 

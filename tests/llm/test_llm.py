@@ -613,3 +613,19 @@ def test_warc_segments_meet_wherever_they_lie(spark, tmp_path):
     for r in rows:
         e = expected[r["record_id"]]
         assert (r["record_type"], r["payload"] and bytes(r["payload"]), r["payload_bytes"], r["payload_digest"], r["error"]) == (e[1], *e[4:])
+
+
+def test_bpe_learns_a_long_text_in_runs(monkeypatch):
+    """Behind the first run of a long text, pieces are merged side by side as well."""
+    import tokenizers
+
+    path = tokenizer("byte_bpe_50k.json")
+    encoder, library = bpe.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    alone, merge = [], encoder.merges.merge
+    monkeypatch.setattr(encoder.merges, "merge", lambda data: alone.append(data) or merge(data))
+    monkeypatch.setattr(bpe, "LEARN", 3 * bpe.BLOCK)
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("aaeinorstlé") for _ in range(rng.randint(1, 12))) for _ in range(12_000))
+    (ids,) = [encoder.encode(t) for t in bpe.learned(encoder, pa.array([text]))]
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(alone) < 50  # units across the borders of blocks and runs
