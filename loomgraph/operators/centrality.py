@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import cut, filesystem, written
-from .kernels import Adjacency, Arcs, shares
+from .kernels import Adjacency, Arcs, shares, without_detours
 from .paths import KEPT, distances, levels
 
 #: Edges of a graph that each worker holds for the kernels (8 bytes each, 24 with weights, so 320 MB); larger graphs run as joins.
@@ -159,6 +159,8 @@ def _by_copies(edges: DataFrame, directed: bool, weighted: bool, drawn: DataFram
 def _copy(n: int, out: tuple[str, ...], into: tuple[str, ...] | None) -> Adjacency:
     """The graph in these files, once for each worker."""
     arcs = _read_arcs(n, out)
+    if arcs.weight is not None and not into:
+        arcs = without_detours(arcs)
     return Adjacency(arcs, _read_arcs(n, into) if into else arcs)
 
 

@@ -260,12 +260,17 @@ def _taken(arcs: Arcs, cells: np.ndarray, rows: np.ndarray, table: np.ndarray) -
     return got
 
 
+def _cuts(arcs: Arcs) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about as many arcs."""
+    cuts = np.r_[np.searchsorted(arcs.start[1:], np.arange(0, len(arcs.to), 4 * STRETCH)), len(arcs.start) - 1].tolist()
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def _summed(arcs: Arcs, table: np.ndarray) -> np.ndarray:
     """For all cells, the sums of the table over their neighbours, arcs in the order they are held."""
     n = len(arcs.start) - 1
     got = np.zeros(len(table))
-    cuts = np.r_[np.searchsorted(arcs.start[1:], np.arange(0, len(arcs.to), 4 * STRETCH)), n]  # rows of about as many arcs
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+    for lo, hi in _cuts(arcs):
         has = lo + np.flatnonzero(np.diff(arcs.start[lo : hi + 1]))
         if len(has):
             to = arcs.to[arcs.start[lo] : arcs.start[hi]].astype(np.int64)
@@ -279,6 +284,10 @@ def _summed(arcs: Arcs, table: np.ndarray) -> np.ndarray:
 PUSHED, PULLED, LOOK, CELL = 2.2, 2.3, 6.0, 0.8
 #: Arcs that are followed at a time, and cells of a block of few levels: its tables stay near the processor.
 STRETCH, BLOCK_CELLS = 32_768, 65_536
+#: Draws of as many marks.
+DRAWS = 2
+#: Distances that are told on together, by the mean weight.
+STEP = 0.25
 #: Most rounds in which a part is found that is taken as one of few levels.
 FEW_LEVELS = 16
 
@@ -344,6 +353,58 @@ def _by_few_levels(g: Adjacency, sources: np.ndarray, own: np.ndarray | None) ->
     return share.reshape(-1, n).sum(axis=0)
 
 
+def _from_marks(arcs: Arcs, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances of all places to their nearest mark, the marks); places that reach none are their own mark, infinitely far."""
+    n = len(arcs.start) - 1
+    far, top = np.full(n, np.inf), np.arange(n)
+    far[marks] = 0.0
+    front = np.unique(marks)
+    while len(front):
+        before = far.copy()
+        for at, end, sizes, to in _ends(arcs, front, front, STRETCH):
+            first = arcs.start[front[at:end]]
+            where = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(to))
+            np.minimum.at(far, to, np.repeat(far[front[at:end]], sizes) + arcs.weight[where])
+        front = np.flatnonzero(far < before)
+    for lo, hi, rows, to in _rows_of(arcs):
+        last = (far[rows] + arcs.weight[lo:hi] == far[to]) & np.isfinite(far[to])
+        top[to[last]] = rows[last]
+    top[marks] = marks
+    while True:
+        above = top[top]
+        if (above == top).all():
+            return far, top
+        top = above
+
+
+def _rows_of(arcs: Arcs) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, rows, neighbours) of the arcs, some at a time."""
+    for a, b in _cuts(arcs):
+        lo, hi = int(arcs.start[a]), int(arcs.start[b])
+        yield lo, hi, np.repeat(np.arange(a, b), np.diff(arcs.start[a : b + 1])), arcs.to[lo:hi].astype(np.int64)
+
+
+def without_detours(arcs: Arcs) -> Arcs:
+    """The arcs of an undirected graph without some that are longer than a way round them, and so on no shortest path.
+
+    If two places have the same nearest mark, there is a way through it.  Marks are drawn, few and many, again and again; any
+    draw leaves out right arcs only.  The slack is above that with which path lengths count as tied.
+    """
+    n = len(arcs.start) - 1
+    rng, slack, marks = np.random.default_rng(0), 2e-9 * max(float(arcs.weight.sum()), 1.0), 1
+    while marks * 8 < n:
+        for _ in range(DRAWS):
+            far, top = _from_marks(arcs, rng.choice(n, marks, replace=False))
+            kept = np.empty(len(arcs.to), bool)
+            sizes = np.zeros(n, np.int64)
+            for lo, hi, rows, to in _rows_of(arcs):
+                kept[lo:hi] = (top[rows] != top[to]) | ~(arcs.weight[lo:hi] > far[rows] + far[to] + slack)
+                sizes += np.bincount(rows[kept[lo:hi]], minlength=n)
+            arcs = Arcs(np.r_[0, np.cumsum(sizes)], arcs.to[kept], arcs.weight[kept])
+        marks *= 4
+    return arcs
+
+
 def _least(g: Adjacency, sources: np.ndarray) -> np.ndarray:
     """Distances, places by sources: rows next to what became nearer take the least over their neighbours, until all stand."""
     width = len(sources)
@@ -391,19 +452,81 @@ def _last_arcs(g: Adjacency, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
 
 
+def _nearest(g: Adjacency, sources: np.ndarray) -> np.ndarray:
+    """Distances, a table for each source, one behind the other: the nearest cells that became nearer tell their neighbours."""
+    n, arcs = g.n, g.out
+    far, open_, place = np.full(n * len(sources), np.inf), np.zeros(n * len(sources), bool), np.tile(np.arange(n), len(sources))
+    cells = np.arange(0, len(far), n) + sources
+    far[cells], open_[cells] = 0.0, True
+    step = STEP * float(arcs.weight.mean()) if len(arcs.weight) else 1.0
+    while True:
+        cells = np.flatnonzero(open_)
+        if not len(cells):
+            return far
+        mine = far[cells]
+        cells = cells[mine <= mine.min() + step]
+        open_[cells] = False
+        rows, mine = place[cells], far[cells]
+        for at, end, sizes, ends in _ends(arcs, cells, rows, STRETCH):
+            where = np.repeat(arcs.start[rows[at:end]] - np.cumsum(sizes) + sizes, sizes)
+            where += np.arange(len(where))
+            told = np.repeat(mine[at:end], sizes)
+            told += arcs.weight[where]
+            less = np.flatnonzero(told < far[ends])
+            ends = ends[less]
+            np.minimum.at(far, ends, told[less])
+            open_[ends] = True
+
+
+def _last_arcs_of_each(g: Adjacency, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _last_arcs, of tables one behind the other."""
+    arcs, n = g.out, g.n
+    got: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    slack = 2e-9 * max(1.0, float(far[np.isfinite(far)].max()) + float(arcs.weight.max(initial=0.0)))
+    for lo, hi, rows, to in _rows_of(arcs):
+        w = arcs.weight[lo:hi]
+        for base in range(0, len(far), n):
+            mine = far[base : base + n]
+            with np.errstate(invalid="ignore"):
+                gap = mine[rows]
+                gap += w
+                gap -= mine[to]
+                near = np.flatnonzero(gap <= slack)
+            u, v = rows[near], to[near]
+            there, d = mine[u] + w[near], mine[v]
+            tied = (np.abs(there - d) <= 1e-9 * np.maximum(np.maximum(1.0, d), there)) & (mine[u] < d)
+            got.append((u[tied] + base, v[tied] + base))
+    return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+
+
 def _by_distance(g: Adjacency, sources: np.ndarray, own: np.ndarray | None) -> np.ndarray:
     """As _by_levels, along weights."""
-    width = len(sources)
     far = _least(g, sources)
     u, v = _last_arcs(g, far)
-    reached = np.isfinite(far).ravel()
-    del far
+    width = len(sources)
+    cells, x = _back(u, v, np.isfinite(far).ravel(), sources.astype(np.int64) * width + np.arange(width), own)
+    return np.bincount(cells // width, weights=x, minlength=g.n)
+
+
+def _by_few_distances(g: Adjacency, sources: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """As _by_few_levels, along weights."""
+    far = _nearest(g, sources)
+    u, v = _last_arcs_of_each(g, far)
+    cells, x = _back(u, v, np.isfinite(far), np.arange(0, len(far), g.n) + sources, own)
+    return np.bincount(cells % g.n, weights=x, minlength=g.n)
+
+
+def _back(u: np.ndarray, v: np.ndarray, reached: np.ndarray, first: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(cells reached, their shares) by the arcs (u, v) on shortest paths from the cells first."""
+    width = len(first)
     order = np.argsort(u, kind="stable")
     u, v = u[order], v[order]
     cells = np.flatnonzero(reached)  # the tables of paths are lists over cells that are reached
-    u, v = np.searchsorted(cells, u), np.searchsorted(cells, v)
-    start = np.searchsorted(u, np.arange(len(cells) + 1))
-    first = np.searchsorted(cells, sources.astype(np.int64) * width + np.arange(width))
+    if len(cells) < len(reached):
+        place = np.cumsum(reached) - 1
+        u, v = place[u], place[v]
+    start = np.r_[0, np.cumsum(np.bincount(u, minlength=len(cells)))]
+    first = np.searchsorted(cells, first)
     paths, step = np.zeros(len(cells)), np.zeros(len(cells), np.int32)
     paths[first] = 1.0
     front, counts, rounds = first, np.ones(width), 0
@@ -427,7 +550,7 @@ def _by_distance(g: Adjacency, sources: np.ndarray, own: np.ndarray | None) -> n
         np.add.at(x, a, x[b] * paths[a] / paths[b])
     x -= mine
     x[first] = 0.0
-    return np.bincount(cells // width, weights=x, minlength=g.n)
+    return cells, x
 
 
 def shares(g: Adjacency, sources: np.ndarray, targets: list[dict[int, float]] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -437,7 +560,7 @@ def shares(g: Adjacency, sources: np.ndarray, targets: list[dict[int, float]] |
     at = 0
     while at < len(sources):
         rows, part = g.around(sources[at : at + 1])
-        few = not weighted and part.rounds <= FEW_LEVELS
+        few = part.rounds <= FEW_LEVELS
         many = max(min(BLOCK_CELLS // part.n if few else BLOCK_BYTES // (part.n * 48), BLOCK_SOURCES), 1)
         block = sources[at : at + many]
         inside = rows[np.minimum(np.searchsorted(rows, block), len(rows) - 1)] == block
@@ -453,7 +576,8 @@ def shares(g: Adjacency, sources: np.ndarray, targets: list[dict[int, float]] |
                 own[place[there], b] = np.fromiter(to.values(), float, len(to))[there]
         if few and own is not None:
             own = own.T.ravel()
-        got = (_by_distance if weighted else _by_few_levels if few else _by_levels)(part, np.searchsorted(rows, block), own)
+        way = (_by_few_distances if few else _by_distance) if weighted else _by_few_levels if few else _by_levels
+        got = way(part, np.searchsorted(rows, block), own)
         some = np.flatnonzero(got)
         yield rows[some], got[some]
         at += len(block)
